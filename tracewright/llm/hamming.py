@@ -22,6 +22,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +111,8 @@ def _look_up(open_: DataFrame, index: DataFrame, cut: list[tuple[int, int]], fli
         if flips > width:
             continue
         value = F.call_function("shiftrightunsigned", F.col("query"), F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << width) - 1).cast("long")), lambda x: F.bit_count(x) == flips)
+        chosen = [sum(1 << b for b in c) for c in combinations(range(width), flips)]
+        masks = F.from_json(F.lit(str(chosen)), "array<bigint>")  # a constant, folded once
         looked.append(open_.select("query", "best", F.lit(i).alias("seg"), value.alias("own"), F.explode(masks).alias("mask")))
     probes = looked[0]
     for more in looked[1:]:
