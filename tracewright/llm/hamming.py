@@ -1,6 +1,6 @@
 """Exact top-k search on binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into m segments of about log2(number of codes) bits, and each distinct
+A 64-bit code is cut into m segments of about log2(number of codes / 64) bits, and each distinct
 code is filed under each of its segments. In round s every open query looks up all
 segment values at s flipped bits and verifies the whole codes it finds. After round s all
 codes within m*(s+1)-1 bits have been seen: if they differed in more than s bits in every
@@ -32,6 +32,9 @@ from tracewright.llm import common
 BITS = 64
 K = 10
 CHUNK = 1024
+#: A look-up is a row that is shuffled and joined, a code in an array is one xor and a count:
+#: so segments are a little narrower than log2(codes) bits.
+PER_BUCKET = 64
 SALTS = 64
 
 
@@ -42,8 +45,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments: about log2(codes) bits each, at least 8 and at most 16."""
-    width = min(16, max(8, round(math.log2(max(2, codes)))))
+    """(shift, width) of the segments, so that a segment value is shared by about PER_BUCKET codes."""
+    width = min(20, max(8, round(math.log2(max(2, codes / PER_BUCKET)))))
     m = math.ceil(BITS / width)
     edges = [round(i * BITS / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
