@@ -28,6 +28,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -132,8 +133,12 @@ def _cut(piece: str) -> tuple[str, ...]:
     return (piece, *tail)
 
 
+@lru_cache(maxsize=2)
 def encoder(tokenizer_path: str = TOKENIZER, most: int = 300_000):
-    """A function from a list of texts to a list of id bytes (uint32), without end ids."""
+    """A function from a list of texts to a list of id bytes (uint32), without end ids.
+
+    A worker keeps it, with the pieces it knows, for the tasks that follow.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
