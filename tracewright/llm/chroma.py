@@ -253,8 +253,9 @@ def melody(vector) -> bytes:
     x = np.asarray([0.0 if v is None else v for v in vector] if vector is not None else [], np.float64)
     if not len(x):
         return b""
+    x = np.nan_to_num(x)  # a null element is a nan by now
     scale = np.sqrt((x**2).mean()) or 1.0
-    tone = np.clip(np.floor((np.nan_to_num(x) / scale + 3) / 6 * TONES), 0, TONES - 1).astype(int)
+    tone = np.clip(np.floor((x / scale + 3) / 6 * TONES), 0, TONES - 1).astype(int)
     return _notes()[tone].tobytes()
 
 
