@@ -31,6 +31,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tracewright.llm.hashing import U64, mixed
 
@@ -41,7 +42,7 @@ BLANK = "▁"
 #: Stretches up to the last of these lengths run in step, padded to the next of them.
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 40)
 #: Characters that are encoded together at most, but for one longer text.
-TOGETHER = 1_000_000
+TOGETHER = 400_000
 _NONE = np.int32(2**30)
 
 
@@ -298,13 +299,24 @@ def decode(ids: np.ndarray, vocab: Vocabulary | None = None) -> str:
 def encode_documents(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL) -> DataFrame:
     """``documents`` with ids: array<int>; a column of that name is replaced."""
 
-    @F.pandas_udf("array<int>")
-    def coded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        vocab = vocabulary(model)
-        for doc_ids, texts in batches:
-            yield pd.Series(encode([t or "" for t in texts], [document_key(seed, d) for d in doc_ids], dropout, vocab))
+    rows = documents.drop("ids").withColumn("__key", F.col("doc_id").cast("string"))
+    at_once = 128  # rows whose ids are held together
+
+    def in_task(batches):
+        import pyarrow as pa
 
-    return documents.withColumn("ids", coded(F.col("doc_id").cast("string"), F.col("text")))
+        vocab = vocabulary(model)
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                keys, texts = part.column("__key").to_pylist(), part.column("text").to_pylist()
+                ids = encode([t or "" for t in texts], [document_key(seed, d) for d in keys], dropout, vocab)
+                offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, coded], names=[*part.schema.names, "ids"])
+
+    shape = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    return rows.mapInArrow(in_task, shape).drop("__key")
 
 
 def decode_documents(coded: DataFrame, model: str = MODEL) -> DataFrame:
