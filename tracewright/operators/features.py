@@ -32,10 +32,20 @@ PATTERNS = {
 }
 ERROR = r"\b(error|exception|fail|ошибка)\b"
 
-_OBJECT = Window.partitionBy(*OBJECT)
-_ORDERED = _OBJECT.orderBy("start_time_ns", "span_id")
-_TRACE = Window.partitionBy("trace_id")
-_STEPS = _TRACE.orderBy("start_time_ns", "span_id")
+def _object():
+    return Window.partitionBy(*OBJECT)
+
+
+def _ordered():
+    return _object().orderBy("start_time_ns", "span_id")
+
+
+def _trace():
+    return Window.partitionBy("trace_id")
+
+
+def _steps():
+    return _trace().orderBy("start_time_ns", "span_id")
 
 
 @dataclass(frozen=True)
@@ -66,8 +76,8 @@ def _distinct(c: Column, window) -> Column:
 
 
 def _entropy() -> Column:
-    n = F.count("*").over(_TRACE)
-    parts = [F.count(F.when(F.col("aef_kind") == k, 1)).over(_TRACE) / n for k in KINDS]
+    n = F.count("*").over(_trace())
+    parts = [F.count(F.when(F.col("aef_kind") == k, 1)).over(_trace()) / n for k in KINDS]
     return reduce(add, [F.when(p > 0, -p * F.log2(p)).otherwise(0.0) for p in parts])
 
 
@@ -81,12 +91,12 @@ def definitions() -> list[Feature]:
     last = Window.partitionBy("trace_id")
     named = F.when(tool, F.col("span_name"))
     first_use = F.row_number().over(Window.partitionBy(*OBJECT, named).orderBy("start_time_ns", "span_id")) == 1
-    repeat = F.coalesce((F.lag("aef_kind").over(_STEPS) == F.col("aef_kind")).cast("int"), zero)
-    agents = _distinct(F.col("agent_id"), _TRACE)
+    repeat = F.coalesce((F.lag("aef_kind").over(_steps()) == F.col("aef_kind")).cast("int"), zero)
+    agents = _distinct(F.col("agent_id"), _trace())
     out = [
         Feature("total_duration", took, log=True, **full), Feature("duration", took, log=True, **full), Feature("duration_diff", F.lit(0.0), log=True, **full),
-        Feature("delta_time", F.coalesce(start - F.lag("start_time_ns").over(_ORDERED), zero), log=True, **full),
-        Feature("exec_gap", F.coalesce(start - F.lag("end_time_ns").over(_ORDERED), zero), log=True, **full),
+        Feature("delta_time", F.coalesce(start - F.lag("start_time_ns").over(_ordered()), zero), log=True, **full),
+        Feature("exec_gap", F.coalesce(start - F.lag("end_time_ns").over(_ordered()), zero), log=True, **full),
         Feature("llm_tokens", F.when(llm, F.col("llm_total_tokens")).otherwise(zero), log=True, **full),
         Feature("llm_duration", F.when(llm, took).otherwise(zero), log=True, **full),
         Feature("token_ratio", F.when(llm & (F.length(said) > 0), F.length(asked) / F.length(said)).otherwise(0.0), static=("mean", "std")),
@@ -98,17 +108,17 @@ def definitions() -> list[Feature]:
         *[Feature(f"is_{k}", (F.col("aef_kind") == k).cast("int"), static=MEAN, rolling=MEAN) for k in ("llm", "tool", "chain")],
         Feature("tool_compression", F.when(tool, F.length(said) / (F.length(asked) + EPS)).otherwise(-1.0), log=True, static=NO_SUM, rolling=NO_SUM),
         Feature("final_output_length", F.length(F.max_by("output_text", F.struct("agent_id", "start_time_ns", "span_id")).over(last)), log=True),
-        Feature("unique_agents", agents), Feature("actions_per_agent", F.count("*").over(_TRACE) / agents, log=True),
-        Feature("unique_tools_global", _distinct(named, _TRACE)), Feature("action_entropy", _entropy()), Feature("is_repeat", repeat),
-        Feature("unique_tools_local", F.sum("__first_use").over(_ORDERED.rowsBetween(Window.unboundedPreceding, 0)), 2, False, (), ALL),
+        Feature("unique_agents", agents), Feature("actions_per_agent", F.count("*").over(_trace()) / agents, log=True),
+        Feature("unique_tools_global", _distinct(named, _trace())), Feature("action_entropy", _entropy()), Feature("is_repeat", repeat),
+        Feature("unique_tools_local", F.sum("__first_use").over(_ordered().rowsBetween(Window.unboundedPreceding, 0)), 2, False, (), ALL),
         Feature("error_flag", F.lower("sem_text").rlike("(?U)" + ERROR).cast("int"), 2, False, MEAN, MEAN),
         *_counts("", "sem_text", 2), *_counts("prompt_", "agent_prompt", 2),
         Feature("avg_word_length_sem", F.aggregate(F.split("sem_text", " "), F.lit(0), lambda a, w: a + F.char_length(w)) / F.size(F.split("sem_text", " ")), 2, True, NO_SUM, NO_SUM),
-        Feature("time_gap_variance", F.var_samp("delta_time").over(_TRACE), 2), Feature("iteration_duration_variance", F.var_samp("duration").over(_TRACE), 2),
-        Feature("repetitive_actions", F.sum("is_repeat").over(_TRACE), 2),
-        Feature("processing_time_variance", F.stddev_samp(F.col("llm_duration") / (F.col("llm_tokens") + EPS)).over(_TRACE), 2),
-        Feature("cv_duration", F.stddev_samp("duration").over(_TRACE) / (F.avg("duration").over(_TRACE) + EPS), 2, True),
-        Feature("cv_delta", F.stddev_samp("delta_time").over(_TRACE) / (F.avg("delta_time").over(_TRACE) + EPS), 2, True),
+        Feature("time_gap_variance", F.var_samp("delta_time").over(_trace()), 2), Feature("iteration_duration_variance", F.var_samp("duration").over(_trace()), 2),
+        Feature("repetitive_actions", F.sum("is_repeat").over(_trace()), 2),
+        Feature("processing_time_variance", F.stddev_samp(F.col("llm_duration") / (F.col("llm_tokens") + EPS)).over(_trace()), 2),
+        Feature("cv_duration", F.stddev_samp("duration").over(_trace()) / (F.avg("duration").over(_trace()) + EPS), 2, True),
+        Feature("cv_delta", F.stddev_samp("delta_time").over(_trace()) / (F.avg("delta_time").over(_trace()) + EPS), 2, True),
     ]
     return out
 
@@ -131,7 +141,7 @@ def base_features(spans: DataFrame, features: list[Feature] | None = None) -> Da
 def static_features(frame: DataFrame, features: list[Feature] | None = None) -> DataFrame:
     """Whole-object aggregates beside each span."""
     features = features or definitions()
-    return frame.withColumns({f"{f.name}__{k}": a.over(_OBJECT) for f in features for kind in f.static for k, a in _aggregate(kind, F.col(f.name))})
+    return frame.withColumns({f"{f.name}__{k}": a.over(_object()) for f in features for kind in f.static for k, a in _aggregate(kind, F.col(f.name))})
 
 
 def rolling_features(frame: DataFrame, widths=WIDTHS, features: list[Feature] | None = None, longest: int | None = None) -> DataFrame:
@@ -140,7 +150,7 @@ def rolling_features(frame: DataFrame, widths=WIDTHS, features: list[Feature] |
     out, running = {}, None
     for w in sorted(widths):
         whole = longest is not None and w >= longest
-        frame_of = _ORDERED.rowsBetween(Window.unboundedPreceding, 0) if whole else _ORDERED.rowsBetween(1 - w, 0)
+        frame_of = _ordered().rowsBetween(Window.unboundedPreceding, 0) if whole else _ordered().rowsBetween(1 - w, 0)
         for f in features:
             for kind in f.rolling:
                 for k, a in _aggregate(kind, F.col(f.name)):

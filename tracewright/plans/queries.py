@@ -108,17 +108,18 @@ def rule_validated(spark, sf_dir):
 
 # ---- quality --------------------------------------------------------------------------
 
-AGENT = {"agent_id": F.col("agent_id")}
+def agent():
+    return {"agent_id": F.col("agent_id")}
 
 
 @query(f"{WITH} SELECT agent_id, count(*) AS n, {each('round(avg(({missing})::INT), 6) AS {name}', {a.name for a in SPEC} - {'agent_id'})} FROM spans GROUP BY agent_id")
 def dq_completeness(spark, sf_dir):
-    return rounded(quality.completeness(spans(spark, sf_dir), AGENT))
+    return rounded(quality.completeness(spans(spark, sf_dir), agent()))
 
 
 @query(f"{WITH} SELECT agent_id, {DAY} AS ts, count(*) AS n, {each('round(avg(({violation})::INT), 6) AS {name}', {a.name for a in SPEC} - {'agent_id'})} FROM spans GROUP BY ALL")
 def dq_correctness_by_day(spark, sf_dir):
-    return rounded(quality.correctness(spans(spark, sf_dir), AGENT | {"ts": quality.starts_at()})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rounded(quality.correctness(spans(spark, sf_dir), agent() | {"ts": quality.starts_at()})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"{WITH} SELECT count(*) AS n, {each('round(avg(({spoilt})::INT), 6) AS {name}')} FROM spans")
@@ -148,7 +149,7 @@ def dq_distribution(spark, sf_dir):
 
 @query(f"{WITH}, t AS (SELECT trace_id, bool_or({BROKEN}) AS rejected FROM spans GROUP BY trace_id) SELECT agent_id, count(*) AS n, round(avg(rejected::INT), 6) AS dropped_rate, sum(rejected::INT)::BIGINT AS dropped, sum(1 - rejected::INT)::BIGINT AS kept FROM spans JOIN t USING (trace_id) GROUP BY agent_id")
 def dq_rejection(spark, sf_dir):
-    return rounded(quality.rejection(spans(spark, sf_dir), AGENT))
+    return rounded(quality.rejection(spans(spark, sf_dir), agent()))
 
 
 @query(f"{WITH} SELECT trace_id, arg_min(session_id, (start_time_ns, span_id)) AS session_id, arg_min(nexus_distrib_ver, (start_time_ns, span_id)) AS version, count(*) AS spans, bool_or({BROKEN}) AS rejected, {' AND '.join(f'count(DISTINCT {c}) <= 1' for c in INVARIANTS)} AS consistent FROM spans GROUP BY trace_id")
@@ -274,12 +275,12 @@ SELECT agent_id, traces, eff_traces, round(loss_rate, 6) AS loss_rate, worst_rul
 
 @query(_readiness_sql())
 def ready_assess(spark, sf_dir):
-    return rounded(readiness.assess(spans(spark, sf_dir), DEMO, AGENT))
+    return rounded(readiness.assess(spans(spark, sf_dir), DEMO, agent()))
 
 
 @query(f"{WITH}, s AS (SELECT agent_id, count(*) AS n, {each('avg(({violation})::INT) AS {name}', {a.name for a in SPEC} - {'agent_id'})} FROM spans GROUP BY agent_id) SELECT agent_id, n, attr, round(violation_rate, 6) AS violation_rate FROM (UNPIVOT s ON COLUMNS(* EXCLUDE (agent_id, n)) INTO NAME attr VALUE violation_rate) WHERE violation_rate > 0")
 def ready_blame(spark, sf_dir):
-    return rounded(readiness.blame(spans(spark, sf_dir), AGENT))
+    return rounded(readiness.blame(spans(spark, sf_dir), agent()))
 
 
 # ---- selection ------------------------------------------------------------------------
@@ -517,4 +518,4 @@ def ml_reconstruction(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness of each agent."""
-    return readiness.assess(spans(spark, sf_dir), DEMO, AGENT)
+    return readiness.assess(spans(spark, sf_dir), DEMO, agent())

@@ -6,6 +6,8 @@ tests and oracles use. Users may append attributes of their own.
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,51 +37,54 @@ def quoted(value) -> str:
 class Rule:
     """A condition as a Column and as SQL."""
 
-    column: Column
+    make: Callable[[], Column]
     sql: str
 
+    @property
+    def column(self) -> Column:
+        return self.make()
+
     def __or__(self, other: Rule) -> Rule:
-        return Rule(self.column | other.column, f"({self.sql} OR {other.sql})")
+        return Rule(lambda: self.column | other.column, f"({self.sql} OR {other.sql})")
 
     def __and__(self, other: Rule) -> Rule:
-        return Rule(self.column & other.column, f"({self.sql} AND {other.sql})")
+        return Rule(lambda: self.column & other.column, f"({self.sql} AND {other.sql})")
 
     def __invert__(self) -> Rule:
-        return Rule(~self.column, f"(NOT {self.sql})")
+        return Rule(lambda: ~self.column, f"(NOT {self.sql})")
 
 
 def compare(name: str, op: str, value) -> Rule:
-    c = F.col(name)
-    column = {"=": c == value, ">=": c >= value, "<=": c <= value}[op]
-    return Rule(column, f"({name} {op} {quoted(value)})")
+    test = {"=": operator.eq, ">=": operator.ge, "<=": operator.le}[op]
+    return Rule(lambda: test(F.col(name), value), f"({name} {op} {quoted(value)})")
 
 
 def matches(name: str, pattern: str) -> Rule:
     java = pattern[:-1] + r"\z" if pattern.endswith("$") else pattern  # Java's $ also matches before a last line end
-    return Rule(F.col(name).rlike(java), f"regexp_matches({name}, {quoted(pattern)})")
+    return Rule(lambda: F.col(name).rlike(java), f"regexp_matches({name}, {quoted(pattern)})")
 
 
 def among(name: str, values) -> Rule:
-    return Rule(F.col(name).isin(*values), f"({name} IN ({', '.join(map(quoted, values))}))")
+    return Rule(lambda: F.col(name).isin(*values), f"({name} IN ({', '.join(map(quoted, values))}))")
 
 
 def filled(name: str) -> Rule:
-    return Rule(F.length(name) > 0, f"(length({name}) > 0)")
+    return Rule(lambda: F.length(name) > 0, f"(length({name}) > 0)")
 
 
 def between(name: str, low, high) -> Rule:
-    return Rule(F.col(name).between(low, high), f"({name} BETWEEN {low} AND {high})")
+    return Rule(lambda: F.col(name).between(low, high), f"({name} BETWEEN {low} AND {high})")
 
 
 def at_least(a: str, b: str) -> Rule:
-    return Rule(F.col(a) >= F.col(b), f"({a} >= {b})")
+    return Rule(lambda: F.col(a) >= F.col(b), f"({a} >= {b})")
 
 
-ALWAYS = Rule(F.lit(True), "true")
+ALWAYS = Rule(lambda: F.lit(True), "true")
 
 
 def if_else(test: Rule, yes: Rule, no: Rule) -> Rule:
-    return Rule(F.when(test.column, yes.column).otherwise(no.column), f"(CASE WHEN {test.sql} THEN {yes.sql} ELSE {no.sql} END)")
+    return Rule(lambda: F.when(test.column, yes.column).otherwise(no.column), f"(CASE WHEN {test.sql} THEN {yes.sql} ELSE {no.sql} END)")
 
 
 IS_LLM = compare("aef_kind", "=", "llm")
