@@ -46,6 +46,10 @@ VOTES, BIT_ERROR = 3, 0.25
 #: Frames that must overlap.
 OVERLAP = 32
 QUERY_BLOCK, PRINT_BLOCK = 128, 4096
+#: Parts in which the recordings of one print are gathered first.
+COPY_PARTS = 256
+#: Meetings of equal keys, and frames compared, that are held together.
+AT_ONCE = 1_000_000
 _BITS = np.array([bin(x).count("1") for x in range(65536)], np.uint8)
 
 
@@ -161,6 +165,76 @@ def _align(query, ordered, order, other):
     return (offset, error, len(a)) if len(a) >= OVERLAP and error <= BIT_ERROR else None
 
 
+def aligned(queries: list[np.ndarray], prints: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, int]]:
+    """(query, print, offset, bit error, frames) of all pairs that ``align`` accepts, by places in the lists.
+
+    Many prints vote together: a vote is one number made of print, query and offset, and after
+    sorting, the votes for one offset stand side by side.
+    """
+    if not queries or not prints:
+        return
+    keys = _keys(np.concatenate(queries))
+    owner = np.repeat(np.arange(len(queries)), [len(c) for c in queries])
+    own_place = np.concatenate([np.arange(len(c)) for c in queries])
+    by = np.argsort(keys, kind="stable")
+    keys, owner, own_place = keys[by], owner[by], own_place[by]
+    sizes = [len(c) for c in prints]
+    ends = np.cumsum(sizes)
+    joined = np.concatenate(prints)
+    met = np.concatenate(([0], np.cumsum(np.searchsorted(keys, _keys(joined), side="right") - np.searchsorted(keys, _keys(joined)))))
+    met = met[ends]  # meetings up to and with each print
+    longest = max(len(c) for c in queries)
+    width = longest + max(sizes) + 1
+    at = 0
+    while at < len(prints):
+        before = int(met[at - 1]) if at else 0
+        upto = max(at + 1, int(np.searchsorted(met, before + AT_ONCE, side="right")))
+        if met[upto - 1] - before > AT_ONCE:  # one print of very many meetings: query by query
+            for q, codes in enumerate(queries):
+                found = align(codes, prints[at])
+                if found is not None:
+                    yield q, at, *found
+        else:
+            some = joined[ends[at] - sizes[at] : ends[upto - 1]]
+            of = np.repeat(np.arange(upto - at), sizes[at:upto])
+            place = np.concatenate([np.arange(n) for n in sizes[at:upto]])
+            places, hits = _meetings(keys, _keys(some))
+            votes = (of[places] * len(queries) + owner[hits]) * width + place[places] - own_place[hits] + longest
+            votes.sort()
+            yield from _verified(votes, width, longest, queries, prints, at)
+        at = upto
+
+
+def _verified(votes: np.ndarray, width: int, longest: int, queries, prints, start: int) -> Iterator[tuple[int, int, int, float, int]]:
+    """Of sorted votes, the best offset of each pair, if its stretches agree."""
+    if len(votes) < VOTES:
+        return
+    voted, count = np.unique(votes[: len(votes) - VOTES + 1][votes[VOTES - 1 :] == votes[: len(votes) - VOTES + 1]], return_counts=True)
+    pair, offset = voted // width, voted % width - longest
+    order = np.lexsort((offset, -count, pair))
+    order = order[np.concatenate(([True], pair[order][1:] != pair[order][:-1]))] if len(order) else order
+    p, q, offset = pair[order] // len(queries) + start, pair[order] % len(queries), offset[order]
+    q_size, p_size = np.array([len(c) for c in queries]), np.array([len(c) for c in prints])
+    a, b = np.maximum(0, -offset), np.maximum(0, offset)
+    frames = np.minimum(q_size[q] - a, p_size[p] - b)
+    keep = np.flatnonzero(frames >= OVERLAP)
+    q_start, p_start = np.cumsum(q_size) - q_size, np.cumsum(p_size) - p_size
+    q_all, p_all = np.concatenate(queries), np.concatenate(prints)
+    ends = np.cumsum(frames[keep])
+    at = 0
+    while at < len(keep):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        k = keep[at:upto]
+        n = frames[k]
+        first = np.cumsum(n) - n
+        step = np.arange(n.sum()) - np.repeat(first, n)
+        differ = q_all[np.repeat(q_start[q[k]] + a[k], n) + step] ^ p_all[np.repeat(p_start[p[k]] + b[k], n) + step]
+        error = np.add.reduceat(np.bitwise_count(differ).astype(np.int64), first) / (32 * n)
+        for i in np.flatnonzero(error <= BIT_ERROR).tolist():
+            yield int(q[k[i]]), int(p[k[i]]), int(offset[k[i]]), float(error[i]), int(n[i])
+        at = upto
+
+
 def pcm16(media: bytes | None) -> np.ndarray:
     """Samples of raw little-endian 16-bit audio."""
     return np.frombuffer(media or b"", "<i2", len(media or b"") // 2).astype(np.float32) / 32768
@@ -185,7 +259,11 @@ def search(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """
     spark = prints.sparkSession
     usable = F.col("id").isNotNull() & (F.length("codes") >= 4 * OVERLAP)
-    each = prints.filter(usable).groupBy("codes").agg(F.count("*").alias("copies"), F.array_sort(F.slice(F.array_sort(F.array_agg("id")), F.lit(1), F.lit(2))).alias("ids"))
+    # two least ids of each print; a hot print's copies are first cut into parts
+    two = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), F.lit(1), F.lit(2))
+    parts = prints.filter(usable).groupBy("codes", F.pmod(F.xxhash64("id"), F.lit(COPY_PARTS)).alias("part"))
+    parts = parts.agg(F.count("*").alias("copies"), two(F.collect_set("id")).alias("ids"))
+    each = parts.groupBy("codes").agg(F.sum("copies").alias("copies"), two(F.flatten(F.collect_list("ids"))).alias("ids"))
     asked = queries.filter(usable).select("id", "codes").dropDuplicates(["id", "codes"])
     each, asked = common.saved(each), common.saved(asked)
     n_prints, n_queries = -(-each.count() // PRINT_BLOCK) or 1, -(-asked.count() // QUERY_BLOCK) or 1
@@ -198,29 +276,17 @@ def search(prints: DataFrame, queries: DataFrame) -> DataFrame:
 
     def block(asked: pd.DataFrame, each: pd.DataFrame) -> pd.DataFrame:
         q_codes = [np.frombuffer(c, "<u4") for c in asked["codes"]]
-        order = [np.argsort(_keys(c), kind="stable") for c in q_codes]
-        ordered = [_keys(c)[o] for c, o in zip(q_codes, order, strict=True)]
+        p_codes = [np.frombuffer(c, "<u4") for c in each["codes"]]
+        ids, copies, own = list(each["ids"]), each["copies"].tolist(), asked["id"].tolist()
         matches, best = [0] * len(q_codes), [None] * len(q_codes)
-        if len(q_codes) and len(each):
-            # how many keys a print shares with each query, by one look-up for all queries
-            keys, owners = _keys(np.concatenate(q_codes)), np.repeat(np.arange(len(q_codes)), [len(c) for c in q_codes])
-            by = np.argsort(keys, kind="stable")
-            keys, owners = keys[by], owners[by]
-            for codes, ids, copies in zip(each["codes"], each["ids"], each["copies"], strict=True):
-                other = np.frombuffer(codes, "<u4")
-                met = np.bincount(owners[_meetings(keys, _keys(other))[1]], minlength=len(q_codes))
-                for q in np.flatnonzero(met >= VOTES).tolist():
-                    found = _align(q_codes[q], ordered[q], order[q], other)
-                    if found is None:
-                        continue
-                    own = asked["id"].iloc[q]
-                    others = [i for i in ids if i != own]
-                    mine = len(q_codes[q]) == len(other) and (q_codes[q] == other).all()
-                    matches[q] += int(copies) - mine
-                    if others:
-                        key = (found[1], -found[2], others[0])
-                        if best[q] is None or key < best[q][0]:
-                            best[q] = (key, found)
+        for q, p, offset, error, frames in aligned(q_codes, p_codes):
+            mine = len(q_codes[q]) == len(p_codes[p]) and (q_codes[q] == p_codes[p]).all()
+            matches[q] += copies[p] - int(mine)
+            others = [i for i in ids[p] if i != own[q]]
+            if others:
+                key = (error, -frames, others[0])
+                if best[q] is None or key < best[q][0]:
+                    best[q] = (key, (offset, error, frames))
         rows = [
             (i, m, b[0][2] if b else None, b[1][0] if b else None, b[0][0] if b else None, b[1][2] if b else None)
             for i, m, b in zip(asked["id"], matches, best, strict=True)
