@@ -24,9 +24,12 @@ text are not read; very long texts are taken whole and get a segment of their ow
 
 from __future__ import annotations
 
+import itertools
 import os
+import string
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +45,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END = 1
 SEGMENT_TOKENS = 1_000_000
 RANK_BITS = 512
+#: What the tokenizer's vocabulary puts at the end of a word's last token.
+WORD_END = "</w>"
+#: Characters whose new pieces are learned together at most, but for one longer text.
+TOGETHER = 1_000_000
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 _SEGMENT = (
     "first_doc long, segment int, doc_ids binary, has_id binary, lengths binary, n_tokens long, n_docs long, "
@@ -98,61 +105,93 @@ def token_at(levels: list[dict], place: int) -> int:
 # ---- encoding --------------------------------------------------------------------
 
 
-class _Pieces(dict):
-    """white-space-free string -> its ids as little-endian uint32 bytes; bounded, starts anew when full.
+class _Recent(dict):
+    """A map of at most ``most`` entries, and as many older ones, which come back when they are asked for."""
 
-    Blanks and line ends part tokens for this tokenizer whatever stands around them, so
-    texts are looked up piece by piece, and only new pieces go to the library.
-    """
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
 
-    def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.most, self.plain = tokenizer, most, {}
+    def __missing__(self, key):
+        self[key] = value = self.old[key]
+        return value
 
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
+    def lacks(self, keys: list) -> list:
+        """Those of the keys that it does not hold, after room is made for them."""
+        new = [k for k in dict.fromkeys(keys) if k not in self and k not in self.old]
         if len(self) + len(new) > self.most:
+            self.old = dict(self)
             self.clear()
-            new = list(dict.fromkeys(pieces))
-        if len(self.plain) > self.most:
-            self.plain.clear()
-        cut = [_cut(p) for p in new]
-        unknown = [x for x in dict.fromkeys(x for c in cut for x in c) if x not in self.plain]
-        for x, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.plain[x] = np.array(e.ids, "<u4").tobytes()
-        for p, c in zip(new, cut, strict=True):
-            self[p] = b"".join([self.plain[x] for x in c])
+            new = [k for k in dict.fromkeys(keys) if k not in self.old]
+        return new
 
 
 def _cut(piece: str) -> tuple[str, ...]:
-    """Parts of a piece that the tokenizer encodes apart: one comma or stop after a letter, the rest in lower case."""
-    tail = ()
-    if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha():
-        piece, tail = piece[:-1], (piece[-1],)
-    if unicodedata.is_normalized("NFC", piece) and piece.isalpha() and "Σ" not in piece:
-        piece = piece.lower()
-    return (piece, *tail)
+    """Parts of a piece that the tokenizer encodes apart: signs after letters; letters alone in lower case."""
+    head = piece.rstrip(string.punctuation)
+    if not head.isalpha() or not (low := head.lower()).isalpha() or not unicodedata.is_normalized("NFC", head):
+        return (piece,)
+    tail, head = piece[len(head) :], head if "Σ" in head else low
+    return (head, tail) if tail else (head,)
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_path: str = TOKENIZER, most: int = 300_000):
+def encoder(tokenizer_path: str = TOKENIZER, most: int = 200_000):
     """A function from a list of texts to a list of id bytes (uint32), without end ids.
 
-    A worker keeps it, with the pieces it knows, for the tasks that follow.
+    Blanks and line ends part tokens for this tokenizer whatever stands around them, so
+    texts are looked up piece by piece, and only new pieces go to the library.
+    A worker keeps it, with the pieces it met lately, for the tasks that follow.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    known = _Pieces(Tokenizer.from_file(tokenizer_path), most)
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    names = tokenizer.get_vocab()
+    closes = np.zeros(max(names.values()) + 1, bool)
+    closes[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+    whole, parts = _Recent(most), _Recent(most)
+
+    def ids_of(strings: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def ids_of_words(words: list[str]) -> list[bytes]:
+        """Words of letters alone go as one text; the signs of their ends part them again."""
+        raw = ids_of([" ".join(words)])[0]
+        ends = [0, *(4 * (np.flatnonzero(closes[np.frombuffer(raw, "<u4")]) + 1)).tolist()]
+        return [raw[x:y] for x, y in itertools.pairwise(ends)] if len(ends) == len(words) + 1 else ids_of(words)
+
+    def learn(pieces: list[str]) -> None:
+        new = whole.lacks(pieces)
+        cuts = [_cut(p) for p in new]
+        unknown = parts.lacks([x for c in cuts for x in c])
+        words = [x for x in unknown if x.isalpha() and unicodedata.is_normalized("NFC", x)]
+        others = [x for x in unknown if not (x.isalpha() and unicodedata.is_normalized("NFC", x))]
+        parts.update(zip(words, ids_of_words(words), strict=True) if words else ())
+        parts.update(zip(others, ids_of(others), strict=True))
+        for p, c in zip(new, cuts, strict=True):
+            whole[p] = b"".join([parts[x] for x in c])
+
+    def known(pieces: list[str]) -> bytes | None:
+        try:
+            return b"".join(map(whole.__getitem__, pieces))
+        except KeyError:
+            return None
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        out = []
-        for pieces in split:
-            try:
-                out.append(b"".join([known[p] for p in pieces]))
-            except KeyError:
-                known.learn(pieces)
-                out.append(b"".join([known[p] for p in pieces]))
+        out, at = [], 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= TOGETHER):
+                size += len(texts[upto])
+                upto += 1
+            split = [t.replace("\n", " ").split(" ") for t in texts[at:upto]]
+            coded = [known(pieces) for pieces in split]
+            if new := [pieces for pieces, c in zip(split, coded, strict=True) if c is None]:
+                learn(list(itertools.chain.from_iterable(new)))
+                coded = [known(pieces) if c is None else c for pieces, c in zip(split, coded, strict=True)]
+            out += coded
+            at = upto
         return out
 
     return encode
