@@ -310,3 +310,29 @@ def test_pipeline_stages(spark):
         docs, n = out, out.count()
     ids = {r.doc_id: r.ids for r in docs.collect()}
     assert ids and all(pieces.decode(np.array(i)) is not None for i in ids.values())
+
+
+def test_chroma_many_pairs_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (40, 90, 150, 33)]
+    noise = [b ^ (np.uint32(1) << rng.integers(0, 8, len(b), dtype=np.uint32)) for b in base]
+    prints = [*base, *noise, base[2][30:110], np.zeros(60, np.uint32), np.zeros(0, np.uint32)]
+    queries = [*base[:3], np.zeros(50, np.uint32)]
+    found = {(q, p): chroma.align(a, b) for q, a in enumerate(queries) for p, b in enumerate(prints)}
+    want = {k: v for k, v in found.items() if v is not None}
+    assert len(want) >= 8
+    for at_once in (1_000_000, 200, 10):
+        monkeypatch.setattr(chroma, "AT_ONCE", at_once)
+        assert {(q, p): tuple(rest) for q, p, *rest in chroma.aligned(queries, prints)} == want
+    assert list(chroma.aligned([], prints)) == [] and list(chroma.aligned(queries, [])) == []
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(codes.TOKENIZER), codes.encoder(most=3)
+    texts = ["one two three four", "İ. İ, Σas ΑΣ. 'tis x's a' (857) ½. é!", "four Three, two. one$$$", "", " \n", "a<|endoftext|> don't."] * 2
+    for together in (1, 40, 10_000):
+        monkeypatch.setattr(codes, "TOGETHER", together)
+        for t, got in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
