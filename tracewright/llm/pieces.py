@@ -296,10 +296,14 @@ def decode(ids: np.ndarray, vocab: Vocabulary | None = None) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def encode_documents(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL) -> DataFrame:
-    """``documents`` with ids: array<int>; a column of that name is replaced."""
+def encode_documents(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL, keep_text: bool = True) -> DataFrame:
+    """``documents`` with ids: array<int>; a column of that name is replaced.
+
+    Without ``keep_text`` the texts go to the tasks but don't come back, which spares copies of them.
+    """
 
     rows = documents.drop("ids").withColumn("__key", F.col("doc_id").cast("string"))
+    kept = [c for c in rows.columns if c != "__key" and (keep_text or c != "text")]
     at_once = 128  # rows whose ids are held together
 
     def in_task(batches):
@@ -313,10 +317,10 @@ def encode_documents(documents: DataFrame, dropout: float = DROPOUT, seed: int =
                 ids = encode([t or "" for t in texts], [document_key(seed, d) for d in keys], dropout, vocab)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, coded], names=[*part.schema.names, "ids"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], coded], names=[*kept, "ids"])
 
-    shape = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
-    return rows.mapInArrow(in_task, shape).drop("__key")
+    shape = StructType([*[rows.schema[c] for c in kept], StructField("ids", ArrayType(IntegerType()))])
+    return rows.mapInArrow(in_task, shape)
 
 
 def decode_documents(coded: DataFrame, model: str = MODEL) -> DataFrame:
