@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01, u01_sql
-from tracewright.operators import augment, features, prep, quality, readiness, scoring, selection
+from tracewright.operators import augment, features, prep, quality, readiness, reports, scoring, selection, separability, stacking
 from tracewright.sources import conform, fixture, spec
 from tracewright.sources.spec import INVARIANTS, MANDATORY, SPEC
 
@@ -516,6 +516,77 @@ def ml_reconstruction(spark, sf_dir):
     return scoring.reconstruction_error(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding").select("vec_id", "label", "error")
 
 
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY " + u01_sql("doc_id::VARCHAR", "fold") + ", doc_id) - 1 AS pos FROM (SELECT DISTINCT doc_id FROM documents)) SELECT doc_id, (pos % 5)::INT AS fold FROM r")
+def ml_balanced_folds(spark, sf_dir):
+    return stacking.balanced_folds(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct(), "doc_id")
+
+
+@query("SELECT doc_id, CASE lang WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 0 END::INT AS code FROM documents")
+def ml_encoded_labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", stacking.encoded(F.col("lang"), ["en", "de", "fr"]).alias("code"))
+
+
+@query()
+def ml_stacked_classes(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
+    names = sorted(r[0] for r in rows.select("label").distinct().collect() if r[0] is not None)  # a row for each class
+    stack = stacking.fit_stack(rows, "embedding", "label", "vec_id", names, k=3)
+    return stack.classify(rows, "embedding").drop("embedding")
+
+
+# ---- separability ---------------------------------------------------------------------
+
+
+@query()
+def sep_density(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return separability.density_nll(rows, "embedding", F.col("label") == 0).select("vec_id", "label", "nll")
+
+
+@query(f"WITH d AS (SELECT source, n_chars FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL), a AS (SELECT min(source) AS base FROM d), n AS (SELECT n_chars FROM d, a WHERE source = base), c AS (SELECT source, n_chars FROM d, a WHERE source <> base) SELECT source AS label, count(DISTINCT c.i) AS n, round(avg(CASE WHEN c.n_chars > n.n_chars THEN 1.0 WHEN c.n_chars = n.n_chars THEN 0.5 ELSE 0.0 END::DOUBLE), 6) AS auc, round(avg(CASE WHEN c.n_chars > n.n_chars THEN 1.0 WHEN c.n_chars = n.n_chars THEN 0.5 ELSE 0.0 END::DOUBLE), 6) BETWEEN {separability.BAND[0]} AND {separability.BAND[1]} AS in_band FROM (SELECT *, row_number() OVER () AS i FROM c) c, n GROUP BY source")
+def sep_auc_by_class(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = docs.agg(F.min("source")).first()[0]
+    return separability.gate(rounded(separability.auc_by_class(docs, "n_chars", "source", base)))
+
+
+@query(f"WITH {_S}, a AS (SELECT e FROM s WHERE quality = 1), b AS (SELECT e FROM s WHERE quality = 0) SELECT round(2 * (SELECT avg(abs(a.e - b.e)) FROM a, b) - (SELECT avg(abs(a.e - x.e)) FROM a, a x) - (SELECT avg(abs(b.e - x.e)) FROM b, b x), 6) AS energy")
+def sep_energy(spark, sf_dir):
+    return rounded(separability.energy_distance(_scored(spark, sf_dir), "n_chars", "quality"))
+
+
+@query()
+def sep_coupling(spark, sf_dir):
+    halves = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    weight, covariance = separability.coupling(halves, "a", "b")
+    return separability.inflated(halves, "a", "b", weight, covariance, F.lit(3.0)).select("vec_id", "b")
+
+
+# ---- reports --------------------------------------------------------------------------
+
+
+@query(f"WITH {_S} SELECT e AS error, CASE WHEN quality = 1 THEN 'anomaly' ELSE 'normal' END AS label FROM s")
+def rep_errors(spark, sf_dir):
+    return reports.errors(_scored(spark, sf_dir), "n_chars", "quality")
+
+
+@query(f"WITH {_S}, g AS (SELECT * FROM (VALUES ('anomaly'), ('normal')) a(actual), (VALUES ('anomaly'), ('normal')) p(predicted)) SELECT actual, predicted, count(e) AS count FROM g LEFT JOIN s ON (quality = 1) = (actual = 'anomaly') AND (e > 1000) = (predicted = 'anomaly') AND quality IN (0, 1) GROUP BY ALL")
+def rep_confusion(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("p", (F.col("n_chars") > 1000).cast("int"))
+    return reports.confusion_long(rows.agg(*scoring.confusion(F.col("quality"), F.col("p"))))
+
+
+@query(f"WITH {ORACLES['ml_threshold_sweep'].removeprefix('WITH ').replace(') SELECT i, round(threshold', '), w AS (SELECT i, round(threshold')}) SELECT threshold, metric, score FROM (UNPIVOT (SELECT threshold, f1, recall, precision FROM w) ON f1, recall, precision INTO NAME metric VALUE score)")
+def rep_sweep(spark, sf_dir):
+    return reports.sweep_long(ml_threshold_sweep(spark, sf_dir), ["f1", "recall", "precision"])
+
+
+@query("SELECT n_chars::DOUBLE AS value, lang AS \"group\" FROM documents WHERE lang IN ('en', 'de')")
+def rep_grouped(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return reports.grouped({g: docs.filter(F.col("lang") == g) for g in ("en", "de")}, "n_chars")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readiness of each agent."""
     return readiness.assess(spans(spark, sf_dir), DEMO, agent())
