@@ -293,6 +293,8 @@ def test_sentencepiece_equals_library_and_round_trips(spark, documents, odd):
     assert len(rows) == 10 and all(r.lossless for r in rows)
     coded = pieces.decode_documents(pieces.encode_documents(odd).drop("text"))
     assert {r.text for r in coded.collect()} == {r.text or "" for r in odd.collect()}
+    bare = pieces.encode_documents(odd, keep_text=False)
+    assert "text" not in bare.columns and {r.text for r in pieces.decode_documents(bare).collect()} == {r.text or "" for r in odd.collect()}
     assert pieces.report(odd.limit(0)).count() == 0
 
 
