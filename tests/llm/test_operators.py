@@ -159,6 +159,32 @@ def test_html_template_without_marks(spark):
     assert rows == {r.page_id: r.text for r in html.extract(frame, broadcast=0).collect()}
 
 
+def texts_of(spark, pages):
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = {r.page_id: r.text for r in html.extract(frame).collect()}
+    assert rows == {r.page_id: r.text for r in html.extract(frame, broadcast=0).collect()}
+    return rows
+
+
+def test_html_copies_and_rare_repeats_stay(spark):
+    """Copies count once, whatever their titles; three pages of many make no template."""
+    page = "<html><head><title>{}</title></head><body><div><p>{}</p><p>{}</p></div></body></html>"
+    same = [(i, "http://h.x/same", page.format("t", "One text", "of a copy")) for i in range(30)]
+    titled = [(100 + i, f"http://h.x/{i}", page.format(i, "Other text", "of many titles")) for i in range(30)]
+    others = [(200 + i, f"http://h.x/o{i}", page.format(i, f"Page {i}", "On three pages" if i < 3 else f"End {i}")) for i in range(30)]
+    rows = texts_of(spark, same + titled + others)
+    assert rows == {i: "One text of a copy" for i in range(30)} | {100 + i: "Other text of many titles" for i in range(30)} | {200 + i: f"Page {i} " + ("On three pages" if i < 3 else f"End {i}") for i in range(30)}
+    only = texts_of(spark, same[:5] + [(9, "http://h.x/", "<article><p>a</p></article>")])
+    assert only == {i: "One text of a copy" for i in range(5)} | {9: "a"}
+
+
+def test_html_most_of_a_page_stays(spark):
+    """A block with nearly all the text of its pages is their content."""
+    long = "These many words are what the page is about, and there are ten times as many of them. " * 3
+    pages = [(i, f"http://h.x/{i}", f"<body><div>{long}</div><i>{i}</i></body>") for i in range(8)]
+    assert texts_of(spark, pages) == {i: f"{long.strip()} {i}" for i in range(8)}
+
+
 def test_html_articles_match(spark):
     pages = common.table(spark, FOLDER, "pages")
     source = {r.page_id: r.html for r in pages.collect()}

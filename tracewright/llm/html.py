@@ -2,12 +2,17 @@
 
 1. Each page is parsed, and each block-level subtree hashed by its tags and text
    (attributes and comments don't count, as they differ between pages).
-2. Spark counts on how many pages of its host each subtree stands. One that stands on
-   at least ``LEAST_PAGES`` pages and ``SHARE`` of the host's pages belongs to the template.
-3. Pages are parsed again and subtrees of the template deleted, except text blocks inside the
-   article, as a site may repeat a sentence there. What a rare host shows too seldom to
-   count goes by rule: elements and class names of menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts, styles and reader comments. If the page marks
+2. Spark counts on how many distinct contents of its host each subtree stands. The content
+   of a page is the text that rules alone keep, so copies count once, whatever their titles
+   or menus. A subtree on at least ``LEAST_PAGES`` contents and ``SHARE`` of the host's
+   contents belongs to the template. Those inside a marked article are counted for
+   themselves, against the contents of pages that mark one, and need ``ARTICLE_SHARE``.
+3. Pages are parsed again and subtrees of the template deleted, except text blocks inside
+   the article. The page, html,
+   body, article and main elements, and a subtree with ``MOST`` of the text that rules keep on
+   a page, are never template there; the subtrees in them may be. What a rare host shows too
+   seldom to count goes by rule: elements and class names of menus, headers, footers,
+   sidebars, notices, adverts, forms, scripts, styles and reader comments. If the page marks
    its article, only that is kept.
 
 Character references are decoded, white space inside a block becomes one space, blocks
@@ -16,8 +21,8 @@ block of its own.
 
 Cases: a null html is empty and gives an empty text; a null url is a host of its own;
 broken markup (open elements at the end, unknown end tags, cut comments) is read as
-browsers do, near enough; repeated pages count once for each row; an empty table gives
-an empty result; other columns are not read; pages are taken whole.
+browsers do, near enough; repeated pages count once, but each row gets its text (copies that
+differ in a word of their text are contents of their own); an empty table gives an empty result; other columns are not read; pages are taken whole.
 """
 
 from __future__ import annotations
@@ -35,7 +40,10 @@ from pyspark.sql import functions as F
 from tracewright.llm import common
 
 LEAST_PAGES = 3
-SHARE = 0.005
+SHARE = 0.2
+ARTICLE_SHARE = 0.5
+#: A subtree with this share of a page's text is its content, however often it recurs.
+MOST = 0.9
 #: Template subtrees that are broadcast at most; beyond it they are joined to the pages.
 BROADCAST_SUBTREES = 500_000
 
@@ -65,8 +73,12 @@ DROPPED_WORDS = frozenset(
     "comment comments reply replies disqus share sharing social related promo promotion sponsor sponsored newsletter subscribe subscription popup modal overlay widget".split()
 )
 ARTICLE = frozenset(["article", "main"])
+NEVER = ARTICLE | {"html", "body"}
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption td th ul ol dl table tr tbody thead figure section div article main body html".split())
 
+#: Turns the hash of a subtree into that of the same subtree inside an article.
+IN_ARTICLE = np.uint64(0xD6E8FEB86659FD93)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CLOSED_BY = {new: frozenset(old for old, closers in CLOSES.items() if new in closers) for new in {c for cs in CLOSES.values() for c in cs}}
@@ -150,14 +162,38 @@ class Page:
                 at = stop
         close(1)
 
-    def kept(self, template: set[int] | frozenset[int]) -> list[bool]:
-        """For each element, whether its own text belongs to the main text."""
+    def _marked(self) -> list[bool]:
+        """For each element, whether it stands in an article or is one."""
+        inside = [False] * len(self.tags)
+        for e in range(1, len(self.tags)):
+            inside[e] = inside[self.parents[e]] or self.tags[e] in ARTICLE
+        return inside
+
+    def counted(self) -> np.ndarray:
+        """For each element the hash that is counted, its own inside the article; 0 for none."""
+        never = np.array([t in NEVER for t in self.tags])
+        hashes = np.array(self.hashes, np.uint64)
+        return np.where(never | (hashes == 0), np.uint64(0), np.where(self._marked(), hashes ^ IN_ARTICLE, hashes))
+
+    def kept(self, template: np.ndarray | None = None) -> list[bool]:
+        """For each element, whether its own text belongs to the main text; ``template`` marks the subtrees that recur."""
+        by_rule = self._without(None)
+        if template is None or not template.any():
+            return by_rule
+        sizes = [0] * len(self.tags)
+        for element, run in self.runs:
+            if run is not None and by_rule[element]:
+                sizes[element] += sum(map(len, run.split()))
+        for e in range(len(sizes) - 1, 0, -1):
+            sizes[self.parents[e]] += sizes[e]
+        return self._without([bool(t) and size < MOST * sizes[0] for t, size in zip(template, sizes, strict=True)])
+
+    def _without(self, template: list[bool] | None) -> list[bool]:
         n = len(self.tags)
-        gone, article, inside = [False] * n, [False] * n, [False] * n
+        gone, article, inside = [False] * n, [False] * n, self._marked()
         for e in range(1, n):
             p, tag = self.parents[e], self.tags[e]
-            inside[e] = inside[p] or tag in ARTICLE
-            recurring = self.hashes[e] in template and not (inside[e] and tag in PROSE)
+            recurring = template is not None and template[e] and not (inside[e] and tag in PROSE)
             rule = self.rules[e] or (tag == "header" and not inside[p])
             if tag in ARTICLE and not rule and not article[p]:
                 # an article is read even inside an element that was left open by mistake
@@ -168,7 +204,7 @@ class Page:
             return [a and not g for a, g in zip(article, gone, strict=True)]
         return [not g for g in gone]
 
-    def text(self, template: set[int] | frozenset[int] = frozenset()) -> str:
+    def text(self, template: np.ndarray | None = None) -> str:
         kept, blocks, block = self.kept(template), [], []
         for element, run in self.runs:
             if run is None:
@@ -202,8 +238,9 @@ def _host(url: str | None) -> int:
 
 
 def _keys(page: Page, host: int) -> np.ndarray:
-    """A key for each hashed subtree, of host and hash, as signed 64-bit integers."""
-    return _key(host, np.array(page.hashes, np.uint64)).astype(np.int64)
+    """A key for each element, of host and hash, as signed 64-bit integers; 0 for what isn't counted."""
+    counted = page.counted()
+    return np.where(counted > 0, _key(host, counted).astype(np.int64), np.int64(0))
 
 
 def _key(host: int, hashes: np.ndarray) -> np.ndarray:
@@ -213,32 +250,40 @@ def _key(host: int, hashes: np.ndarray) -> np.ndarray:
         return mixed(np.uint64(host) * np.uint64(0x9E3779B97F4A7C15) + hashes)
 
 
-def template_subtrees(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """key: each (host, subtree) that recurs on enough pages of its host."""
+def template_subtrees(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """key: each (host, subtree) that recurs on enough distinct contents of its host."""
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
-                hosts, keys = [], []
+                hosts, groups, keys, contents = [], [], [], []
                 for url, source in zip(b["url"][at : at + 500], b["html"][at : at + 500], strict=True):
                     page, host = Page(source or ""), _host(url)
-                    own = np.unique(_keys(page, host)[np.array(page.hashes, np.uint64) > 0])
-                    keys += [np.zeros(1, np.int64), own]
-                    hosts.append(np.full(len(own) + 1, np.int64(np.uint64(host).astype(np.int64))))
-                yield pd.DataFrame({"host": np.concatenate(hosts), "key": np.concatenate(keys)})
-
-    seen = pages.select("url", "html").mapInPandas(in_task, "host long, key long")
-    counts = common.stored(seen.groupBy("host", "key").agg(F.count("*").alias("n")).filter((F.col("n") >= least) | (F.col("key") == 0)), "subtrees")
-    hosts = counts.filter("key = 0").select("host", F.col("n").alias("pages"))
-    return counts.filter("key <> 0").join(hosts, "host").filter(F.col("n") >= F.greatest(F.lit(float(least)), F.col("pages") * share)).select("key")
-
-
-def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
+                    found, marked = _keys(page, host), np.array(page._marked())
+                    content = np.uint64(xxhash.xxh3_64_intdigest(page.text())).astype(np.int64)
+                    for inside in (False, True):
+                        if not inside or marked.any():
+                            own = np.unique(np.append(found[marked == inside], np.int64(0)))  # 0 counts the contents themselves
+                            keys.append(own)
+                            hosts.append(np.full(len(own), np.uint64(host).astype(np.int64)))
+                            groups.append(np.full(len(own), inside))
+                            contents.append(np.full(len(own), content))
+                yield pd.DataFrame({"host": np.concatenate(hosts), "inside": np.concatenate(groups), "key": np.concatenate(keys), "content": np.concatenate(contents)})
+
+    seen = pages.select("url", "html").mapInPandas(in_task, "host long, inside boolean, key long, content long")
+    counts = seen.groupBy("host", "inside", "key").agg(F.count_distinct("content").alias("n"))
+    counts = common.stored(counts.filter((F.col("n") >= least) | (F.col("key") == 0)), "subtrees")
+    hosts = counts.filter("key = 0").select("host", "inside", F.col("n").alias("pages"))
+    least_of = F.greatest(F.lit(float(least)), F.col("pages") * F.when(F.col("inside"), article_share).otherwise(share))
+    return counts.filter("key <> 0").join(hosts, ["host", "inside"]).filter(F.col("n") >= least_of).select("key")
+
+
+def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
     """page_id, url, text of every page."""
     rows = pages.select("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType
     shape = "page_id string, url string, text string"
-    recurring = common.saved(template_subtrees(rows, least, share))
+    recurring = common.saved(template_subtrees(rows, least, share, article_share))
     if recurring.limit(broadcast + 1).count() <= broadcast:
         found = np.sort(np.array([r[0] for r in recurring.collect()], np.int64))  # at most ``broadcast`` numbers
         shared = pages.sparkSession.sparkContext.broadcast(found)
@@ -251,8 +296,7 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, br
                     page = Page(source or "")
                     keys = _keys(page, _host(url))
                     at = np.minimum(np.searchsorted(found, keys), max(len(found) - 1, 0))
-                    hit = found[at] == keys if len(found) else np.zeros(len(keys), bool)
-                    texts.append(page.text({h for h, x in zip(page.hashes, hit, strict=True) if x and h}))
+                    texts.append(page.text((found[at] == keys) & (keys != 0) if len(found) else None))
                 yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
         out = rows.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(in_task, shape)
@@ -269,15 +313,16 @@ def _extract_joined(rows: DataFrame, recurring: DataFrame, shape: str) -> DataFr
             keys = []
             for url, source in zip(b["url"], b["html"], strict=True):
                 page = Page(source or "")
-                keys.append(np.unique(_keys(page, _host(url))[np.array(page.hashes, np.uint64) > 0]))
+                own = np.unique(_keys(page, _host(url)))
+                keys.append(own[own != 0])
             yield pd.DataFrame({"page": b["page"], "keys": keys})
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = []
             for url, source, keys in zip(b["url"], b["html"], b["keys"], strict=True):
-                page, found = Page(source or ""), set() if keys is None else set(np.asarray(keys).tolist())
-                texts.append(page.text({h for h, k in zip(page.hashes, _keys(page, _host(url)).tolist(), strict=True) if h and k in found}))
+                page = Page(source or "")
+                texts.append(page.text(None if keys is None else np.isin(_keys(page, _host(url)), np.asarray(keys, np.int64))))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
     named = rows.withColumn("page", F.xxhash64("url", "html"))
