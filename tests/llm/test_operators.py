@@ -166,6 +166,15 @@ def texts_of(spark, pages):
     return rows
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "p"])
+def test_html_template_inside_article(spark, tag):
+    """Counts decide inside the article; a sentence in a third of the articles stays."""
+    box = f"<{tag}>Send this to a friend</{tag}>"
+    pages = [(i, f"http://h.x/{i}", f"<article><h1>Head {i}</h1>{box}<p>Own words of {i}</p>{'<p>Said again.</p>' if i % 3 == 0 else ''}</article>") for i in range(12)]
+    rows = texts_of(spark, pages)
+    assert rows[1] == "Head 1 Own words of 1" and rows[3] == "Head 3 Own words of 3 Said again."
+
+
 def test_html_copies_and_rare_repeats_stay(spark):
     """Copies count once, whatever their titles; three pages of many make no template."""
     page = "<html><head><title>{}</title></head><body><div><p>{}</p><p>{}</p></div></body></html>"
