@@ -101,6 +101,19 @@ def test_secrets_base_and_battery(spark, documents, odd):
     assert secrets.report(odd.limit(0)).count() == 0
 
 
+def test_secrets_without_digits(spark):
+    """Random tokens of letters only are tested and found; long words, paths and lines of dashes are not."""
+    rng = np.random.default_rng(11)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/")
+    tokens = ["".join(rng.choice(list(alphabets[i % 2]), 40)) for i in range(12)]
+    plain = ["Verantwortungsbewusstseinsbildung", "internationalizationconsiderations", "some/path/to/an/ordinary/file", "-" * 40, "_-" * 20, "12345678901234567890", "getElementsByClassNameOfParent", "AAAAAAAAAAAAAAAAAAAAAAAA"]
+    frame = spark.createDataFrame([(i, f"key {t} done") for i, t in enumerate(tokens + plain)], "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in secrets.report(frame).collect()}
+    assert rows == {i: "random:4:44" if i < 12 else "" for i in range(len(tokens) + len(plain))}
+    masked = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert masked[0] == "key [SECRET] done" and masked[12] == f"key {plain[0]} done"
+
+
 def test_redaction(spark, odd):
     frame = spark.createDataFrame([(1, "a password=abcdef12 b AKIA" + "A1" * 9 + " c", 1), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in secrets.redact(frame).collect()}

@@ -1,8 +1,9 @@
 """Secret scans, with DataFrame functions only.
 
-Three base patterns give spans by form alone. Beside them every long token is put
-to a battery of tests. Its encoding is inferred from its characters (hex, base32,
-letters and digits, base64), which gives an alphabet of k codes, and then:
+Three base patterns give spans by form alone. Beside them every token of 20 characters
+or more is put to a battery of tests. Its encoding is inferred from its characters
+(hex, base32, letters and digits, base64, and each kind without digits or letters),
+which gives an alphabet of k codes, and then:
 
 * chi-squared against a uniform alphabet: X2 = k/n * sum(n_j^2) - n, held against
   its exact mean k-1 and variance 2(k-1)(n-1)/n under uniform codes;
@@ -15,7 +16,9 @@ pass, so it is combined with false-discovery control: a p-value of the token bei
 ordinary text comes from the same statistics (fewer equal pairs of characters and
 more changes of class than ordinary tokens of that length have), and the
 Benjamini-Hochberg rule is applied within each encoding and class of lengths, over
-all documents. Long tokens and short ones so get thresholds of their own.
+all documents. Long tokens and short ones so get thresholds of their own, and so do
+tokens of letters only, among which ordinary words are many. A token of one class of
+characters has no changes of class to tell it from a word: only long ones are found.
 
 Cases: a null text counts as empty, and the digest of no spans is that of the empty
 string; repeated rows each get their row; columns beside doc_id and text are not
@@ -47,6 +50,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: (encoding, what its tokens look like, alphabet in the order of its codes)
 ENCODINGS = (
+    ("digits", r"^[0-9]+$", DIGITS),
+    ("lower", r"^[a-z]+$", LOWER),
+    ("upper", r"^[A-Z]+$", UPPER),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER),
+    ("marked", r"^[A-Za-z+/_-]+$", UPPER + LOWER + "+/"),
+    ("marked-digits", r"^[0-9+/_-]+$", DIGITS + "+/"),
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     ("base32", r"^[A-Z2-7]+$", UPPER + "234567"),
     ("alnum", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
@@ -111,7 +120,7 @@ def _tested(token: Column) -> Column:
     """struct(encoding, length class, -ln p of being ordinary) of a token, or null if it is not random-like."""
     encoding = reduce(lambda out, e: F.when(token.rlike(e[1]), e[0]).otherwise(out), reversed(ENCODINGS), F.lit(None).cast("string"))
     alphabet = reduce(lambda out, e: F.when(token.rlike(e[1]), e[2]).otherwise(out), reversed(ENCODINGS), F.lit(None).cast("string"))
-    sought = F.when(token.rlike("^[0-9A-F]+$"), F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
+    sought = F.when(token.rlike("^[0-9A-F]+$") & token.rlike("[0-9]"), F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
 
     def battery(t: Column) -> Column:
         chars, n = F.split(t["s"], "(?!^)"), F.length(t["s"]).cast("double")
@@ -165,14 +174,13 @@ def _scanned(documents: DataFrame, keep: list[str]) -> DataFrame:
     base = [_matches(text, *spec, rank).alias(f"__{spec[0]}") for rank, spec in enumerate(BASE)]
     found = documents.select(*[F.col(c) for c in keep], *base, _matches(text, "random", TOKEN, 0, 20, len(BASE)).alias("__token"))
     spans = F.array_sort(_cut(F.concat(*[F.col(f"__{spec[0]}") for spec in BASE])))
-    loose = F.filter("__token", lambda t: t["text"].rlike("[0-9]") & t["text"].rlike("[A-Za-z]"))
     return (
         found.withColumn("base", spans)
         .withColumn(
             "tried",
             F.filter(
                 F.transform(
-                    F.filter(loose, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))),
+                    F.filter("__token", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))),
                     lambda t: F.struct(t["start"], t["rank"], t["end"], t["kind"], _tested(t["text"]).alias("test")),
                 ),
                 lambda t: t["test"].isNotNull(),
