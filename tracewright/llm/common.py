@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows of a side that is broadcast at most; beyond it a join is shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Parts in which equal rows are counted first.
+PARTS = 256
+
 #: What counts as a word where only white space parts words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` as the cluster sets it. Only where that is unset,
-    as in local tests, a temporary folder is made and set as checkpoint folder.
+    It is ``spark.checkpoint.dir`` as the cluster sets it. Only where that is unset and the
+    master is local, as in tests, a temporary folder is made and set as checkpoint folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -37,6 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="tracewright-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         context.setCheckpointDir(f"file://{local}")
@@ -94,6 +99,27 @@ def running(frame: DataFrame, order: list[Column], sums: dict[str, Column]) -> D
     return joined.select(*[F.col(c) for c in frame.columns if c not in sums], *[(F.col(f"__own_{k}") + F.col(f"__start_{k}")).alias(k) for k in sums])
 
 
+def numbered(frame: DataFrame) -> DataFrame:
+    """The frame with ``__nth``: 0 for the first of rows equal in all columns, 1 for the next, and so on.
+
+    Rows whose hash is their own pass by. Equal rows are counted in parts and numbered from the
+    counts, so that neither a hot row nor its numbers come together in one task.
+    """
+    whole = F.xxhash64(*frame.columns)
+    again = saved(frame.groupBy(whole.alias("__row")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__row"))
+    small = small_side(again)
+    if small is None:
+        alone, equal = frame.limit(0), frame
+    else:
+        hashed = frame.withColumn("__row", whole)
+        alone, equal = (hashed.join(small, "__row", how).drop("__row") for how in ("left_anti", "left_semi"))
+    parts = equal.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(PARTS))).groupBy(*frame.columns, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*frame.columns).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("__from", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    numbers = F.explode(F.sequence(F.col("__from"), F.col("__from") + F.col("__n") - 1)).alias("__nth")
+    return alone.withColumn("__nth", F.lit(0).cast("long")).unionByName(placed.select(*frame.columns, numbers))
+
+
 def sums_before(lengths: Column, block: int = 256) -> Column:
     """For an array of integers, the array of the sums of all elements before each.
 

@@ -3,13 +3,15 @@
 Sizes are words. Each source gets a target share of a total budget by its weight,
 stopped at ``most`` times its own size, and what is over is shared again by weight.
 The repetition rate of a source is target / size: each of its documents is taken
-floor(rate) times, and once more if a number hashed from its id and text is
-below the fraction.
+floor(rate) times, and once more if a number hashed from its id, its text and its number
+among equal rows is below the fraction.
 
 Cases: a null text has size 0; a null source is a source of its own, sorted last; an
-empty table gives an empty result; rows repeated with equal id and text draw alike;
-rows with one id and other texts draw apart. A source of size 0 has target and rate
-0. Input columns named like an output column are replaced by it.
+empty table gives an empty result; rows equal in all columns are numbered and draw apart,
+so that a source of repeated rows meets its target too; rows with one id and other texts
+draw apart. A source of size 0 has target and rate 0. ``mix`` leaves all columns as they
+are, whatever their names; in ``mix_plan`` input columns named like one that it adds are
+replaced. Columns of maps can't be compared and are not allowed.
 """
 
 from __future__ import annotations
@@ -66,45 +68,50 @@ def _level(sources: DataFrame, share: float, most: int) -> float:
             level = (budget - most * held) / (weight - by)
 
 
-def mix_plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """Each document with size, source_size, target, rate, copies and taken.
+def _planned(documents: DataFrame, weights, share: float, most: int, seed: str) -> DataFrame:
+    """``documents`` with the plan in columns ``__mix_...``.
 
-    The text is read twice and never shuffled while the table of sources is small
+    Texts are never shuffled, but for equal rows, while the table of sources is small
     enough to broadcast; beyond that both sides are joined by source and a salt, as
     one source may hold a third of all documents.
     """
-    rates = common.saved(source_rates(documents, weights, share, most).drop("weight"))
-    added = ("size", "source_size", "target", "rate", "copies", "taken")
-    kept = documents.select([c for c in documents.columns if c not in added])
-    rates = rates.withColumnRenamed("source", "__source")
-    small = common.small_side(rates)
+    rates = source_rates(documents, weights, share, most)
+    rates = common.saved(rates.select(F.col("source").alias("__source"), *[F.col(c).alias(f"__mix_{c}") for c in ("source_size", "target", "rate")]))
+    numbered, small = common.numbered(documents), common.small_side(rates)
     if small is not None:
-        joined = kept.join(small, F.col("source").eqNullSafe(F.col("__source")))
+        joined = numbered.join(small, F.col("source").eqNullSafe(F.col("__source")))
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        left = kept.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        left = numbered.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "text", "__nth"), F.lit(SALTS)).cast("int"))
         right = rates.withColumn("__salt_of", salts)
         joined = left.join(right, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_of"))).drop("__salt", "__salt_of")
-    draw = common.uniform(F.lit(seed), F.col("doc_id"), F.md5("text"))
-    whole = F.floor("rate")
+    text = F.when(F.col("__nth") == 0, F.md5("text")).otherwise(F.concat_ws("#", F.coalesce(F.md5("text"), F.lit("null")), "__nth"))
+    draw = common.uniform(F.lit(seed), F.col("doc_id"), text)
+    rate = F.col("__mix_rate")
     return (
-        joined.withColumn("size", words(F.col("text")))
-        .withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("__source")
+        joined.withColumn("__mix_size", words(F.col("text")))
+        .withColumn("__mix_copies", (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int"))
+        .withColumn("__mix_taken", F.col("__mix_size") * F.col("__mix_copies"))
     )
 
 
+def mix_plan(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """Each document with size, source_size, target, rate, copies and taken."""
+    added = ("size", "source_size", "target", "rate", "copies", "taken")
+    plan = _planned(documents, weights, share, most, seed)
+    return plan.select(*[F.col(c) for c in documents.columns if c not in added], *[F.col(f"__mix_{c}").alias(c) for c in added])
+
+
 def mix(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``documents``."""
-    plan = mix_plan(documents, weights, share, most, seed)
-    taken = plan.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(c) for c in documents.columns])
+    taken = _planned(documents, weights, share, most, seed).filter("__mix_copies > 0")
+    copied = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    return copied.select(*[F.col(c) for c in documents.columns])
 
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  SELECT doc_id, source, text, row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) - 1 AS nth, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -124,7 +131,7 @@ WITH d AS (
 )
 SELECT d.doc_id, d.size, r.source_size, r.target,
        (d.size * (floor(r.rate) + CASE WHEN
-          ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || coalesce(md5(d.text), 'null')), 1, 13))::BIGINT
+          ('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || coalesce(md5(d.text), 'null') || CASE WHEN nth = 0 THEN '' ELSE '#' || nth END), 1, 13))::BIGINT
             / 4503599627370496.0::DOUBLE < r.rate - floor(r.rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
