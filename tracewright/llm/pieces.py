@@ -6,7 +6,7 @@ is left. With dropout, a keyed hash of (seed, document, place of the pair) decid
 candidate on the agenda whether it is skipped. So a document gets one segmentation for
 each seed, wherever and whenever it is encoded, another seed gives another one, and
 words of equal spelling differ between their places. Every segmentation consists of
-pieces of the model and decodes to the very text.
+pieces of the model and decodes to the very text. Copies can be told apart by a number.
 
 No piece holds a blank after another character, so texts are cut before blanks, and
 the agendas of many short stretches run in step as numpy arrays: each step merges one
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from tracewright.llm import common
 from tracewright.llm.hashing import U64, mixed
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,6 +45,7 @@ WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 40)
 #: Characters that are encoded together at most, but for one longer text.
 TOGETHER = 400_000
 _NONE = np.int32(2**30)
+_ALL = 2**64 - 1
 
 
 class Vocabulary:
@@ -124,15 +126,27 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
     return Vocabulary(model)
 
 
-def document_key(seed: int, doc_id) -> int:
-    return xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}")
+def document_key(seed: int, doc_id, copy: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(f"{seed}:{doc_id}:{copy}" if copy else f"{seed}:{doc_id}")
 
 
 def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the candidate of the characters start..middle and middle..end is skipped."""
     with np.errstate(over="ignore"):
         x = key + start.astype(U64) * U64(0x9E3779B97F4A7C15) + ((middle - start).astype(U64) << U64(32)) + (end - start).astype(U64)
-    return mixed(x) < U64(int(min(dropout, 1.0) * (2**64 - 1)) if dropout < 1 else 2**64 - 1)
+    return mixed(x) < U64(_limit(dropout))
+
+
+def _limit(dropout: float) -> int:
+    return int(dropout * (2**64 - 1)) if dropout < 1 else _ALL
+
+
+def _skipped_one(key: int, start: int, middle: int, end: int, limit: int) -> bool:
+    """``skipped`` for one candidate."""
+    x = (key + start * 0x9E3779B97F4A7C15 + ((middle - start) << 32) + end - start) & _ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return (x ^ (x >> 31)) < limit
 
 
 def encode(texts: list[str], keys: list[int], dropout: float = DROPOUT, vocab: Vocabulary | None = None) -> list[np.ndarray]:
@@ -241,7 +255,7 @@ def _on_heap(ids, alive, start, size, key, place, dropout, vocab) -> None:
     symbol = ids[start : start + size].tolist()
     after, before = list(range(1, size + 1)), list(range(-1, size - 1))
     agenda: list[tuple[int, int, int, int, int]] = []
-    doc, base = key[start : start + 1], int(place[start])
+    doc, base, limit = int(key[start]), int(place[start]), _limit(dropout)
 
     def candidate(left: int) -> None:
         right = after[left]
@@ -251,7 +265,7 @@ def _on_heap(ids, alive, start, size, key, place, dropout, vocab) -> None:
         if found is None:
             return
         end = after[right]
-        if dropout > 0 and skipped(doc, *(np.array([base + x]) for x in (left, right, end)), dropout)[0]:
+        if dropout > 0 and _skipped_one(doc, base + left, base + right, base + end, limit):
             return
         heapq.heappush(agenda, (found[0], left, right, end, found[1]))
 
@@ -296,14 +310,20 @@ def decode(ids: np.ndarray, vocab: Vocabulary | None = None) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def encode_documents(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL, keep_text: bool = True) -> DataFrame:
+def encode_documents(
+    documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str = MODEL, keep_text: bool = True, vary_copies: bool = False
+) -> DataFrame:
     """``documents`` with ids: array<int>; a column of that name is replaced.
 
     Without ``keep_text`` the texts go to the tasks but don't come back, which spares copies of them.
+    With ``vary_copies`` rows equal in all columns, as a mix repeats them, are numbered, and
+    each gets a segmentation of its own.
     """
 
-    rows = documents.drop("ids").withColumn("__key", F.col("doc_id").cast("string"))
-    kept = [c for c in rows.columns if c != "__key" and (keep_text or c != "text")]
+    rows = documents.drop("ids")
+    rows = common.numbered(rows) if vary_copies else rows.withColumn("__nth", F.lit(0).cast("long"))
+    rows = rows.withColumn("__key", F.col("doc_id").cast("string"))
+    kept = [c for c in rows.columns if c not in ("__key", "__nth") and (keep_text or c != "text")]
     at_once = 128  # rows whose ids are held together
 
     def in_task(batches):
@@ -313,8 +333,8 @@ def encode_documents(documents: DataFrame, dropout: float = DROPOUT, seed: int =
         for batch in batches:
             for at in range(0, batch.num_rows, at_once):
                 part = batch.slice(at, at_once)
-                keys, texts = part.column("__key").to_pylist(), part.column("text").to_pylist()
-                ids = encode([t or "" for t in texts], [document_key(seed, d) for d in keys], dropout, vocab)
+                keys, copies, texts = (part.column(c).to_pylist() for c in ("__key", "__nth", "text"))
+                ids = encode([t or "" for t in texts], [document_key(seed, d, n) for d, n in zip(keys, copies, strict=True)], dropout, vocab)
                 offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
                 coded = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], coded], names=[*kept, "ids"])
