@@ -207,13 +207,62 @@ def test_html_most_of_a_page_stays(spark):
     assert texts_of(spark, pages) == {i: f"{long.strip()} {i}" for i in range(8)}
 
 
+def marked_text(source):
+    body = re.search(r"<article>(.*)</article>", source, re.S)[1]
+    return " ".join(html_lib.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", body))).split())
+
+
 def test_html_articles_match(spark):
     pages = common.table(spark, FOLDER, "pages")
     source = {r.page_id: r.html for r in pages.collect()}
     for r in html.report(pages).collect():
-        body = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
-        assert r.text == " ".join(html_lib.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", body))).split())
-        assert r.n_chars == len(r.text)
+        assert r.text == marked_text(source[r.page_id]) and r.n_chars == len(r.text)
+
+
+def test_html_counts_alone_find_the_articles(spark):
+    """Rules and marks of articles off: counts delete menus, adverts and footers, whose texts differ on every page."""
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    source = {r.page_id: r.html for r in pages.collect()}
+    hosts = Counter(re.match("[a-z]+://([^/]*)", r.url)[1] for r in pages.collect())
+    rows = [r for r in html.extract(pages, rules=False, marks=False).collect() if hosts[re.match("[a-z]+://([^/]*)", r.url)[1]] >= html.LEAST_PAGES]
+    right = sum(r.text == marked_text(source[r.page_id]) for r in rows)
+    assert len(rows) > 50 and right >= 0.9 * len(rows)
+    none = html.extract(pages, least=10**9, rules=False, marks=False).collect()
+    assert not any(r.text == marked_text(source[r.page_id]) for r in none)
+
+
+def test_html_counts_equal_brute_force(spark):
+    pages = common.table(spark, "/root/testdata/sf0.01", "pages")
+    holders, contents = defaultdict(set), defaultdict(set)
+    for r in pages.collect():
+        page, host = html.Page(r.html, False, False), html._host(r.url)
+        content = page.text()
+        for row, kind in zip(html._keys(page, host).tolist(), (html.OUTSIDE, html.SHAPE), strict=True):
+            contents[host, kind].add(content)
+            for key in set(row) - {0}:
+                holders[key, host, kind].add(content)
+    share = {html.OUTSIDE: html.SHARE, html.SHAPE: html.SHAPE_SHARE}
+    want = {key for (key, host, kind), seen in holders.items() if len(seen) >= max(html.LEAST_PAGES, share[kind] * len(contents[host, kind]))}
+    assert {r.key for r in html.template_subtrees(pages, rules=False, marks=False).collect()} == want and want
+
+
+def test_html_pages_that_name_nothing(spark):
+    """Menus, footers and notices in bare or oddly named elements go by counts; articles stay, and so do equal pages."""
+    page = "<html><body><div><ul>{menu}</ul></div><div class='x7'>{note}</div><div class='main-with-sidebar'><h1>Head {i}</h1>{text}</div><div class='x9'>All rights {i}</div></body></html>"
+    def made(i):
+        menu = "".join(f"<li><a href=/{k}>Go {i * 7 + k}</a></li>" for k in range(3 + i % 4))
+        return page.format(menu=menu, note="We use biscuits." if i % 2 else f"Offer {i}", i=i, text="".join(f"<p>Sentence {k} of the page {i} tells what it is about at length.</p>" for k in range(2 + i % 5)))
+    want = lambda i: f"Head {i} " + " ".join(f"Sentence {k} of the page {i} tells what it is about at length." for k in range(2 + i % 5))
+    rows = texts_of(spark, [(i, f"http://h.x/{i}", made(i)) for i in range(30)] + [(100 + i, "http://h.x/1", made(1)) for i in range(20)])
+    assert rows == {i: want(i) for i in range(30)} | {100 + i: want(1) for i in range(20)}
+
+
+def test_html_class_names_count_as_a_whole(spark):
+    kept = ["content has-sidebar", "layout-sidebar", "no-ads", "commented-code"]
+    gone = ["site-footer", "cookie-notice", "post-comments", "x ad", "sidebar-left", "share_buttons"]
+    rows = texts_of(spark, [(i, f"http://h{i}.x/", f'<body><p>a</p><div class="{c}">b</div><main class="layout-sidebar"></main></body>'.replace('<main class="layout-sidebar"></main>', "")) for i, c in enumerate(kept + gone)])
+    assert rows == {i: "a b" if i < len(kept) else "a" for i in range(len(kept + gone))}
+    assert texts_of(spark, [(1, "http://h.x/", '<main class="layout-sidebar">m</main>')]) == {1: "m"}
 
 
 def test_codes_random_access():

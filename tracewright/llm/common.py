@@ -68,6 +68,20 @@ def small_side(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else None
 
 
+def joined_by(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """A join to a table with one row for each key: broadcast if it is small, else by key and salt.
+
+    The salt comes from the column ``spread`` of ``left``, so that a key that holds a large
+    share of its rows is dealt over many tasks.
+    """
+    right = saved(right)
+    small = small_side(right)
+    if small is not None:
+        return left.join(small, on, how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return salted.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,19 +1,26 @@
 """Main text of web pages by site template removal.
 
-1. Each page is parsed, and each block-level subtree hashed by its tags and text
-   (attributes and comments don't count, as they differ between pages).
-2. Spark counts on how many distinct contents of its host each subtree stands. The content
+1. Each page is parsed, and each block-level subtree hashed twice: by its tags and text, and
+   by its *shape*: tags and class names without text, equal neighbours once. Comments and other
+   attributes don't count, as they differ between pages. Shapes are taken of containers outside
+   a marked article that have a class or role, are sectioning elements or hold at least
+   ``SHAPE_ELEMENTS`` elements, and have no heading.
+2. Spark counts on how many distinct contents of its host each hash stands. The content
    of a page is the text that rules alone keep, so copies count once, whatever their titles
-   or menus. A subtree on at least ``LEAST_PAGES`` contents and ``SHARE`` of the host's
-   contents belongs to the template. Those inside a marked article are counted for
-   themselves, against the contents of pages that mark one, and need ``ARTICLE_SHARE``.
+   or menus. A hash on at least ``LEAST_PAGES`` contents belongs to the template from a share
+   of the host's contents on: ``SHARE`` for text, ``SHAPE_SHARE`` for shapes. Those inside a
+   marked article are counted for themselves, against the contents of pages that mark one,
+   and need ``ARTICLE_SHARE``.
 3. Pages are parsed again and subtrees of the template deleted, inside the article too: a
    sentence that a site repeats in fewer of its articles stays. The page, html,
    body, article and main elements, and a subtree with ``MOST`` of the text that rules keep on
-   a page, are never template there; the subtrees in them may be. What a rare host shows too
-   seldom to count goes by rule: elements and class names of menus, headers, footers,
-   sidebars, notices, adverts, forms, scripts, styles and reader comments. If the page marks
-   its article, only that is kept.
+   a page, are never template there; the subtrees in them may be. A shape takes less than
+   ``SHAPE_MOST`` of a page's text, and all shapes together at most half of it.
+4. What a rare host shows too seldom to count goes by rule: elements and class names of
+   menus, headers, footers, sidebars, notices, adverts, forms and reader comments. A class name
+   counts as a whole: each of its words must name such a thing or its place ("site-footer" does,
+   "has-sidebar" doesn't). If the page marks its article, only that is kept. Rules and
+   marks can be switched off; then counts alone decide.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are joined by one space in page order. Text directly in a block that has blocks inside is a
@@ -38,10 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
+from tracewright.llm.hashing import mixed
 
-LEAST_PAGES = 3
+LEAST_PAGES = 8
 SHARE = 0.2
+SHAPE_SHARE = 0.5
 ARTICLE_SHARE = 0.5
+SHAPE_ELEMENTS = 3
+SHAPE_MOST = 1 / 3
 #: A subtree with this share of a page's text is its content, however often it recurs.
 MOST = 0.9
 #: Template subtrees that are broadcast at most; beyond it they are joined to the pages.
@@ -64,19 +75,29 @@ CLOSES = {
     "option": ["option", "optgroup"],
 }
 HOLDS = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
-DROPPED = frozenset(
-    "head nav footer aside form script style noscript template iframe svg math button select textarea dialog menu object embed audio video canvas title noembed noframes xmp".split()
-)
+UNSEEN = frozenset("head script style noscript template iframe svg math button select textarea object embed audio video canvas title noembed noframes xmp".split())
+DROPPED = UNSEEN | frozenset("nav footer aside form dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner cookie cookies consent gdpr notice notices sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
     "comment comments reply replies disqus share sharing social related promo promotion sponsor sponsored newsletter subscribe subscription popup modal overlay widget".split()
 )
+#: Words that say where such a thing is, or how it looks.
+PLACES = frozenset(
+    "site page main global top bottom left right upper lower primary secondary first second third inner outer box bar block area list item items section container wrapper wrap holder "
+    "panel group row col column unit slot header head links buttons icons post posts article blog user reader law policy privacy text content small large wide mobile desktop fixed sticky".split()
+)
+SECTIONS = frozenset("nav aside footer header form".split())
+CONTAINERS = SECTIONS | frozenset("div section ul ol dl menu dialog center".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+#: Class words of what pages are read for; their shapes are never template.
+CONTENT_WORDS = frozenset("content article body text post entry story title headline intro lead lede summary abstract excerpt description chapter prose main".split())
 ARTICLE = frozenset(["article", "main"])
 NEVER = ARTICLE | {"html", "body"}
 
-#: Turns the hash of a subtree into that of the same subtree inside an article.
-IN_ARTICLE = np.uint64(0xD6E8FEB86659FD93)
+#: Kinds of hashes that are counted apart, and what turns a hash into one of its kind.
+OUTSIDE, INSIDE, SHAPE = 0, 1, 2
+_KIND = tuple(np.uint64(x) for x in (0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -84,29 +105,49 @@ _CLOSED_BY = {new: frozenset(old for old, closers in CLOSES.items() if new in cl
 
 
 class Page:
-    """Elements of a page (tag, parent, dropped by rule, hash) and its runs of text."""
+    """Elements of a page (tag, parent, dropped by rule, hashes of text and shape) and its runs of text."""
 
-    __slots__ = ("tags", "parents", "rules", "hashes", "runs")
+    __slots__ = ("tags", "parents", "rules", "hashes", "shapes", "runs", "marks", "inside")
 
-    def __init__(self, source: str):
-        self.tags, self.parents, self.rules, self.hashes = ["#page"], [0], [False], [0]
+    def __init__(self, source: str, rules: bool = True, marks: bool = True):
+        self.tags, self.parents, self.rules, self.hashes, self.shapes = ["#page"], [0], [False], [0], [0]
         self.runs: list[tuple[int, str | None]] = []  # (element, text); None ends a block
-        self._parse(source)
-
-    def _parse(self, source: str) -> None:
+        self.marks = marks
+        self._parse(source, rules)
+        #: for each element, whether it stands in an article or is one
+        self.inside = [False] * len(self.tags)
+        if marks:
+            for e in range(1, len(self.tags)):
+                self.inside[e] = self.inside[self.parents[e]] or self.tags[e] in ARTICLE
+
+    def _parse(self, source: str, rules: bool) -> None:
         tags, runs = self.tags, self.runs
         stack, parts = [0], [["#page"]]
+        # of each open element: its label and the shapes in it, elements in it, whether its shape is out of question
+        outlines: list[list] = [[["#page"], 0, True]]
         at = 0
 
         def close(upto: int) -> None:
             while len(stack) > upto:
-                element, part = stack.pop(), parts.pop()
-                tag = tags[element]
+                element, part, (outline, size, barred) = stack.pop(), parts.pop(), outlines.pop()
+                tag, above = tags[element], outlines[-1]
                 if len(part) > 1:
                     digest = xxhash.xxh3_64_hexdigest("\x1f".join(part))
                     parts[-1].append(digest)
                     if tag not in INLINE:
                         self.hashes[element] = int(digest, 16)
+                above[1] += size + 1
+                above[2] |= tag in HEADINGS or tag in ARTICLE
+                if tag in INLINE and tag != "a":
+                    seen = outline[1:]
+                else:
+                    shape = outline[0] if len(outline) == 1 else xxhash.xxh3_64_hexdigest("\x1f".join(outline))
+                    seen = [shape]
+                    if tag in CONTAINERS and not barred and len(outline) > 1 and (outline[0] != tag or tag in SECTIONS or size + 1 >= SHAPE_ELEMENTS):
+                        self.shapes[element] = int(shape, 16)
+                for x in seen:
+                    if above[0][-1] != x:
+                        above[0].append(x)
                 if tag not in INLINE:
                     runs.append((stack[-1], None))
 
@@ -117,6 +158,8 @@ class Page:
                 words = plain.split()
                 if words:
                     parts[-1].append(" ".join(words))
+                    if outlines[-1][0][-1] != "#":
+                        outlines[-1][0].append("#")
 
         while True:
             m = _TAG.search(source, at)
@@ -145,14 +188,17 @@ class Page:
             if tag in VOID:
                 runs.append((stack[-1], " ") if tag in ("br", "img", "wbr") else (stack[-1], None))
                 continue
+            names, words = _names(m[3]) if m[3] else ((), ())
             self.tags.append(tag)
             self.parents.append(stack[-1])
             self.hashes.append(0)
-            self.rules.append(_by_rule(tag, m[3]))
+            self.shapes.append(0)
+            self.rules.append(tag in UNSEEN or rules and _by_rule(tag, names))
             if tag not in INLINE:
                 runs.append((stack[-1], None))
             stack.append(len(tags) - 1)
             parts.append([tag])
+            outlines.append([[".".join([tag, *words]) if words else tag], 0, not CONTENT_WORDS.isdisjoint(words)])
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                 stop = end.start() if end else len(source)
@@ -160,45 +206,63 @@ class Page:
                     parts[-1].append(source[at:stop])
                 at = stop
         close(1)
+        self.rules = [r or (rules and t == "header" and not self._in_article(e)) for e, (t, r) in enumerate(zip(tags, self.rules, strict=True))]
 
-    def _marked(self) -> list[bool]:
-        """For each element, whether it stands in an article or is one."""
-        inside = [False] * len(self.tags)
-        for e in range(1, len(self.tags)):
-            inside[e] = inside[self.parents[e]] or self.tags[e] in ARTICLE
-        return inside
+    def _in_article(self, element: int) -> bool:
+        while element:
+            element = self.parents[element]
+            if self.tags[element] in ARTICLE:
+                return True
+        return False
 
     def counted(self) -> np.ndarray:
-        """For each element the hash that is counted, its own inside the article; 0 for none."""
+        """Two rows, of text and shape: for each element the hash that is counted, by its kind; 0 for none."""
         never = np.array([t in NEVER for t in self.tags])
-        hashes = np.array(self.hashes, np.uint64)
-        return np.where(never | (hashes == 0), np.uint64(0), np.where(self._marked(), hashes ^ IN_ARTICLE, hashes))
-
-    def kept(self, template: np.ndarray | None = None) -> list[bool]:
-        """For each element, whether its own text belongs to the main text; ``template`` marks the subtrees that recur."""
-        by_rule = self._without(None)
-        if template is None or not template.any():
-            return by_rule
+        inside = np.array(self.inside)
+        hashes, shapes = np.array(self.hashes, np.uint64), np.array(self.shapes, np.uint64)
+        none = np.uint64(0)
+        return np.array(
+            [
+                np.where(never | (hashes == 0), none, np.where(inside, hashes ^ _KIND[INSIDE], hashes)),
+                np.where(never | inside | (shapes == 0), none, shapes ^ _KIND[SHAPE]),
+            ]
+        )
+
+    def sizes(self, kept: list[bool]) -> list[int]:
+        """Characters of the text below each element that is kept."""
         sizes = [0] * len(self.tags)
         for element, run in self.runs:
-            if run is not None and by_rule[element]:
+            if run is not None and kept[element]:
                 sizes[element] += sum(map(len, run.split()))
         for e in range(len(sizes) - 1, 0, -1):
             sizes[self.parents[e]] += sizes[e]
-        return self._without([bool(t) and size < MOST * sizes[0] for t, size in zip(template, sizes, strict=True)])
+        return sizes
+
+    def kept(self, template: np.ndarray | None = None) -> list[bool]:
+        """For each element, whether its own text belongs to the main text; ``template`` marks the hashes that recur, in the rows of ``counted``."""
+        by_rule = self._without(None)
+        if template is None or not template.any():
+            return by_rule
+        sizes = self.sizes(by_rule)
+        texts = [bool(t) and size < MOST * sizes[0] for t, size in zip(template[0], sizes, strict=True)]
+        out = self._without(texts)
+        if template[1].any():
+            seen = self.sizes([True] * len(self.tags))
+            both = self._without([x or bool(t) and size < SHAPE_MOST * seen[0] for x, t, size in zip(texts, template[1], seen, strict=True)])
+            if 2 * self.sizes(both)[0] >= self.sizes(out)[0]:
+                return both
+        return out
 
     def _without(self, template: list[bool] | None) -> list[bool]:
         n = len(self.tags)
-        gone, article, inside = [False] * n, [False] * n, self._marked()
+        gone, article = [False] * n, [False] * n
         for e in range(1, n):
             p, tag = self.parents[e], self.tags[e]
-            recurring = template is not None and template[e]
-            rule = self.rules[e] or (tag == "header" and not inside[p])
-            if tag in ARTICLE and not rule and not article[p]:
+            if self.marks and tag in ARTICLE and not self.rules[e] and not article[p]:
                 # an article is read even inside an element that was left open by mistake
                 article[e], gone[e] = True, False
             else:
-                article[e], gone[e] = article[p], gone[p] or recurring or rule
+                article[e], gone[e] = article[p], gone[p] or self.rules[e] or (template is not None and template[e])
         if any(a and not g for a, g in zip(article, gone, strict=True)):
             return [a and not g for a, g in zip(article, gone, strict=True)]
         return [not g for g in gone]
@@ -216,18 +280,26 @@ class Page:
         return " ".join([b for b in (" ".join(x.split()) for x in blocks) if b])
 
 
-def _by_rule(tag: str, attributes: str) -> bool:
+def _names(attributes: str) -> tuple[tuple[tuple[str, str], ...], tuple[str, ...]]:
+    """(attribute, value) of class, id and role; and the words of the classes and the role, sorted."""
+    found = tuple((name.lower(), next((v for v in values if v), "").lower()) for name, *values in _ATTRIBUTE.findall(attributes))
+    return found, tuple(sorted({w for name, value in found if name != "id" for w in re.split(r"[\s_-]+", value) if w}))
+
+
+def _by_rule(tag: str, names: tuple[tuple[str, str], ...]) -> bool:
     if tag in DROPPED:
         return True
-    if not attributes or tag in ("html", "body") or tag in INLINE and "role" not in attributes and "class" not in attributes:
+    if tag in ("html", "body"):
         return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if name.lower() == "role":
+    for name, value in names:
+        if name == "role":
             if value in DROPPED_ROLES:
                 return True
-        elif DROPPED_WORDS.intersection(re.split(r"[\s_-]+", value)):
-            return True
+        elif name == "class" or tag not in INLINE:
+            for one in value.split():
+                words = {w for w in re.split(r"[_-]+", one) if w}
+                if words and words <= (DROPPED_WORDS | PLACES) and words & DROPPED_WORDS:
+                    return True
     return False
 
 
@@ -237,52 +309,53 @@ def _host(url: str | None) -> int:
 
 
 def _keys(page: Page, host: int) -> np.ndarray:
-    """A key for each element, of host and hash, as signed 64-bit integers; 0 for what isn't counted."""
+    """Keys of host and hash in the rows of ``Page.counted``, as signed 64-bit integers; 0 for what isn't counted."""
     counted = page.counted()
-    return np.where(counted > 0, _key(host, counted).astype(np.int64), np.int64(0))
-
-
-def _key(host: int, hashes: np.ndarray) -> np.ndarray:
-    from tracewright.llm.hashing import mixed
-
     with np.errstate(over="ignore"):
-        return mixed(np.uint64(host) * np.uint64(0x9E3779B97F4A7C15) + hashes)
+        keys = mixed(np.uint64(host) * np.uint64(0x9E3779B97F4A7C15) + counted)
+    return np.where(counted > 0, keys.astype(np.int64), np.int64(0))
 
 
-def template_subtrees(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+def template_subtrees(
+    pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE, shape_share: float = SHAPE_SHARE, rules: bool = True, marks: bool = True
+) -> DataFrame:
     """key: each (host, subtree) that recurs on enough distinct contents of its host."""
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
-                hosts, groups, keys, contents = [], [], [], []
+                hosts, kinds, keys, contents = [], [], [], []
                 for url, source in zip(b["url"][at : at + 500], b["html"][at : at + 500], strict=True):
-                    page, host = Page(source or ""), _host(url)
-                    found, marked = _keys(page, host), np.array(page._marked())
+                    page, host = Page(source or "", rules, marks), _host(url)
+                    (texts, shapes), inside = _keys(page, host), np.array(page.inside)
                     content = np.uint64(xxhash.xxh3_64_intdigest(page.text())).astype(np.int64)
-                    for inside in (False, True):
-                        if not inside or marked.any():
-                            own = np.unique(np.append(found[marked == inside], np.int64(0)))  # 0 counts the contents themselves
+                    for kind, found in ((OUTSIDE, texts[~inside]), (INSIDE, texts[inside]), (SHAPE, shapes)):
+                        if kind != INSIDE or inside.any():
+                            own = np.unique(np.append(found, np.int64(0)))  # 0 counts the contents themselves
                             keys.append(own)
                             hosts.append(np.full(len(own), np.uint64(host).astype(np.int64)))
-                            groups.append(np.full(len(own), inside))
+                            kinds.append(np.full(len(own), kind))
                             contents.append(np.full(len(own), content))
-                yield pd.DataFrame({"host": np.concatenate(hosts), "inside": np.concatenate(groups), "key": np.concatenate(keys), "content": np.concatenate(contents)})
+                yield pd.DataFrame({"host": np.concatenate(hosts), "kind": np.concatenate(kinds), "key": np.concatenate(keys), "content": np.concatenate(contents)})
 
-    seen = pages.select("url", "html").mapInPandas(in_task, "host long, inside boolean, key long, content long")
-    counts = seen.groupBy("host", "inside", "key").agg(F.count_distinct("content").alias("n"))
+    seen = pages.select("url", "html").mapInPandas(in_task, "host long, kind int, key long, content long")
+    counts = seen.groupBy("host", "kind", "key").agg(F.count_distinct("content").alias("n"))
     counts = common.stored(counts.filter((F.col("n") >= least) | (F.col("key") == 0)), "subtrees")
-    hosts = counts.filter("key = 0").select("host", "inside", F.col("n").alias("pages"))
-    least_of = F.greatest(F.lit(float(least)), F.col("pages") * F.when(F.col("inside"), article_share).otherwise(share))
-    return counts.filter("key <> 0").join(hosts, ["host", "inside"]).filter(F.col("n") >= least_of).select("key")
+    least_share = F.element_at(F.array(F.lit(share), F.lit(article_share), F.lit(shape_share)), F.col("kind") + 1)
+    hosts = counts.filter("key = 0").select("host", "kind", F.greatest(F.lit(float(least)), F.col("n") * least_share).alias("__least"))
+    found = common.joined_by(counts.filter("key <> 0"), hosts.filter(F.col("__least") > least), ["host", "kind"], "key", "left")
+    return found.filter(F.col("n") >= F.coalesce("__least", F.lit(float(least)))).select("key")
 
 
-def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE, broadcast: int = BROADCAST_SUBTREES) -> DataFrame:
+def extract(
+    pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, article_share: float = ARTICLE_SHARE, shape_share: float = SHAPE_SHARE,
+    rules: bool = True, marks: bool = True, broadcast: int = BROADCAST_SUBTREES,
+) -> DataFrame:
     """page_id, url, text of every page."""
     rows = pages.select("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType
     shape = "page_id string, url string, text string"
-    recurring = common.saved(template_subtrees(rows, least, share, article_share))
+    recurring = common.saved(template_subtrees(rows, least, share, article_share, shape_share, rules, marks))
     if recurring.limit(broadcast + 1).count() <= broadcast:
         found = np.sort(np.array([r[0] for r in recurring.collect()], np.int64))  # at most ``broadcast`` numbers
         shared = pages.sparkSession.sparkContext.broadcast(found)
@@ -292,7 +365,7 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, ar
             for b in batches:
                 texts = []
                 for url, source in zip(b["url"], b["html"], strict=True):
-                    page = Page(source or "")
+                    page = Page(source or "", rules, marks)
                     keys = _keys(page, _host(url))
                     at = np.minimum(np.searchsorted(found, keys), max(len(found) - 1, 0))
                     texts.append(page.text((found[at] == keys) & (keys != 0) if len(found) else None))
@@ -300,18 +373,18 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE, ar
 
         out = rows.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(in_task, shape)
     else:
-        out = _extract_joined(rows, recurring, shape)
+        out = _extract_joined(rows, recurring, shape, rules, marks)
     return out.withColumn("page_id", F.col("page_id").cast(kind))
 
 
-def _extract_joined(rows: DataFrame, recurring: DataFrame, shape: str) -> DataFrame:
+def _extract_joined(rows: DataFrame, recurring: DataFrame, shape: str, rules: bool, marks: bool) -> DataFrame:
     """The same with the template subtrees of each page joined to it; equal pages share theirs."""
 
     def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keys = []
             for url, source in zip(b["url"], b["html"], strict=True):
-                page = Page(source or "")
+                page = Page(source or "", rules, marks)
                 own = np.unique(_keys(page, _host(url)))
                 keys.append(own[own != 0])
             yield pd.DataFrame({"page": b["page"], "keys": keys})
@@ -320,7 +393,7 @@ def _extract_joined(rows: DataFrame, recurring: DataFrame, shape: str) -> DataFr
         for b in batches:
             texts = []
             for url, source, keys in zip(b["url"], b["html"], b["keys"], strict=True):
-                page = Page(source or "")
+                page = Page(source or "", rules, marks)
                 texts.append(page.text(None if keys is None else np.isin(_keys(page, _host(url)), np.asarray(keys, np.int64))))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts})
 
