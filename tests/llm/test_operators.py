@@ -3,6 +3,7 @@
 import hashlib
 import html as html_lib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -114,6 +115,72 @@ def test_secrets_without_digits(spark):
     assert masked[0] == "key [SECRET] done" and masked[12] == f"key {plain[0]} done"
 
 
+def identifiers(n):
+    """Ordinary names of 20 to 40 characters, as code writes them, from a list of words."""
+    words = "get set value index parse read write buffer file path config user name token count total stream table column partition group order shuffle broadcast window frame message header request response error handler session default maximum minimum number length offset timestamp version module package class object factory builder manager service client server internal external public private abstract iterator collection".split()
+    rng, out = np.random.default_rng(4), []
+    joins = (lambda w: w[0] + "".join(x.title() for x in w[1:]), "_".join, "-".join, lambda w: "_".join(w).upper(), "/".join, lambda w: "".join(x.title() for x in w) + "2", "".join)
+    while len(out) < n:
+        name = joins[len(out) % len(joins)]([str(w) for w in rng.choice(words, 4)])
+        if 20 <= len(name) <= 40:
+            out.append(name)
+    return out
+
+
+def test_secrets_recall_and_false_discoveries(spark):
+    """Of 40 random tokens of each encoding among 3500 ordinary identifiers, most are found at 20 characters; hardly any identifier is."""
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"alnum": digits + upper + upper.lower(), "base64": digits + upper + upper.lower() + "+/", "base32": upper + "234567", "HEX": digits + "ABCDEF", "letters": upper + upper.lower(), "lower": upper.lower(), "base36": digits + upper.lower()}
+    rng = np.random.default_rng(8)
+    for length, least in ((20, 0.7), (32, 0.9)):
+        rows = [(f"see {t} there", "plain") for t in identifiers(3500)]
+        rows += [("key " + "".join(rng.choice(list(a), length)) + " end", k) for k, a in alphabets.items() for _ in range(40)]
+        masked = secrets.redact(spark.createDataFrame(rows, "text string, kind string")).filter("text like '%[SECRET]%'").groupBy("kind").count().collect()
+        found = {r["kind"]: r["count"] for r in masked}
+        assert found.pop("plain", 0) <= 0.02 * sum(found.values())
+        assert found.keys() == alphabets.keys() and all(n >= least * 40 for n in found.values()), found
+
+
+def test_secrets_many_spans_in_one_text(spark):
+    """Time follows the length of a text, not the product of its spans."""
+    text = " ".join(f"password=abcdef{i} é🙂" for i in range(10_000))
+    start = time.time()
+    row = secrets.redact(spark.createDataFrame([(text,)], "text string")).first()
+    assert row.text == " ".join(["[SECRET] é🙂"] * 10_000) and time.time() - start < 60
+
+
+def test_pieces_between(spark):
+    rng = np.random.default_rng(6)
+    text = "".join(rng.choice(list("aé🙂 \n"), 300))
+    spans = [(int(a), int(b)) for a, b in np.sort(rng.integers(0, 301, (60, 2)), axis=1)] + [(0, 0), (300, 300), (0, 300)]
+    frame = spark.createDataFrame([(text, spans), ("", [(0, 0)]), (None, [])], "t string, s array<struct<start:int,end:int>>")
+    rows = frame.select(common.pieces_between(F.col("t"), F.col("s"), 16).alias("p")).collect()
+    assert rows[0].p == [text[a:b] for a, b in spans] and rows[1].p == [""]
+
+
+def test_redaction_leaves_other_columns(spark):
+    names = ["base", "tried", "spans", "kind", "test", "n_assign", "n_access", "n_hex", "__x"]
+    frame = spark.createDataFrame([("password=abcdef1", *[f"{n} stays" for n in names])], "text string, " + ", ".join(f"{n} string" for n in names))
+    assert secrets.redact(frame).first() == ("[SECRET]", *[f"{n} stays" for n in names])
+    plan = "size source_size target rate copies taken weight".split()
+    frame = spark.createDataFrame([(i, "a b", "s", *[f"{n} stays" for n in plan]) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in plan))
+    mixed = mixing.mix(frame).collect()
+    assert mixed and all(r[3:] == tuple(f"{n} stays" for n in plan) for r in mixed)
+
+
+def test_mix_of_repeated_rows_meets_its_target(spark):
+    rows = [(7, "a b c d e f g h i j", "s1")] * 1000 + [(i, f"w{i} x y z", "s2") for i in range(2500)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in plan} == {"s1": 1000, "s2": 2500} and all(abs(r.taken - r.target) < 0.05 * r.target for r in plan)
+
+
+def test_copies_get_segmentations_of_their_own(spark):
+    frame = spark.createDataFrame([(1, "several ordinary words of one text", "x")] * 6 + [(2, "another text of more words", "y")], "doc_id long, text string, k string")
+    rows = pieces.encode_documents(frame, dropout=0.3, vary_copies=True).collect()
+    assert len(rows) == 7 and len({tuple(r.ids) for r in rows if r.doc_id == 1}) > 3 and all(pieces.decode(np.array(r.ids)) == r.text for r in rows)
+    assert len({tuple(r.ids) for r in pieces.encode_documents(frame, dropout=0.3).collect()}) == 2
+
+
 def test_redaction(spark, odd):
     frame = spark.createDataFrame([(1, "a password=abcdef12 b AKIA" + "A1" * 9 + " c", 1), (2, None, None), (3, "plain", 5)], "doc_id long, text string, n_chars long")
     rows = {r.doc_id: r for r in secrets.redact(frame).collect()}

@@ -8,6 +8,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,30 +135,53 @@ def numbered(frame: DataFrame) -> DataFrame:
     return alone.withColumn("__nth", F.lit(0).cast("long")).unionByName(placed.select(*frame.columns, numbers))
 
 
-def sums_before(lengths: Column, block: int = 256) -> Column:
-    """For an array of integers, the array of the sums of all elements before each.
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often and in whatever lambda it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before(values: Column, zero: int, combine: Callable[[Column, Column], Column], block: int = 256) -> Column:
+    """For an array of integers, an array that combines, at each place, all elements before it.
 
     Works in two levels, so that a long array costs its length times the block,
     not its length squared.
     """
-    zero = F.lit(0).cast("int")
-
-    def growing(values: Column) -> Column:
-        start = F.array(zero)
-        return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-    n = F.size(lengths)
-    count = F.ceil(n / F.lit(block)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(lengths, b * block + 1, F.lit(block)))
-    totals = F.transform(blocks, lambda x: F.aggregate(x, zero, lambda a, y: a + y))
-    both = F.arrays_zip(blocks.alias("b"), growing(totals).alias("s"))
-    out = F.flatten(
-        F.transform(
-            F.filter(both, lambda z: z["b"].isNotNull()),
-            lambda z: F.transform(F.slice(growing(z["b"]), F.lit(1), F.size(z["b"])), lambda x: x + z["s"]),
-        )
-    )
-    return F.when(n > 0, out).otherwise(F.array().cast("array<int>"))
+    start = F.lit(zero).cast("int")
+
+    def growing(some: Column) -> Column:
+        return F.aggregate(some, F.array(start), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, start, combine))
+        return let(growing(totals), lambda s: F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(growing(x), F.lit(1), F.size(x)), lambda y: combine(F.get(s, i), y)))))
+
+    def cut(v: Column) -> Column:
+        count = F.ceil(F.size(v) / F.lit(block)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice(v, b * block + 1, F.lit(block)))
+        return F.when(F.size(v) > 0, let(blocks, placed)).otherwise(F.array().cast("array<int>"))
+
+    return let(values, cut)
+
+
+def sums_before(lengths: Column) -> Column:
+    """For an array of integers, the array of the sums of all elements before each."""
+    return before(lengths, 0, lambda a, x: a + x)
+
+
+def pieces_between(text: Column, spans: Column, block: int = 1024) -> Column:
+    """The stretches of a text that an array of (start, end) in code points names.
+
+    The text is cut into blocks first, so that a stretch is not sought from the start of the text.
+    """
+
+    def piece(blocks: Column, span: Column) -> Column:
+        first, last = F.floor(span["start"] / block).cast("int"), F.floor(span["end"] / block).cast("int")
+        head = lambda n: F.substring(F.coalesce(F.get(blocks, first), F.lit("")), F.pmod(span["start"], F.lit(block)) + 1, n)
+        middle = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        tail = F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), F.pmod(span["end"], F.lit(block)))
+        return F.when(first == last, head(span["end"] - span["start"])).otherwise(F.concat(head(F.lit(block)), middle, tail))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)), lambda blocks: F.transform(spans, lambda span: piece(blocks, span)))
 
 
 def uniform(*parts: Column) -> Column:
