@@ -386,7 +386,7 @@ def brute_links(texts):
     return {i: (top(i), links[i]) for i in texts}
 
 
-def test_near_join_is_whole(spark, documents):
+def test_near_join_is_whole(spark, documents, monkeypatch):
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 500, 120)]
     made = {}
@@ -395,13 +395,29 @@ def test_near_join_is_whole(spark, documents):
         for k in rng.integers(0, 120, i % 4):
             words[k] = f"n{i}"
         made[10_000 + i] = " ".join(words)
+    for i in range(60):  # and texts farther apart, in no core
+        words = list(base)
+        for k in rng.integers(0, 120, 5 + i % 9):
+            words[k] = f"m{i}"
+        made[20_000 + i] = " ".join(words)
     frame = documents.select("doc_id", "text").unionByName(spark.createDataFrame(list(made.items()), "doc_id long, text string"))
     want = brute_links({r.doc_id: r.text for r in frame.collect()})
-    near.BLOCK_NODES, kept = 16, near.BLOCK_NODES
-    try:
+    for nodes, small_bytes in ((16, 32_000_000), (16, 0), (512, 0)):
+        monkeypatch.setattr(near, "BLOCK_NODES", nodes)
+        monkeypatch.setattr(near, "BROADCAST_BYTES", small_bytes)
         assert {r.doc_id: (r.class_id, r.n_links) for r in near.report(frame).collect()} == want
-    finally:
-        near.BLOCK_NODES = kept
+    monkeypatch.setattr(near, "BLOCK_NODES", 16)
+    monkeypatch.setattr(common, "small_side", lambda *a, **b: None)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near.report(frame).collect()} == want
+
+
+def test_near_repeated_rows_and_ids(spark, monkeypatch):
+    """Rows of one id and text, one id for many texts, null ids: each row gets its class."""
+    monkeypatch.setattr(near, "BLOCK_NODES", 4)
+    texts = [" ".join(f"w{k if k != i % 20 else 100 + i}" for k in range(200)) for i in range(20)]
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts for _ in range(3)] + [(7, "alone in the world of all these words")] * 2
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in near.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(None, 5, 79): 20, (5, 5, 79): 60, (7, 7, 1): 2}
 
 
 def test_near_edges(spark, odd):

@@ -38,6 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if folder and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
+        _removed_at_end(spark, context.getCheckpointDir())
     if not folder:
         folder = context.getCheckpointDir()
     if folder is None:
@@ -50,16 +51,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a path when the application ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder as Parquet and read it again: lineage ends there."""
+    """Write a frame to the shared folder as Parquet and read it again: lineage ends there.
+
+    The files stay as long as the application, as frames that read them may; then they go.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _removed_at_end(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
 def saved(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a slim frame; Spark removes the files once the frame is gone."""
+    """Reliable checkpoint of a slim frame."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
 

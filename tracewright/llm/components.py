@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating large and small stars.
 
-Each round is two groupings with joins; hubs are no trouble, as least neighbours are
-aggregates that combine before the shuffle. Tables are cut with checkpoint() each round.
+Each round is two groupings with joins. Least neighbours are aggregates that combine before the
+shuffle, and are written before the join to them, so that Spark splits the links of a hub when
+the join runs. Tables are cut with checkpoint() each round.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links (a, b) with a > b to links of stars around least neighbours."""
     if large:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("__m")).withColumn("__m", F.least("a", "__m"))
+        least = common.saved(both.groupBy("a").agg(F.min("b").alias("__m")).withColumn("__m", F.least("a", "__m")))
         out = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("__m").alias("b"))
     else:
-        least = links.groupBy("a").agg(F.min("b").alias("__m"))
+        least = common.saved(links.groupBy("a").agg(F.min("b").alias("__m")))
         out = links.join(least, "a").select(F.col("b").alias("a"), F.col("__m").alias("b")).filter("a > b").unionByName(least.select("a", F.col("__m").alias("b")))
     return out.distinct()
 

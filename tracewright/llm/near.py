@@ -9,13 +9,19 @@ linked if the Jaccard similarity of their sets is at least 0.8.
    copies cost nothing further.
 2. Nodes that share a band hash meet at the least of them, the *pivot*. A node keeps its
    distinct pivots, mostly one or two, at most one for each band.
-3. Only documents that stand for a node with a pivot are read again. Their full sets are
+3. Nodes of a pivot that has more than one block of them are first compared with the pivot
+   alone. Jaccard distance is a metric, so all that lie within half the distance allowed
+   are linked with each other: this *core* is counted as a whole, without its pairs.
+4. Only documents that stand for a node with a pivot are read again. Their full sets are
    shuffled to their pivots. The nodes of a pivot are dealt into blocks, and each pair of
-   blocks is one bounded group: intersections are counted as products of sparse 0/1
-   matrices. A pair of nodes counts only at the least pivot they share, so once.
-4. A group returns for each node the weight of its links, and a spanning forest, never the
+   blocks, but for two of the core, is one bounded group: intersections are counted as products
+   of sparse 0/1 matrices. A pair of nodes counts only at the least pivot they share, so once.
+5. A group returns for each node the weight of its links, and a spanning forest, never the
    pairs. The forests are joined to components.
 
+A tight cluster of M texts so costs M comparisons. Numbers of links are exact, so texts of one
+pivot that lie further apart have to be compared in pairs of blocks, M * M / 512 sets sent.
+
 Bands and rows come from ``choose_bands`` for the target recall at the threshold.
 
 Cases: null and wordless texts link with nothing; repeated rows and equal sets are
@@ -45,6 +51,8 @@ RECALL = 0.999
 MOST_HASHES = 128
 #: Most nodes in a block, and most n-grams in a block.
 BLOCK_NODES, BLOCK_GRAMS = 512, 500_000
+#: Bytes of the sets of hot pivots that are broadcast at most; beyond it they are joined by salt.
+BROADCAST_BYTES, SALTS = 32_000_000, 32
 _WORDS = re.compile(r"\w+")
 _COLUMNS = 4096
 
@@ -115,15 +123,18 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, n: int = N_WORDS,
     bands, rows = choose_bands(similarity, recall)
     kind = documents.schema["doc_id"].dataType
     slim = common.stored(sketch(documents, n, bands, rows).withColumn("doc_id", F.col("doc_id").cast(kind)), "sketch")
-    nodes = slim.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("grams").alias("grams"))
-    met = common.saved(_pivots(slim))
-    found = common.stored(_verified(documents, _plan(met, nodes), similarity, n), "links")
+    named = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    nodes = slim.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(named).alias("text"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
+    nodes = common.stored(nodes, "nodes")
+    found = common.stored(_found(documents, slim, nodes, similarity, n), "links")
     weights = found.groupBy("key").agg(F.sum("links").alias("links"))
     parts = components(found.filter(F.col("other").isNotNull()), "key", "other")
-    in_class = nodes.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = in_class.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    in_class = nodes.select("key", "copies", "first_id").join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    in_class = common.saved(in_class)
+    # each table of one row a key is written first, so that joins to hot keys are split when they run
+    least = common.saved(in_class.groupBy("component").agg(F.min("first_id").alias("class_id")))
     of_node = in_class.join(least, "component").join(weights, "key", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = slim.select("doc_id", "text_hash", "grams", "key").join(of_node, "key", "left")
+    out = slim.select("doc_id", "text_hash", "grams", "key").join(common.saved(of_node), "key", "left")
     alone = F.col("key").isNull()
     return out.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -131,43 +142,123 @@ def join(documents: DataFrame, similarity: float = SIMILARITY, n: int = N_WORDS,
     )
 
 
-def _pivots(slim: DataFrame) -> DataFrame:
-    """key, pivots: the least node of each band bucket that holds further nodes."""
-    banded = slim.filter(F.col("key").isNotNull()).select("key", F.explode("bands").alias("bucket"))
+def _pivots(nodes: DataFrame) -> DataFrame:
+    """key, pivots: the least node of each band bucket that holds further nodes, sorted."""
+    banded = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("__last")).filter(F.col("pivot") != F.col("__last")).drop("__last")
-    return banded.join(shared, "bucket").groupBy("key", "pivot").agg(F.lit(1).alias("__one")).groupBy("key").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))
-
+    return banded.join(common.saved(shared), "bucket").groupBy("key").agg(F.sort_array(F.collect_set("pivot")).alias("pivots"))
 
-def _plan(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """For each node with pivots: its first id, copies, pivots, and how many blocks each pivot has."""
-    sized = met.join(nodes, "key")
-    at = sized.select("key", "grams", F.explode("pivots").alias("pivot"))
-    blocks = at.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    dealt = at.select("key", "pivot").join(blocks, "pivot").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pivot", "blocks"))).alias("dealt"))
-    return sized.join(dealt, "key").select(F.col("first_id").alias("__id"), "key", "copies", "dealt")
 
-
-def _verified(documents: DataFrame, plan: DataFrame, similarity: float, n: int) -> DataFrame:
+def _found(documents: DataFrame, slim: DataFrame, nodes: DataFrame, similarity: float, n: int) -> DataFrame:
     """key, other, links: link weights of nodes (other null) and links of a spanning forest."""
-    spark = documents.sparkSession
-    plan = common.saved(plan)
-    small = common.small_side(plan.select("__id", "key", "copies", "dealt"), common.BROADCAST_ROWS)
-    texts = documents.select("doc_id", "text").join(plan if small is None else small, F.col("doc_id").eqNullSafe(F.col("__id")))
+    met = common.saved(_pivots(nodes).join(nodes.select("key", "copies", "text", "grams"), "key"))
+    repeated = slim.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__n")).filter("__n > 1")
+    once = repeated.isEmpty()  # else rows of equal id and text would send their node more than once
+    at = met.select("key", "copies", "grams", "text", F.posexplode("pivots").alias("place", "pivot"))
+    blocks = lambda rows: F.greatest(F.ceil(F.count(rows) / BLOCK_NODES), F.ceil(F.sum(F.when(rows.isNotNull(), F.col("grams"))) / BLOCK_GRAMS))
+    hot = common.saved(at.groupBy("pivot").agg(blocks(F.col("key")).alias("__blocks")).filter("__blocks > 1").select("pivot"))
+    if hot.isEmpty():
+        core, sizes = None, None
+    else:
+        in_hot = common.joined_by(at.filter("place = 0"), hot, ["pivot"], "key")
+        core = common.saved(_core(documents, in_hot.select("key", "copies", "text", "pivot"), hot, nodes, similarity, n))
+        of_core = common.joined_by(at, hot, ["pivot"], "key").join(core.select("key", "pivot", F.lit(True).alias("near")), ["key", "pivot"], "left")
+        rest = F.when(F.col("near").isNull(), F.col("key"))
+        inner = F.when(F.col("near"), F.col("key"))
+        sizes = of_core.groupBy("pivot").agg(F.coalesce(blocks(rest), F.lit(0)).cast("int").alias("rest"), F.coalesce(blocks(inner), F.lit(0)).cast("int").alias("core"))
+    plan = common.saved(_plan(met, at, core, sizes))
+    found = _verified(documents, plan, once, similarity, n)
+    return found if core is None else found.unionByName(_core_links(core))
+
+
+def _core(documents: DataFrame, members: DataFrame, hot: DataFrame, nodes: DataFrame, similarity: float, n: int) -> DataFrame:
+    """key, pivot, copies of the nodes within half the distance allowed of their first pivot."""
+    pivots = nodes.join(hot.withColumnRenamed("pivot", "key"), "key").select("key", "text")
+
+    def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            yield pd.DataFrame({"pivot": b["key"], "packed": [gram_set(t or "", hashes, n).tobytes() for t in b["plain"]]})
+
+    sets = _with_text(documents, pivots).dropDuplicates(["key"]).select("key", "plain").mapInPandas(to_sets, "pivot binary, packed binary")
+    sets = common.stored(sets, "pivots")
+    own = _with_text(documents, members)
+    if (sets.agg(F.sum(F.length("packed"))).first()[0] or 0) <= BROADCAST_BYTES:
+        paired = own.join(F.broadcast(sets), "pivot")
+    else:
+        salted = own.withColumn("__salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+        paired = salted.join(sets.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pivot", "__salt"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for b in batches:
+            near = []
+            for text, packed in zip(b["plain"], b["packed"], strict=True):
+                grams, other = gram_set(text or "", hashes, n), np.frombuffer(packed, U64)
+                same = len(np.intersect1d(grams, other, assume_unique=True))
+                near.append(same >= (1 + similarity) / 2 * (len(grams) + len(other) - same) + 1e-9)
+            yield b.loc[near, ["key", "pivot", "copies"]]
+
+    kept = paired.select("key", "pivot", "copies", "plain", "packed").mapInPandas(compare, "key binary, pivot binary, copies long")
+    return kept.groupBy("key", "pivot").agg(F.max("copies").alias("copies"))
+
+
+def _core_links(core: DataFrame) -> DataFrame:
+    """The links of all pairs of each core, as weights and a star around its least node."""
+    whole = core.groupBy("pivot").agg(F.sum("copies").alias("__all"), F.min("key").alias("__least"))
+    each = common.saved(common.joined_by(core, whole, ["pivot"], "key"))
+    weights = each.select("key", F.lit(None).cast("binary").alias("other"), (F.col("__all") - F.col("copies")).alias("links"))
+    star = each.filter(F.col("key") != F.col("__least")).select("key", F.col("__least").alias("other"), F.lit(0).cast("long").alias("links"))
+    return weights.filter("links > 0").unionByName(star)
+
+
+def _plan(met: DataFrame, at: DataFrame, core: DataFrame | None, sizes: DataFrame | None) -> DataFrame:
+    """For each node with pivots: its text's name, copies, and for each pivot whether it is in the core there, and how many blocks rest and core have."""
+    one = F.struct(F.lit(False).alias("near"), F.lit(1).alias("rest"), F.lit(0).alias("core"))
+    if core is None:
+        dealt = F.transform("pivots", lambda p: F.struct(p.alias("pivot"), one["near"].alias("near"), one["rest"].alias("rest"), one["core"].alias("core")))
+        return met.select("key", "copies", "text", dealt.alias("dealt"))
+    placed = common.joined_by(at.select("key", "pivot"), sizes, ["pivot"], "key", "left").join(core.select("key", "pivot", F.lit(True).alias("near")), ["key", "pivot"], "left")
+    each = F.struct("pivot", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("rest", F.lit(1)).alias("rest"), F.coalesce("core", F.lit(0)).alias("core"))
+    dealt = placed.groupBy("key").agg(F.sort_array(F.collect_list(each)).alias("dealt"))
+    return met.select("key", "copies", "text").join(dealt, "key")
+
+
+def _with_text(documents: DataFrame, named: DataFrame) -> DataFrame:
+    """``named`` with the text that its column ``text``, of id and hash, names, as ``plain``."""
+    texts = documents.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("text").alias("plain"))
+    named = common.saved(named)
+    small = common.small_side(named)
+    match = F.col("__id").eqNullSafe(F.col("text.id")) & (F.col("__hash") == F.col("text.hash"))
+    return texts.join(named if small is None else small, match).drop("__id", "__hash", "text")
+
+
+def _verified(documents: DataFrame, plan: DataFrame, once: bool, similarity: float, n: int) -> DataFrame:
+    """key, other, links: what the pairs of blocks hold."""
+    texts = _with_text(documents, plan)
+    if not once:
+        texts = texts.dropDuplicates(["key"])
 
     def to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
             rows, size = [], 0
-            for text, key, copies, dealt in zip(b["text"], b["key"], b["copies"], b["dealt"], strict=True):
+            for text, key, copies, dealt in zip(b["plain"], b["key"], b["copies"], b["dealt"], strict=True):
                 grams = gram_set(text or "", hashes, n)
                 if not len(grams) or set_key(grams) != bytes(key):
-                    continue  # another text under the same id
+                    continue  # another text of the same hash
                 own = xxhash.xxh3_64_intdigest(bytes(key))
                 packed, pivots = grams.tobytes(), [bytes(d["pivot"]) for d in dealt]
                 for d, pivot in zip(dealt, pivots, strict=True):
-                    mine, blocks = own % d["blocks"], d["blocks"]
-                    for other in range(blocks):
-                        rows.append((pivot, min(mine, other), max(mine, other), mine, bytes(key), copies, b"".join(pivots), packed))
+                    # blocks of the core have numbers below 0
+                    if d["near"]:
+                        mine = -1 - own % d["core"]
+                        groups = [(i, mine) for i in range(d["rest"])]
+                    else:
+                        mine = own % d["rest"]
+                        groups = [(min(mine, j), max(mine, j)) for j in range(d["rest"])] + [(mine, -1 - k) for k in range(d["core"])]
+                    for i, j in groups:
+                        rows.append((pivot, i, j, mine, bytes(key), copies, b"".join(pivots), packed))
                         size += len(packed)
                         if size > 8_000_000:
                             yield pd.DataFrame(rows, columns=names)
@@ -177,8 +268,8 @@ def _verified(documents: DataFrame, plan: DataFrame, similarity: float, n: int)
 
     names = ["pivot", "i", "j", "mine", "key", "copies", "pivots", "packed"]
     shape = "pivot binary, i int, j int, mine int, key binary, copies long, pivots binary, packed binary"
-    sent = texts.select("text", "key", "copies", "dealt").mapInPandas(to_blocks, shape)
-    grouped = sent.repartition(common.partitions(spark), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    sent = texts.select("plain", "key", "copies", "dealt").mapInPandas(to_blocks, shape)
+    grouped = sent.repartition(common.partitions(documents.sparkSession), "pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches):
@@ -205,8 +296,6 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
 
 def _links(group: list[tuple], similarity: float) -> pd.DataFrame | None:
     """Link weights and a spanning forest within one pair of blocks."""
-    unique = {row[4]: row for row in group}  # a repeated row of the input sends its node twice
-    group = list(unique.values())
     pivot, i, j = group[0][:3]
     sets = [np.frombuffer(row[7], U64) for row in group]
     sizes = np.array([len(s) for s in sets])
