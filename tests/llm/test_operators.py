@@ -494,19 +494,58 @@ def test_pipeline_stages(spark):
     assert ids and all(pieces.decode(np.array(i)) is not None for i in ids.values())
 
 
-def test_chroma_many_pairs_as_one_by_one(monkeypatch):
+def offsets_with_votes(a, b):
+    (keys, places), (others, at) = chroma.marks(a), chroma.marks(b)
+    votes = Counter(int(j - i) for k, i in zip(keys, places, strict=True) for m, j in zip(others, at, strict=True) if k == m)
+    return sorted(o for o, n in votes.items() if n >= chroma.VOTES)
+
+
+def test_chroma_search_equals_all_pairs(spark, monkeypatch):
+    """The index finds what a comparison of all pairs at all offsets finds, copies and held tones included."""
     rng = np.random.default_rng(5)
-    base = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (40, 90, 150, 33)]
-    noise = [b ^ (np.uint32(1) << rng.integers(0, 8, len(b), dtype=np.uint32)) for b in base]
-    prints = [*base, *noise, base[2][30:110], np.zeros(60, np.uint32), np.zeros(0, np.uint32)]
-    queries = [*base[:3], np.zeros(50, np.uint32)]
-    found = {(q, p): chroma.align(a, b) for q, a in enumerate(queries) for p, b in enumerate(prints)}
-    want = {k: v for k, v in found.items() if v is not None}
-    assert len(want) >= 8
-    for at_once in (1_000_000, 200, 10):
-        monkeypatch.setattr(chroma, "AT_ONCE", at_once)
-        assert {(q, p): tuple(rest) for q, p, *rest in chroma.aligned(queries, prints)} == want
-    assert list(chroma.aligned([], prints)) == [] and list(chroma.aligned(queries, [])) == []
+    base = [rng.integers(0, 2**32, n, dtype=np.uint32) for n in (40, 90, 150, 64)]
+    noise = [b ^ (np.uint32(1) << rng.integers(0, 32, len(b), dtype=np.uint32)) * (rng.random(len(b)) < 0.5).astype(np.uint32) for b in base]
+    prints = [*base, *noise, base[2][30:110], np.zeros(60, np.uint32), np.zeros(0, np.uint32), np.zeros(60, np.uint32), np.zeros(90, np.uint32), np.tile(base[3][:4], 30), np.tile(base[3][:4], 25), base[1]]
+    frame = spark.createDataFrame([(i, p.tobytes()) for i, p in enumerate(prints)], "id long, codes binary")
+    found = {r.query_id: r[1:] for r in chroma.search(frame, frame).collect()}
+    want = {}
+    for q, a in enumerate(prints):
+        if len(a) < chroma.OVERLAP:
+            continue
+        hits = []
+        for p, b in enumerate(prints):
+            if p == q or len(b) < chroma.OVERLAP:
+                continue
+            tried = offsets_with_votes(a, b) + ([0] if a.tobytes() == b.tobytes() else [])
+            for offset in tried:
+                x, y = chroma.overlap(a, b, offset)
+                if len(x) >= chroma.OVERLAP and chroma.bit_errors(x, y) <= chroma.BIT_ERROR:
+                    hits.append((chroma.bit_errors(x, y), -len(x), p, offset))
+        best = min(hits, default=(None, None, None, None))
+        want[q] = (len({h[2] for h in hits}), best[2], best[3], best[0])
+    assert found == want and want[8][1] == 2 and want[9][:2] == (1, 11) and want[12][0] == 0
+    monkeypatch.setattr(chroma, "AT_ONCE", 10)
+    for q in (0, 2, 13):
+        for p in (2, 8, 14):
+            assert chroma.align(prints[q], prints[p]) == chroma.verified(prints[q], prints[p], offsets_with_votes(prints[q], prints[p]))
+
+
+def test_chroma_recall_and_silence():
+    """Noisy, quieter and cut recordings are aligned; an hour of silence or of two tones costs little."""
+    rng, right = np.random.default_rng(2), Counter()
+    for vector in rng.normal(size=(60, 64)):
+        sound = chroma.pcm16(chroma.melody(vector))
+        whole = chroma.fingerprint(sound)
+        for name, noise, cut in (("noise 0.03", 0.03, 0), ("noise 0.1", 0.1, 0), ("cut between frames", 0.0, 5007), ("cut, noise", 0.03, 5077)):
+            heard = chroma.fingerprint(0.6 * sound[cut:] + rng.normal(0, noise, len(sound) - cut).astype("f"))
+            found = chroma.align(heard, whole)
+            right[name] += found is not None and abs(found[0] - cut / chroma.HOP) <= 1
+    assert len(right) == 4 and min(right.values()) >= 0.9 * 60, right
+    start = time.time()
+    hour = np.zeros(56_000, np.uint32)
+    assert len(chroma.marks(hour)[0]) == 1 and chroma.align(hour, hour[:50_000]) is None
+    tones = np.tile(np.repeat(np.array([7, 2**31], np.uint32), 10), 2_800)
+    assert chroma.align(tones, tones[:50_000])[1] == 0 and time.time() - start < 60
 
 
 def test_encoder_forgets_and_learns_again(monkeypatch):

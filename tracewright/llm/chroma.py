@@ -5,16 +5,19 @@ twelve pitch classes and brought to length one. Sixteen rectangular filters slid
 picture. Each compares the energy of two areas, read from an integral image by four look-ups an
 area, and is quantised to two bits in Gray code; so every place gives an integer of 32 bits.
 
-Recordings with equal fingerprints are one *print*. Query prints meet all prints in blocks: each
-block of queries with each block of prints, both bounded. Within a pair of blocks, integers of equal
-upper bits vote for (query, print, offset) in histograms; the offset with most votes is verified by its
-share of differing bits over the overlap. A pair of blocks returns, for each query, how
-many recordings match and the best one, never the pairs.
-
-Cases: null, undecodable or too short media have no integers and match nothing; silence has
-integers like any sound; repeated rows are recordings each; ties go to the fewest bit
-errors, then the longest overlap, then the least id; an empty table gives an empty result; other
-columns are not read; long recordings are taken whole, in slices of frames.
+Recordings with equal fingerprints are one *print*. The search is an inverted index: a *mark* is
+a place of a print, with a key made of the upper bits of the integer there and of another
+``GAP`` places on; while the key does not change, only its first place is a mark. Marks of
+queries and prints join on the key, and each meeting is a vote for (query, print, offset). Offsets with
+enough votes in these histograms are candidates, and every one is verified by its share of differing
+bits over the overlap; the best of a pair counts. So work follows the meetings of keys
+and the candidates, not the pairs of recordings; Spark splits hot keys when the join runs.
+
+Cases: null, undecodable or too short media have no integers and match nothing; copies of one
+print always match; silence, and one tone held, has one mark, so it matches its copies only; repeated
+rows are recordings each; ties go to the fewest bit errors, then the longest overlap, then the
+least id, then the least offset; an empty table gives an empty result; other columns are not
+read; long recordings are taken whole, in slices of frames.
 """
 
 from __future__ import annotations
@@ -39,16 +42,15 @@ SPAN = 16
 #: Log ratios at which a filter's output changes its two bits.
 LEVELS = (-0.25, 0.0, 0.25)
 GRAY = (0, 1, 3, 2)
-#: Integers vote by this many upper bits; votes that make an offset worth verifying, and the share
-#: of differing bits allowed.
-KEY_BITS = 16
+#: A key is made of this many upper bits of two integers so many places apart.
+KEY_BITS, GAP = 12, 8
+#: Votes that make an offset worth verifying, and the share of differing bits allowed.
 VOTES, BIT_ERROR = 3, 0.25
 #: Frames that must overlap.
 OVERLAP = 32
-QUERY_BLOCK, PRINT_BLOCK = 128, 4096
 #: Parts in which the recordings of one print are gathered first.
 COPY_PARTS = 256
-#: Meetings of equal keys, and frames compared, that are held together.
+#: Meetings of equal keys that are held together.
 AT_ONCE = 1_000_000
 _BITS = np.array([bin(x).count("1") for x in range(65536)], np.uint8)
 
@@ -134,105 +136,45 @@ def overlap(query: np.ndarray, other: np.ndarray, offset: int) -> tuple[np.ndarr
     return query[a : a + n], other[b : b + n]
 
 
-def align(query: np.ndarray, other: np.ndarray) -> tuple[int, float, int] | None:
-    """(offset, bit error, frames) of the best supported offset, or None."""
-    order = np.argsort(_keys(query), kind="stable")
-    return _align(query, _keys(query)[order], order, other)
-
-
-def _keys(codes: np.ndarray) -> np.ndarray:
-    return codes >> np.uint32(32 - KEY_BITS)
-
-
-def _meetings(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of equal keys: places in ``keys``, and places in the sorted ``ordered``."""
-    lo, hi = np.searchsorted(ordered, keys), np.searchsorted(ordered, keys, side="right")
-    n = hi - lo
-    return np.repeat(np.arange(len(keys)), n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _align(query, ordered, order, other):
-    places, at = _meetings(ordered, _keys(other))
-    if len(places) < VOTES:
-        return None
-    votes = np.bincount(places - order[at] + len(query) - 1, minlength=len(query) + len(other))
-    best = int(votes.argmax())
-    if votes[best] < VOTES:
-        return None
-    offset = best - len(query) + 1
-    a, b = overlap(query, other, offset)
-    error = bit_errors(a, b)
-    return (offset, error, len(a)) if len(a) >= OVERLAP and error <= BIT_ERROR else None
-
+def marks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places): where the key of a place differs from the one before."""
+    upper = (codes >> np.uint32(32 - KEY_BITS)).astype(np.int64)
+    keys = (upper[:-GAP] << KEY_BITS) | upper[GAP:] if len(upper) > GAP else upper[:0]
+    places = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[places], places
 
-def aligned(queries: list[np.ndarray], prints: list[np.ndarray]) -> Iterator[tuple[int, int, int, float, int]]:
-    """(query, print, offset, bit error, frames) of all pairs that ``align`` accepts, by places in the lists.
 
-    Many prints vote together: a vote is one number made of print, query and offset, and after
-    sorting, the votes for one offset stand side by side.
-    """
-    if not queries or not prints:
-        return
-    keys = _keys(np.concatenate(queries))
-    owner = np.repeat(np.arange(len(queries)), [len(c) for c in queries])
-    own_place = np.concatenate([np.arange(len(c)) for c in queries])
-    by = np.argsort(keys, kind="stable")
-    keys, owner, own_place = keys[by], owner[by], own_place[by]
-    sizes = [len(c) for c in prints]
-    ends = np.cumsum(sizes)
-    joined = np.concatenate(prints)
-    met = np.concatenate(([0], np.cumsum(np.searchsorted(keys, _keys(joined), side="right") - np.searchsorted(keys, _keys(joined)))))
-    met = met[ends]  # meetings up to and with each print
-    longest = max(len(c) for c in queries)
-    width = longest + max(sizes) + 1
+def voted(query: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Offsets with enough votes, ascending."""
+    (a, at_a), (b, at_b) = marks(query), marks(other)
+    order = np.argsort(a, kind="stable")
+    a, at_a = a[order], at_a[order]
+    votes = np.zeros(len(query) + len(other), np.int64)
+    lo, hi = np.searchsorted(a, b), np.searchsorted(a, b, side="right")
+    ends = np.cumsum(hi - lo)
     at = 0
-    while at < len(prints):
-        before = int(met[at - 1]) if at else 0
-        upto = max(at + 1, int(np.searchsorted(met, before + AT_ONCE, side="right")))
-        if met[upto - 1] - before > AT_ONCE:  # one print of very many meetings: query by query
-            for q, codes in enumerate(queries):
-                found = align(codes, prints[at])
-                if found is not None:
-                    yield q, at, *found
-        else:
-            some = joined[ends[at] - sizes[at] : ends[upto - 1]]
-            of = np.repeat(np.arange(upto - at), sizes[at:upto])
-            place = np.concatenate([np.arange(n) for n in sizes[at:upto]])
-            places, hits = _meetings(keys, _keys(some))
-            votes = (of[places] * len(queries) + owner[hits]) * width + place[places] - own_place[hits] + longest
-            votes.sort()
-            yield from _verified(votes, width, longest, queries, prints, at)
+    while at < len(b):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        n = (hi - lo)[at:upto]
+        hits = np.repeat(lo[at:upto], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        votes += np.bincount(np.repeat(at_b[at:upto], n) - at_a[hits] + len(query), minlength=len(votes))
         at = upto
+    return np.flatnonzero(votes >= VOTES) - len(query)
 
 
-def _verified(votes: np.ndarray, width: int, longest: int, queries, prints, start: int) -> Iterator[tuple[int, int, int, float, int]]:
-    """Of sorted votes, the best offset of each pair, if its stretches agree."""
-    if len(votes) < VOTES:
-        return
-    voted, count = np.unique(votes[: len(votes) - VOTES + 1][votes[VOTES - 1 :] == votes[: len(votes) - VOTES + 1]], return_counts=True)
-    pair, offset = voted // width, voted % width - longest
-    order = np.lexsort((offset, -count, pair))
-    order = order[np.concatenate(([True], pair[order][1:] != pair[order][:-1]))] if len(order) else order
-    p, q, offset = pair[order] // len(queries) + start, pair[order] % len(queries), offset[order]
-    q_size, p_size = np.array([len(c) for c in queries]), np.array([len(c) for c in prints])
-    a, b = np.maximum(0, -offset), np.maximum(0, offset)
-    frames = np.minimum(q_size[q] - a, p_size[p] - b)
-    keep = np.flatnonzero(frames >= OVERLAP)
-    q_start, p_start = np.cumsum(q_size) - q_size, np.cumsum(p_size) - p_size
-    q_all, p_all = np.concatenate(queries), np.concatenate(prints)
-    ends = np.cumsum(frames[keep])
-    at = 0
-    while at < len(keep):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
-        k = keep[at:upto]
-        n = frames[k]
-        first = np.cumsum(n) - n
-        step = np.arange(n.sum()) - np.repeat(first, n)
-        differ = q_all[np.repeat(q_start[q[k]] + a[k], n) + step] ^ p_all[np.repeat(p_start[p[k]] + b[k], n) + step]
-        error = np.add.reduceat(np.bitwise_count(differ).astype(np.int64), first) / (32 * n)
-        for i in np.flatnonzero(error <= BIT_ERROR).tolist():
-            yield int(q[k[i]]), int(p[k[i]]), int(offset[k[i]]), float(error[i]), int(n[i])
-        at = upto
+def verified(query: np.ndarray, other: np.ndarray, offsets) -> tuple[int, float, int] | None:
+    """(offset, bit error, frames) of the best of the offsets, or None if no stretches agree."""
+    best = None
+    for offset in offsets:
+        a, b = overlap(query, other, int(offset))
+        if len(a) >= OVERLAP and (error := bit_errors(a, b)) <= BIT_ERROR:
+            best = min(best or (2.0, 0, 0), (error, -len(a), int(offset)))
+    return best and (best[2], best[0], -best[1])
+
+
+def align(query: np.ndarray, other: np.ndarray) -> tuple[int, float, int] | None:
+    """(offset, bit error, frames) of the best offset with enough votes, or None."""
+    return verified(query, other, voted(query, other))
 
 
 def pcm16(media: bytes | None) -> np.ndarray:
@@ -252,51 +194,70 @@ def fingerprints(recordings: DataFrame, decode: Callable = pcm16, rate: int = RA
     return rows.mapInPandas(in_task, "id string, codes binary").withColumn("id", F.col("id").cast(recordings.schema["id"].dataType))
 
 
+def _marked(prints: DataFrame, name: str) -> DataFrame:
+    """key, the print's number as ``name``, place: a row for each mark."""
+
+    def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [marks(np.frombuffer(c, "<u4")) for c in b["codes"]]
+            yield pd.DataFrame({name: b["print"], "keys": [k for k, _ in found], "places": [p.astype(np.int32) for _, p in found]})
+
+    listed = prints.select("print", "codes").mapInPandas(in_task, f"{name} long, keys array<long>, places array<int>")
+    return listed.select(name, F.inline(F.arrays_zip("keys", "places"))).withColumnsRenamed({"keys": "key", "places": name + "_at"})
+
+
+def _matches(each: DataFrame, asked: DataFrame) -> DataFrame:
+    """q, p, offset, error, frames: pairs of a query's print and another print that agree; ``asked`` has prints."""
+    votes = _marked(asked, "q").join(_marked(each, "p"), "key").filter("q <> p")
+    tally = votes.groupBy("q", "p", (F.col("p_at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("n")).filter(F.col("n") >= VOTES)
+    pairs = common.saved(tally.groupBy("q", "p").agg(F.collect_list("offset").alias("offsets")))
+    codes = each.select(F.col("print").alias("p"), F.col("codes").alias("p_codes"))
+    with_codes = pairs.join(asked.select(F.col("print").alias("q"), F.col("codes").alias("q_codes")), "q").join(codes, "p")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for q, p, mine, other, offsets in zip(b["q"], b["p"], b["q_codes"], b["p_codes"], b["offsets"], strict=True):
+                found = verified(np.frombuffer(mine, "<u4"), np.frombuffer(other, "<u4"), np.sort(offsets))
+                if found is not None:
+                    rows.append((q, p, *found))
+            yield pd.DataFrame(rows, columns=["q", "p", "offset", "error", "frames"])
+
+    return with_codes.select("q", "p", "q_codes", "p_codes", "offsets").mapInPandas(verify, "q long, p long, offset int, error double, frames int")
+
+
 def search(prints: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, n_matches, best_id, best_offset, best_bit_error: all queries against all prints.
 
-    Both have the columns id and codes. A recording never matches itself.
+    Both have the columns id and codes. A recording never matches itself; the print of
+    each query must be among the prints.
     """
-    spark = prints.sparkSession
     usable = F.col("id").isNotNull() & (F.length("codes") >= 4 * OVERLAP)
     # two least ids of each print; a hot print's copies are first cut into parts
     two = lambda ids: F.slice(F.array_sort(F.array_distinct(ids)), F.lit(1), F.lit(2))
     parts = prints.filter(usable).groupBy("codes", F.pmod(F.xxhash64("id"), F.lit(COPY_PARTS)).alias("part"))
     parts = parts.agg(F.count("*").alias("copies"), two(F.collect_set("id")).alias("ids"))
     each = parts.groupBy("codes").agg(F.sum("copies").alias("copies"), two(F.flatten(F.collect_list("ids"))).alias("ids"))
-    asked = queries.filter(usable).select("id", "codes").dropDuplicates(["id", "codes"])
-    each, asked = common.saved(each), common.saved(asked)
-    n_prints, n_queries = -(-each.count() // PRINT_BLOCK) or 1, -(-asked.count() // QUERY_BLOCK) or 1
-    hash_of = lambda n: F.pmod(F.xxhash64("codes"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.pmod(F.xxhash64("id"), F.lit(n_queries)).cast("int").alias("qb"), "id", "codes").withColumn("pb", every(n_prints))
-    right = each.select(hash_of(n_prints).alias("pb"), "ids", "copies", "codes").withColumn("qb", every(n_queries))
-    kind = prints.schema["id"].dataType.simpleString()
-    shape = f"query_id {kind}, n_matches long, best_id {kind}, best_offset int, best_bit_error double, frames int"
-
-    def block(asked: pd.DataFrame, each: pd.DataFrame) -> pd.DataFrame:
-        q_codes = [np.frombuffer(c, "<u4") for c in asked["codes"]]
-        p_codes = [np.frombuffer(c, "<u4") for c in each["codes"]]
-        ids, copies, own = list(each["ids"]), each["copies"].tolist(), asked["id"].tolist()
-        matches, best = [0] * len(q_codes), [None] * len(q_codes)
-        for q, p, offset, error, frames in aligned(q_codes, p_codes):
-            mine = len(q_codes[q]) == len(p_codes[p]) and (q_codes[q] == p_codes[p]).all()
-            matches[q] += copies[p] - int(mine)
-            others = [i for i in ids[p] if i != own[q]]
-            if others:
-                key = (error, -frames, others[0])
-                if best[q] is None or key < best[q][0]:
-                    best[q] = (key, (offset, error, frames))
-        rows = [
-            (i, m, b[0][2] if b else None, b[1][0] if b else None, b[0][0] if b else None, b[1][2] if b else None)
-            for i, m, b in zip(asked["id"], matches, best, strict=True)
-        ]
-        out = pd.DataFrame(rows, columns=["query_id", "n_matches", "best_id", "best_offset", "best_bit_error", "frames"])
-        return out.astype({"best_id": "Int64", "best_offset": "Int64", "frames": "Int64"}) if kind in ("bigint", "int") else out
-
-    found = left.groupBy("qb", "pb").cogroup(right.groupBy("qb", "pb")).applyInPandas(block, shape)
-    best = F.min(F.when(F.col("best_id").isNotNull(), F.struct("best_bit_error", -F.col("frames"), "best_id", "best_offset")))
-    return found.groupBy("query_id").agg(F.sum("n_matches").alias("n_matches"), best.alias("b")).select("query_id", "n_matches", "b.best_id", "b.best_offset", "b.best_bit_error")
+    each = common.stored(each.withColumn("print", F.monotonically_increasing_id()), "each-print")
+    asked = common.saved(queries.filter(usable).select("id", "codes").distinct().join(each.select("codes", "print"), "codes").select("id", "print"))
+    own = common.stored(each.join(asked.select("print").distinct(), "print"), "asked-prints")
+    found = _matches(each, own).select("q", "p", "offset", "error", "frames")
+    itself = own.select(F.col("print").alias("q"), F.col("print").alias("p"), F.lit(0).alias("offset"), F.lit(0.0).alias("error"), (F.length("codes") / 4).cast("int").alias("frames"))
+    matched = found.unionByName(itself).join(each.select(F.col("print").alias("p"), "copies", "ids"), "p")
+    matched = common.saved(matched.select("q", "copies", "ids", "error", "frames", "offset"))
+    total = matched.groupBy("q").agg((F.sum("copies") - 1).alias("n_matches"))
+    # the best two of different ids, so that each query can pass over its own id
+    ranked = matched.select("q", F.explode("ids").alias("id"), "error", "frames", "offset").select("q", F.struct("error", (-F.col("frames")).alias("frames"), "id", "offset").alias("b"))
+    first = common.saved(ranked.groupBy("q").agg(F.min("b").alias("first")))
+    second = ranked.join(first, "q").filter(F.col("b.id") != F.col("first.id")).groupBy("q").agg(F.min("b").alias("second"))
+    of_print = common.saved(total.join(first, "q").join(second, "q", "left").withColumnRenamed("q", "print"))
+    best = F.when(F.col("first.id") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+    out = asked.join(of_print, "print").select(F.col("id").alias("query_id"), "n_matches", best.alias("b"))
+    out = out.select("query_id", "n_matches", F.col("b.id").alias("best_id"), F.col("b.offset").alias("best_offset"), F.col("b.error").alias("best_bit_error"))
+    # an id with several recordings: all their matches, and the best of them
+    key = F.struct("best_bit_error", "best_id", "best_offset")
+    again = out.groupBy("query_id").agg(F.sum("n_matches").alias("n_matches"), F.min(F.when(F.col("best_id").isNotNull(), key)).alias("b"))
+    return again.select("query_id", "n_matches", F.col("b.best_id").alias("best_id"), F.col("b.best_offset").alias("best_offset"), F.col("b.best_bit_error").alias("best_bit_error"))
 
 
 # ---- recordings derived from vectors ------------------------------------------------
