@@ -4,7 +4,8 @@ quality     documents that the classifier rejects go
 near        one document of each class of near copies stays
 secrets     spans of secrets are masked in the texts
 mix         documents are repeated or left out so that sources meet their targets
-pieces      texts become SentencePiece ids, with seeded merge-dropout
+pieces      texts become SentencePiece ids, with seeded merge-dropout; the copies of a
+            document that the mix repeats get segmentations of their own
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of
 documents. Rows are those the stage before kept; the last returns a row for each of its
@@ -36,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = pieces.encode_documents(docs.select("doc_id", "text", "lang", "source"), keep_text=False)
+    coded = pieces.encode_documents(docs.select("doc_id", "text", "lang", "source"), keep_text=False, vary_copies=True)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
