@@ -59,8 +59,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    import corpus_pipeline  # noqa: F401  both are there, or none is registered
-
     found = (op1_mix_sources, op2_quality, op3_secrets, op4_chat, op5_chroma, op6_main_text, op7_token_file, op8_ngram_join, op9_hamming_topk, op10_sentencepiece, pipeline)
     return {f.__name__: f for f in found}
 
