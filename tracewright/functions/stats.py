@@ -15,19 +15,14 @@ def distinct_with_null(c: Column) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation from sums; null, not an error, against a constant."""
+    """Pearson correlation; null, not an error, against a constant.
+
+    Moments are central ones, so that large values such as times cancel nothing.
+    """
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
-    n = F.count(x)
-    over = n * F.sum(x * y) - F.sum(x) * F.sum(y)
-    under = (n * F.sum(x * x) - F.sum(x) ** 2) * (n * F.sum(y * y) - F.sum(y) ** 2)
-    return F.try_divide(over, F.sqrt(F.when(under > 0, under)))
-
-
-def nearest_rank(c: Column, q: float) -> Column:
-    """The element at the rounded place of the sorted values."""
-    values = F.array_sort(F.collect_list(c))
-    return F.element_at(values, (F.rint((F.size(values) - 1) * q) + 1).cast("int"))
+    under = F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))
+    return F.try_divide(F.covar_pop(x, y), F.when(under > 0, under))
 
 
 def entropy2(counts: list[Column]) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.stats import clip, correlation, nearest_rank
+from tracewright.functions.stats import clip, correlation
+from tracewright.operators import ranks
 
 
 def fill_rates(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,13 +52,17 @@ def huge(frame: DataFrame, columns: list[str], most: float = 1e6) -> DataFrame:
 
 
 def filled(frame: DataFrame, columns: list[str], how: str | float = 0.0, group: list[str] | None = None) -> DataFrame:
-    """Nulls by a constant, or by mean or median, of all or of a group."""
+    """Nulls by a constant, or by mean or median, of all or of a group; a median of a group holds its values in one task."""
     if how not in ("mean", "median"):
         return frame.withColumns({c: F.coalesce(F.col(c), F.lit(how)) for c in columns})
     pick = F.avg if how == "mean" else F.median
     if group:
         return frame.withColumns({c: F.coalesce(F.col(c), pick(F.col(c)).over(Window.partitionBy(*group))) for c in columns})
-    row = frame.agg(*[pick(F.col(c)).alias(f"__{c}") for c in columns])
+    if how == "median":
+        long = frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])))
+        row = ranks.quantiles(long, ["c"], "x", [0.5]).agg(*[F.max(F.when(F.col("c") == c, F.col("quantiles")[0])).alias(f"__{c}") for c in columns])
+    else:
+        row = frame.agg(*[F.avg(F.col(c)).alias(f"__{c}") for c in columns])
     return frame.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*row.columns)  # one row
 
 
@@ -73,8 +78,10 @@ def sequences(frame: DataFrame, vectors: list[str]) -> DataFrame:
 
 
 def sequence_stats(frame: DataFrame, column: str) -> DataFrame:
+    """min, max, median, mean length of the sequences, and how many are empty."""
     n = F.size(column)
-    return frame.agg(F.min(n).alias("min"), F.max(n).alias("max"), F.median(n).alias("median"), F.avg(n).alias("mean"))
+    rest = frame.agg(F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.count_if(n == 0).alias("empty"))
+    return rest.crossJoin(F.broadcast(ranks.median(frame, n))).select("min", "max", "median", "mean", "empty")  # one row each
 
 
 def stratified_split(frame: DataFrame, key: str, label: str, normal: str = "NonAnomaly", train: float = 0.7, val: float = 0.15, salt: str = "split") -> DataFrame:
@@ -100,16 +107,23 @@ def stratified_split(frame: DataFrame, key: str, label: str, normal: str = "NonA
 
 
 def dimension_stats(frame: DataFrame, column: str, method: str = "robust", low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """dim, low, high, shift, scale of the vectors in ``column``, from nearest-rank quantiles after clipping."""
-    long = frame.select(F.posexplode(column).alias("dim", "x"))
-    edges = long.groupBy("dim").agg(nearest_rank(F.col("x"), low).alias("low"), nearest_rank(F.col("x"), high).alias("high"))
-    cut = long.join(F.broadcast(edges), "dim").withColumn("x", F.greatest(F.least("x", "high"), F.col("low")))  # a row for each dimension
-    x = F.col("x")
+    """dim, low, high, shift, scale of the vectors in ``column``, from nearest-rank quantiles after clipping.
+
+    All come from the counts of distinct values of each dimension. Quartiles lie between the
+    edges, so clipping does not move them.
+    """
+    counts = ranks.ranked(frame.select(F.posexplode(column).alias("dim", "x")), ["dim"], "x")
+    picks = ranks.of_ranks(counts, ["dim"], "x", [low, high, 0.5, 0.25, 0.75], linear=False)
+    q = lambda i: F.col("quantiles")[i]
+    edges = picks.select("dim", q(0).alias("low"), q(1).alias("high"), q(2).alias("shift"), (q(4) - q(3)).alias("scale"))
     if method == "robust":
-        shift, scale = nearest_rank(x, 0.5), nearest_rank(x, 0.75) - nearest_rank(x, 0.25)
+        out = edges
     else:
-        shift, scale = F.avg(x), F.stddev_samp(x)
-    out = cut.groupBy("dim", "low", "high").agg(shift.alias("shift"), scale.alias("scale"))
+        cut = counts.join(F.broadcast(edges.select("dim", "low", "high")), "dim").withColumn("x", F.greatest(F.least("x", "high"), F.col("low")).cast("double"))  # a row for each dimension
+        mean = cut.groupBy("dim", "low", "high").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("shift"))
+        apart = cut.join(F.broadcast(mean.select("dim", "shift")), "dim")
+        spread = F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("x") - F.col("shift")) ** 2), F.sum("n") - 1))
+        out = apart.groupBy("dim", "low", "high", "shift").agg(spread.alias("scale"))
     return out.withColumn("scale", F.when(F.coalesce(F.col("scale"), F.lit(0.0)) < 1e-6, 1.0).otherwise(F.col("scale")))
 
 

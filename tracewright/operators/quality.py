@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import distinct_with_null
+from tracewright.operators import ranks
 from tracewright.sources.spec import INVARIANTS, MANDATORY, SPEC, Attribute
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95)
@@ -54,11 +55,21 @@ def nulls(frame, dims=None, agg=F.sum, spec=SPEC):
     return rates(frame, lambda a: F.col(a.name).isNull(), dims, agg, spec)
 
 
-def distribution(frame: DataFrame, dims: Dims | None = None, exact: bool = True) -> DataFrame:
-    """Quantiles of each number and of the duration, sentinels left out; approximate ones scale further."""
-    pick = (lambda c: F.percentile(c, list(QUANTILES))) if exact else (lambda c: F.percentile_approx(c, list(QUANTILES)))
+def distribution(frame: DataFrame, dims: Dims | None = None) -> DataFrame:
+    """n, and columns <number>_q25 to _q95 of each number and of the duration, sentinels left out; exact, from counts."""
+    dims = dims or {}
     numbers = {a.name: a.real for a in SPEC if a.type in ("bigint", "float")} | {"duration_ns": F.col("end_time_ns") - F.col("start_time_ns")}
-    return grouped(frame, dims or {}, F.count("*").alias("n"), *[pick(c).alias(k) for k, c in numbers.items()])
+    keyed = frame.select(*[c.alias(k) for k, c in dims.items()], *[c.cast("double").alias(f"__{k}") for k, c in numbers.items()])
+    each = F.array(*[F.struct(F.lit(k).alias("__number"), F.col(f"__{k}").alias("__x")) for k in numbers])
+    long = keyed.select(*dims, F.inline(each)).filter(F.col("__x").isNotNull())
+    found = ranks.quantiles(long, [*dims, "__number"], "__x", QUANTILES)
+    wide = [F.max(F.when(F.col("__number") == k, F.col("quantiles")[i])).alias(f"{k}_q{round(100 * q)}") for k in numbers for i, q in enumerate(QUANTILES)]
+    totals = grouped(frame, dims, F.count("*").alias("n"))
+    if not dims:
+        return totals.crossJoin(F.broadcast(found.agg(*wide)))  # one row each
+    named = {k: f"__d_{i}" for i, k in enumerate(dims)}
+    values = found.groupBy(*[F.col(k).alias(d) for k, d in named.items()]).agg(*wide)
+    return totals.join(values, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(d)) for k, d in named.items()]), "left").drop(*named.values())
 
 
 def _sum(flags: list[Column]) -> Column:
@@ -123,12 +134,18 @@ def duplicates(frame: DataFrame) -> DataFrame:
 
 
 def verdict(frame: DataFrame, max_nulls: int = 0, max_rules: int = 0, max_dups: int = 0, max_breaks: int = 0) -> DataFrame:
-    """Totals of the table and whether they keep the limits: one row from two small ones."""
-    totals = frame.agg(F.count("*").alias("spans"), *[F.coalesce(F.sum(f), F.lit(0)).alias(k) for k, f in (("nulls", absent()), ("missing", missing()), ("trash", spoilt()), ("rules", violations()))])
-    dups = frame.groupBy("trace_id", "span_id").agg((F.count("*") - 1).alias("again")).agg(F.coalesce(F.sum("again"), F.lit(0)).alias("dups"))
-    breaks = trace_consistency(frame).select(reduce(add, [F.col(c) for c in INVARIANTS]).alias("breaks"))
+    """Totals of the table and whether they keep the limits; the table is read once and summed by span, by trace and in all."""
+    flags = {"nulls": absent(), "missing": missing(), "trash": spoilt(), "rules": violations()}
+    by_span = frame.groupBy("trace_id", "span_id").agg(
+        F.count("*").alias("n"), *[F.sum(f).alias(k) for k, f in flags.items()],
+        *[x for c in INVARIANTS for x in (F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"), F.max(F.col(c).isNull()).alias(f"__null_{c}"))],
+    )
+    # an invariant breaks if a trace has two values of it, null being one
+    broken = [F.coalesce(F.min(f"__min_{c}") != F.max(f"__max_{c}"), F.lit(False)) | (F.max(f"__null_{c}") & F.min(f"__min_{c}").isNotNull()) for c in INVARIANTS]
+    by_trace = by_span.groupBy("trace_id").agg(F.sum("n").alias("spans"), *[F.sum(k).alias(k) for k in flags], F.sum(F.col("n") - 1).alias("dups"), _sum(broken).alias("breaks"))
+    totals = by_trace.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("spans", *flags, "dups", "breaks")])
     valid = (F.col("nulls") <= max_nulls) & (F.col("rules") <= max_rules) & (F.col("dups") <= max_dups) & (F.col("breaks") <= max_breaks)
-    return totals.crossJoin(F.broadcast(dups)).crossJoin(F.broadcast(breaks)).withColumn("valid", valid)  # one row each
+    return totals.withColumn("valid", valid)
 
 
 def is_valid(frame: DataFrame, **limits) -> bool:
@@ -179,7 +196,9 @@ def label_balance(frame: DataFrame, column: str) -> DataFrame:
 
 def duration_summary(frame: DataFrame) -> DataFrame:
     s = (F.col("end_time_ns") - F.col("start_time_ns")) / 1e9
-    return frame.agg(F.round(F.median(s), 4).alias("median"), F.round(F.avg(s), 4).alias("mean"), F.round(F.percentile(s, 0.95), 4).alias("q95"))
+    found = ranks.quantiles(frame.select(s.alias("s")), [], "s", [0.5, 0.95])
+    picks = found.agg(*[F.round(F.max(F.col("quantiles")[i]), 4).alias(k) for i, k in enumerate(("median", "q95"))])
+    return frame.agg(F.round(F.avg(s), 4).alias("mean")).crossJoin(F.broadcast(picks)).select("median", "mean", "q95")  # one row each
 
 
 def bounds(frame: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import clip, correlation, logistic
-from tracewright.operators.quality import Dims, absent, correctness, grouped, starts_at, tagged, violations
+from tracewright.operators.quality import Dims, absent, correctness, grouped, starts_at, violations
+from tracewright.operators.selection import cut
 from tracewright.sources.spec import MANDATORY, SPEC
 
 NS_PER_DAY = 86_400_000_000_000
@@ -63,20 +64,36 @@ def multiplied(weights, *parts: Column) -> Column:
     return reduce(lambda a, b: a * b, [F.pow(p, F.lit(w)) for w, p in zip(weights, parts, strict=True)])
 
 
-def windowed(frame: DataFrame, days: int) -> DataFrame:
-    """Tagged spans that start in the last days of the table."""
-    last = frame.agg((F.max("start_time_ns") - days * NS_PER_DAY).alias("__from"))
-    return tagged(frame).crossJoin(F.broadcast(last)).filter(F.col("start_time_ns") >= F.col("__from")).drop("__from")  # one row
+def windowed(frame: DataFrame, days: int, dims: Dims, grain: str = "1 day") -> DataFrame:
+    """Per group, time bucket and trace of the last days: spans, sums of flags, and whether the trace is rejected.
+
+    Spans are summed up before anything is joined to them, so that only these slim rows meet the
+    flags of the traces, which come from the whole table. A group's traces are then counted without
+    an aggregate of distinct values.
+    """
+    rejected = F.bool_or(reduce(lambda a, b: a | b, [a.violation for a in MANDATORY]))
+    flags = cut(frame.groupBy(F.col("trace_id").alias("__trace")).agg(rejected.alias("rejected"), F.max("start_time_ns").alias("__last")))
+    last = flags.agg((F.max("__last") - days * NS_PER_DAY).alias("__from"))
+    recent = frame.crossJoin(F.broadcast(last)).filter(F.col("start_time_ns") >= F.col("__from"))  # one row
+    sums = {"__rate": violations() / len(SPEC), "__gaps": absent(MANDATORY) / len(MANDATORY)} | {f"__broken_{a.name}": a.violation.cast("long") for a in MANDATORY}
+    keys = [c.alias(f"__d_{k}") for k, c in dims.items()]
+    rows = recent.groupBy(*keys, starts_at(grain).alias("ts"), F.col("trace_id").alias("__trace")).agg(F.count("*").alias("spans"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    joined = rows.join(flags.drop("__last"), "__trace", "left")  # spans without a trace stay unmarked
+    return cut(joined.withColumnsRenamed({f"__d_{k}": k for k in dims}))
 
 
 def components(win: DataFrame, p: Policy, dims: Dims) -> DataFrame:
-    rate = violations() / len(SPEC)
-    broken = {a.name: F.avg(a.violation.cast("double")) for a in MANDATORY}
+    broken = [a.name for a in MANDATORY]
+    own = {k: F.col(k) for k in dims}
+    sums = ("spans", "__rate", "__gaps", *[f"__broken_{k}" for k in broken])
+    traces = grouped(win, own | {"__trace": F.col("__trace"), "rejected": F.col("rejected")}, *[F.sum(c).alias(c) for c in sums])
+    n, marked = F.sum("spans"), F.col("rejected").isNotNull()
     frame = grouped(
-        win, dims,
-        F.count_distinct("trace_id").alias("traces"), F.count_distinct(F.when(~F.col("rejected"), F.col("trace_id"))).alias("eff_traces"), F.count("*").alias("spans"),
-        (1 - F.avg(rate)).alias("validity"), (1 - F.avg(absent(MANDATORY) / len(MANDATORY))).alias("presence"), (1 - F.avg(F.col("rejected").cast("int"))).alias("retention"),
-        *[c.alias(f"__broken_{k}") for k, c in broken.items()],
+        traces, own,
+        F.count("__trace").alias("traces"), F.count(F.when(~F.col("rejected"), F.col("__trace"))).alias("eff_traces"), F.coalesce(n, F.lit(0)).alias("spans"),
+        (1 - F.sum("__rate") / n).alias("validity"), (1 - F.sum("__gaps") / n).alias("presence"),
+        (1 - F.try_divide(F.sum(F.when(F.col("rejected"), F.col("spans")).otherwise(0)), F.sum(F.when(marked, F.col("spans"))))).alias("retention"),
+        *[(F.sum(f"__broken_{k}") / n).alias(f"__broken_{k}") for k in broken],
     )
     worst = F.greatest(*[F.col(f"__broken_{k}") for k in broken])
     name = F.lit(NONE)
@@ -88,8 +105,9 @@ def components(win: DataFrame, p: Policy, dims: Dims) -> DataFrame:
     return scored.withColumn("volume_score", volume).withColumn("quality_score", weighted(p.quality_weights, F.col("validity"), F.col("presence"), F.col("retention")))
 
 
-def acceleration(win: DataFrame, p: Policy, dims: Dims, grain: str = "1 day") -> DataFrame:
-    buckets = grouped(win, dims | {"ts": starts_at(grain)}, F.count_distinct("trace_id").alias("n"), (1 - F.avg(violations() / len(SPEC))).alias("v"))
+def acceleration(win: DataFrame, p: Policy, dims: Dims) -> DataFrame:
+    own = {k: F.col(k) for k in dims} | {"ts": F.col("ts")}
+    buckets = grouped(win, own, F.count("__trace").alias("n"), (1 - F.sum("__rate") / F.sum("spans")).alias("v"))
     frame = grouped(buckets, {k: F.col(k) for k in dims}, F.avg("n").alias("rate"), correlation(F.unix_seconds("ts"), F.col("n")).alias("trend"), F.stddev_samp("v").alias("__spread"))
     stability = F.coalesce(clip(1 - F.col("__spread") / p.stability_tol, 0.0, 1.0), F.lit(1.0))
     frame = frame.withColumn("stability", F.when(F.col("__spread").isNull(), 1.0).otherwise(stability)).withColumn("trend", F.coalesce("trend", F.lit(0.0)))
@@ -100,8 +118,8 @@ def acceleration(win: DataFrame, p: Policy, dims: Dims, grain: str = "1 day") ->
 def assess(frame: DataFrame, p: Policy | None = None, dims: Dims | None = None, grain: str = "1 day") -> DataFrame:
     """One row per group: scores, readiness, verdict and its reason, the readiest first."""
     p, dims = p or Policy(), dims or {}
-    win = windowed(frame, p.window_days)
-    left, right = components(win, p, dims), acceleration(win, p, dims, grain)
+    win = windowed(frame, p.window_days, dims, grain)
+    left, right = components(win, p, dims), acceleration(win, p, dims)
     joined = left.join(right, list(dims), "left") if dims else left.crossJoin(F.broadcast(right))  # without dims one row each
     readiness = weighted(p.readiness_weights, F.col("volume_score"), F.col("quality_score"), F.col("accel_score"))
     few, lossy, poor = F.col("eff_traces") < p.min_eff_traces, F.col("loss_rate") > p.max_loss, F.col("quality_score") < p.min_quality

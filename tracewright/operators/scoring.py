@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import logistic
+from tracewright.operators import ranks
 
 EPS = 1e-8
 
@@ -76,8 +77,9 @@ def multiclass(frame: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def robust_stats(frame: DataFrame, error: str) -> DataFrame:
     """median and mad, one row."""
-    median = frame.agg(F.median(error).alias("median"))
-    return frame.crossJoin(F.broadcast(median)).agg(F.first("median").alias("median"), F.median(F.abs(F.col(error) - F.col("median"))).alias("mad"))
+    middle = ranks.median(frame, F.col(error))
+    apart = frame.crossJoin(F.broadcast(middle)).select(F.abs(F.col(error) - F.col("median")).alias("__d"))  # one row
+    return middle.crossJoin(F.broadcast(ranks.median(apart, F.col("__d")).withColumnRenamed("median", "mad")))  # one row each
 
 
 def temperature(frame: DataFrame, error: str, label: str, mad: float) -> Column:

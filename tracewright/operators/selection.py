@@ -95,10 +95,18 @@ def _running(frame: DataFrame, order: list, value, name: str) -> DataFrame:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names; a temporary one only where none is set."""
+    """Reliable checkpoint in the folder that the cluster names; a temporary one only where none is set and the master is local."""
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewright-"))
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import atexit
+            import shutil
+            import tempfile
+
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="tracewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return frame.checkpoint()

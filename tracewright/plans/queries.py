@@ -74,10 +74,11 @@ def io_overlay_trash(spark, sf_dir):
     return conform.overlay(spans(spark, sf_dir).withColumn("llm_total_tokens", marred)).select("trace_id", "span_id", "llm_total_tokens")
 
 
-@query(f"{WITH} SELECT trace_id, span_id, CASE WHEN class = 'unknown' AND anomaly_type = 'unknown' THEN NULL WHEN anomaly_type <> 'unknown' THEN anomaly_type <> 'NonAnomaly' ELSE class = 'true' END AS is_anomaly FROM (SELECT *, CASE WHEN status_code = 'STATUS_CODE_ERROR' THEN 'true' WHEN aef_kind = 'llm' THEN 'false' ELSE 'unknown' END AS class, CASE WHEN aef_kind = 'tool' THEN 'NonAnomaly' ELSE 'unknown' END AS anomaly_type FROM spans)")
+@query(f"{WITH} SELECT trace_id, span_id, CASE WHEN 'unknown' IN (coalesce(class, ''), coalesce(anomaly_type, '')) THEN NULL WHEN anomaly_type IS NOT NULL THEN anomaly_type <> 'NonAnomaly' WHEN class IS NOT NULL THEN class = 'true' END AS is_anomaly FROM (SELECT *, CASE WHEN status_code = 'STATUS_CODE_ERROR' THEN 'true' WHEN span_name LIKE '%.1' THEN 'unknown' WHEN span_name LIKE '%.2' THEN NULL ELSE 'false' END AS class, CASE WHEN span_name LIKE '%.3' THEN 'unknown' WHEN span_name LIKE '%.4' THEN 'dpi' WHEN aef_kind = 'tool' THEN 'NonAnomaly' END AS anomaly_type FROM spans)")
 def io_label(spark, sf_dir):
-    class_ = F.when(F.col("status_code") == "STATUS_CODE_ERROR", "true").when(F.col("aef_kind") == "llm", "false").otherwise("unknown")
-    kind = F.when(F.col("aef_kind") == "tool", "NonAnomaly").otherwise("unknown")
+    part = lambda k: F.col("span_name").endswith(f".{k}")
+    class_ = F.when(F.col("status_code") == "STATUS_CODE_ERROR", "true").when(part(1), "unknown").when(part(2), None).otherwise("false")
+    kind = F.when(part(3), "unknown").when(part(4), "dpi").when(F.col("aef_kind") == "tool", "NonAnomaly")
     return spans(spark, sf_dir).select("trace_id", "span_id", conform.is_anomaly(class_, kind).alias("is_anomaly"))
 
 
@@ -137,14 +138,13 @@ _NUMBERS = [a for a in SPEC if a.type in ("bigint", "float")]
 
 def _distribution_sql() -> str:
     real = [(a.name, f"CASE WHEN {a.name} <> {a.empty} THEN {a.name}::DOUBLE END" if a.empty is not None else f"{a.name}::DOUBLE") for a in _NUMBERS] + [("duration_ns", "(end_time_ns - start_time_ns)::DOUBLE")]
-    cols = ", ".join(f"list_transform(quantile_cont({e}, [0.25, 0.5, 0.75, 0.9, 0.95]), lambda x: round(x, 3)) AS {n}" for n, e in real)
+    cols = ", ".join(f"round(quantile_cont({e}, {q}), 3) AS {n}_q{round(100 * q)}" for n, e in real for q in quality.QUANTILES)
     return f"{WITH} SELECT aef_kind, count(*) AS n, {cols} FROM spans GROUP BY aef_kind"
 
 
 @query(_distribution_sql())
 def dq_distribution(spark, sf_dir):
-    out = quality.distribution(spans(spark, sf_dir), {"aef_kind": F.col("aef_kind")})
-    return out.select("aef_kind", "n", *[F.transform(c, lambda x: F.round(x, 3)).alias(c) for c in out.columns[2:]])
+    return rounded(quality.distribution(spans(spark, sf_dir), {"aef_kind": F.col("aef_kind")}), 3)
 
 
 @query(f"{WITH}, t AS (SELECT trace_id, bool_or({BROKEN}) AS rejected FROM spans GROUP BY trace_id) SELECT agent_id, count(*) AS n, round(avg(rejected::INT), 6) AS dropped_rate, sum(rejected::INT)::BIGINT AS dropped, sum(1 - rejected::INT)::BIGINT AS kept FROM spans JOIN t USING (trace_id) GROUP BY agent_id")
@@ -581,10 +581,11 @@ def rep_sweep(spark, sf_dir):
     return reports.sweep_long(ml_threshold_sweep(spark, sf_dir), ["f1", "recall", "precision"])
 
 
-@query("SELECT n_chars::DOUBLE AS value, lang AS \"group\" FROM documents WHERE lang IN ('en', 'de')")
+@query("SELECT n_chars::DOUBLE AS value, coalesce(lang, 'none') AS \"group\" FROM documents")
 def rep_grouped(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return reports.grouped({g: docs.filter(F.col("lang") == g) for g in ("en", "de")}, "n_chars")
+    langs = [r[0] for r in docs.select("lang").distinct().collect()]  # a row for each language
+    return reports.grouped({g or "none": docs.filter(F.col("lang").eqNullSafe(g)) for g in langs}, "n_chars")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

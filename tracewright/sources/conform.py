@@ -79,9 +79,9 @@ def load_labelled(spark: SparkSession, *paths: str, spec=None) -> DataFrame:
 
 
 def is_anomaly(class_: Column, anomaly_type: Column) -> Column:
-    """Null if both labels are unknown, else from the type if it is known, else from the class."""
-    class_, anomaly_type = F.coalesce(class_, F.lit("unknown")), F.coalesce(anomaly_type, F.lit("unknown"))
-    return F.when(anomaly_type != "unknown", anomaly_type != "NonAnomaly").when(class_ != "unknown", class_ == "true")
+    """Null if either label is ``unknown``, else from the type, else, if that is null, from the class; null if both are null."""
+    known = ~(F.coalesce(class_ == "unknown", F.lit(False)) | F.coalesce(anomaly_type == "unknown", F.lit(False)))
+    return F.when(known, F.coalesce(anomaly_type != "NonAnomaly", class_ == "true"))
 
 
 def schema_check(frame: DataFrame, spec=SPEC, penalty: float = 0.12) -> DataFrame:
