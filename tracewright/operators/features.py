@@ -8,7 +8,7 @@ partitioning, so one shuffle and sort serve any number of widths.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add
 
@@ -62,12 +62,21 @@ class Feature:
 
 ALL = ("max", "min", "mean", "std", "sum", "q")
 MEAN, NO_SUM = ("mean",), ("max", "min", "mean", "std", "q")
+_COUNTS = tuple(f"{prefix}{k}_count" for prefix in ("exec_out_", "", "prompt_") for k in ("char", "word", *PATTERNS))
+#: Families of aggregates by feature: over the whole object, over rolling frames.
+AGGREGATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
+    **{k: (ALL, ALL) for k in ("total_duration", "duration", "duration_diff", "delta_time", "exec_gap", "llm_tokens", "llm_duration", "tool_duration", *_COUNTS)},
+    **{k: (MEAN, MEAN) for k in ("tool_success", "is_llm", "is_tool", "is_chain", "error_flag")},
+    **{k: (NO_SUM, NO_SUM) for k in ("tool_compression", "avg_word_length_sem")},
+    "token_ratio": (("mean", "std"), ()),
+    "unique_tools_local": ((), ALL),
+}
 
 
 def _counts(prefix: str, text: str, stage: int) -> list[Feature]:
     c = F.col(text)
     out = [("char", F.char_length(c)), ("word", F.size(F.split(c, " ")))] + [(k, F.regexp_count(c, F.lit(p))) for k, p in PATTERNS.items()]
-    return [Feature(f"{prefix}{k}_count", v, stage, True, ALL, ALL) for k, v in out]
+    return [Feature(f"{prefix}{k}_count", v, stage, True) for k, v in out]
 
 
 def _distinct(c: Column, window) -> Column:
@@ -87,40 +96,39 @@ def definitions() -> list[Feature]:
     llm, tool = F.col("aef_kind") == "llm", F.col("aef_kind") == "tool"
     said, asked = F.col("output_text"), F.col("input_text")
     took, zero = end - start, F.lit(0)
-    full = dict(static=ALL, rolling=ALL)
     last = Window.partitionBy("trace_id")
     named = F.when(tool, F.col("span_name"))
     first_use = F.row_number().over(Window.partitionBy(*OBJECT, named).orderBy("start_time_ns", "span_id")) == 1
     repeat = F.coalesce((F.lag("aef_kind").over(_steps()) == F.col("aef_kind")).cast("int"), zero)
     agents = _distinct(F.col("agent_id"), _trace())
     out = [
-        Feature("total_duration", took, log=True, **full), Feature("duration", took, log=True, **full), Feature("duration_diff", F.lit(0.0), log=True, **full),
-        Feature("delta_time", F.coalesce(start - F.lag("start_time_ns").over(_ordered()), zero), log=True, **full),
-        Feature("exec_gap", F.coalesce(start - F.lag("end_time_ns").over(_ordered()), zero), log=True, **full),
-        Feature("llm_tokens", F.when(llm, F.col("llm_total_tokens")).otherwise(zero), log=True, **full),
-        Feature("llm_duration", F.when(llm, took).otherwise(zero), log=True, **full),
-        Feature("token_ratio", F.when(llm & (F.length(said) > 0), F.length(asked) / F.length(said)).otherwise(0.0), static=("mean", "std")),
-        Feature("tool_duration", F.when(tool, took).otherwise(zero), log=True, **full),
-        Feature("tool_success", F.when(tool, (F.col("status_code") == "STATUS_CODE_OK").cast("int")).otherwise(zero), static=MEAN, rolling=MEAN),
+        Feature("total_duration", took, log=True), Feature("duration", took, log=True), Feature("duration_diff", F.lit(0.0), log=True),
+        Feature("delta_time", F.coalesce(start - F.lag("start_time_ns").over(_ordered()), zero), log=True),
+        Feature("exec_gap", F.coalesce(start - F.lag("end_time_ns").over(_ordered()), zero), log=True),
+        Feature("llm_tokens", F.when(llm, F.col("llm_total_tokens")).otherwise(zero), log=True),
+        Feature("llm_duration", F.when(llm, took).otherwise(zero), log=True),
+        Feature("token_ratio", F.when(llm & (F.length(said) > 0), F.length(asked) / F.length(said)).otherwise(0.0)),
+        Feature("tool_duration", F.when(tool, took).otherwise(zero), log=True),
+        Feature("tool_success", F.when(tool, (F.col("status_code") == "STATUS_CODE_OK").cast("int")).otherwise(zero)),
         Feature("__first_use", first_use.cast("int")),
         Feature("sem_text", F.coalesce(said, F.lit(""))), Feature("agent_prompt", F.coalesce(asked, F.lit(""))),
         *_counts("exec_out_", "output_text", 1),
-        *[Feature(f"is_{k}", (F.col("aef_kind") == k).cast("int"), static=MEAN, rolling=MEAN) for k in ("llm", "tool", "chain")],
-        Feature("tool_compression", F.when(tool, F.length(said) / (F.length(asked) + EPS)).otherwise(-1.0), log=True, static=NO_SUM, rolling=NO_SUM),
+        *[Feature(f"is_{k}", (F.col("aef_kind") == k).cast("int")) for k in ("llm", "tool", "chain")],
+        Feature("tool_compression", F.when(tool, F.length(said) / (F.length(asked) + EPS)).otherwise(-1.0), log=True),
         Feature("final_output_length", F.length(F.max_by("output_text", F.struct("agent_id", "start_time_ns", "span_id")).over(last)), log=True),
         Feature("unique_agents", agents), Feature("actions_per_agent", F.count("*").over(_trace()) / agents, log=True),
         Feature("unique_tools_global", _distinct(named, _trace())), Feature("action_entropy", _entropy()), Feature("is_repeat", repeat),
-        Feature("unique_tools_local", F.sum("__first_use").over(_ordered().rowsBetween(Window.unboundedPreceding, 0)), 2, False, (), ALL),
-        Feature("error_flag", F.lower("sem_text").rlike("(?U)" + ERROR).cast("int"), 2, False, MEAN, MEAN),
+        Feature("unique_tools_local", F.sum("__first_use").over(_ordered().rowsBetween(Window.unboundedPreceding, 0)), 2),
+        Feature("error_flag", F.lower("sem_text").rlike("(?U)" + ERROR).cast("int"), 2),
         *_counts("", "sem_text", 2), *_counts("prompt_", "agent_prompt", 2),
-        Feature("avg_word_length_sem", F.aggregate(F.split("sem_text", " "), F.lit(0), lambda a, w: a + F.char_length(w)) / F.size(F.split("sem_text", " ")), 2, True, NO_SUM, NO_SUM),
+        Feature("avg_word_length_sem", F.aggregate(F.split("sem_text", " "), F.lit(0), lambda a, w: a + F.char_length(w)) / F.size(F.split("sem_text", " ")), 2, True),
         Feature("time_gap_variance", F.var_samp("delta_time").over(_trace()), 2), Feature("iteration_duration_variance", F.var_samp("duration").over(_trace()), 2),
         Feature("repetitive_actions", F.sum("is_repeat").over(_trace()), 2),
         Feature("processing_time_variance", F.stddev_samp(F.col("llm_duration") / (F.col("llm_tokens") + EPS)).over(_trace()), 2),
         Feature("cv_duration", F.stddev_samp("duration").over(_trace()) / (F.avg("duration").over(_trace()) + EPS), 2, True),
         Feature("cv_delta", F.stddev_samp("delta_time").over(_trace()) / (F.avg("delta_time").over(_trace()) + EPS), 2, True),
     ]
-    return out
+    return [replace(f, static=AGGREGATES[f.name][0], rolling=AGGREGATES[f.name][1]) if f.name in AGGREGATES else f for f in out]
 
 
 def _aggregate(kind: str, c: Column) -> list[tuple[str, Column]]:

@@ -130,7 +130,7 @@ def dimension_stats(frame: DataFrame, column: str, method: str = "robust", low:
 def normalised(frame: DataFrame, column: str, stats: DataFrame) -> DataFrame:
     """Each element less its shift, by its scale; the stats are one row for each dimension."""
     row = stats.agg(F.sort_array(F.collect_list(F.struct("dim", "shift", "scale"))).alias("__s"))
-    return frame.crossJoin(F.broadcast(row)).withColumn(column, F.zip_with(column, "__s", lambda x, s: (x - s["shift"]) / s["scale"])).drop("__s")
+    return frame.crossJoin(F.broadcast(row)).withColumn(column, F.zip_with(column, "__s", lambda x, s: (x.cast("double") - s["shift"]) / s["scale"])).drop("__s")
 
 
 def hashed_embedding(text: Column, width: int = 64) -> Column:

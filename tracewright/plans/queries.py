@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01, u01_sql
 from tracewright.operators import augment, features, prep, quality, readiness, reports, scoring, selection, separability, stacking
+from tracewright.plans import feature_sql
 from tracewright.sources import conform, fixture, spec
 from tracewright.sources.spec import INVARIANTS, MANDATORY, SPEC
 
@@ -82,9 +83,29 @@ def io_label(spark, sf_dir):
     return spans(spark, sf_dir).select("trace_id", "span_id", conform.is_anomaly(class_, kind).alias("is_anomaly"))
 
 
-@query()
+#: What is left of the spans for a check: types changed, nested, missing and extra columns.
+_ODD = {"llm_total_tokens": "CAST(llm_total_tokens AS string)", "http_path": "array(http_path)", "start_time_ns": "start_time_ns"}
+_ODD_LEFT = ("kafka_topic", "meta_tags")
+_EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+def _schema_sql() -> str:
+    row = lambda *v: "(" + ", ".join("NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, float) else f"'{x}'" for x in v) + ")"
+    found = {a.name: a.type for a in SPEC if a.name not in _ODD_LEFT} | {"llm_total_tokens": "string", "http_path": "array<string>"}
+    verdict = {"llm_total_tokens": "converted", "http_path": "incompatible"} | dict.fromkeys(_ODD_LEFT, "absent")
+    ceiling = 1 - 0.12 * (1 + len(_ODD_LEFT))
+    rows = [row("spans", a.name, a.type, found.get(a.name), a.mandatory, verdict.get(a.name, "ok"), True, ceiling, True) for a in SPEC] + [row("spans", "extra", None, "int", False, "extra", True, ceiling, True)]
+    rows += [row("events", a.name, a.type, None, a.mandatory, "absent", False, 0.0, True) for a in SPEC] + [row("events", c, None, t, False, "extra", False, 0.0, True) for c, t in _EVENT_TYPES.items()]
+    return f"SELECT source, attribute, expected, found, mandatory, verdict, critical_ok, round(ceiling::DOUBLE, 6) AS ceiling, degraded FROM (VALUES {', '.join(rows)}) v(source, attribute, expected, found, mandatory, verdict, critical_ok, ceiling, degraded)"
+
+
+@query(_schema_sql())
 def io_schema_check(spark, sf_dir):
-    return conform.schema_check(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The spans with some columns spoilt, and a table of another kind."""
+    odd = raw(spark, sf_dir).drop(*_ODD_LEFT).withColumns({k: F.expr(e) for k, e in _ODD.items()}).withColumn("extra", F.lit(1))
+    checks = {"spans": conform.schema_check(odd), "events": conform.schema_check(spark.read.parquet(f"{sf_dir}/events.parquet"))}
+    first, second = (rounded(f).withColumn("source", F.lit(k)) for k, f in checks.items())
+    return first.unionByName(second)
 
 
 @query(f"{WITH} SELECT {each('sum(({violation})::BIGINT)::BIGINT AS {name}')} FROM raw")
@@ -322,10 +343,7 @@ _selection("sel_open_recent", mode="open", holdout_method="recent", holdout_perc
 
 # ---- features -------------------------------------------------------------------------
 
-_TEXT = {"char": "length({t})", "word": "len(string_split({t}, ' '))"} | {k: "len(regexp_extract_all({t}, " + spec.quoted(p) + "))" for k, p in features.PATTERNS.items()}
-
-
-_TEXT_SQL = ", ".join(f"round(ln(1 + ({v.replace('{t}', 'output_text')})::DOUBLE), 6) AS exec_out_{k}_count" for k, v in _TEXT.items())
+_TEXT_SQL = ", ".join(f"round({e}, 6) AS {k}" for k, e in feature_sql.counts("exec_out_", "output_text").items())
 
 
 @query(f"{WITH} SELECT trace_id, span_id, {_TEXT_SQL} FROM spans")
@@ -334,8 +352,7 @@ def feat_text_counts(spark, sf_dir):
     return rounded(features.base_features(spans(spark, sf_dir), chosen).select("trace_id", "span_id", *[f.name for f in chosen]))
 
 
-def _log(e: str) -> str:
-    return f"CASE WHEN {e} < 0 THEN -ln(1 - ({e})::DOUBLE) ELSE ln(1 + ({e})::DOUBLE) END"
+_log = feature_sql.log
 
 
 _TIMING = f"""{CLEAN}, l AS (SELECT *, end_time_ns - start_time_ns AS took, coalesce(start_time_ns - lag(start_time_ns) OVER o, 0) AS dt, coalesce(start_time_ns - lag(end_time_ns) OVER o, 0) AS gap,
@@ -380,10 +397,31 @@ def feat_static(spark, sf_dir):
     return rounded(out.select("trace_id", "agent_id", F.col("duration__max").alias("mx"), F.col("duration__mean").alias("mean"), F.col("duration__std").alias("std"), F.col("duration__q90").alias("q90"))).distinct()
 
 
-@query()
+@query(f"{CLEAN}, {feature_sql.BASE} SELECT trace_id, span_id, {', '.join(map(feature_sql.shown, feature_sql.NAMES))} FROM f")
 def feat_all(spark, sf_dir):
-    """All 52 features, plain and with their whole-object aggregates."""
-    return features.static_features(features.base_features(clean(spark, sf_dir)))
+    """All 52 features."""
+    return rounded(features.base_features(clean(spark, sf_dir)).select("trace_id", "span_id", *[F.col(n).cast("bigint").alias(n) if n in ("unique_tools_local", "repetitive_actions") else F.col(n) for n in feature_sql.NAMES]))
+
+
+@query(f"{CLEAN}, {feature_sql.BASE} SELECT trace_id, agent_id, {feature_sql.static_sql()} FROM f GROUP BY trace_id, agent_id")
+def feat_static_all(spark, sf_dir):
+    """All whole-object aggregates, a row for each object."""
+    out = features.static_features(features.base_features(clean(spark, sf_dir)))
+    names = [f"{f.name}__{k}" for f in features.definitions() for kind in f.static for k, _ in features._aggregate(kind, F.lit(0))]
+    return rounded(out.groupBy("trace_id", "agent_id").agg(*[F.first(n).cast("double").alias(n) for n in names]), 5)
+
+
+#: Features of each family of aggregates, at all widths.
+_WIDE_ROLLING = ("duration", "is_tool", "tool_compression")
+
+
+@query(f"{CLEAN}, {feature_sql.BASE} {feature_sql.rolling_sql(_WIDE_ROLLING, features.WIDTHS)}")
+def feat_rolling_wide(spark, sf_dir):
+    """Rolling aggregates at all widths of production, for a feature of each family."""
+    chosen = [f for f in features.definitions() if f.name in _WIDE_ROLLING]
+    out = features.rolling_features(features.base_features(clean(spark, sf_dir)), features.WIDTHS, chosen)
+    names = [c for c in out.columns if any(c.startswith(f"{n}__") for n in _WIDE_ROLLING)]
+    return rounded(out.select("trace_id", "span_id", *[F.col(c).cast("double").alias(c) for c in names]), 5)
 
 
 # ---- preparation ----------------------------------------------------------------------
@@ -429,10 +467,12 @@ def prep_normaliser(spark, sf_dir):
     return out.select("dim", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in ("low", "high", "shift", "scale")])
 
 
-@query()
+@query(_norm_sql().split("SELECT dim, round(low")[0] + """SELECT vec_id, d.dim, round((x::DOUBLE - shift::DOUBLE) / (CASE WHEN scale < 1e-6 THEN 1 ELSE scale END)::DOUBLE, 5) AS x
+FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding)))::INT AS dim FROM embeddings) d JOIN s USING (dim)""")
 def prep_normalised(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return prep.normalised(rows, "embedding", prep.dimension_stats(rows, "embedding"))
+    out = prep.normalised(rows, "embedding", prep.dimension_stats(rows, "embedding"))
+    return rounded(out.select("vec_id", F.posexplode("embedding").alias("dim", "x")), 5)
 
 
 # ---- augmentation ---------------------------------------------------------------------
