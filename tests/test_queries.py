@@ -3,7 +3,7 @@
 import pytest
 from oracle import assert_same, connect
 
-from tracewright.plans import queries
+from tracewright.plans import detection, queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

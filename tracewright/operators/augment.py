@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01, u01_sql
+from tracewright.operators import ranks
+from tracewright.operators.selection import cut
 
 # Share of traces by class, and the range of severities.
 FRACTIONS = {"dpi": 0.04, "ipi": 0.04, "mp": 0.03, "hallucination": 0.05, "bias": 0.04}
@@ -84,44 +87,156 @@ def shifted(frame: DataFrame, vector: str, direction: DataFrame, amount: Column)
     return frame.crossJoin(F.broadcast(direction)).withColumn(vector, F.zip_with(vector, "direction", lambda x, d: x + amount * d)).drop("direction")
 
 
-def copula_shift(frame: DataFrame, cell: str, vector: str, amount: str, sample: int = 4096, least: int = 64) -> DataFrame:
-    """Vectors moved along the strongest axis of their cell's rank correlation, back through its quantiles.
-
-    The profile of a cell comes from its ``sample`` rows of least hash (a bound, kept in one task);
-    all rows of the cell are then shifted where they are, so a large cell is not gathered.
-    Cells with fewer than ``least`` rows stay as they are.
-    """
-    width = Window.partitionBy(cell, "__salt").orderBy("__h")
-    hashed = frame.select(cell, vector).withColumn("__h", F.xxhash64(vector)).withColumn("__salt", F.pmod("__h", F.lit(64)))
-    bounded = hashed.withColumn("__i", F.row_number().over(width)).filter(F.col("__i") <= sample // 64)
-
-    def profile(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(np.stack(rows[vector]), axis=0)
-        ranks = np.argsort(np.argsort(np.stack(rows[vector]), axis=0), axis=0)
-        scores = _normal_quantile((ranks + 0.5) / len(x))
-        corr = np.corrcoef(scores, rowvar=False) + 1e-6 * np.eye(x.shape[1])
-        values, axes = np.linalg.eigh(corr)
-        grid = np.quantile(x, np.linspace(0.005, 0.995, 101), axis=0)
-        return pd.DataFrame({"cell": [rows[cell].iloc[0]], "n": [len(x)], "axis": [(axes[:, -1] * np.sqrt(values[-1])).tolist()], "grid": [grid.ravel().tolist()]})
-
-    kind = frame.schema[cell].dataType.simpleString()
-    profiles = bounded.groupBy(cell).applyInPandas(profile, f"cell {kind}, n long, axis array<double>, grid array<double>").filter(F.col("n") >= least)
+# ---- profiles of cells ------------------------------------------------------------------
+
+#: Places of the quantile grid of a dimension, and the place from which a Pareto tail takes over.
+GRID = tuple(i / 200 for i in range(201))
+TAIL = 0.95
+#: Bytes of profiles that are sent to the tasks at once; more cells are worked in further rounds.
+PROFILE_BYTES = 64_000_000
+
+
+@dataclass(frozen=True)
+class Cell:
+    """Quantile grid, tails, edges and principal axes of the rank correlation of one cell's vectors."""
+
+    grid: np.ndarray
+    tail: np.ndarray  # threshold, shape and scale of each dimension
+    edges: np.ndarray  # least and greatest value of each dimension
+    values: np.ndarray
+    axes: np.ndarray
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """Normal scores of vectors, one a row."""
+        p = np.stack([np.interp(x[:, i], self.grid[:, i], GRID) for i in range(x.shape[1])], axis=1)
+        return _normal_quantile(np.clip(p, 1e-6, 1 - 1e-6))
+
+    def moved(self, x: np.ndarray, amounts: np.ndarray, lowest: bool = False) -> np.ndarray:
+        """Vectors displaced by Mahalanobis lengths along the strongest (or weakest) axis, back through quantiles or tails."""
+        k = 0 if lowest else -1
+        p = _normal_cdf(self.scores(x) + np.outer(amounts, np.sqrt(max(self.values[k], 0.0)) * self.axes[:, k]))
+        body = np.stack([np.interp(p[:, i], GRID, self.grid[:, i]) for i in range(x.shape[1])], axis=1)
+        u, xi, beta = self.tail
+        xi = np.where(np.abs(xi) < 1e-6, 1e-6, xi)
+        far = u + beta / xi * (np.clip(1 - p, 1e-6, 1.0) ** -xi - 1)
+        out = np.where(p > TAIL, far, body)
+        return self.clipped(np.where(np.isfinite(out), out, self.edges[1]))
+
+    def clipped(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(x, *self.edges)
+
+
+def _grids(frame: DataFrame, cells: list[str], vector: str, edges: tuple[float, float], least: int) -> DataFrame:
+    """cells, dim, size, grid (with the tail's threshold and both edges at its end), b0, b1: exact, from counts of all rows."""
+    long = frame.select(*cells, F.posexplode(vector).alias("dim", "x"))
+    counts = cut(ranks.ranked(long, [*cells, "dim"], "x").filter(F.col("size") >= least))
+    grids = cut(ranks.of_ranks(counts, [*cells, "dim"], "x", [*GRID, TAIL, *edges]))
+    named = {c: f"__g_{i}" for i, c in enumerate((*cells, "dim"))}
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(g)) for c, g in named.items()])
+    limits = grids.select(*[F.col(c).alias(g) for c, g in named.items()], F.col("quantiles")[len(GRID)].alias("__u"))
+    # as specified, the scale below comes out at its floor, so that a tail holds its threshold
+    # weighted moments of what exceeds the threshold: the sum of the ranks of n equal values from b on is n*b + n*(n-1)/2
+    over, n = F.greatest(F.col("x") - F.col("__u"), F.lit(0.0)), F.col("n")
+    place = (n * F.col("below") + n * (n - 1) / 2) / F.greatest(F.col("size") - 1, F.lit(1))
+    moments = counts.join(limits, match).groupBy(*cells, "dim").agg((F.sum(n * over) / F.max("size")).alias("b0"), (F.sum(place * over) / F.max("size")).alias("b1"))
+    named_m = moments.withColumnsRenamed(named)
+    return grids.join(named_m, match).drop(*named.values())
+
+
+def cell_profiles(frame: DataFrame, cells: list[str], vector: str, edges: tuple[float, float] = (0.005, 0.995), least: int = 64, eps: float = 1e-8) -> Iterator[dict[tuple, Cell]]:
+    """Profiles by cell of those with at least so many rows, in rounds of bounded size; all rows of a cell count."""
+    grids = cut(_grids(frame.filter(F.col(vector).isNotNull()), cells, vector, edges, least))
+    names = sorted((tuple(r) for r in grids.select(*cells).distinct().collect()), key=repr)  # a row for each cell
+    width = (grids.agg(F.max("dim")).first()[0] or 0) + 1
+    at_once = max(1, PROFILE_BYTES // (8 * width * (len(GRID) + 8 + width)))
+    for start in range(0, len(names), at_once):
+        some = names[start : start + at_once]
+        yield _profiles(frame, grids, cells, vector, some, width, eps)
+
+
+def _is(cells: list[str], names: list[tuple]) -> Column:
+    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cells, name, strict=True)]) for name in names])
+
+
+def _profiles(frame: DataFrame, grids: DataFrame, cells: list[str], vector: str, names: list[tuple], width: int, eps: float) -> dict[tuple, Cell]:
+    rows = grids.filter(_is(cells, names)).collect()
+    made: dict[tuple, dict[int, object]] = {}
+    for r in rows:
+        made.setdefault(tuple(r[c] for c in cells), {})[r["dim"]] = r
+    marginal = {}
+    for name, dims in made.items():
+        grid = np.array([dims[i]["quantiles"][: len(GRID)] for i in range(width)]).T
+        u, low, high = (np.array([dims[i]["quantiles"][len(GRID) + j] for i in range(width)]) for j in range(3))
+        b0, b1 = (np.array([dims[i][k] for i in range(width)]) for k in ("b0", "b1"))
+        apart = np.where(np.abs(b0 - 2 * b1) < 1e-9, 1e-9, b0 - 2 * b1)
+        tail = np.stack([u, 2 - b0 / apart, np.maximum(2 * b0 * b1 / apart, 1e-9)])
+        marginal[name] = Cell(grid, tail, np.stack([low, high]), np.zeros(0), np.zeros(0))
+    shared = frame.sparkSession.sparkContext.broadcast(marginal)  # of bounded size, see PROFILE_BYTES
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        order = {name: i for i, name in enumerate(shared.value)}
+        for b in batches:
+            keys = [tuple(None if v is pd.NA else v for v in row) for row in b[cells].itertuples(index=False, name=None)]
+            for name in set(keys) & set(order):
+                z = shared.value[name].scores(np.stack([np.asarray(v, np.float64) for v, k in zip(b[vector], keys, strict=True) if k == name]))
+                z = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+                sums[order[name]] = sums.get(order[name], 0) + z.T @ z
+        for cell, total in sums.items():
+            yield pd.DataFrame({"cell": cell, "i": np.arange(total.size), "v": total.ravel()})
+
+    known = frame.filter(F.col(vector).isNotNull() & _is(cells, names)).select(*cells, vector)
+    summed = known.mapInPandas(moments, "cell int, i int, v double").groupBy("cell", "i").agg(F.sum("v").alias("v")).collect()
+    products = np.zeros((len(marginal), (width + 1) ** 2))
+    for cell, i, v in summed:
+        products[cell, i] = v
+    out = {}
+    for product, (name, m) in zip(products.reshape(-1, width + 1, width + 1), marginal.items(), strict=True):
+        n, total = product[0, 0], product[0, 1:]
+        covariance = product[1:, 1:] / n - np.outer(total, total) / n**2
+        spread = np.sqrt(np.maximum(np.diag(covariance), 1e-300))
+        corr = covariance / np.outer(spread, spread)
+        np.fill_diagonal(corr, 1.0)
+        out[name] = Cell(m.grid, m.tail, m.edges, *np.linalg.eigh(corr + eps * np.eye(width)))
+    return out
+
+
+def cell_shift(frame: DataFrame, cells: list[str], vector: str, amount: Column, profiles: Iterator[dict[tuple, Cell]], lowest: Column | None = None, scoped: Column | None = None) -> DataFrame:
+    """Vectors of ``scoped`` rows moved by their amount (null: clipped only) within their cell; rows of cells without a profile stay."""
+    out = frame.withColumns({"__amount": amount.cast("double"), "__lowest": F.lit(False) if lowest is None else lowest, "__scoped": F.lit(True) if scoped is None else scoped})
+    for some in profiles:
+        out = out.withColumn(vector, _shifted(out, some, len(cells))(F.col(vector).cast("array<double>"), F.array(*[F.col(c).cast("string") for c in cells]), "__amount", "__lowest", "__scoped"))
+    return out.drop("__amount", "__lowest", "__scoped")
+
+
+def _shifted(frame: DataFrame, profiles: dict[tuple, Cell], width: int):
+    shared = frame.sparkSession.sparkContext.broadcast({tuple(None if v is None else str(v) for v in k): c for k, c in profiles.items()})
 
     @F.pandas_udf("array<double>")
     def move(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for vectors, axes, grids, amounts in batches:
-            yield pd.Series([v if a is None else _moved(v, a, g, t) for v, a, g, t in zip(vectors, axes, grids, amounts, strict=True)])
-
-    joined = frame.join(profiles.withColumnRenamed("cell", cell), cell, "left")
-    return joined.withColumn(vector, move(F.col(vector).cast("array<double>"), "axis", "grid", F.col(amount).cast("double"))).drop("n", "axis", "grid")
-
-
-def _moved(x, axis, grid, amount) -> np.ndarray:
-    x, axis, levels = np.asarray(x), np.asarray(axis), np.linspace(0.005, 0.995, 101)
-    grid = np.asarray(grid).reshape(101, -1)
-    p = np.array([np.interp(v, grid[:, i], levels) for i, v in enumerate(x)])
-    q = _normal_cdf(_normal_quantile(p) + amount * axis)
-    return np.array([np.interp(v, levels, grid[:, i]) for i, v in enumerate(q)])
+        for vectors, names, amounts, lowest, scoped in batches:
+            out, keys = list(vectors), [tuple(n) for n in names]
+            usable = [k in shared.value and bool(s) and v is not None for k, s, v in zip(keys, scoped, vectors, strict=True)]
+            for group in {(k, bool(low)) for k, low, u in zip(keys, lowest, usable, strict=True) if u}:
+                at = [i for i, u in enumerate(usable) if u and (keys[i], bool(lowest.iloc[i])) == group]
+                x, t, cell = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in at]), amounts.iloc[at].to_numpy(np.float64), shared.value[group[0]]
+                still = np.isnan(t)
+                y = np.where(still[:, None], cell.clipped(x), cell.moved(x, np.nan_to_num(t), group[1]))
+                for i, row in zip(at, y, strict=True):
+                    out[i] = row
+            yield pd.Series(out)
+
+    return move
+
+
+def copula_shift(frame: DataFrame, cell: str, vector: str, amount: str, least: int = 64) -> DataFrame:
+    """Vectors moved along the strongest axis of their cell's rank correlation, back through its quantiles and tails.
+
+    All rows of a cell make its profile, and are shifted where they are. Cells with fewer than
+    ``least`` rows, and null vectors, stay as they are.
+    """
+    rows = frame.withColumn(vector, F.col(vector).cast("array<double>"))
+    return cell_shift(rows, [cell], vector, F.col(amount), cell_profiles(rows, [cell], vector, least=least))
 
 
 def _normal_cdf(z):
@@ -136,6 +251,167 @@ def _normal_quantile(p):
     return np.cbrt(b / 2 + root) + np.cbrt(b / 2 - root)
 
 
+# ---- shifts off the manifold --------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Manifold:
+    """Mean and axes of normal vectors, and the scale of what lies off them; small, so it lives on the driver."""
+
+    mean: list[float]
+    axes: list[list[float]]
+    scale: float
+
+    def off(self, direction: list[float]) -> list[float]:
+        """The part of a direction off the axes, of length one."""
+        axes, d = np.asarray(self.axes), np.asarray(direction, np.float64)
+        rest = d - axes.T @ (axes @ d)
+        return (rest / (np.linalg.norm(rest) + 1e-12)).tolist()
+
+
+def fit_manifold(frame: DataFrame, vector: str, rank: int = 16) -> Manifold:
+    """From the products of all vectors, summed up in the tasks."""
+    width = len(frame.filter(F.col(vector).isNotNull()).select(vector).first()[0])
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width + 1, width + 1))
+        for b in batches:
+            if len(b):
+                x = np.stack([np.asarray(v, np.float64) for v in b[vector]])
+                x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+                total += x.T @ x
+        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+    rows = frame.filter(F.col(vector).isNotNull()).select(vector).mapInPandas(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    product = np.zeros((width + 1) ** 2)
+    for i, v in rows:
+        product[i] = v
+    product = product.reshape(width + 1, width + 1)
+    n, mean = product[0, 0], product[0, 1:] / product[0, 0]
+    values, axes = np.linalg.eigh(product[1:, 1:] / n - np.outer(mean, mean))
+    return Manifold(mean.tolist(), axes[:, ::-1].T[: min(rank, width)].tolist(), float(np.sqrt(max(values[::-1][rank:].sum(), 0.0) / width)))
+
+
+def off_plane(vector: Column, off: list[float], amount: Column) -> Column:
+    """Vectors moved by an amount along a direction."""
+    return F.zip_with(vector, F.array(*[F.lit(x) for x in off]), lambda x, d: x.cast("double") + amount * d)
+
+
+# ---- classes of anomalies applied to spans --------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Operator:
+    """How a class of anomalies changes its victims: geometry, kinds of spans, scope, and which vectors move."""
+
+    name: str
+    geometry: str
+    kinds: tuple[str, ...]
+    scope: str = "span"
+    epi: bool = True
+    sem: bool = True
+    direction: str = "anchor"
+
+
+# The classes and what they touch.
+OPERATORS = (
+    Operator("dpi", "marginal_break", ("llm", "start_agent")),
+    Operator("ipi", "coupling_break_edge", ("tool", "retriever", "output_request"), "edge", epi=False),
+    Operator("mp", "drift", ("llm", "tool", "retriever", "chain"), "session"),
+    Operator("hallucination", "residual_inflate", ("llm",), epi=False, direction="none"),
+    Operator("bias", "conditional_shift", ("llm",), epi=False),
+)
+TAU = (0.5, 4.0)
+
+
+def compound_of(key: Column, pairs: list[tuple[str, str]], share: float, fractions=FRACTIONS, salt: str = "class") -> Column:
+    """The single class, or in a band of ``share`` beyond all of them a pair of classes ("a+b") chosen by a second hash."""
+    single, u, whole = class_of(key, fractions, salt), u01(key, salt), sum(fractions.values())
+    if not pairs or share <= 0:
+        return single
+    return F.when((u >= whole) & (u < whole + share), pick(key, f"{salt}-pair", [f"{a}+{b}" for a, b in pairs])).otherwise(single)
+
+
+def compound_sql(key: str, pairs: list[tuple[str, str]], share: float, fractions=FRACTIONS, salt: str = "class") -> str:
+    u, whole, names = u01_sql(key, salt), 0.0, ", ".join(f"'{a}+{b}'" for a, b in pairs)
+    whole = sum(fractions.values())
+    return f"CASE WHEN {u} >= {whole!r}::DOUBLE AND {u} < {whole + share!r}::DOUBLE THEN ([{names}])[(floor({u01_sql(key, f'{salt}-pair')} * {len(pairs)}) + 1)::INT] ELSE {class_sql(key, fractions, salt)} END"
+
+
+def roles(spans: DataFrame, pairs: list[tuple[str, str]] = (), share: float = 0.0) -> DataFrame:
+    """Spans with step, anomaly_type (compound ones too), anomaly_severity, class and anomaly_role of their trace."""
+    step = F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time_ns", "span_id")) - 1
+    out = spans.withColumn("step", step).withColumn("anomaly_type", compound_of(F.col("trace_id"), list(pairs), share))
+    out = out.withColumn("anomaly_severity", severity_of(F.col("trace_id"), F.col("anomaly_type")))
+    normal = F.col("anomaly_type") == NORMAL
+    return out.withColumns({"class": (~normal).cast("int"), "anomaly_role": F.when(normal, "none").otherwise("member")})
+
+
+def classes_of(label: Column) -> Column:
+    """The classes that are applied to a row, one after the other."""
+    return F.when(label == NORMAL, F.array().cast("array<string>")).otherwise(F.split(label, r"\+"))
+
+
+def in_scope(name: Column, kind: Column, operators=OPERATORS) -> Column:
+    """Whether a span of this kind is a victim of the class; others of its trace are bystanders."""
+    return reduce(lambda out, o: F.when(name == o.name, F.lit(True) if o.scope == "session" else kind.isin(*o.kinds)).otherwise(out), operators, F.lit(False))
+
+
+def bystanders(victims: DataFrame, scoped: DataFrame, keys=("trace_id", "span_id")) -> DataFrame:
+    """Victim spans that are not touched."""
+    return victims.join(scoped.select(*keys), list(keys), "left_anti")
+
+
+def apply_classes(
+    spans: DataFrame, profiles: list[dict[tuple, Cell]], manifold: Manifold, directions: dict[str, list[float]], epi: str = "epi_vector", sem: str = "sem_vector", operators=OPERATORS,
+) -> DataFrame:
+    """Move the vectors of victims; ``spans`` come from ``roles`` and have aef_kind and agent_id.
+
+    The amount in a cell (kind, agent) follows the mean severity of the label's victims there. Epi vectors
+    move through the profile of their cell and are clipped to it, sem vectors move off
+    the manifold, under drift by their step's share of the last step there. Compound classes are
+    applied in turn. Bystanders and normal spans stay as they are: nothing is taken apart and
+    put together again.
+    """
+    by, out = {o.name: o for o in operators}, spans.withColumns({epi: F.col(epi).cast("array<double>"), sem: F.col(sem).cast("array<double>")})
+    rounds = out.agg(F.max(F.size(classes_of(F.col("anomaly_type"))))).first()[0] or 0
+    for k in range(rounds):
+        name = F.get(classes_of(F.col("anomaly_type")), k)
+        out = out.withColumn("__class", F.when(in_scope(name, F.col("aef_kind"), operators), name))
+        cells = out.filter(F.col("__class").isNotNull()).groupBy(F.col("anomaly_type").alias("__c"), F.col("aef_kind").alias("__k"), F.col("agent_id").alias("__a"))
+        cells = cut(cells.agg((TAU[0] + (TAU[1] - TAU[0]) * F.avg("anomaly_severity")).alias("__tau"), F.max("step").alias("__last")))
+        match = F.col("__class").isNotNull() & (F.col("anomaly_type") == F.col("__c")) & F.col("aef_kind").eqNullSafe(F.col("__k")) & F.col("agent_id").eqNullSafe(F.col("__a"))
+        small = cells.limit(ranks.BROADCAST_GROUPS + 1).count() <= ranks.BROADCAST_GROUPS
+        out = out.join(F.broadcast(cells) if small else cells, match, "left")
+        any_of = lambda test: F.col("__class").isin(*[o.name for o in by.values() if test(o)]) if any(test(o) for o in by.values()) else F.lit(False)
+        lowest = F.coalesce(any_of(lambda o: o.geometry in ("coupling_break_edge", "residual_inflate")), F.lit(False))
+        amount = F.when(any_of(lambda o: o.epi), F.col("__tau"))
+        out = cell_shift(out, ["aef_kind", "agent_id"], epi, amount, iter(profiles), lowest, F.col("__class").isNotNull())
+        moved = F.col(sem)
+        for o in by.values():
+            if o.sem:
+                ramp = F.col("step") / F.greatest(F.col("__last"), F.lit(1)) if o.geometry == "drift" else F.lit(1.0)
+                off = manifold.off(directions.get(o.name, [1.0] + [0.0] * (len(manifold.mean) - 1)))
+                moved = F.when(F.col("__class") == o.name, off_plane(F.col(sem), off, F.col("__tau") * manifold.scale * ramp)).otherwise(moved)
+        out = out.withColumn(sem, moved).drop("__class", "__c", "__k", "__a", "__tau", "__last")
+    return out
+
+
+def noisy_texts(victims: DataFrame, embed, text: str = "output_text", sem: str = "sem_vector", name: str = "hallucination", operators=OPERATORS) -> DataFrame:
+    """The other way to hallucinate: texts of victims in scope are corrupted and embedded anew; bystanders are kept."""
+    kinds = next(o.kinds for o in operators if o.name == name)
+    scoped = victims.filter(F.col("aef_kind").isin(*kinds))
+    changed = scoped.withColumn(text, corrupted(F.col(text), F.concat_ws("|", "trace_id", "span_id")))
+    return changed.withColumn(sem, embed(F.col(text))).unionByName(bystanders(victims, scoped))
+
+
+def anchor_direction(spark, texts: list[str], embed) -> list[float]:
+    """Mean vector of a class's anchor texts, of length one; a handful of texts."""
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(embed(F.col("t")).alias("v")).collect()
+    mean = np.mean([r["v"] for r in rows], axis=0)
+    return (mean / (np.linalg.norm(mean) + 1e-12)).tolist()
+
+
 def rank_auc(frame: DataFrame, score: str, label: str) -> DataFrame:
     """Mann-Whitney AUC with mean ranks for ties, from counts of distinct scores; never one window over all rows."""
     per = frame.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +146,104 @@ def hashed_embedding(text: Column, width: int = 64) -> Column:
 
 def clipped(c: Column, low: float, high: float) -> Column:
     return clip(c, low, high)
+
+
+# ---- the whole way from features to vectors ---------------------------------------------
+
+
+def surviving(frame: DataFrame, columns: list[str], least_fill: float = 0.5, most_static: float = 0.95, most_corr: float = 0.999, most: float = 1e6) -> list[str]:
+    """Columns that are filled and varied enough, repeat no other one and hold no huge value, in the order of their names.
+
+    Only names reach the driver, at most one for each column.
+    """
+    good = sorted(r[0] for r in useful(frame, columns, least_fill, most_static).select("feature").collect())
+    if not good:
+        return []
+    again = {r[0] for r in redundant(correlations(frame, good), most_corr).collect()}
+    rest = [c for c in good if c not in again]
+    large = {r[0] for r in huge(frame, rest, most).collect()}
+    return [c for c in rest if c not in large]
+
+
+def fit_vectors(frame: DataFrame, columns: list[str], fill: float = 0.0, **limits) -> dict:
+    """Parameters of ``vectors``: the surviving columns and what nulls are filled with."""
+    return {"columns": surviving(filled(frame, columns, fill), columns, **limits), "fill": fill}
+
+
+def vectors(frame: DataFrame, parameters: dict, name: str = "epi_vector", keep: list[str] | None = None) -> DataFrame:
+    """``frame`` (or its columns ``keep``) with the vector of fitted columns; the same for training and inference."""
+    out = filled(frame, parameters["columns"], parameters["fill"]).withColumn(name, vector(parameters["columns"]) if parameters["columns"] else F.array().cast("array<double>"))
+    return out if keep is None else out.select(*keep, name)
+
+
+def inference_traces(frame: DataFrame, parameters: dict, embed, text: str = "sem_text", stats: DataFrame | None = None) -> DataFrame:
+    """Sequences of new spans by stored parameters; labels, if there are any, are dropped."""
+    rows = vectors(frame, parameters).withColumn("sem_vector", embed(F.col(text)))
+    if stats is not None:
+        rows = normalised(rows, "epi_vector", stats)
+    unlabelled = rows.withColumns({"is_anomaly": F.lit(None).cast("boolean"), "anomaly_type": F.lit(None).cast("string")})
+    out = sequences(unlabelled, ["epi_vector", "sem_vector"])
+    return out.withColumnsRenamed({"epi_vector_sequence": "epi_sequence", "sem_vector_sequence": "sem_sequence"}).drop("is_anomaly", "anomaly_type")
+
+
+def normalised_sequences(frame: DataFrame, column: str, stats: DataFrame) -> DataFrame:
+    """Each vector of each sequence less its shift, by its scale."""
+    row = stats.agg(F.sort_array(F.collect_list(F.struct("dim", "shift", "scale"))).alias("__s"))  # a row for each dimension
+    moved = F.transform(column, lambda v: F.zip_with(v, F.col("__s"), lambda x, s: (x.cast("double") - s["shift"]) / s["scale"]))
+    return frame.crossJoin(F.broadcast(row)).withColumn(column, moved).drop("__s")
+
+
+def embedder(function, width: int):
+    """A column function from texts to vectors by a batch function (list of texts to a matrix), run in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = np.asarray(function([t or "" for t in texts]), np.float64).reshape(len(texts), width)
+        return pd.Series(out.tolist())
+
+    return embed
+
+
+def anomaly_types(frame: DataFrame, label: str = "anomaly_type", normal: str = "NonAnomaly") -> DataFrame:
+    """Distinct types of anomalies, sorted."""
+    return frame.filter((F.col(label) != normal) & (F.col(label) != "unknown")).select(label).distinct().orderBy(label)
+
+
+def fractions(frame: DataFrame, key: str, label: str, salt: str = "fraction") -> DataFrame:
+    """Rows with ``__q``: place in the hash order of their label by the number of its rows, from 0 to below 1; ranks come from hash buckets as in ``stratified_split``."""
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
+    rows = frame.withColumn("__h", h).withColumn("__b", F.pmod(F.shiftright("__h", 48), F.lit(4096)))
+    counts = rows.groupBy(F.col(label).alias("__label"), F.col("__b").alias("__bucket")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy("__label").orderBy("__bucket")
+    counts = counts.withColumn("__before", F.sum("__c").over(w) - F.col("__c")).withColumn("__n", F.sum("__c").over(Window.partitionBy("__label")))
+    own = F.row_number().over(Window.partitionBy(label, "__b").orderBy("__h", key)) - 1
+    placed = rows.withColumn("__own", own).join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__b") == F.col("__bucket")))
+    return placed.withColumn("__q", (F.col("__before") + F.col("__own")) / F.col("__n")).select(*frame.columns, "__q")
+
+
+def cut_by_fraction(frame: DataFrame, key: str, label: str, train: float = 0.6, val: float = 0.2) -> DataFrame:
+    """Rows with ``split``: train, val or test by their place within their label."""
+    q = F.col("__q")
+    split = F.when(q < train, "train").when(q < train + val, "val").otherwise("test")
+    return fractions(frame, key, label).withColumn("split", split).drop("__q")
+
+
+def sample(frame: DataFrame, key: str, label: str, sizes: dict, salt: str = "sample") -> DataFrame:
+    """Up to so many rows of each listed label, those of least hash."""
+    out = None
+    for value, n in sizes.items():
+        part = frame.filter(F.col(label) == value).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(salt)), key).limit(n)
+        out = part if out is None else out.unionByName(part)
+    return frame.limit(0) if out is None else out
+
+
+def numeric_columns(frame: DataFrame, protected=()) -> list[str]:
+    """Names of numeric columns but for protected ones."""
+    return [c for c, t in frame.dtypes if t in ("tinyint", "smallint", "int", "bigint", "float", "double") and c not in protected]
+
+
+def without(frame: DataFrame, pattern: str) -> DataFrame:
+    """The columns whose names do not match."""
+    import re
+
+    return frame.select(*[c for c in frame.columns if not re.search(pattern, c)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,59 @@ def grouped(samples: dict[str, DataFrame], column: str) -> DataFrame:
     """value and group from a column of several frames."""
     parts = [f.select(F.col(column).cast("double").alias("value"), F.lit(g).alias("group")) for g, f in samples.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def policy_values(policy) -> list[tuple[str, float]]:
+    """Numbers of a policy by name; those of a tuple are numbered."""
+    from dataclasses import asdict
+
+    out = []
+    for name, value in asdict(policy).items():
+        out += [(f"{name}_{i}", float(v)) for i, v in enumerate(value)] if isinstance(value, tuple | list) else [(name, float(value))]
+    return out
+
+
+def policy_table(spark: SparkSession, policy) -> DataFrame:
+    """parameter, value: one row for each number of a policy."""
+    return spark.createDataFrame(policy_values(policy), "parameter string, value double")
+
+
+def counts_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, rows."""
+    out = None
+    for name, frame in tables.items():
+        one = frame.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: What the scores are made of, for readers of a report.
+FORMULAS = (
+    ("volume_score", "1 / (1 + exp(-steepness * (log10(eff_traces + 1) - log10(volume_target))))"),
+    ("quality_score", "weighted sum of validity, presence and retention"),
+    ("accel_score", "weighted sum of logistic(trend_gain * trend), stability and 1 - exp(-rate / rate_target)"),
+    ("readiness", "weighted sum of volume_score, quality_score and accel_score"),
+)
+
+
+def formula_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(FORMULAS), "score string, formula string")
+
+
+def collected(stages: dict[str, DataFrame]) -> DataFrame:
+    """stage, metric, value: the one-row metric tables of several stages, one below the other."""
+    out = None
+    for name, frame in stages.items():
+        numbers = [c for c, t in frame.dtypes if t in ("int", "bigint", "float", "double")]
+        one = frame.select(F.inline(F.array(*[F.struct(F.lit(name).alias("stage"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers])))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def runs_table(spark: SparkSession, runs: list[tuple[dict, float]], metric: str) -> DataFrame:
+    """run, parameters (as JSON), metric, best: a row for each run of an experiment."""
+    import json
+
+    best = max(range(len(runs)), key=lambda i: runs[i][1]) if runs else None  # the first on ties
+    rows = [(i, json.dumps(p, sort_keys=True), float(v), i == best) for i, (p, v) in enumerate(runs)]
+    return spark.createDataFrame(rows, f"run int, parameters string, {metric} double, best boolean")

@@ -75,6 +75,52 @@ def multiclass(frame: DataFrame, truth: str, predicted: str) -> DataFrame:
     return out.select(F.col("c").alias("label"), precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / (precision + recall + EPS)).alias("f1"), "support")
 
 
+def matrix(frame: DataFrame, truth: str, predicted: str, names: list) -> DataFrame:
+    """actual, predicted, n of all pairs of the listed classes, zero counts too."""
+    spark = frame.sparkSession
+    grid = spark.createDataFrame([(a, b) for a in names for b in names], f"actual {frame.schema[truth].dataType.simpleString()}, predicted {frame.schema[predicted].dataType.simpleString()}")
+    counts = frame.groupBy(F.col(truth).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return grid.join(counts, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def averages(cells: DataFrame, eps: float = EPS) -> DataFrame:
+    """Macro and micro averages of the metrics from a matrix of actual, predicted, n: a row for each way."""
+    both = cells.select(F.inline(F.array(F.struct(F.col("actual").alias("c"), F.lit(1).alias("side")), F.struct(F.col("predicted").alias("c"), F.lit(0).alias("side")))), "n", (F.col("actual") == F.col("predicted")).alias("hit"))
+    one = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    per = both.groupBy("c").agg(one((F.col("side") == 1) & F.col("hit")).alias("tp"), one(F.col("side") == 1).alias("support"), one(F.col("side") == 0).alias("said"))
+    whole = cells.agg(F.sum("n").alias("total"), one(F.col("actual") == F.col("predicted")).alias("right"))
+    counts = per.crossJoin(F.broadcast(whole)).select("c", "tp", (F.col("said") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"), (F.col("total") - F.col("said") - F.col("support") + F.col("tp")).alias("tn"), "total", "right")  # whole is one row
+    accuracy = (F.max("right") / (F.max("total") + eps)).alias("accuracy")
+    names = ("precision", "recall", "specificity", "f1", "youden")
+    macro = metrics(counts.select("tp", "fp", "fn", "tn", "total", "right"), eps).drop("accuracy").agg(accuracy, *[F.avg(c).alias(c) for c in names])
+    pooled = counts.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.max("right").alias("right"), F.max("total").alias("total"))
+    micro = metrics(pooled, eps).select((F.col("right") / (F.col("total") + eps)).alias("accuracy"), *names)
+    return macro.select(F.lit("macro").alias("average"), "*").unionByName(micro.select(F.lit("micro").alias("average"), "*"))
+
+
+def average_precision(frame: DataFrame, score: str, label: str) -> DataFrame:
+    """Mean precision over the recall gained at each distinct score, from counts of scores; never one window over all rows."""
+    from tracewright.operators.selection import _running
+
+    per = frame.filter(F.col(score).isNotNull()).groupBy((-F.col(score)).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label).isin(0, 1)).alias("m"))
+    above = _running(per, [F.col("s")], F.col("p"), "p_above")
+    placed = _running(above, [F.col("s")], F.col("m"), "m_above")
+    precision = (F.col("p_above") + F.col("p")) / (F.col("m_above") + F.col("m"))
+    return placed.agg(F.try_divide(F.sum(F.when(F.col("p") > 0, F.col("p") * precision)), F.sum("p")).alias("average_precision"))
+
+
+def grid(**choices) -> list[dict]:
+    """All combinations of the listed values, in their order."""
+    from itertools import product
+
+    return [dict(zip(choices, values, strict=True)) for values in product(*choices.values())]
+
+
+def pick_best(runs: list[tuple[dict, float]]) -> tuple[dict, float]:
+    """The run of greatest metric, the first on ties."""
+    return max(runs, key=lambda r: r[1])
+
+
 def robust_stats(frame: DataFrame, error: str) -> DataFrame:
     """median and mad, one row."""
     middle = ranks.median(frame, F.col(error))

@@ -8,6 +8,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.stats import u01
+
 A, C, M = 1_103_515_245, 12_345, 2**31
 
 
@@ -110,3 +112,28 @@ def cut(frame: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return frame.checkpoint()
+
+
+def head(frame: DataFrame, order: list, n: int) -> DataFrame:
+    """The first rows in an order; each task keeps n at most."""
+    return frame.orderBy(*order).limit(n)
+
+
+def sample_by(frame: DataFrame, key: str, group: str, n: int, salt: str = "shuffle") -> DataFrame:
+    """Up to n rows of each group, first in a hashed order; parts of a group are cut to n before they meet."""
+    place = [u01(F.col(key).cast("string"), salt), F.col(key)]
+    part = F.pmod(F.xxhash64(key), F.lit(64))
+    first = frame.withColumn("__i", F.row_number().over(Window.partitionBy(group, part).orderBy(*place))).filter(F.col("__i") <= n)
+    return first.withColumn("__i", F.row_number().over(Window.partitionBy(group).orderBy(*place))).filter(F.col("__i") <= n).drop("__i")
+
+
+def mode_of(whole_traces: bool, whole_window: bool) -> str:
+    """strict if every span must fit, loose if whole traces with any fitting span are kept, else open."""
+    return "strict" if whole_window else "loose" if whole_traces else "open"
+
+
+def piped(frame: DataFrame, *steps) -> DataFrame:
+    """Steps from frame to frame, one after the other."""
+    for step in steps:
+        frame = frame.transform(step)
+    return frame

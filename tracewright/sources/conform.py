@@ -104,3 +104,30 @@ def schema_check(frame: DataFrame, spec=SPEC, penalty: float = 0.12) -> DataFram
 def write_records(frame: DataFrame, path: str) -> None:
     """JSON lines, nulls as empty strings."""
     frame.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in frame.columns]).write.json(path)
+
+
+def conformed_vectors(frame: DataFrame, vectors: list[str], keys: tuple[str, ...] = ("trace_id", "session_id", "agent_id", "aef_kind"), order: str = "start_time_ns") -> DataFrame:
+    """Vectors as arrays of floats, keys as texts, the order as a number; what can't be cast is null, absent columns are left out."""
+    casts = {v: F.transform(v, lambda x: x.try_cast("float")) for v in vectors if v in frame.columns}
+    casts |= {k: F.col(k).cast("string") for k in keys if k in frame.columns}
+    if order in frame.columns:
+        casts[order] = F.col(order).cast("string").try_cast("bigint")
+    return frame.withColumns(casts)
+
+
+def write_splits(frame: DataFrame, path: str, split: str = "split") -> None:
+    """Parquet, a folder for each split; each task writes its rows as they come."""
+    frame.write.partitionBy(split).parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, name: str, columns: list[str], split: str = "split") -> DataFrame:
+    """Some columns of one split; only its folder and these columns are read."""
+    return spark.read.parquet(path).filter(F.col(split) == name).select(*columns)
+
+
+def replaced(c: Column, mapping: dict, otherwise: Column | None = None) -> Column:
+    """Values by a mapping; others as they are, or as told."""
+    from itertools import chain
+
+    known = F.element_at(F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())]), c)
+    return F.coalesce(F.when(c.isNotNull(), known), c if otherwise is None else otherwise)
