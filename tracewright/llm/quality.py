@@ -5,9 +5,9 @@ counts as one special token, so that repetition is seen whatever is repeated.
 One- and two-grams are hashed to ``2**BITS`` places, and a document is the vector of its
 n-gram frequencies. The score is the logistic function of a sparse dot product.
 
-Training takes at most ``TRAIN_ROWS`` labelled documents (the bound is a parameter;
-those with the least hash of their id), never one that is held out, and runs in one
-task on these rows. Only the weights come back, ``2**BITS`` floats.
+Training takes at most ``TRAIN_ROWS`` labelled documents of ``TRAIN_BYTES`` in all (the bounds
+are parameters; those with the least hash of their id, one text for each id), never one that is
+held out, and runs in one task on these rows. Only the weights come back, ``2**BITS`` floats.
 Scoring reads every whole text once and shuffles nothing.
 
 Cases: a null text counts as empty, and an empty one scores what the bias alone
@@ -23,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.llm import common
 from tracewright.llm.hashing import U64, WordHashes, ngrams
 
 BITS = 18
 TRAIN_ROWS = 8_000
+TRAIN_BYTES = 64_000_000
 EPOCHS = 3
 #: FTRL: learning rate, smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-3
@@ -99,19 +101,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT == 0, F.lit(False))
 
 
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most: int = TRAIN_BYTES, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Fit on the bounded sample of labelled documents that are not held out."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     voted = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("__label"))
     sample = voted.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id").limit(rows)
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    found = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # of an id that repeats one text is learned from, so there are at most ``rows`` of them
+    texts = found.groupBy("__h", "doc_id", "__label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    texts = common.stored(texts.withColumn("__size", F.octet_length("text")), "training")
+    upto = F.sum("__size").over(Window.orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    short = texts.select("__h", "doc_id", "__size").withColumn("__upto", upto).filter(F.col("__upto") <= most).select("__h", "doc_id")  # at most ``rows`` slim rows
+    texts = texts.join(F.broadcast(short), ["__h", "doc_id"])
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         examples = [(t, int(y)) for b in batches for t, y in zip(b["text"], b["__label"], strict=True)]
         weights, bias = fit(examples, bits)
         yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
-    one = texts.repartition(1).sortWithinPartitions("__h", "doc_id", "text").select("text", "__label")  # at most ``rows`` rows
+    one = texts.repartition(1).sortWithinPartitions("__h", "doc_id").select("text", "__label")  # at most ``rows`` rows of ``most`` bytes
     model = one.mapInPandas(in_task, "weights binary, bias double").first()
     if model is None:
         return np.zeros(1 << bits, np.float32), 0.0
