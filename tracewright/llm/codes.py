@@ -4,7 +4,7 @@ File format. A token file is a Parquet folder; each row is a segment: some docum
 in ascending order, at most ``SEGMENT_TOKENS`` tokens unless one document alone has more.
 Segments are independent, so readers split and recover by rows. Columns:
 
-    first_doc, segment   order of the segments: least id in it, number within its task
+    part, segment        order of the segments: range of ids, number within it
     doc_ids              bytes: int64 each; has_id: bytes, 0 where the id is null
     lengths              bytes: uint32 each, tokens of each document with its end id
     n_tokens, n_docs     counts
@@ -17,8 +17,8 @@ stands in level 1 at the rank of that bit: the number of set bits before it.
 one popcount of at most 64 bytes for each level, and decodes nothing else.
 
 Cases: a null text is encoded as the empty one, which leaves its end id alone; null
-ids come first; rows with one id are ordered by text, repeated rows stand side by side
-and are written each; an empty table gives no segments; columns beside doc_id and
+ids come first; rows with one id are ordered by text within a range, and by their files between
+ranges where they are too many for one; repeated rows are written each; an empty table gives no segments; columns beside doc_id and
 text are not read; very long texts are taken whole and get a segment of their own.
 """
 
@@ -36,6 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ WORD_END = "</w>"
 TOGETHER = 1_000_000
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 _SEGMENT = (
-    "first_doc long, segment int, doc_ids binary, has_id binary, lengths binary, n_tokens long, n_docs long, "
+    "part int, segment int, doc_ids binary, has_id binary, lengths binary, n_tokens long, n_docs long, "
     "levels array<struct<chunks:binary,more:binary,ranks:binary>>"
 )
 
@@ -205,12 +206,12 @@ def write(documents: DataFrame, path: str, tokenizer_path: str = TOKENIZER, end:
     n = common.partitions(documents.sparkSession)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
-    # rows of one id must share a task, so ranges go by id alone
-    dealt = rows.repartitionByRange(n, order[0]).sortWithinPartitions(*order)
+    # an id that fills many rows is dealt over several ranges
+    dealt = rows.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(n, order[0], "__place").sortWithinPartitions(*order)
     dealt = dealt.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), "text")
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, tail = encoder(tokenizer_path), np.array([end], "<u4").tobytes()
+        encode, tail, part_of = encoder(tokenizer_path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
         ids, has, coded, size, number = [], [], [], 0, 0
         for b in batches:
             for at in range(0, len(b), 256):
@@ -221,22 +222,20 @@ def write(documents: DataFrame, path: str, tokenizer_path: str = TOKENIZER, end:
                     coded.append(code + tail)
                     size += len(code) // 4 + 1
                     if size >= segment_tokens:
-                        yield _segment(ids, has, coded, number)
+                        yield _segment(part_of, ids, has, coded, number)
                         ids, has, coded, size, number = [], [], [], 0, number + 1
         if ids:
-            yield _segment(ids, has, coded, number)
+            yield _segment(part_of, ids, has, coded, number)
 
     dealt.mapInPandas(in_task, _SEGMENT).write.parquet(path)
 
 
-def _segment(ids: list, has: list, coded: list[bytes], number: int) -> pd.DataFrame:
+def _segment(part: int, ids: list, has: list, coded: list[bytes], number: int) -> pd.DataFrame:
     tokens = np.frombuffer(b"".join(coded), "<u4")
     lengths = np.array([len(c) // 4 for c in coded], "<u4")
-    # null ids come first, below every id; a least long stands for them in the order
-    first = ids[0] if has[0] else np.iinfo(np.int64).min
     return pd.DataFrame(
         {
-            "first_doc": [first], "segment": [number], "doc_ids": [np.array(ids, "<i8").tobytes()], "has_id": [np.array(has, np.uint8).tobytes()],
+            "part": [part], "segment": [number], "doc_ids": [np.array(ids, "<i8").tobytes()], "has_id": [np.array(has, np.uint8).tobytes()],
             "lengths": [lengths.tobytes()], "n_tokens": [len(tokens)], "n_docs": [len(ids)], "levels": [pack(tokens)],
         }
     )
@@ -248,11 +247,11 @@ def read(spark, path: str) -> DataFrame:
     Starts come from the counts of the segments alone, summed over their global order.
     """
     segments = spark.read.schema(_SEGMENT).parquet(path)
-    heads = segments.select("first_doc", "segment", "n_tokens")
-    order = [F.col("first_doc"), F.col("segment")]
+    heads = segments.select("part", "segment", "n_tokens")
+    order = [F.col("part"), F.col("segment")]
     starts = common.saved(common.running(heads, order, {"start": F.col("n_tokens")}).drop("n_tokens"))
     small = common.small_side(starts)
-    placed = segments.join(starts if small is None else small, ["first_doc", "segment"])
+    placed = segments.join(starts if small is None else small, ["part", "segment"])
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -269,6 +268,38 @@ def read(spark, path: str) -> DataFrame:
     return placed.select(*columns).mapInPandas(in_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """doc_id, position, token for each wanted (doc_id, position); positions count from 0 within a document.
+
+    Documents are found by the lists of ids and lengths alone. Of the codes only the segments
+    that hold a wanted token are read, and in them only the bytes that ``token_at`` touches are
+    decoded. A position beyond its document has no row; rows of one id are all looked up.
+    """
+    segments = spark.read.schema(_SEGMENT).parquet(path)
+
+    def documents_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                lengths, has = np.frombuffer(row.lengths, "<u4").astype(np.int64), np.frombuffer(row.has_id, np.uint8) > 0
+                ids = np.frombuffer(row.doc_ids, "<i8")
+                yield pd.DataFrame({"part": row.part, "segment": row.segment, "doc_id": ids, "first": np.cumsum(lengths) - lengths, "n": lengths})[has]
+
+    places = segments.select("part", "segment", "doc_ids", "has_id", "lengths").mapInPandas(documents_of, "part int, segment int, doc_id long, first long, n long")
+    small = common.small_side(wanted.select("doc_id", "position").distinct())
+    asked = wanted.select("doc_id", "position").distinct() if small is None else small
+    at = places.join(asked, "doc_id").filter((F.col("position") >= 0) & (F.col("position") < F.col("n")))
+    at = at.select("part", "segment", "doc_id", "position", (F.col("first") + F.col("position")).alias("place"))
+
+    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples(index=False):
+                found = [token_at(row.levels, w["place"]) for w in row.wanted]
+                yield pd.DataFrame({"doc_id": [w["doc_id"] for w in row.wanted], "position": [w["position"] for w in row.wanted], "token": found})
+
+    by_segment = at.groupBy("part", "segment", F.floor(F.col("place") / 65536).alias("stretch")).agg(F.collect_list(F.struct("doc_id", "position", "place")).alias("wanted"))
+    return segments.select("part", "segment", "levels").join(by_segment, ["part", "segment"]).select("levels", "wanted").mapInPandas(tokens_of, "doc_id long, position long, token long")
+
+
 def report(documents: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
     """Write the documents as a token file in the shared folder, and read it back."""
     import uuid
