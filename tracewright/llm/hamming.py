@@ -1,6 +1,7 @@
 """Exact top-k search on binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into m segments of about log2(number of codes / 64) bits, and each distinct
+A code is an array of 64-bit words, cut into m segments of about log2(number of codes / 64) bits
+that lie within its words, and each distinct
 code is filed under each of its segments. In round s every open query looks up all
 segment values at s flipped bits and verifies the whole codes it finds. After round s all
 codes within m*(s+1)-1 bits have been seen: if they differed in more than s bits in every
@@ -12,8 +13,8 @@ Equal codes are filed once, with their count and least ids, so a vector that fil
 the table costs one entry. Buckets are cut into arrays of at most ``CHUNK`` codes; a look-up
 returns the k best of an array, so rows follow the look-ups, not the pairs.
 
-Cases: rows with a null id or vector are neither found nor queries; null elements count as not
-positive; bits beyond 64 fold by exclusive or; ties in distance go by id; rows that
+Cases: rows with a null id or code are neither found nor queries; null elements count as not
+positive; codes of fewer words than the longest are filled up with zeros; ties in distance go by id; rows that
 repeat are found as often as they stand there; a query finds itself, as all rows are
 searched; if there are fewer than k rows, all are returned; an empty table gives an
 empty result.
@@ -22,6 +23,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -39,21 +41,39 @@ SALTS = 64
 
 
 def sign_code(vector: Column) -> Column:
-    """Bit i of the code: element i is positive."""
-    bit = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i % BITS)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bit, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    """Bit i % 64 of word i / 64 of the code: element i is positive. As many words as the vector needs, one at least."""
+    bits = F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i % BITS)).otherwise(F.lit(0).cast("long")))
+    words = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(vector) - 1) / BITS), F.lit(0)).cast("int")), lambda k: F.slice(bits, k * BITS + 1, F.lit(BITS)))
+    return F.transform(words, lambda w: F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
 
 
-def segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments, so that a segment value is shared by about PER_BUCKET codes."""
+Segment = tuple[int, int, int]
+
+
+def segments(codes: int, words: int = 1) -> list[Segment]:
+    """(word, shift, width) of the segments, so that a segment value is shared by about PER_BUCKET codes."""
     width = min(20, max(8, round(math.log2(max(2, codes / PER_BUCKET)))))
     m = math.ceil(BITS / width)
     edges = [round(i * BITS / m) for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [(word, a, b - a) for word in range(words) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _value(code: Column, segment: Segment) -> Column:
+    word, shift, width = segment
+    return F.call_function("shiftrightunsigned", F.get(code, word), F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _segment_values(code: Column, cut: list[Segment]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("seg"), _value(code, s).alias("value")) for i, s in enumerate(cut)])
+
+
+def distance(a: Column, b: Column, words: int) -> Column:
+    """Number of differing bits of two codes."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get(a, w).bitwiseXOR(F.get(b, w))) for w in range(words)]).cast("int")
 
 
-def _segment_values(code: Column, cut: list[tuple[int, int]]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("seg"), F.call_function("shiftrightunsigned", code, F.lit(s)).bitwiseAND(F.lit((1 << w) - 1).cast("long")).alias("value")) for i, (s, w) in enumerate(cut)])
+def _filled(code: Column, words: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.coalesce(F.get(code, i), F.lit(0).cast("long")))
 
 
 def _distinct_codes(items: DataFrame, k: int) -> DataFrame:
@@ -67,7 +87,7 @@ def _distinct_codes(items: DataFrame, k: int) -> DataFrame:
     return whole.select("code", "copies", repeated.alias("ids"))
 
 
-def _index(codes: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
+def _index(codes: DataFrame, cut: list[Segment]) -> DataFrame:
     """seg, value, codes: arrays of struct(least id, code, copies), at most about CHUNK in one."""
     filed = codes.select(F.inline(_segment_values(F.col("code"), cut)), "code", "copies", F.element_at("ids", 1).alias("id"))
     sizes = filed.groupBy("seg", "value").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
@@ -78,20 +98,23 @@ def _index(codes: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
 def search(items: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, id, distance: the k nearest items of each query.
 
-    ``items`` and ``queries`` have the columns id and code (64-bit). Results are whole and exact.
+    ``items`` and ``queries`` have the columns id and code (an array of 64-bit words). Results are whole and exact.
     """
-    items = items.filter(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code")
-    queries = queries.filter(F.col("id").isNotNull() & F.col("code").isNotNull()).select(F.col("id").alias("query_id"), F.col("code").alias("query"))
+    known = F.col("id").isNotNull() & F.col("code").isNotNull()
+    words = max([f.filter(known).agg(F.max(F.size("code"))).first()[0] or 1 for f in (items, queries)])
+    whole = _filled(F.col("code"), words)
+    items = items.filter(known).select("id", whole.alias("code"))
+    queries = queries.filter(known).select(F.col("id").alias("query_id"), whole.alias("query"))
     codes = common.saved(_distinct_codes(items, k))
-    cut = segments(codes.count())
+    cut = segments(codes.count(), words)
     index = common.saved(_index(codes, cut))
-    best_type = "array<struct<distance:int,id:{},code:bigint,copies:bigint>>".format(items.schema["id"].dataType.simpleString())
+    best_type = "array<struct<distance:int,id:{},code:array<bigint>,copies:bigint>>".format(items.schema["id"].dataType.simpleString())
     state = common.saved(queries.select("query").distinct().select("query", F.array().cast(best_type).alias("best"), F.lit(False).alias("closed")))
-    for flips in range(max(w for _, w in cut) + 1):
+    for flips in range(max(w for *_, w in cut) + 1):
         open_ = state.filter("not closed")
         if open_.isEmpty():
             break
-        found = _look_up(open_, index, cut, flips, k)
+        found = _look_up(open_, index, cut, flips, k, words)
         merged = open_.join(found, "query", "left")
         best = F.slice(F.array_sort(F.array_distinct(F.concat("best", F.coalesce("found", F.array().cast(best_type))))), F.lit(1), F.lit(k))
         seen = len(cut) * (flips + 1) - 1
@@ -107,13 +130,14 @@ def _kth(best: Column, k: int) -> Column:
     return F.when(end["n"] >= k, end["d"])
 
 
-def _look_up(open_: DataFrame, index: DataFrame, cut: list[tuple[int, int]], flips: int, k: int) -> DataFrame:
+def _look_up(open_: DataFrame, index: DataFrame, cut: list[Segment], flips: int, k: int, words: int) -> DataFrame:
     """query, found: the k best codes at exactly so many flipped bits in some segment."""
     looked = []
-    for i, (shift, width) in enumerate(cut):
+    for i, segment in enumerate(cut):
+        width = segment[2]
         if flips > width:
             continue
-        value = F.call_function("shiftrightunsigned", F.col("query"), F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        value = _value(F.col("query"), segment)
         chosen = [sum(1 << b for b in c) for c in combinations(range(width), flips)]
         masks = F.from_json(F.lit(str(chosen)), "array<bigint>")  # a constant, folded once
         looked.append(open_.select("query", "best", F.lit(i).alias("seg"), value.alias("own"), F.explode(masks).alias("mask")))
@@ -122,7 +146,7 @@ def _look_up(open_: DataFrame, index: DataFrame, cut: list[tuple[int, int]], fli
         probes = probes.unionByName(more)
     probes = probes.select("query", _kth(F.col("best"), k).alias("least"), "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
     hits = probes.join(index, ["seg", "value"])
-    far = F.transform("codes", lambda c: F.struct(F.bit_count(c["code"].bitwiseXOR(F.col("query"))).cast("int").alias("distance"), c["id"].alias("id"), c["code"].alias("code"), c["copies"].alias("copies")))
+    far = F.transform("codes", lambda c: F.struct(distance(c["code"], F.col("query"), words).alias("distance"), c["id"].alias("id"), c["code"].alias("code"), c["copies"].alias("copies")))
     near = F.filter(far, lambda c: F.col("least").isNull() | (c["distance"] <= F.col("least")))
     top = hits.select("query", F.slice(F.array_sort(near), F.lit(1), F.lit(k)).alias("top")).filter(F.size("top") > 0)
     return top.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), F.lit(1), F.lit(k)).alias("found"))
