@@ -192,3 +192,43 @@ def test_labels_as_specified(spark):
     rows = [("true", "unknown", None), ("unknown", "dpi", None), ("true", None, True), ("false", None, False), (None, "dpi", True), (None, "NonAnomaly", False), (None, None, None), ("true", "NonAnomaly", False), ("false", "dpi", True), (None, "unknown", None)]
     frame = spark.createDataFrame(rows, "c string, t string, want boolean")
     assert all(r.got == r.want for r in frame.select("want", conform.is_anomaly(F.col("c"), F.col("t")).alias("got")).collect())
+
+
+def test_reconstruction_equals_numpy(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 2)) @ rng.normal(size=(2, 6)) + rng.normal(scale=0.3, size=(80, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "i int, v array<double>")
+    rows = {r.i: r.error for r in scoring.reconstruction_error(frame, "v", 2).collect()}
+    c = x - x.mean(axis=0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:2]
+    assert np.allclose([rows[i] for i in range(80)], ((c - c @ axes.T @ axes) ** 2).sum(axis=1)) and rows[99] is None
+
+
+def test_weights_need_two_classes(spark):
+    rng = np.random.default_rng(10)
+    y = rng.integers(0, 2, 300)
+    frame = spark.createDataFrame([(float(a + 2 * k), float(b), int(k)) for a, b, k in zip(rng.normal(size=300), rng.normal(size=300), y, strict=True)], "a double, b double, y int")
+    weights, _ = scoring.fit_weights(frame, ["a", "b"], "y")
+    assert weights[0] > 1 > abs(weights[1]) and scoring.fit_weights(frame.filter("y = 1"), ["a", "b"], "y") == ([0.2, 0.2], 0.0)
+
+
+def test_sources_are_read_as_specified(spark, tmp_path):
+    from tracewright.operators import quality, readiness
+    from tracewright.sources import fixture, spec
+
+    raw = fixture.raw_spans(spark, "/root/testdata/sf0.001")
+    raw.write.parquet(f"{tmp_path}/raw")
+    assert conform.scan(spark, f"{tmp_path}/raw").columns == [a.name for a in spec.SPEC] == conform.strict_scan(spark, f"{tmp_path}/raw").columns
+    raw.drop("meta_tags").withColumn("odd", F.lit(1)).write.parquet(f"{tmp_path}/odd")
+    with pytest.raises(ValueError, match="meta_tags.*odd"):
+        conform.strict_scan(spark, f"{tmp_path}/odd")
+    lenient = conform.lenient(spark.createDataFrame([("x", "9"), (None, "y")], "llm_total_tokens string, http_status_code string")).collect()
+    assert [(r.llm_total_tokens, r.http_status_code) for r in lenient] == [(-1, 9), (-1, -1)]
+    raw.withColumn("class", F.lit("true")).withColumn("x-UNAVAIL", F.lit(1)).write.parquet(f"{tmp_path}/labelled")
+    loaded = conform.load_labelled(spark, f"{tmp_path}/labelled", f"{tmp_path}/labelled", spec=spec.SPEC)
+    assert loaded.count() == 2 * raw.count() and "x-UNAVAIL" not in loaded.columns and loaded.filter("is_anomaly is not null or anomaly_type <> 'unknown'").isEmpty()
+    table = spec.spec_table(spark).collect()
+    assert len(table) == 46 and sum(r.mandatory for r in table) == 13
+    assert not quality.is_valid(raw) and quality.is_valid(raw, max_nulls=10**6, max_rules=10**6, max_dups=10**6, max_breaks=10**6)
+    product = spark.range(1).select(readiness.multiplied((0.5, 0.5), F.lit(0.25), F.lit(1.0)).alias("p")).first().p
+    assert product == pytest.approx(0.5) and selection.select_traces(conform.recast(raw), holdout_method="random", holdout_percent=50).filter("holdout").count() > 0

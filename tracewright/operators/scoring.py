@@ -159,16 +159,18 @@ def fit_weights(frame: DataFrame, logits: list[str], label: str) -> tuple[list[f
 
 
 def reconstruction_error(frame: DataFrame, vector: str, k: int = 8) -> DataFrame:
-    """Rows with ``error``: squared distance of the vector from the k principal axes fitted on all rows."""
+    """Rows with ``error``: squared distance of the vector from the k principal axes fitted on all rows; null for a null vector."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = frame.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
+    known = F.col(vector).isNotNull()
+    rows = frame.filter(known).withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(rows).transform(rows)
     model = PCA(k=k, inputCol="__c", outputCol="__p").fit(centred)
     out = model.transform(centred)
     square = lambda c: F.aggregate(vector_to_array(F.col(c)), F.lit(0.0), lambda a, x: a + x * x)
-    return out.withColumn("error", F.greatest(square("__c") - square("__p"), F.lit(0.0))).drop("__v", "__c", "__p")
+    scored = out.withColumn("error", F.greatest(square("__c") - square("__p"), F.lit(0.0))).drop("__v", "__c", "__p")
+    return scored.unionByName(frame.filter(~known).withColumn("error", F.lit(None).cast("double")))
 
 
 def folds(key: Column, k: int = 5) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01_sql
-from tracewright.operators import augment, detect, features, prep, quality, reports, scoring, selection
+from tracewright.operators import augment, detect, features, prep, quality, readiness, reports, scoring, selection, stacking
 from tracewright.plans import feature_sql
-from tracewright.plans.queries import _METRICS, CLEAN, DEMO, WITH, clean, query, rounded, spans
+from tracewright.plans.queries import _METRICS, CLEAN, DEMO, ORACLES, WITH, clean, query, raw, rounded, spans
 from tracewright.sources import conform
 
 # ---- preparation ------------------------------------------------------------------------
@@ -243,3 +243,72 @@ def sel_shuffled(spark, sf_dir):
     """A seeded sample of up to seven documents of each language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").distinct()
     return selection.sample_by(docs, "doc_id", "lang", 7)
+
+
+# ---- thresholds, calibration, rules ---------------------------------------------------------------
+
+_SWEEP = ORACLES["ml_threshold_sweep"]
+
+
+def _errors(spark, sf_dir):
+    labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    return labels.join(docs.select("doc_id", F.col("n_chars").cast("double").alias("e")), "doc_id").select("doc_id", "quality", "e")
+
+
+def _swept(spark, sf_dir):
+    return rounded(scoring.threshold_sweep(_errors(spark, sf_dir), "e", "quality", 50))
+
+
+@query(f"SELECT * FROM ({_SWEEP}) ORDER BY f1 DESC, threshold LIMIT 1")
+def ml_best_threshold(spark, sf_dir):
+    return scoring.select_threshold(_swept(spark, sf_dir))
+
+
+@query(f"WITH p AS (SELECT 1 - specificity AS x, recall AS y FROM ({_SWEEP})), a AS (SELECT (x - lag(x) OVER o) * (y + lag(y) OVER o) / 2 AS a FROM p WINDOW o AS (ORDER BY x, y)) SELECT round(coalesce(sum(a), 0), 6) AS auc FROM a")
+def ml_roc_auc(spark, sf_dir):
+    return rounded(scoring.roc_auc(_swept(spark, sf_dir)))
+
+
+@query("WITH s AS (SELECT quality, n_chars::DOUBLE AS e FROM labels JOIN documents USING (doc_id)), m AS (SELECT median(e) AS m FROM s), d AS (SELECT median(abs(e - m)) AS mad FROM s, m) SELECT round(greatest(sqrt((var_samp(e) FILTER (WHERE quality = 0) + var_samp(e) FILTER (WHERE quality = 1)) / 2), 1.4826::DOUBLE * max(mad)), 4) AS t FROM s, d")
+def ml_temperature(spark, sf_dir):
+    rows = _errors(spark, sf_dir)
+    mad = scoring.robust_stats(rows, "e").first()["mad"] or 0.0
+    return rounded(rows.agg(scoring.temperature(rows, "e", "quality", mad).alias("t")), 4)
+
+
+@query("WITH s AS (SELECT vec_id, embedding AS v, label::DOUBLE AS e FROM embeddings), l AS (SELECT vec_id, unnest(list_concat(list_transform(v[1:4], lambda x: x::DOUBLE), [v[5]::DOUBLE, (e - 4.0::DOUBLE) / (1.4826::DOUBLE * 2.0::DOUBLE + 1e-8::DOUBLE), e - 6.0::DOUBLE, 0.5::DOUBLE])) AS x, unnest(range(8)) AS i FROM s) SELECT vec_id, i::INT AS i, round(x, 6) AS x FROM l")
+def ml_class_features(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("e", F.col("label").cast("double"))
+    made = stacking.class_features([F.slice("embedding", 1, 4)], [F.col("embedding")[4]], {"e": (4.0, 2.0)}, F.col("e"), 6.0, [0.5])
+    return rounded(rows.select("vec_id", F.posexplode(made).alias("i", "x")))
+
+
+@query(f"SELECT CASE WHEN NOT valid THEN 'red' WHEN spans > 0 THEN 'amber' ELSE 'green' END AS light, valid FROM ({ORACLES['dq_verdict']}) v")
+def dq_light(spark, sf_dir):
+    return quality.verdict(raw(spark, sf_dir)).select(quality.traffic_light(F.col("valid"), F.col("spans") > 0).alias("light"), "valid")
+
+
+@query(f"WITH f AS ({ORACLES['dq_flow']}), r AS (SELECT row_number() OVER (ORDER BY ts) AS i, traces FROM f) SELECT round(corr(i, traces), 6) AS trend FROM r")
+def ready_flow_trend(spark, sf_dir):
+    return rounded(readiness.flow_trend(quality.flow(spans(spark, sf_dir))))
+
+
+@query(f"{WITH} SELECT trace_id, span_id, CASE WHEN aef_kind = 'tool' THEN 'TRASH' WHEN status_code = 'STATUS_CODE_ERROR' THEN 'late' ELSE span_name END AS span_name, CASE WHEN aef_kind = 'tool' THEN end_time_ns ELSE CASE WHEN status_code = 'STATUS_CODE_ERROR' THEN start_time_ns - 1 ELSE end_time_ns END END AS end_time_ns FROM spans")
+def aug_overlay(spark, sf_dir):
+    rules = [(F.col("aef_kind") == "tool", {"span_name": F.lit("TRASH"), "end_time_ns": F.col("end_time_ns")}), (F.col("status_code") == "STATUS_CODE_ERROR", {"span_name": F.lit("late"), "end_time_ns": F.col("start_time_ns") - 1})]
+    return augment.overlay(spans(spark, sf_dir), rules).select("trace_id", "span_id", "span_name", "end_time_ns")
+
+
+@query("SELECT label AS kind, 'a' AS part, count(*) AS n, 0.0::DOUBLE AS extra FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0 GROUP BY label UNION ALL SELECT label, 'b', count(*), sum(vec_id)::DOUBLE FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 1 GROUP BY label")
+def ml_pool(spark, sf_dir):
+    """Rows of some classes from two splits, one of which lacks a column and has keys of another type."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("label").cast("int").alias("kind"))
+    first = rows.filter("vec_id % 2 = 0").select(F.col("kind").cast("bigint").alias("kind"), F.lit("a").alias("part"))
+    second = rows.filter("vec_id % 2 = 1").select("kind", F.lit("b").alias("part"), F.col("vec_id").cast("double").alias("extra"))
+    return stacking.pool([first, second], "kind", [1, 2]).groupBy("kind", "part").agg(F.count("*").alias("n"), F.coalesce(F.sum("extra"), F.lit(0.0)).alias("extra"))
+
+
+@query(f"{WITH} SELECT aef_kind, metric, round(score, 6) AS score FROM (UNPIVOT (SELECT aef_kind, avg((status_code = 'STATUS_CODE_ERROR')::INT)::DOUBLE AS failed, count(*)::DOUBLE AS n FROM spans GROUP BY 1) ON failed, n INTO NAME metric VALUE score)")
+def rep_metrics(spark, sf_dir):
+    wide = spans(spark, sf_dir).groupBy("aef_kind").agg(F.avg((F.col("status_code") == "STATUS_CODE_ERROR").cast("double")).alias("failed"), F.count("*").alias("n"))
+    return rounded(reports.long(wide, ["aef_kind"], ["failed", "n"]))
