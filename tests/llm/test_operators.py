@@ -607,3 +607,22 @@ def test_encoder_forgets_and_learns_again(monkeypatch):
         monkeypatch.setattr(codes, "TOGETHER", together)
         for t, got in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_pipeline_with_nulls_and_without_rows(spark, odd):
+    """Nulls, repeated rows, clashing columns and empty tables pass through all stages; other columns keep their values."""
+    import corpus_pipeline
+
+    extra = odd.withColumn("size", F.lit("kept")).withColumn("taken", F.lit("kept"))
+    for docs in (extra, extra.limit(0)):
+        n, columns = docs.count(), docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.stored(stage(spark, docs, FOLDER), f"odd-{name}")
+            if name != "pieces":
+                assert docs.columns == columns and docs.filter("size <> 'kept' or taken <> 'kept' or base <> 'y'").isEmpty()
+            if name in ("quality", "near"):
+                assert docs.count() <= n
+        assert docs.columns == ["doc_id", "lang", "source", "n_tokens", "ids"]
+        rows = docs.collect()
+        assert all(r.n_tokens == len(r.ids) for r in rows) and bool(rows) == bool(n)
+        assert not any("k" * 30 in pieces.decode(np.array(r.ids)) for r in rows if r.ids)
