@@ -30,12 +30,14 @@ import string
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ RANK_BITS = 512
 #: What the tokenizer's vocabulary puts at the end of a word's last token.
 WORD_END = "</w>"
 #: Characters whose new pieces are learned together at most, but for one longer text.
-TOGETHER = 1_000_000
+TOGETHER = 2_500_000
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 _SEGMENT = (
     "part int, segment int, doc_ids binary, has_id binary, lengths binary, n_tokens long, n_docs long, "
@@ -107,7 +109,7 @@ def token_at(levels: list[dict], place: int) -> int:
 
 
 class _Recent(dict):
-    """A map of at most ``most`` entries, and as many older ones, which come back when they are asked for."""
+    """A map of at most about ``most`` entries, and as many older ones, which come back when they are asked for."""
 
     def __init__(self, most: int):
         self.most, self.old = most, {}
@@ -116,18 +118,23 @@ class _Recent(dict):
         self[key] = value = self.old[key]
         return value
 
-    def lacks(self, keys: list) -> list:
-        """Those of the keys that it does not hold, after room is made for them."""
-        new = [k for k in dict.fromkeys(keys) if k not in self and k not in self.old]
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
-            self.clear()
-            new = [k for k in dict.fromkeys(keys) if k not in self.old]
-        return new
+    def lacks(self, keys: Iterable) -> list:
+        """Those of the keys that it does not hold, each once."""
+        return list(itertools.filterfalse(self.old.__contains__, itertools.filterfalse(self.__contains__, dict.fromkeys(keys))))
+
+    def make_room(self, n: int) -> bool:
+        """Let the older entries go if so many more don't fit; whether they went."""
+        if len(self) + n <= self.most:
+            return False
+        self.old = dict(self)
+        self.clear()
+        return True
 
 
 def _cut(piece: str) -> tuple[str, ...]:
     """Parts of a piece that the tokenizer encodes apart: signs after letters; letters alone in lower case."""
+    if piece.isascii() and piece.isalpha():
+        return (piece.lower(),)
     head = piece.rstrip(string.punctuation)
     if not head.isalpha() or not (low := head.lower()).isalpha() or not unicodedata.is_normalized("NFC", head):
         return (piece,)
@@ -136,11 +143,12 @@ def _cut(piece: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_path: str = TOKENIZER, most: int = 400_000):
+def encoder(tokenizer_path: str = TOKENIZER, most: int = 800_000):
     """A function from a list of texts to a list of id bytes (uint32), without end ids.
 
     Blanks and line ends part tokens for this tokenizer whatever stands around them, so
-    texts are looked up piece by piece, and only new pieces go to the library.
+    texts are looked up piece by piece, and only new pieces go to the library. Parts of pieces
+    are pieces themselves, so one map holds both.
     A worker keeps it, with the pieces it met lately, for the tasks that follow.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -150,7 +158,7 @@ def encoder(tokenizer_path: str = TOKENIZER, most: int = 400_000):
     names = tokenizer.get_vocab()
     closes = np.zeros(max(names.values()) + 1, bool)
     closes[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
-    whole, parts = _Recent(most), _Recent(most)
+    known = _Recent(most)
 
     def ids_of(strings: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
@@ -163,21 +171,34 @@ def encoder(tokenizer_path: str = TOKENIZER, most: int = 400_000):
         return [raw[x:y] for x, y in itertools.pairwise(ends)] if len(ends) == len(words) + 1 else ids_of(words)
 
     def learn(pieces: list[str]) -> None:
-        new = whole.lacks(pieces)
+        new = known.lacks(pieces)
+        if known.make_room(2 * len(new)):
+            new = known.lacks(pieces)
         cuts = [_cut(p) for p in new]
-        unknown = parts.lacks([x for c in cuts for x in c])
-        words = [x for x in unknown if x.isalpha() and unicodedata.is_normalized("NFC", x)]
-        others = [x for x in unknown if not (x.isalpha() and unicodedata.is_normalized("NFC", x))]
-        parts.update(zip(words, ids_of_words(words), strict=True) if words else ())
-        parts.update(zip(others, ids_of(others), strict=True))
+        words, others = [], []
+        for x in known.lacks(itertools.chain.from_iterable(cuts)):
+            (words if x.isalpha() and (x.isascii() or unicodedata.is_normalized("NFC", x)) else others).append(x)
+        known.update(zip(words, ids_of_words(words), strict=True) if words else ())
+        known.update(zip(others, ids_of(others), strict=True))
         for p, c in zip(new, cuts, strict=True):
-            whole[p] = b"".join([parts[x] for x in c])
-
-    def known(pieces: list[str]) -> bytes | None:
-        try:
-            return b"".join(map(whole.__getitem__, pieces))
-        except KeyError:
-            return None
+            if len(c) > 1:
+                known[p] = known[c[0]] + known[c[1]]
+            elif c[0] != p:
+                known[p] = known[c[0]]
+
+    def encode_together(texts: list[str]) -> list[bytes]:
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.values.dictionary_encode()
+        pieces, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        learn(pieces)
+        values = list(map(known.__getitem__, pieces))  # each piece of the texts once
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        ids, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        out = ids[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])]
+        ends = upto[split.offsets.to_numpy()].tolist()
+        return [out[x:y].tobytes() for x, y in itertools.pairwise(ends)]
 
     def encode(texts: list[str]) -> list[bytes]:
         out, at = [], 0
@@ -186,12 +207,7 @@ def encoder(tokenizer_path: str = TOKENIZER, most: int = 400_000):
             while upto < len(texts) and (upto == at or size + len(texts[upto]) <= TOGETHER):
                 size += len(texts[upto])
                 upto += 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:upto]]
-            coded = [known(pieces) for pieces in split]
-            if new := [pieces for pieces, c in zip(split, coded, strict=True) if c is None]:
-                learn(list(itertools.chain.from_iterable(new)))
-                coded = [known(pieces) if c is None else c for pieces, c in zip(split, coded, strict=True)]
-            out += coded
+            out += encode_together(texts[at:upto])
             at = upto
         return out
 
@@ -214,8 +230,8 @@ def write(documents: DataFrame, path: str, tokenizer_path: str = TOKENIZER, end:
         encode, tail, part_of = encoder(tokenizer_path), np.array([end], "<u4").tobytes(), TaskContext.get().partitionId()
         ids, has, coded, size, number = [], [], [], 0, 0
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
+            for at in range(0, len(b), 1024):
+                part = b.iloc[at : at + 1024]
                 for doc, known, code in zip(part["doc_id"], part["has_id"], encode(list(part["text"])), strict=True):
                     ids.append(doc)
                     has.append(known)
