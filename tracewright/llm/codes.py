@@ -143,7 +143,7 @@ def _cut(piece: str) -> tuple[str, ...]:
 
 
 @lru_cache(maxsize=2)
-def encoder(tokenizer_path: str = TOKENIZER, most: int = 800_000):
+def encoder(tokenizer_path: str = TOKENIZER, most: int = 650_000):
     """A function from a list of texts to a list of id bytes (uint32), without end ids.
 
     Blanks and line ends part tokens for this tokenizer whatever stands around them, so
