@@ -200,6 +200,16 @@ def test_chat_round_trip(spark):
     assert len(back[None].turns) == 2 and chat.report(frame.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """Time follows the length of a conversation."""
+    turns = [(1, t, ("user", "assistant", "assistant")[t % 3], f"turn {t} é<|end|>") for t in range(6_000)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    start = time.time()
+    row = chat.read_back(chat.format_conversations(frame)).first()
+    assert [tuple(t) for t in row.turns] == [t[2:] for t in turns] and row.learned == "".join(t[3] for t in turns if t[2] == "assistant")
+    assert time.time() - start < 90
+
+
 def test_chroma_alignment_and_search(spark):
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(30, 64))

@@ -38,7 +38,6 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if folder and context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
-        _removed_at_end(spark, context.getCheckpointDir())
     if not folder:
         folder = context.getCheckpointDir()
     if folder is None:
@@ -48,6 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         context.setCheckpointDir(f"file://{local}")
         folder = context.getCheckpointDir()
+    _removed_at_end(spark, context.getCheckpointDir())  # a folder of this application's own
     return folder
 
 
