@@ -48,7 +48,9 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{24,}", 0, 24),
 )
-#: Group 1 has the token; the base patterns before it take their own stretches first.
+#: Group 1 has the token.
+LONE_TOKEN = r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,})"
+#: The same where a text has base spans: their patterns take their own stretches first.
 TOKEN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|(?<![0-9a-f])[0-9a-f]{24,}|(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,})"
 DIGITS = "0123456789"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -203,7 +205,10 @@ def _scanned(documents: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns, and the arrays ``__base`` and ``__tried`` of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = [_matches(text, *spec, rank).alias(f"__{spec[0]}") for rank, spec in enumerate(BASE)]
-    found = documents.select(*[F.col(c) for c in keep], *base, _matches(text, "random", TOKEN, 1, 20, len(BASE)).alias("__token"))
+    based = documents.select(*dict.fromkeys([*keep, "text"]), *base)
+    any_base = reduce(lambda a, b: a | b, [F.size(f"__{spec[0]}") > 0 for spec in BASE])
+    tokens = [_matches(text, "random", pattern, 1, 20, len(BASE)) for pattern in (TOKEN, LONE_TOKEN)]
+    found = based.withColumn("__token", F.when(any_base, tokens[0]).otherwise(tokens[1]))
     return found.select(
         *keep,
         F.array_sort(_cut(F.concat(*[F.col(f"__{spec[0]}") for spec in BASE]))).alias("__base"),
