@@ -136,9 +136,10 @@ def duplicates(frame: DataFrame) -> DataFrame:
 def verdict(frame: DataFrame, max_nulls: int = 0, max_rules: int = 0, max_dups: int = 0, max_breaks: int = 0) -> DataFrame:
     """Totals of the table and whether they keep the limits; the table is read once and summed by span, by trace and in all."""
     flags = {"nulls": absent(), "missing": missing(), "trash": spoilt(), "rules": violations()}
+    code = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))  # noqa: E731  values are told apart by 64-bit hashes, which aggregate without sorting
     by_span = frame.groupBy("trace_id", "span_id").agg(
         F.count("*").alias("n"), *[F.sum(f).alias(k) for k, f in flags.items()],
-        *[x for c in INVARIANTS for x in (F.min(c).alias(f"__min_{c}"), F.max(c).alias(f"__max_{c}"), F.max(F.col(c).isNull()).alias(f"__null_{c}"))],
+        *[x for c in INVARIANTS for x in (F.min(code(c)).alias(f"__min_{c}"), F.max(code(c)).alias(f"__max_{c}"), F.max(F.col(c).isNull()).alias(f"__null_{c}"))],
     )
     # an invariant breaks if a trace has two values of it, null being one
     broken = [F.coalesce(F.min(f"__min_{c}") != F.max(f"__max_{c}"), F.lit(False)) | (F.max(f"__null_{c}") & F.min(f"__min_{c}").isNotNull()) for c in INVARIANTS]
