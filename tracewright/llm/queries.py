@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import chat, chroma, codes, hamming, html, mixing, near, pieces, quality, secrets
+from tracewright.llm import chat, chroma, codes, graphs, hamming, html, mixing, near, periods, pieces, quality, secrets
 from tracewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_quality, op3_secrets, op4_chat, op5_chroma, op6_main_text, op7_token_file, op8_ngram_join, op9_hamming_topk, op10_sentencepiece, pipeline)
+    found = (op1_mix_sources, op2_quality, op3_secrets, op4_chat, op5_chroma, op6_main_text, op7_token_file, op8_ngram_join, op9_hamming_topk, op10_sentencepiece, op12_neighbours, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in found}
 
 
