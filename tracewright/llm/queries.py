@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import chat, chroma, codes, graphs, hamming, html, mixing, near, periods, pieces, quality, secrets
+from tracewright.llm import chat, chroma, codes, graphs, hamming, html, mixing, near, periods, phrases, pieces, quality, secrets
 from tracewright.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.report(table(spark, sf_dir, "embeddings"))
 
@@ -67,10 +71,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op2_quality, op3_secrets, op4_chat, op5_chroma, op6_main_text, op7_token_file, op8_ngram_join, op9_hamming_topk, op10_sentencepiece, op12_neighbours, op13_periodic_runs, pipeline)
+    found = (op1_mix_sources, op2_quality, op3_secrets, op4_chat, op5_chroma, op6_main_text, op7_token_file, op8_ngram_join, op9_hamming_topk, op10_sentencepiece, op11_collocations, op12_neighbours, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op1_mix_sources": mixing.ORACLE, "op4_chat": chat.ORACLE, "op9_hamming_topk": hamming.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_chat": chat.ORACLE, "op9_hamming_topk": hamming.ORACLE, "op11_collocations": phrases.ORACLE}
