@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import bisect
 import itertools
-import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -48,9 +47,11 @@ INSIDE = 50
 TOGETHER, WAITING = 2_000_000, 3_000_000
 #: Documents whose prefixes place the bounds, prefixes of each, ranges for each shuffle partition.
 SAMPLE, PREFIXES, RANGES = 1000, 32, 2
-_TOKENS = re.compile(r"[.,;:!?\x0A-\x0D]+|[^\x20\x09.,;:!?\x0A-\x0D]+")
-_BREAKS = frozenset(".,;:!?\n\x0b\x0c\r")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Parts of a language whose best candidates are found apart.
+SALTS = 32
+#: Signs between pieces become one of them, letters A to Z lower ones, tabs blanks: bytes of other characters are none of these.
+_SIGN = b"."
+_TABLE = bytes.maketrans(b",;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", _SIGN * 9 + b" abcdefghijklmnopqrstuvwxyz")
 
 
 class Level(NamedTuple):
@@ -185,26 +186,29 @@ def _without_rare(phrases: Phrases, least: int) -> Phrases:
     return Phrases([phrases.words[i] for i in used.tolist()], [Level(x.parent, np.searchsorted(used, x.word), x.count) for x in levels])
 
 
-def sliced(phrases: Phrases, cuts: list[list[int]]) -> Iterator[Phrases]:
-    """The phrases between cuts; ``cuts`` has for each level its first phrase of each range, and its end.
+def sliced(phrases: Phrases, begins: list[int], ends: list[int]) -> Phrases:
+    """The phrases of a range, from ``begins`` to before ``ends`` at each level.
 
-    A phrase whose beginning lies in an earlier range takes that along, without its count.
+    The range may begin after the beginning of its first phrases: that is taken along, without its count.
     """
-    for k in range(len(cuts[0]) - 1):
-        levels, need = [], None
-        for depth in range(len(phrases.levels) - 1, -1, -1):
-            level, at = phrases.levels[depth], np.arange(cuts[depth][k], cuts[depth][k + 1])
-            rows = at if need is None else np.union1d(at, need)
-            inside = (rows >= cuts[depth][k]) & (rows < cuts[depth][k + 1])
-            need = np.unique(level.parent[rows])
-            levels.append((rows, level.parent[rows], level.word[rows], np.where(inside, level.count[rows], 0)))
-        levels = levels[::-1]
-        used = np.unique(np.concatenate([x[2] for x in levels]))
-        out = []
-        for depth, (rows, parent, word, count) in enumerate(levels):
-            if len(rows):
-                out.append(Level(np.searchsorted(levels[depth - 1][0], parent) if depth else parent, np.searchsorted(used, word), count))
-        yield Phrases([phrases.words[i] for i in used.tolist()], out)
+    rows = [slice(a, b) for a, b in zip(begins, ends, strict=True)]
+    for depth in range(len(rows) - 1, 0, -1):
+        parent = phrases.levels[depth].parent[rows[depth]]
+        if len(parent):
+            own = rows[depth - 1]
+            whole = own.start >= own.stop
+            rows[depth - 1] = slice(int(parent[0]) if whole else min(own.start, int(parent[0])), max(own.stop, int(parent[-1]) + 1))
+    used = np.zeros(len(phrases.words), bool)
+    for level, x in zip(phrases.levels, rows, strict=True):
+        used[level.word[x]] = True
+    place, levels = np.cumsum(used) - 1, []
+    for depth, (level, x) in enumerate(zip(phrases.levels, rows, strict=True)):
+        if x.stop > x.start:
+            count = level.count[x].copy()
+            count[: max(0, begins[depth] - x.start)] = 0
+            count[max(0, ends[depth] - x.start) :] = 0
+            levels.append(Level(level.parent[x] - (rows[depth - 1].start if depth else 0), place[level.word[x]], count))
+    return Phrases([phrases.words[i] for i in np.flatnonzero(used).tolist()], levels)
 
 
 def packed(a: Automaton) -> bytes:
@@ -233,9 +237,9 @@ def unpacked(blob: bytes) -> Automaton:
 # ---- counting --------------------------------------------------------------------
 
 
-def tokens(text: str) -> list[str]:
-    """Words, and between pieces a run of the signs that part them."""
-    return _TOKENS.findall(text.translate(_LOWER) if not text.islower() else text)
+def tokens(text: str) -> list[bytes]:
+    """Words in UTF-8, and ``_SIGN`` between pieces."""
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).replace(_SIGN, b" . ").split()
 
 
 def counted(codes: np.ndarray, words: list[str], most: int = WORDS) -> Phrases:
@@ -286,7 +290,7 @@ def _in_ranges(phrases: Phrases, lang: str, bounds: list[tuple[str, str, str]])
     cuts = _cuts(phrases, [x[1:] for x in bounds[first:last]])
     full = [k for k in range(last - first + 1) if any(cut[k + 1] > cut[k] for cut in cuts)]
     for k in full:
-        yield first + k, next(sliced(phrases, [[cut[k], cut[k + 1]] for cut in cuts]))
+        yield first + k, sliced(phrases, [cut[k] for cut in cuts], [cut[k + 1] for cut in cuts])
 
 
 def _bounds(documents: DataFrame, ranges: int) -> list[tuple[str, str, str]]:
@@ -298,9 +302,9 @@ def _bounds(documents: DataFrame, ranges: int) -> list[tuple[str, str, str]]:
         for b in batches:
             out = set()
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                words = [w for w in tokens(text) if w[0] not in _BREAKS]
+                words = [w for w in tokens(text) if w != _SIGN]
                 step = max(1, len(words) // PREFIXES)
-                out |= {(lang, *words[i : i + 2]) for i in range(0, len(words) - 1, step)}
+                out |= {(lang, words[i].decode(), words[i + 1].decode()) for i in range(0, len(words) - 1, step)}
             yield pd.DataFrame(list(out), columns=["lang", "a", "b"])
 
     found = some.mapInPandas(in_task, "lang string, a string, b string").distinct().collect()  # at most 4 * SAMPLE * (PREFIXES + 1) rows of three words
@@ -334,7 +338,7 @@ def counts(documents: DataFrame, bounds: list[tuple[str, str, str]], most: int =
     """lang, range, n, blob: an automaton of the phrases of each range, and how many words were counted with it."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        index: defaultdict[str, int] = defaultdict()
+        index: defaultdict[bytes, int] = defaultdict()
         index.default_factory = index.__len__
         held: defaultdict[str, list[np.ndarray]] = defaultdict(list)
         size = 0
@@ -347,19 +351,19 @@ def counts(documents: DataFrame, bounds: list[tuple[str, str, str]], most: int =
                 used = np.unique(codes)
                 is_used = np.zeros(len(names), bool)
                 is_used[used] = True
-                own = [i for i in order if is_used[i] and names[i][0] not in _BREAKS]
+                own = [i for i in order if is_used[i] and names[i] != _SIGN]
                 rank = np.full(len(names), -1, np.int64)
                 rank[own] = np.arange(len(own))
                 codes = rank[codes]
                 n = int((codes >= 0).sum())
-                for number, part in _in_ranges(counted(codes, [names[i] for i in own], most), lang, bounds):
+                for number, part in _in_ranges(counted(codes, [names[i].decode() for i in own], most), lang, bounds):
                     yield lang, number, n, packed(automaton(part))
                     n = 0  # each word counts once
 
         for b in batches:
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 words = tokens(text)
-                words.append("\n")
+                words.append(_SIGN)
                 held[lang].append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
                 size += len(words)
                 if size >= TOGETHER:
@@ -516,9 +520,15 @@ def mine(documents: DataFrame, best: int = BEST, most: int = WORDS, least: int =
     table = counts(rows, bounds, most, least)
     found = common.stored(candidates(table, bounds), "candidates")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    ranked = without_inner(found, inside).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= best)
+    # one language may have most candidates: the best of parts of it are kept, then ranked by ranges
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).orderBy(*order)
+    kept = without_inner(found, inside).withColumn("__r", F.row_number().over(parts)).filter(F.col("__r") <= best).drop("__r")
+    placed = common.saved(common.running(kept, [F.asc("lang"), *order], {"__before": F.lit(1)}))
+    starts = placed.groupBy("lang").agg(F.min("__before").alias("__start"))
     n = table.groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    rank = F.col("__before") - F.col("__start") + 1
+    ranked = common.joined_by(placed, starts.join(n, "lang"), ["lang"], "phrase").withColumn("rank", rank.cast("long"))
+    return ranked.filter(F.col("rank") <= best).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -536,11 +546,12 @@ WITH pieces AS (
   SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 10
 ), total AS (
   SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1)
 ), cuts AS (
-  SELECT f.lang, f.k, f.phrase, f.a, c.cut, l.a AS l, r.a AS r, (1000000::HUGEINT * f.a * f.a) // (l.a * r.a) AS score
-  FROM f JOIN (VALUES (1), (2)) AS c(cut) ON c.cut < f.k
-  JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(string_split(f.phrase, ' ')[1:c.cut], ' ')
-  JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(string_split(f.phrase, ' ')[c.cut + 1:], ' ')
+  SELECT p.lang, p.phrase, p.a, cut, l.a AS l, r.a AS r, (1000000::HUGEINT * p.a * p.a) // (l.a * r.a) AS score
+  FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.lp JOIN f r ON r.lang = p.lang AND r.phrase = p.rp
 ), best AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), inner_ AS (
