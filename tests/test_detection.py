@@ -77,9 +77,10 @@ def test_cell_profiles_equal_numpy(spark):
     x = rng.normal(size=(400, 3)) @ rng.normal(size=(3, 3)) + rng.exponential(size=(400, 3))
     x[:150] = x[0]  # one vector fills a large share of the cell
     frame = spark.createDataFrame([("k", "a", v.tolist()) for v in x] + [("k", "b", [1.0, 2.0, 3.0])] * 5 + [("k", "a", None)], "kind string, agent string, v array<double>")
-    (profiles,) = augment.cell_profiles(frame, ["kind", "agent"], "v")
-    cell = profiles[("k", "a")]
-    assert set(profiles) == {("k", "a")} and np.allclose(cell.grid, np.quantile(x, augment.GRID, axis=0)) and np.allclose(cell.edges, np.quantile(x, [0.005, 0.995], axis=0))
+    profiles = augment.cell_profiles(frame, ["kind", "agent"], "v", rows=90)
+    row = profiles.collect()
+    cell = augment.Cell.of(row[0])
+    assert [(r.kind, r.agent, r.size) for r in row] == [("k", "a", 400)] and np.allclose(cell.grid, np.quantile(x, augment.GRID, axis=0)) and np.allclose(cell.edges, np.quantile(x, [0.005, 0.995], axis=0))
     u = np.quantile(x, 0.95, axis=0)
     over = np.sort(np.clip(x - u, 0, None), axis=0)
     b0, b1 = over.mean(axis=0), (np.arange(400)[:, None] / 399 * over).mean(axis=0)
@@ -91,8 +92,8 @@ def test_cell_profiles_equal_numpy(spark):
     assert np.allclose(still[inside], x[inside], atol=1e-3)
     far = cell.moved(x, np.full(len(x), 3.0))
     assert (far >= cell.edges[0] - 1e-9).all() and (far <= cell.edges[1] + 1e-9).all() and not np.allclose(far, still)
-    out = augment.cell_shift(frame, ["kind", "agent"], "v", F.lit(3.0), iter([profiles])).collect()
-    assert np.allclose([r.v for r in out if r.agent == "a" and r.v is not None], far) and [r.v for r in out if r.agent == "b"][0] == [1.0, 2.0, 3.0]
+    out = augment.cell_shift(frame, ["kind", "agent"], "v", F.lit(3.0), profiles).collect()
+    assert np.allclose(sorted(r.v for r in out if r.agent == "a" and r.v is not None), sorted(far.tolist())) and len(out) == 406 and [r.v for r in out if r.agent == "b"][0] == [1.0, 2.0, 3.0]
 
 
 def test_manifold_and_directions(spark):
@@ -116,7 +117,7 @@ def test_classes_applied(spark):
     tagged = selection.cut(augment.roles(spans, [("dpi", "mp")], 0.2))
     normal = tagged.filter("class = 0")
     manifold = augment.fit_manifold(normal, "sem_vector", 1)
-    out = augment.apply_classes(tagged, list(augment.cell_profiles(normal, ["aef_kind", "agent_id"], "epi_vector")), manifold, {"dpi": [0.0, 1.0, 0.0]})
+    out = augment.apply_classes(tagged, augment.cell_profiles(normal, ["aef_kind", "agent_id"], "epi_vector"), manifold, {"dpi": [0.0, 1.0, 0.0]})
     before = {r[1]: r for r in rows}
     kinds = set()
     for r in out.collect():
@@ -232,3 +233,28 @@ def test_sources_are_read_as_specified(spark, tmp_path):
     assert not quality.is_valid(raw) and quality.is_valid(raw, max_nulls=10**6, max_rules=10**6, max_dups=10**6, max_breaks=10**6)
     product = spark.range(1).select(readiness.multiplied((0.5, 0.5), F.lit(0.25), F.lit(1.0)).alias("p")).first().p
     assert product == pytest.approx(0.5) and selection.select_traces(conform.recast(raw), holdout_method="random", holdout_percent=50).filter("holdout").count() > 0
+
+
+def test_many_cells_take_the_same_reads(spark):
+    """Hundreds of cells at once, a part of each in its own task, equal numpy cell by cell."""
+    rng = np.random.default_rng(11)
+    x = rng.gamma(2, size=(300, 70, 4)) @ rng.normal(size=(4, 4))
+    rows = [(f"k{i % 20}", None if i < 3 else f"a{i // 20}", v.tolist(), f"r{i}-{j}") for i, cell in enumerate(x) for j, v in enumerate(cell)]
+    frame = spark.createDataFrame(rows, "kind string, agent string, v array<double>, id string")
+    table = augment.cell_profiles(frame, ["kind", "agent"], "v", rows=30)
+    cells = {(r.kind, r.agent): augment.Cell.of(r) for r in table.collect()}
+    assert len(cells) == 300
+    for i in (0, 1, 2, 57, 299):
+        cell = cells[f"k{i % 20}", None if i < 3 else f"a{i // 20}"]
+        assert np.allclose(cell.grid, np.quantile(x[i], augment.GRID, axis=0))
+        assert np.allclose(cell.axes @ np.diag(cell.values) @ cell.axes.T, np.corrcoef(cell.scores(x[i]), rowvar=False) + 1e-8 * np.eye(4))
+    moved = {r.id: r.v for r in augment.cell_shift(frame, ["kind", "agent"], "v", F.lit(1.0), table).collect()}
+    assert len(moved) == len(rows)
+    for i in (1, 120):
+        cell = cells[f"k{i % 20}", None if i < 3 else f"a{i // 20}"]
+        assert np.allclose([moved[f"r{i}-{j}"] for j in range(70)], cell.moved(x[i], np.ones(70)))
+
+
+def test_normal_scores_are_exact():
+    p = np.array([1e-6, 0.01, 0.5, 0.975, 1 - 1e-6])
+    assert np.allclose(augment.normal_quantile(p), [-4.753424308822899, -2.3263478740408408, 0, 1.959963984540054, 4.753424308817087]) and np.allclose(augment.normal_cdf(augment.normal_quantile(p)), p, rtol=1e-12)

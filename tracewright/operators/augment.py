@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01, u01_sql
-from tracewright.operators import ranks
+from tracewright.operators import ranks, scans
+from tracewright.operators.gram import products_of
 from tracewright.operators.selection import cut
 
 # Share of traces by class, and the range of severities.
@@ -48,9 +51,7 @@ def pick(key: Column, salt: str, values: list[str]) -> Column:
 
 def tagged(spans: DataFrame) -> DataFrame:
     """Spans with step, anomaly_type, anomaly_severity and class of their trace."""
-    step = F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time_ns", "span_id")) - 1
-    label = class_of(F.col("trace_id"))
-    out = spans.withColumn("step", step).withColumn("anomaly_type", label)
+    out = scans.places(spans, ["trace_id"], ["start_time_ns", "span_id"], "step").withColumn("anomaly_type", class_of(F.col("trace_id")))
     return out.withColumn("anomaly_severity", severity_of(F.col("trace_id"), F.col("anomaly_type"))).withColumn("class", (F.col("anomaly_type") != NORMAL).cast("int"))
 
 
@@ -92,8 +93,10 @@ def shifted(frame: DataFrame, vector: str, direction: DataFrame, amount: Column)
 #: Places of the quantile grid of a dimension, and the place from which a Pareto tail takes over.
 GRID = tuple(i / 200 for i in range(201))
 TAIL = 0.95
-#: Bytes of profiles that are sent to the tasks at once; more cells are worked in further rounds.
-PROFILE_BYTES = 64_000_000
+#: Rows of a cell that are worked together, about; larger cells are dealt over several tasks.
+CELL_ROWS = 16_384
+#: Matrices of partial sums of a cell that meet at once.
+FAN = 16
 
 
 @dataclass(frozen=True)
@@ -106,15 +109,22 @@ class Cell:
     values: np.ndarray
     axes: np.ndarray
 
+    @classmethod
+    def of(cls, row) -> Cell:
+        """The cell that a row of a table of profiles holds."""
+        width = row["width"]
+        read = lambda name, *shape: np.frombuffer(row[name], "<f8").reshape(shape)
+        return cls(read("grid", len(GRID), width), read("tail", 3, width), read("edges", 2, width), read("values", width), read("axes", width, width))
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Normal scores of vectors, one a row."""
         p = np.stack([np.interp(x[:, i], self.grid[:, i], GRID) for i in range(x.shape[1])], axis=1)
-        return _normal_quantile(np.clip(p, 1e-6, 1 - 1e-6))
+        return normal_quantile(np.clip(p, 1e-6, 1 - 1e-6))
 
-    def moved(self, x: np.ndarray, amounts: np.ndarray, lowest: bool = False) -> np.ndarray:
-        """Vectors displaced by Mahalanobis lengths along the strongest (or weakest) axis, back through quantiles or tails."""
-        k = 0 if lowest else -1
-        p = _normal_cdf(self.scores(x) + np.outer(amounts, np.sqrt(max(self.values[k], 0.0)) * self.axes[:, k]))
+    def moved(self, x: np.ndarray, amounts: np.ndarray, lowest: np.ndarray | bool = False) -> np.ndarray:
+        """Vectors displaced by Mahalanobis lengths along the strongest (or weakest) axis, back through quantiles or tails (generalised Pareto, by weighted moments)."""
+        lengths = np.sqrt(np.maximum(self.values[[-1, 0]], 0.0))[:, None] * self.axes[:, [-1, 0]].T
+        p = normal_cdf(self.scores(x) + amounts[:, None] * lengths[np.broadcast_to(np.asarray(lowest, int), len(x))])
         body = np.stack([np.interp(p[:, i], GRID, self.grid[:, i]) for i in range(x.shape[1])], axis=1)
         u, xi, beta = self.tail
         xi = np.where(np.abs(xi) < 1e-6, 1e-6, xi)
@@ -126,129 +136,160 @@ class Cell:
         return np.clip(x, *self.edges)
 
 
-def _grids(frame: DataFrame, cells: list[str], vector: str, edges: tuple[float, float], least: int) -> DataFrame:
-    """cells, dim, size, grid (with the tail's threshold and both edges at its end), b0, b1: exact, from counts of all rows."""
-    long = frame.select(*cells, F.posexplode(vector).alias("dim", "x"))
-    counts = cut(ranks.ranked(long, [*cells, "dim"], "x").filter(F.col("size") >= least))
-    grids = cut(ranks.of_ranks(counts, [*cells, "dim"], "x", [*GRID, TAIL, *edges]))
-    named = {c: f"__g_{i}" for i, c in enumerate((*cells, "dim"))}
-    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(g)) for c, g in named.items()])
-    limits = grids.select(*[F.col(c).alias(g) for c, g in named.items()], F.col("quantiles")[len(GRID)].alias("__u"))
-    # as specified, the scale below comes out at its floor, so that a tail holds its threshold
+_QUANTILE, _UPPER = np.frompyfunc(NormalDist().inv_cdf, 1, 1), np.frompyfunc(math.erfc, 1, 1)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    return _QUANTILE(p).astype(np.float64)
+
+
+def normal_cdf(z: np.ndarray) -> np.ndarray:
+    return 0.5 * _UPPER(z / -math.sqrt(2)).astype(np.float64)
+
+
+def _grids(frame: DataFrame, vector: str, edges: tuple[float, float], least: int) -> DataFrame:
+    """__cell, dim, size, quantiles (the grid, the tail's threshold and both edges), b0, b1: exact, from counts of all rows."""
+    keys = ["__cell", "dim"]
+    long = frame.select("__cell", F.posexplode(vector).alias("dim", "x"))
+    counts = cut(ranks.ranked(long, keys, "x").filter(F.col("size") >= least))
+    grids = cut(ranks.of_ranks(counts, keys, "x", [*GRID, TAIL, *edges]))
+    limits = grids.select(*keys, F.col("quantiles")[len(GRID)].alias("__u"))
+    # as specified, the scale of the tail comes out at its floor, so that a tail holds its threshold
     # weighted moments of what exceeds the threshold: the sum of the ranks of n equal values from b on is n*b + n*(n-1)/2
     over, n = F.greatest(F.col("x") - F.col("__u"), F.lit(0.0)), F.col("n")
     place = (n * F.col("below") + n * (n - 1) / 2) / F.greatest(F.col("size") - 1, F.lit(1))
-    moments = counts.join(limits, match).groupBy(*cells, "dim").agg((F.sum(n * over) / F.max("size")).alias("b0"), (F.sum(place * over) / F.max("size")).alias("b1"))
-    named_m = moments.withColumnsRenamed(named)
-    return grids.join(named_m, match).drop(*named.values())
-
-
-def cell_profiles(frame: DataFrame, cells: list[str], vector: str, edges: tuple[float, float] = (0.005, 0.995), least: int = 64, eps: float = 1e-8) -> Iterator[dict[tuple, Cell]]:
-    """Profiles by cell of those with at least so many rows, in rounds of bounded size; all rows of a cell count."""
-    grids = cut(_grids(frame.filter(F.col(vector).isNotNull()), cells, vector, edges, least))
-    names = sorted((tuple(r) for r in grids.select(*cells).distinct().collect()), key=repr)  # a row for each cell
-    width = (grids.agg(F.max("dim")).first()[0] or 0) + 1
-    at_once = max(1, PROFILE_BYTES // (8 * width * (len(GRID) + 8 + width)))
-    for start in range(0, len(names), at_once):
-        some = names[start : start + at_once]
-        yield _profiles(frame, grids, cells, vector, some, width, eps)
-
-
-def _is(cells: list[str], names: list[tuple]) -> Column:
-    return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(cells, name, strict=True)]) for name in names])
-
-
-def _profiles(frame: DataFrame, grids: DataFrame, cells: list[str], vector: str, names: list[tuple], width: int, eps: float) -> dict[tuple, Cell]:
-    rows = grids.filter(_is(cells, names)).collect()
-    made: dict[tuple, dict[int, object]] = {}
-    for r in rows:
-        made.setdefault(tuple(r[c] for c in cells), {})[r["dim"]] = r
-    marginal = {}
-    for name, dims in made.items():
-        grid = np.array([dims[i]["quantiles"][: len(GRID)] for i in range(width)]).T
-        u, low, high = (np.array([dims[i]["quantiles"][len(GRID) + j] for i in range(width)]) for j in range(3))
-        b0, b1 = (np.array([dims[i][k] for i in range(width)]) for k in ("b0", "b1"))
-        apart = np.where(np.abs(b0 - 2 * b1) < 1e-9, 1e-9, b0 - 2 * b1)
-        tail = np.stack([u, 2 - b0 / apart, np.maximum(2 * b0 * b1 / apart, 1e-9)])
-        marginal[name] = Cell(grid, tail, np.stack([low, high]), np.zeros(0), np.zeros(0))
-    shared = frame.sparkSession.sparkContext.broadcast(marginal)  # of bounded size, see PROFILE_BYTES
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        order = {name: i for i, name in enumerate(shared.value)}
-        for b in batches:
-            keys = [tuple(None if v is pd.NA else v for v in row) for row in b[cells].itertuples(index=False, name=None)]
-            for name in set(keys) & set(order):
-                z = shared.value[name].scores(np.stack([np.asarray(v, np.float64) for v, k in zip(b[vector], keys, strict=True) if k == name]))
-                z = np.concatenate([np.ones((len(z), 1)), z], axis=1)
-                sums[order[name]] = sums.get(order[name], 0) + z.T @ z
-        for cell, total in sums.items():
-            yield pd.DataFrame({"cell": cell, "i": np.arange(total.size), "v": total.ravel()})
-
-    known = frame.filter(F.col(vector).isNotNull() & _is(cells, names)).select(*cells, vector)
-    summed = known.mapInPandas(moments, "cell int, i int, v double").groupBy("cell", "i").agg(F.sum("v").alias("v")).collect()
-    products = np.zeros((len(marginal), (width + 1) ** 2))
-    for cell, i, v in summed:
-        products[cell, i] = v
-    out = {}
-    for product, (name, m) in zip(products.reshape(-1, width + 1, width + 1), marginal.items(), strict=True):
-        n, total = product[0, 0], product[0, 1:]
-        covariance = product[1:, 1:] / n - np.outer(total, total) / n**2
-        spread = np.sqrt(np.maximum(np.diag(covariance), 1e-300))
-        corr = covariance / np.outer(spread, spread)
-        np.fill_diagonal(corr, 1.0)
-        out[name] = Cell(m.grid, m.tail, m.edges, *np.linalg.eigh(corr + eps * np.eye(width)))
-    return out
+    moments = counts.join(limits, keys).groupBy(*keys).agg((F.sum(n * over) / F.max("size")).alias("b0"), (F.sum(place * over) / F.max("size")).alias("b1"))
+    return grids.join(moments, keys)
 
 
-def cell_shift(frame: DataFrame, cells: list[str], vector: str, amount: Column, profiles: Iterator[dict[tuple, Cell]], lowest: Column | None = None, scoped: Column | None = None) -> DataFrame:
-    """Vectors of ``scoped`` rows moved by their amount (null: clipped only) within their cell; rows of cells without a profile stay."""
-    out = frame.withColumns({"__amount": amount.cast("double"), "__lowest": F.lit(False) if lowest is None else lowest, "__scoped": F.lit(True) if scoped is None else scoped})
-    for some in profiles:
-        out = out.withColumn(vector, _shifted(out, some, len(cells))(F.col(vector).cast("array<double>"), F.array(*[F.col(c).cast("string") for c in cells]), "__amount", "__lowest", "__scoped"))
-    return out.drop("__amount", "__lowest", "__scoped")
+def _named(frame: DataFrame, cells: list[str]) -> DataFrame:
+    return frame.withColumn("__cell", F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cells)])))
 
 
-def _shifted(frame: DataFrame, profiles: dict[tuple, Cell], width: int):
-    shared = frame.sparkSession.sparkContext.broadcast({tuple(None if v is None else str(v) for v in k): c for k, c in profiles.items()})
+def _dealt(frame: DataFrame, sizes: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows with ``__salt``: a hash of the row among as many parts as its cell has, 0 without a profile."""
+    parts = F.coalesce(F.col("__parts"), F.lit(1))
+    return frame.join(sizes, "__cell", "left").withColumn("__salt", F.pmod(F.xxhash64(*columns), parts).cast("int")).drop("__parts")
 
-    @F.pandas_udf("array<double>")
-    def move(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for vectors, names, amounts, lowest, scoped in batches:
-            out, keys = list(vectors), [tuple(n) for n in names]
-            usable = [k in shared.value and bool(s) and v is not None for k, s, v in zip(keys, scoped, vectors, strict=True)]
-            for group in {(k, bool(low)) for k, low, u in zip(keys, lowest, usable, strict=True) if u}:
-                at = [i for i, u in enumerate(usable) if u and (keys[i], bool(lowest.iloc[i])) == group]
-                x, t, cell = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in at]), amounts.iloc[at].to_numpy(np.float64), shared.value[group[0]]
-                still = np.isnan(t)
-                y = np.where(still[:, None], cell.clipped(x), cell.moved(x, np.nan_to_num(t), group[1]))
-                for i, row in zip(at, y, strict=True):
-                    out[i] = row
-            yield pd.Series(out)
 
-    return move
+def _copied(profiles: DataFrame) -> DataFrame:
+    """A copy of each profile for each part of its cell."""
+    return profiles.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
 
 
-def copula_shift(frame: DataFrame, cell: str, vector: str, amount: str, least: int = 64) -> DataFrame:
-    """Vectors moved along the strongest axis of their cell's rank correlation, back through its quantiles and tails.
+def cell_profiles(frame: DataFrame, cells: list[str], vector: str, edges: tuple[float, float] = (0.005, 0.995), least: int = 64, eps: float = 1e-8, rows: int = CELL_ROWS) -> DataFrame:
+    """A table of profiles: cells, width, size and the arrays of ``Cell``; a row for each cell of at least so many rows, from all of them.
 
-    All rows of a cell make its profile, and are shifted where they are. Cells with fewer than
-    ``least`` rows, and null vectors, stay as they are.
+    Any number of cells takes the same reads: quantiles are ranks among counts of values, products
+    of normal scores are summed by parts of a cell, then by cell. Vectors of a cell are of one width.
     """
-    rows = frame.withColumn(vector, F.col(vector).cast("array<double>"))
-    return cell_shift(rows, [cell], vector, F.col(amount), cell_profiles(rows, [cell], vector, least=least))
-
+    known = _named(frame.filter(F.col(vector).isNotNull()), cells).select("__cell", F.col(vector).cast("array<double>").alias("__v"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(cells)])
+    grids = _grids(known.select("__cell", F.col("__v").alias("x")), "x", edges, least)
+    # the size of a cell is the same in each of its dimensions
+    margins = cut(grids.groupBy("__cell").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("dim", "quantiles", "b0", "b1"))).alias("dims")))  # a row for each dimension of a cell
+    margins = margins.withColumn("__parts", F.ceil(F.col("size") / rows).cast("int"))
+    own = [f"__k{i}" for i in range(len(cells))]
+    counted = known.groupBy("__cell", "__v").agg(F.count("*").alias("__n"))  # one vector may fill a cell
+    dealt = _dealt(counted, margins.select("__cell", "__parts"), ["__v"]).select("__cell", "__salt", "__v", "__n")
+
+    def products(group: pa.Table, margin: pa.Table) -> pa.Table:
+        if not margin.num_rows or not group.num_rows:
+            return empty
+        cell = _margin(margin.column("dims")[0].as_py())
+        z = cell.scores(_stacked(group.column("__v")))
+        z = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+        first = {"__cell": group.column("__cell")[0].as_py(), "__salt": group.column("__salt")[0].as_py(), "__at": 0, "sums": ((z * group.column("__n").to_numpy()[:, None]).T @ z).tobytes()}
+        return pa.Table.from_pylist([first], schema=sums_schema)
+
+    sums_schema = pa.schema([("__cell", pa.string()), ("__salt", pa.int32()), ("__at", pa.int32()), ("sums", pa.binary())])
+    empty = sums_schema.empty_table()
+    shape = "__cell string, __salt int, __at int, sums binary"
+    by = ["__cell", "__salt"]
+    summed = dealt.groupBy(*by).cogroup(_copied(margins.select("__cell", "__parts", "dims")).groupBy(*by)).applyInArrow(products, shape)
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), "<f8") for x in group.column("sums"))
+        first = {"__cell": group.column("__cell")[0].as_py(), "__salt": group.column("__salt")[0].as_py() // FAN, "__at": 0, "sums": total.tobytes()}
+        return pa.Table.from_pylist([first], schema=sums_schema)
+
+    most = margins.agg(F.max("__parts")).first()[0] or 1
+    while most > FAN:  # the parts of one cell meet a few at a time
+        summed = summed.withColumn("__at", F.floor(F.col("__salt") / FAN).cast("int")).groupBy("__cell", "__at").applyInArrow(added, shape)
+        most = -(-most // FAN)
+    whole = summed.groupBy("__cell").agg(F.collect_list("sums").alias("sums"))  # FAN at most
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                m, total = _margin(row["dims"]), sum(np.frombuffer(x, "<f8") for x in row["sums"])
+                width = m.grid.shape[1]
+                product = total.reshape(width + 1, width + 1)
+                n, mean = product[0, 0], product[0, 1:] / product[0, 0]
+                covariance = product[1:, 1:] / n - np.outer(mean, mean)
+                spread = np.sqrt(np.maximum(np.diag(covariance), 1e-300))
+                corr = covariance / np.outer(spread, spread)
+                np.fill_diagonal(corr, 1.0)
+                values, axes = np.linalg.eigh(corr + eps * np.eye(width))
+                arrays = {k: np.ascontiguousarray(v, "<f8").tobytes() for k, v in zip(("grid", "tail", "edges", "values", "axes"), (m.grid, m.tail, m.edges, values, axes), strict=True)}
+                yield pa.RecordBatch.from_pylist([{"__cell": row["__cell"], "width": width, **arrays}], schema=profile_schema)
+
+    profile_schema = pa.schema([("__cell", pa.string()), ("width", pa.int32()), *((k, pa.binary()) for k in ("grid", "tail", "edges", "values", "axes"))])
+    made = margins.select("__cell", "dims").join(whole, "__cell").mapInArrow(profile, "__cell string, width int, grid binary, tail binary, edges binary, values binary, axes binary")
+    names = known.groupBy("__cell").agg(*[F.first(c).alias(c) for c in own])
+    out = made.join(margins.select("__cell", "size", "__parts"), "__cell").join(names, "__cell")
+    return cut(out.select(*[F.col(k).alias(c) for k, c in zip(own, cells, strict=True)], "__cell", "__parts", "size", "width", "grid", "tail", "edges", "values", "axes"))
+
+
+def _stacked(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as a matrix; a null element is NaN."""
+    x = vectors.combine_chunks()
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(x), -1)
+
+
+def _margin(dims: list[dict]) -> Cell:
+    """Grid, tails and edges of a cell from the rows of its dimensions."""
+    table = np.array([d["quantiles"] for d in dims]).T
+    n = len(GRID)
+    b0, b1 = (np.array([d[k] for d in dims]) for k in ("b0", "b1"))
+    apart = np.where(np.abs(b0 - 2 * b1) < 1e-9, 1e-9, b0 - 2 * b1)
+    tail = np.stack([table[n], 2 - b0 / apart, np.maximum(2 * b0 * b1 / apart, 1e-9)])
+    return Cell(table[:n], tail, table[n + 1 : n + 3], np.zeros(0), np.zeros(0))
+
+
+def cell_shift(frame: DataFrame, cells: list[str], vector: str, amount: Column, profiles: DataFrame, lowest: Column | None = None, scoped: Column | None = None) -> DataFrame:
+    """Vectors of ``scoped`` rows moved by their amount (null: clipped only) within their cell; rows of cells without a profile stay.
+
+    Rows meet their profile by cell and part; other columns pass by as they are.
+    """
+    columns = frame.columns
+    marked = _named(frame, cells).withColumn(vector, F.col(vector).cast("array<double>"))
+    marked = marked.withColumns({"__amount": amount.cast("double"), "__lowest": F.lit(False) if lowest is None else F.coalesce(lowest, F.lit(False)), "__scoped": F.lit(True) if scoped is None else F.coalesce(scoped, F.lit(False))})
+    touched = F.col("__scoped") & F.col(vector).isNotNull()
+    dealt = _dealt(marked.filter(touched), profiles.select("__cell", "__parts"), columns)
+    shape = marked.select(*columns).schema
+
+    def move(rows: pa.Table, profile: pa.Table) -> pa.Table:
+        out = rows.select(columns)
+        if not profile.num_rows or not rows.num_rows:
+            return out
+        cell = Cell.of(profile.to_pylist()[0])
+        x, t = _stacked(rows.column(vector)), rows.column("__amount").to_numpy()
+        y = np.where(np.isnan(t)[:, None], cell.clipped(x), cell.moved(x, np.nan_to_num(t), rows.column("__lowest").to_numpy()))
+        moved = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1], pa.int32()), pa.array(y.ravel(), from_pandas=True))
+        return out.set_column(columns.index(vector), vector, moved)
+
+    by = ["__cell", "__salt"]
+    shifted_ = dealt.groupBy(*by).cogroup(_copied(profiles.select("__cell", "__parts", "width", "grid", "tail", "edges", "values", "axes")).groupBy(*by)).applyInArrow(move, shape)
+    return shifted_.unionByName(marked.filter(~touched).select(*columns))
 
-def _normal_cdf(z):
-    return 1 / (1 + np.exp(-(0.07056 * z**3 + 1.5976 * z)))
 
+def copula_shift(frame: DataFrame, cell: str, vector: str, amount: str, least: int = 64) -> DataFrame:
+    """Vectors moved along the strongest axis of their cell's rank correlation, back through its quantiles and tails.
 
-def _normal_quantile(p):
-    """Inverse of the logistic form above, by its closed root."""
-    y = np.log(p / (1 - p))
-    a, b = 1.5976 / 0.07056, y / 0.07056
-    root = np.sqrt(b * b / 4 + a**3 / 27)
-    return np.cbrt(b / 2 + root) + np.cbrt(b / 2 - root)
+    All rows of a cell make its profile. Cells with fewer than ``least`` rows, and null vectors, stay as they are.
+    """
+    return cell_shift(frame, [cell], vector, F.col(amount), cell_profiles(frame, [cell], vector, least=least))
 
 
 # ---- shifts off the manifold --------------------------------------------------------------
@@ -271,22 +312,8 @@ class Manifold:
 
 def fit_manifold(frame: DataFrame, vector: str, rank: int = 16) -> Manifold:
     """From the products of all vectors, summed up in the tasks."""
-    width = len(frame.filter(F.col(vector).isNotNull()).select(vector).first()[0])
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width + 1, width + 1))
-        for b in batches:
-            if len(b):
-                x = np.stack([np.asarray(v, np.float64) for v in b[vector]])
-                x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-                total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
-
-    rows = frame.filter(F.col(vector).isNotNull()).select(vector).mapInPandas(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-    product = np.zeros((width + 1) ** 2)
-    for i, v in rows:
-        product[i] = v
-    product = product.reshape(width + 1, width + 1)
+    product = products_of(frame, [vector])
+    width = len(product) - 1
     n, mean = product[0, 0], product[0, 1:] / product[0, 0]
     values, axes = np.linalg.eigh(product[1:, 1:] / n - np.outer(mean, mean))
     return Manifold(mean.tolist(), axes[:, ::-1].T[: min(rank, width)].tolist(), float(np.sqrt(max(values[::-1][rank:].sum(), 0.0) / width)))
@@ -340,8 +367,7 @@ def compound_sql(key: str, pairs: list[tuple[str, str]], share: float, fractions
 
 def roles(spans: DataFrame, pairs: list[tuple[str, str]] = (), share: float = 0.0) -> DataFrame:
     """Spans with step, anomaly_type (compound ones too), anomaly_severity, class and anomaly_role of their trace."""
-    step = F.row_number().over(Window.partitionBy("trace_id").orderBy("start_time_ns", "span_id")) - 1
-    out = spans.withColumn("step", step).withColumn("anomaly_type", compound_of(F.col("trace_id"), list(pairs), share))
+    out = scans.places(spans, ["trace_id"], ["start_time_ns", "span_id"], "step").withColumn("anomaly_type", compound_of(F.col("trace_id"), list(pairs), share))
     out = out.withColumn("anomaly_severity", severity_of(F.col("trace_id"), F.col("anomaly_type")))
     normal = F.col("anomaly_type") == NORMAL
     return out.withColumns({"class": (~normal).cast("int"), "anomaly_role": F.when(normal, "none").otherwise("member")})
@@ -363,7 +389,7 @@ def bystanders(victims: DataFrame, scoped: DataFrame, keys=("trace_id", "span_id
 
 
 def apply_classes(
-    spans: DataFrame, profiles: list[dict[tuple, Cell]], manifold: Manifold, directions: dict[str, list[float]], epi: str = "epi_vector", sem: str = "sem_vector", operators=OPERATORS,
+    spans: DataFrame, profiles: DataFrame, manifold: Manifold, directions: dict[str, list[float]], epi: str = "epi_vector", sem: str = "sem_vector", operators=OPERATORS,
 ) -> DataFrame:
     """Move the vectors of victims; ``spans`` come from ``roles`` and have aef_kind and agent_id.
 
@@ -386,7 +412,7 @@ def apply_classes(
         any_of = lambda test: F.col("__class").isin(*[o.name for o in by.values() if test(o)]) if any(test(o) for o in by.values()) else F.lit(False)
         lowest = F.coalesce(any_of(lambda o: o.geometry in ("coupling_break_edge", "residual_inflate")), F.lit(False))
         amount = F.when(any_of(lambda o: o.epi), F.col("__tau"))
-        out = cell_shift(out, ["aef_kind", "agent_id"], epi, amount, iter(profiles), lowest, F.col("__class").isNotNull())
+        out = cell_shift(out, ["aef_kind", "agent_id"], epi, amount, profiles, lowest, F.col("__class").isNotNull())
         moved = F.col(sem)
         for o in by.values():
             if o.sem:

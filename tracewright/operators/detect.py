@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import scoring
 from tracewright.operators.selection import cut
+from tracewright.sources.document import write_document
 
 EPS = 1e-8
 
@@ -274,10 +275,15 @@ def records(frame: DataFrame) -> DataFrame:
 
 
 def write_records(frame: DataFrame, path: str) -> None:
-    """One JSON record a line, nulls written; a single document with all would have to pass through one task."""
+    """One JSON record a line, nulls written."""
     records(frame).write.option("ignoreNullFields", False).json(path)
 
 
+def write_records_document(frame: DataFrame, path: str) -> None:
+    """All records in one JSON document, ``{"anomalies": [...]}``."""
+    write_document(records(frame), path)
+
+
 def write_parameters(spark: SparkSession, name: str, text: str, path: str) -> None:
     """Fitted parameters as one JSON row."""
     spark.createDataFrame([(name, text)], "name string, parameters string").coalesce(1).write.mode("append").json(path)

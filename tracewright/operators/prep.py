@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.stats import clip, correlation
-from tracewright.operators import ranks
+from tracewright.functions.stats import clip
+from tracewright.operators import gram, ranks
 
 
 def fill_rates(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -25,24 +25,20 @@ def static_rates(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def useful(frame: DataFrame, columns: list[str], least_fill: float = 0.5, most_static: float = 0.95) -> DataFrame:
-    both = fill_rates(frame, columns).join(static_rates(frame, columns), "feature")
-    return both.filter((F.col("fill") >= least_fill) & (F.col("static") <= most_static))
+    """feature, fill, static of the columns that are filled and varied enough; ``static`` is null where no value fills half of the rows.
 
-
-def correlations(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, neighbor, corr for each pair in order; one aggregate over the table."""
-    pairs = [(a, b) for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i + 1 :]]
-    if not pairs:
-        return frame.sparkSession.createDataFrame([], "feature string, neighbor string, corr double")
-    row = frame.agg(F.array(*[F.struct(F.lit(a).alias("feature"), F.lit(b).alias("neighbor"), correlation(F.col(a), F.col(b)).alias("corr")) for a, b in pairs]).alias("p"))
-    return row.select(F.inline("p"))
+    Limits below a half need exact shares of all columns.
+    """
+    rates = gram.static_rates(frame, columns) if most_static >= 0.5 else static_rates(frame, columns)
+    both = fill_rates(frame, columns).join(rates, "feature")
+    return both.filter((F.col("fill") >= least_fill) & (F.coalesce("static", F.lit(0.0)) <= most_static))
 
 
 def redundant(pairs: DataFrame, most: float = 0.999) -> DataFrame:
-    """feature: of each strongly correlated pair, the one with more strong correlation in all; on ties the second."""
-    strong = pairs.filter(F.abs("corr") > most).withColumn("corr", F.abs("corr"))
+    """feature: of each strongly correlated pair, the one with more strong correlation in all; on ties, to 9 places, the second."""
+    strong = pairs.filter(F.abs("corr") > most).withColumn("corr", F.round(F.abs("corr"), 9))
     both = strong.select(F.col("feature").alias("f"), "corr").unionByName(strong.select(F.col("neighbor").alias("f"), "corr"))
-    sums = both.groupBy("f").agg(F.sum("corr").alias("s"))
+    sums = both.groupBy("f").agg(F.round(F.sum("corr"), 6).alias("s"))
     with_a = strong.join(sums.select(F.col("f").alias("feature"), F.col("s").alias("sa")), "feature", "left")
     with_b = with_a.join(sums.select(F.col("f").alias("neighbor"), F.col("s").alias("sb")), "neighbor", "left")
     return with_b.select(F.when(F.col("sa") > F.col("sb"), F.col("feature")).otherwise(F.col("neighbor")).alias("feature")).distinct()
@@ -159,7 +155,7 @@ def surviving(frame: DataFrame, columns: list[str], least_fill: float = 0.5, mos
     good = sorted(r[0] for r in useful(frame, columns, least_fill, most_static).select("feature").collect())
     if not good:
         return []
-    again = {r[0] for r in redundant(correlations(frame, good), most_corr).collect()}
+    again = {r[0] for r in redundant(gram.correlations(frame, good, most_corr), most_corr).collect()}
     rest = [c for c in good if c not in again]
     large = {r[0] for r in huge(frame, rest, most).collect()}
     return [c for c in rest if c not in large]

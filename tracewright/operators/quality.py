@@ -6,11 +6,12 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import distinct_with_null
-from tracewright.operators import ranks
+from tracewright.operators import ranks, scans
+from tracewright.operators.rolling import rolled
 from tracewright.sources.spec import INVARIANTS, MANDATORY, SPEC, Attribute
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95)
@@ -220,9 +221,13 @@ def dynamics(frame: DataFrame, width: int = 5) -> DataFrame:
         "missing": missing().cast("double"), "invalid": violations().cast("double"),
         "duration": (F.col("end_time_ns") - F.col("start_time_ns")).cast("double"), "error": (F.col("status_code") == "STATUS_CODE_ERROR").cast("double"),
     }
-    order = Window.partitionBy("trace_id").orderBy("start_time_ns", "span_id")
-    running, last = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(1 - width, 0)
-    out = [F.count("span_id").over(running).alias("step")]
-    for k, c in signals.items():
-        out += [c.alias(k), F.sum(c).over(running).alias(f"{k}_sum"), F.avg(c).over(running).alias(f"{k}_mean"), F.avg(c).over(last).alias(f"{k}_last")]
-    return frame.select("trace_id", "span_id", *out)
+    order = ["start_time_ns", "span_id"]
+    slim = frame.select("trace_id", "span_id", "start_time_ns", *[c.alias(k) for k, c in signals.items()])
+    last = rolled(slim, ["trace_id"], order, {k: ("mean",) for k in signals}, (width,), ())
+    sums = {f"{k}_sum": F.col(k) for k in signals} | {"step": F.col("span_id").isNotNull().cast("long")} | {f"__n_{k}": F.col(k).isNotNull().cast("long") for k in signals}
+    rows = scans.sums_upto(scans.dealt(last, ["trace_id", *order]), ["trace_id"], sums)
+    out = ["step"]
+    for k in signals:
+        known = F.col(f"__n_{k}")
+        out += [k, F.when(known > 0, F.col(f"{k}_sum")).alias(f"{k}_sum"), F.try_divide(f"{k}_sum", known).alias(f"{k}_mean"), F.col(f"{k}__mean_{width}").alias(f"{k}_last")]
+    return rows.select("trace_id", "span_id", *out)

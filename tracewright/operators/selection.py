@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01
 
 A, C, M = 1_103_515_245, 12_345, 2**31
+#: Buckets of the histogram that finds where a limit falls.
+BUCKETS = 1024
 
 
 def epoch_ns(text: str) -> int:
@@ -58,9 +60,9 @@ def select_traces(
         traces = traces.filter(F.col("all_agents") & low & high)
     else:
         traces = traces.filter("any")
-    traces = traces.select("trace_id", "begin", "n")
+    traces = cut(traces.select("trace_id", "begin", "n"))  # a row for each trace, read several times
     if limit is not None and mode != "open":
-        traces = _running(traces, [F.col("begin"), F.col("trace_id")], F.col("n"), "upto").filter(F.col("upto") + F.col("n") <= limit).drop("upto")
+        traces = cut(within(traces, "begin", "trace_id", F.col("n"), limit, "__fits").filter("__fits").drop("__fits"))
     marked = _held_out(traces, holdout_method, holdout_percent, seed)
     marked = {"full": marked, "train": marked.filter("not holdout"), "test": marked.filter("holdout")}[subset]
     rows = spans.filter(fits) if mode == "open" else spans
@@ -69,18 +71,43 @@ def select_traces(
 
 
 def _held_out(traces: DataFrame, method: str, percent: float, seed: int) -> DataFrame:
-    newest = [F.col("begin").desc(), F.col("trace_id").desc()]
+    total = traces.count()
+    held = total - int((1 - percent / 100) * total)
     if method == "recent":
-        placed = _running(traces, newest, F.lit(1), "pos")
-    elif method == "seeded":
+        return within(traces, "begin", "trace_id", F.lit(1), held, "holdout", newest=True)
+    if method == "seeded":
         placed = _running(traces, [F.col("begin"), F.col("trace_id")], F.lit(1), "pos")  # positions from the oldest on
         step = lambda x: F.pmod(x * A, F.lit(M))
         key = F.pmod(step(F.pmod((F.col("pos") + 1) * A + seed % M, F.lit(M))) + C, F.lit(M))
         placed = _running(placed.withColumn("__key", key).drop("pos"), [F.col("__key"), F.col("trace_id")], F.lit(1), "pos")
     else:
         placed = _running(traces.withColumn("__key", F.rand()), [F.col("__key"), F.col("trace_id")], F.lit(1), "pos")
-    total = traces.count()
-    return placed.withColumn("holdout", F.col("pos") < total - int((1 - percent / 100) * total))
+    return placed.withColumn("holdout", F.col("pos") < held)
+
+
+def within(frame: DataFrame, by: str, tie: str, weight: Column, limit: int, name: str, newest: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """``frame`` with whether a row and all before it, from the least ``by`` (or the greatest, if ``newest``), weigh at most ``limit`` together.
+
+    A histogram of ``by`` finds the bucket in which the limit falls. Buckets before it fit whole and those
+    after it do not; only its own rows are put in order.
+    """
+    low, high = frame.agg(F.min(by), F.max(by)).first()
+    width = max(1, -(-(high - low + 1) // buckets)) if low is not None else 1
+    place = F.floor((F.col(by) - F.lit(low or 0)) / width).cast("long")
+    place = F.coalesce(buckets - place if newest else place, F.lit(buckets + 1 if newest else -1))  # nulls first, or last
+    rows = frame.withColumns({"__bucket": place, "__weight": weight.cast("long")})
+    full, edge = 0, None
+    for bucket, size in sorted(tuple(r) for r in rows.groupBy("__bucket").agg(F.sum("__weight")).collect()):  # a row for each bucket
+        if full + size > limit:
+            edge = bucket
+            break
+        full += size
+    if edge is None:
+        return frame.withColumn(name, F.lit(True))
+    order = [F.col(by).desc(), F.col(tie).desc()] if newest else [F.col(by), F.col(tie)]
+    at_edge = _running(rows.filter(F.col("__bucket") == edge), order, F.col("__weight"), "__upto").withColumn(name, F.col("__upto") + F.col("__weight") + full <= limit)
+    rest = rows.filter(F.col("__bucket") != edge).withColumn(name, F.col("__bucket") < edge)
+    return rest.select(*frame.columns, name).unionByName(at_edge.select(*frame.columns, name))
 
 
 def _running(frame: DataFrame, order: list, value, name: str) -> DataFrame:
@@ -96,11 +123,11 @@ def _running(frame: DataFrame, order: list, value, name: str) -> DataFrame:
     return joined.withColumn(name, F.col("__own") + F.col("__start")).select(*frame.columns, name)
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the cluster names; a temporary one only where none is set and the master is local."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for all to share; a temporary one only where none is set and the master is local."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             import atexit
             import shutil
@@ -111,6 +138,12 @@ def cut(frame: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tracewright-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

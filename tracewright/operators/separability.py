@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.gram import products_of
 from tracewright.operators.selection import _running
 
 # The band of AUC in which a class is neither trivial nor hidden.
@@ -80,22 +79,11 @@ def energy_distance(frame: DataFrame, score: str, label: str) -> DataFrame:
 def coupling(frame: DataFrame, a: str, b: str, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Ridge weights from vector a to vector b, and the covariance of what they leave.
 
-    Tasks sum up products of coordinates; Spark adds the sums. What comes to the driver is
-    a table as wide as both vectors, whatever the number of rows.
+    Tasks sum up products of coordinates and send a matrix each, as wide as both vectors.
     """
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram = None
-        for batch in batches:
-            if len(batch):
-                x = np.hstack([np.ones((len(batch), 1)), np.stack(batch[a]), np.stack(batch[b])]).astype(float)
-                gram = x.T @ x if gram is None else gram + x.T @ x
-        if gram is not None:
-            yield pd.DataFrame({"at": np.arange(gram.size), "x": gram.ravel()})
-
-    both = frame.select(F.col(a).cast("array<double>").alias(a), F.col(b).cast("array<double>").alias(b)).dropna()
-    cells = both.mapInPandas(products, "at long, x double").groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()
-    gram = np.array([c.x for c in cells]).reshape((int(np.sqrt(len(cells))),) * 2)
+    both = frame.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    gram = products_of(both, [a, b])
     n, d = gram[0, 0], len(both.select(a).first()[0])
     aa, ab, bb = gram[1 : d + 1, 1 : d + 1], gram[1 : d + 1, d + 1 :], gram[d + 1 :, d + 1 :]
     weight = np.linalg.solve(aa + ridge * np.eye(d), ab)

@@ -57,54 +57,108 @@ def learner(kind: str, width: int, classes: int):
     raise ValueError(f"no learner named {kind}")
 
 
-def _probabilities(model, rows: DataFrame, name: str) -> DataFrame:
-    """Rows with an array of class probabilities; raw scores go through a softmax where a model has no other."""
+def _scores(model, rows: DataFrame, name: str) -> DataFrame:
+    """Rows with an array of a score for each class: probabilities, or raw scores where a model has no other."""
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(rows)
-    if "probability" in out.columns:
-        p = vector_to_array(F.col("probability"))
-    else:
-        raw = vector_to_array(F.col("rawPrediction"))
-        e = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
-        p = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
-    return out.select(*rows.columns, p.alias(name))
+    column = "probability" if "probability" in out.columns else "rawPrediction"
+    return out.select(*rows.columns, vector_to_array(F.col(column)).alias(name))
+
+
+#: Learners whose scores are margins.
+MARGINS = ("svm", "boosting")
+#: Bins of scores from which a calibration is made.
+BINS = 256
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """Probabilities at scores, linear between them and level beyond; they never fall."""
+
+    scores: list[float]
+    probabilities: list[float]
+
+    def __call__(self, score: Column) -> Column:
+        if not self.scores:
+            return F.lit(0.0)
+        table = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(p).alias("p")) for x, p in zip(self.scores, self.probabilities, strict=True)])  # BINS at most
+        at = F.aggregate(table, F.lit(0), lambda n, t: n + (t["x"] <= score).cast("int"))
+        low, high = F.get(table, F.greatest(at - 1, F.lit(0))), F.get(table, F.least(at, F.lit(len(self.scores) - 1)))
+        share = F.coalesce(F.try_divide(score - low["x"], high["x"] - low["x"]), F.lit(0.0))
+        return low["p"] + (high["p"] - low["p"]) * F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0))
+
+
+def fit_calibration(frame: DataFrame, score: Column, positive: Column, bins: int = BINS) -> Calibration:
+    """Isotonic regression of a 0/1 label on a score, from the sums of bins of equal width.
+
+    Neighbouring bins are pooled while their shares fall; only a row for each bin reaches the driver.
+    """
+    rows = frame.select(score.cast("double").alias("s"), positive.cast("double").alias("y")).dropna()
+    low, high = rows.agg(F.min("s"), F.max("s")).first()
+    if low is None:
+        return Calibration([], [])
+    place = F.least(F.floor((F.col("s") - low) / max((high - low) / bins, 1e-300)), F.lit(bins - 1))
+    sums = rows.groupBy(place.alias("b")).agg(F.sum("s").alias("s"), F.sum("y").alias("y"), F.count("*").alias("n")).orderBy("b").collect()
+    pools: list[list[float]] = []  # sum of scores, of labels, count
+    for r in sums:
+        pools.append([r["s"], r["y"], r["n"]])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return Calibration([s / n for s, _, n in pools], [y / n for _, y, n in pools])
+
+
+def _calibrated(scores: Column, calibrations: list[Calibration] | None) -> Column:
+    """Probabilities of the classes from their scores, which sum to one; equal ones where all are 0."""
+    if calibrations is None:
+        return scores
+    each = F.array(*[c(scores[i]) for i, c in enumerate(calibrations)])
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(each, lambda x: F.when(total > 0, x / total).otherwise(1.0 / len(calibrations)))
 
 
 @dataclass
 class Stack:
-    """Base models fitted on all rows, and a meta model fitted on out-of-fold probabilities."""
+    """Base models fitted on all rows, calibrations of margins and a meta model fitted on out-of-fold probabilities."""
 
     kinds: list[str]
     models: list
     meta: object
     names: list[str]
+    calibrations: list[list[Calibration] | None]
 
     def classify(self, frame: DataFrame, features: str) -> DataFrame:
         """``frame`` with predicted_class and class_probability; an empty frame gives them empty."""
         from pyspark.ml.functions import array_to_vector
 
         rows = frame.withColumn("__x", array_to_vector(F.col(features).cast("array<double>")))
-        rows = _meta(rows, self.kinds, self.models)
-        out = _probabilities(self.meta, rows.withColumn("__x", F.col("__meta")), "__p")
+        rows = _meta(_base(rows, self.models), self.calibrations)
+        out = _scores(self.meta, rows.withColumn("__x", F.col("__meta")), "__p")
         best = F.array_max("__p")
         named = F.element_at(F.array(*[F.lit(n) for n in self.names]), F.array_position("__p", best).cast("int"))
         return out.select(*frame.columns, named.alias("predicted_class"), best.alias("class_probability"))
 
 
-def _meta(rows: DataFrame, kinds: list[str], models: list) -> DataFrame:
+def _base(rows: DataFrame, models: list) -> DataFrame:
+    """Rows with the scores of each model; models run one after the other over the rows, so no join is needed."""
+    for i, model in enumerate(models):
+        rows = _scores(model, rows, f"__s_{i}")
+    return rows
+
+
+def _meta(rows: DataFrame, calibrations: list[list[Calibration] | None]) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
-    columns = [f"__p_{i}" for i in range(len(kinds))]
-    for c, model in zip(columns, models, strict=True):
-        rows = _probabilities(model, rows, c)
-    return rows.withColumn("__meta", array_to_vector(F.concat(*columns))).drop(*columns)
+    columns = [f"__s_{i}" for i in range(len(calibrations))]
+    return rows.withColumn("__meta", array_to_vector(F.concat(*[_calibrated(F.col(c), k) for c, k in zip(columns, calibrations, strict=True)]))).drop(*columns)
 
 
 def fit_stack(frame: DataFrame, features: str, label: str, key: str, names: list[str], kinds=("logreg", "forest"), k: int = 5, meta: str = "logreg") -> Stack:
     """Stacking: each row's meta features come from base models that never saw its fold.
 
-    Models of a fold run one after the other over its rows, so no join is needed.
+    The margins of such models become probabilities by isotonic regression on the rows that the models never saw. The meta
+    learner is one with probabilities of its own.
     """
     from pyspark.ml.functions import array_to_vector
 
@@ -118,7 +172,10 @@ def fit_stack(frame: DataFrame, features: str, label: str, key: str, names: list
     apart = None
     for f in range(k):
         inside, outside = rows.filter(F.col("fold") == f), rows.filter(F.col("fold") != f)
-        one = _meta(inside, kinds, [fit(kind, outside) for kind in kinds]).select(F.col("__meta").alias("__x"), "__y")
+        one = _base(inside, [fit(kind, outside) for kind in kinds]).drop("__x", "fold")
         apart = one if apart is None else apart.unionByName(one)
-    top = learner(meta, len(kinds) * len(names), len(names)).fit(cut(apart))
-    return Stack(list(kinds), [fit(kind, rows) for kind in kinds], top, list(names))
+    apart = cut(apart)
+    of_class = lambda i, c: fit_calibration(apart, F.col(f"__s_{i}")[c], F.col("__y") == c)
+    calibrations = [[of_class(i, c) for c in range(len(names))] if kind in MARGINS else None for i, kind in enumerate(kinds)]
+    top = learner(meta, len(kinds) * len(names), len(names)).fit(_meta(apart, calibrations).select(F.col("__meta").alias("__x"), "__y"))
+    return Stack(list(kinds), [fit(kind, rows) for kind in kinds], top, list(names), calibrations)

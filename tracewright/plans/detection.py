@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01_sql
 from tracewright.operators import augment, detect, features, prep, quality, readiness, reports, scoring, selection, stacking
 from tracewright.plans import feature_sql
-from tracewright.plans.queries import _METRICS, CLEAN, DEMO, ORACLES, WITH, clean, query, raw, rounded, spans
-from tracewright.sources import conform
+from tracewright.plans.queries import _METRICS, CLEAN, DEMO, ORACLES, WITH, clean, query, raw, rounded, spans, spoilt
+from tracewright.sources import conform, document
 
 # ---- preparation ------------------------------------------------------------------------
 
-_CANDIDATES = ("action_entropy", "char_count", "delta_time", "duration", "duration_diff", "exec_out_char_count", "is_repeat", "is_tool", "time_gap_variance", "total_duration")
+_CANDIDATES = tuple(sorted(n for n in feature_sql.NAMES if n not in ("sem_text", "agent_prompt")))
 _PAIRS = [(a, b) for i, a in enumerate(_CANDIDATES) for b in _CANDIDATES[i + 1 :]]
 
 
 def _surviving_sql() -> str:
     value = {c: f"coalesce({c}::DOUBLE, 0)" for c in _CANDIDATES}
     rates = " UNION ALL ".join(f"SELECT '{c}' AS feature, (SELECT max(n) / sum(n)::DOUBLE FROM (SELECT count(*) AS n FROM v GROUP BY {c})) AS static, (SELECT max(abs({c})) FROM v) AS most" for c in _CANDIDATES)
-    pairs = " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS neighbor, (SELECT CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN abs(corr({a}, {b})) END FROM v) AS c" for a, b in _PAIRS)
-    return f"""{CLEAN}, {feature_sql.BASE}, v AS (SELECT {', '.join(f'{e} AS {c}' for c, e in value.items())} FROM f), r AS ({rates}), g AS (SELECT * FROM r WHERE static <= 0.95),
-p AS (SELECT * FROM ({pairs}) WHERE c > 0.999 AND feature IN (SELECT feature FROM g) AND neighbor IN (SELECT feature FROM g)),
-s AS (SELECT x, sum(c) AS s FROM (SELECT feature AS x, c FROM p UNION ALL SELECT neighbor, c FROM p) GROUP BY x),
+    pairs = ", ".join(f"{{'feature': '{a}', 'neighbor': '{b}', 'c': CASE WHEN stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN round(abs(corr({a}, {b})), 9) END}}" for a, b in _PAIRS)
+    return f"""{CLEAN}, {feature_sql.BASE}, v AS MATERIALIZED (SELECT {', '.join(f'{e} AS {c}' for c, e in value.items())} FROM f), r AS ({rates}), g AS (SELECT * FROM r WHERE static <= 0.95),
+c AS MATERIALIZED (SELECT unnest([{pairs}], recursive := true) FROM v),
+p AS (SELECT * FROM c WHERE c > 0.999 AND feature IN (SELECT feature FROM g) AND neighbor IN (SELECT feature FROM g)),
+s AS (SELECT x, round(sum(c), 6) AS s FROM (SELECT feature AS x, c FROM p UNION ALL SELECT neighbor, c FROM p) GROUP BY x),
 d AS (SELECT CASE WHEN a.s > b.s THEN feature ELSE neighbor END AS x FROM p JOIN s a ON a.x = feature JOIN s b ON b.x = neighbor)
 SELECT feature FROM g WHERE feature NOT IN (SELECT x FROM d) AND most <= 1e6"""
 
@@ -109,7 +112,7 @@ def aug_applied(spark, sf_dir):
     manifold = augment.fit_manifold(normal, "sem_vector", 8)
     embed = lambda c: prep.hashed_embedding(c, 16)
     directions = {k: augment.anchor_direction(spark, texts, embed) for k, texts in ANCHORS.items()}
-    profiles = list(augment.cell_profiles(normal, ["aef_kind", "agent_id"], "epi_vector"))
+    profiles = augment.cell_profiles(normal, ["aef_kind", "agent_id"], "epi_vector")
     out = augment.apply_classes(tagged, profiles, manifold, directions)
     return out.select("trace_id", "span_id", "anomaly_type", "anomaly_severity", "class", "anomaly_role", "epi_vector", "sem_vector")
 
@@ -169,6 +172,15 @@ def io_records(spark, sf_dir):
     return detect.records(detect.enrich(detect.with_root_cause(found).join(texts, "trace_id", "left"), quality.bounds(own)))
 
 
+@query(_RECORDS)
+def io_document(spark, sf_dir):
+    """The same records written as one JSON document and read back from it."""
+    found = io_records(spark, sf_dir)
+    path = f"{selection.shared_folder(spark)}/detected-{uuid.uuid4().hex}.json"
+    detect.write_records_document(found, path)
+    return document.read_document(spark, path, ", ".join(f"`{c}` {t}" for c, t in found.dtypes))
+
+
 @query("SELECT g.actual, g.predicted, count(l.quality) AS n FROM (SELECT * FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)) g LEFT JOIN labels l ON l.quality = g.actual AND l.toxic = g.predicted GROUP BY ALL")
 def ml_matrix(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
@@ -283,9 +295,12 @@ def ml_class_features(spark, sf_dir):
     return rounded(rows.select("vec_id", F.posexplode(made).alias("i", "x")))
 
 
-@query(f"SELECT CASE WHEN NOT valid THEN 'red' WHEN spans > 0 THEN 'amber' ELSE 'green' END AS light, valid FROM ({ORACLES['dq_verdict']}) v")
+@query(f"SELECT CASE WHEN NOT valid THEN 'red' WHEN degraded THEN 'amber' ELSE 'green' END AS light, valid, degraded FROM ({ORACLES['dq_verdict']}) v, (SELECT bool_or(degraded) AS degraded FROM ({ORACLES['io_schema_check']}) WHERE source = 'spans') s")
 def dq_light(spark, sf_dir):
-    return quality.verdict(raw(spark, sf_dir)).select(quality.traffic_light(F.col("valid"), F.col("spans") > 0).alias("light"), "valid")
+    """Verdict on the rows, and on the schema in which a spoilt source brought them."""
+    rows = raw(spark, sf_dir)
+    schema = conform.schema_check(spoilt(spark, sf_dir)).agg(F.bool_or("degraded").alias("degraded"))  # one row
+    return quality.verdict(rows).crossJoin(F.broadcast(schema)).select(quality.traffic_light(F.col("valid"), F.col("degraded")).alias("light"), "valid", "degraded")
 
 
 @query(f"WITH f AS ({ORACLES['dq_flow']}), r AS (SELECT row_number() OVER (ORDER BY ts) AS i, traces FROM f) SELECT round(corr(i, traces), 6) AS trend FROM r")

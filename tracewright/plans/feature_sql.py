@@ -75,3 +75,18 @@ def rolling_sql(names, widths) -> str:
     """Aggregates of the last spans of each width, rounded to 5 places, and their windows."""
     columns = ", ".join(f"round({e}, 5) AS {name}__{k}_{w}" for w in widths for name in names for kind in features.AGGREGATES[name][1] for k, e in aggregate(kind, name, f" OVER w{w}"))
     return f"SELECT trace_id, span_id, {columns} FROM f WINDOW " + ", ".join(f"w{w} AS ({_ORDER} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in widths)
+
+
+def rolling_long_sql(widths) -> str:
+    """Means over the spans of an agent of every rolling aggregate of each feature and width, rounded to 5 places, from ``f``."""
+    rolling = {k: v[1] for k, v in features.AGGREGATES.items() if v[1]}
+    if_has = lambda kind, e: f"CASE WHEN feature IN ({', '.join(quoted(k) for k, v in rolling.items() if kind in v)}) THEN {e} END"
+    columns = ", ".join(f"{if_has(kind, e)} AS {k}" for kind in ("max", "min", "mean", "std", "sum") for k, e in aggregate(kind, "v", " OVER o"))
+    places = ", ".join(f"{if_has('q', f'q[{i + 1}]')} AS q{round(q * 100)}" for i, q in enumerate(features.QUANTILES))
+    names = ("max", "min", "mean", "std", "sum", *(f"q{round(q * 100)}" for q in features.QUANTILES))
+    of_width = lambda w: f"SELECT agent_id, feature, {w}::INT AS width, {columns}, quantile_cont(v, {list(features.QUANTILES)}) OVER o AS q FROM l WINDOW o AS (PARTITION BY feature, trace_id, agent_id ORDER BY start_time_ns, span_id ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    every = " UNION ALL ".join(of_width(w) for w in widths)
+    plain = ", ".join(f"{k}::DOUBLE AS {k}" for k in rolling)
+    return f""", l AS (SELECT * FROM (SELECT trace_id, agent_id, start_time_ns, span_id, {plain} FROM f) UNPIVOT (v FOR feature IN ({', '.join(rolling)}))),
+r AS ({every}), s AS (SELECT agent_id, feature, width, max, min, mean, std, sum, {places} FROM r)
+SELECT agent_id, feature, width, count(*) AS n, {', '.join(f'round(avg({k}), 5) AS {k}' for k in names)} FROM s GROUP BY agent_id, feature, width"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import u01, u01_sql
-from tracewright.operators import augment, features, prep, quality, readiness, reports, scoring, selection, separability, stacking
+from tracewright.operators import augment, features, gram, prep, quality, readiness, reports, scans, scoring, selection, separability, sketches, stacking
 from tracewright.plans import feature_sql
 from tracewright.sources import conform, fixture, spec
 from tracewright.sources.spec import INVARIANTS, MANDATORY, SPEC
@@ -99,11 +99,15 @@ def _schema_sql() -> str:
     return f"SELECT source, attribute, expected, found, mandatory, verdict, critical_ok, round(ceiling::DOUBLE, 6) AS ceiling, degraded FROM (VALUES {', '.join(rows)}) v(source, attribute, expected, found, mandatory, verdict, critical_ok, ceiling, degraded)"
 
 
+def spoilt(spark, sf_dir):
+    """The raw spans with some columns left out, of another type, or beyond the specification."""
+    return raw(spark, sf_dir).drop(*_ODD_LEFT).withColumns({k: F.expr(e) for k, e in _ODD.items()}).withColumn("extra", F.lit(1))
+
+
 @query(_schema_sql())
 def io_schema_check(spark, sf_dir):
     """The spans with some columns spoilt, and a table of another kind."""
-    odd = raw(spark, sf_dir).drop(*_ODD_LEFT).withColumns({k: F.expr(e) for k, e in _ODD.items()}).withColumn("extra", F.lit(1))
-    checks = {"spans": conform.schema_check(odd), "events": conform.schema_check(spark.read.parquet(f"{sf_dir}/events.parquet"))}
+    checks = {"spans": conform.schema_check(spoilt(spark, sf_dir)), "events": conform.schema_check(spark.read.parquet(f"{sf_dir}/events.parquet"))}
     first, second = (rounded(f).withColumn("source", F.lit(k)) for k, f in checks.items())
     return first.unionByName(second)
 
@@ -163,6 +167,27 @@ def _distribution_sql() -> str:
     return f"{WITH} SELECT aef_kind, count(*) AS n, {cols} FROM spans GROUP BY aef_kind"
 
 
+_SKETCHED = [("llm_total_tokens", "CASE WHEN llm_total_tokens <> -1 THEN llm_total_tokens END"), ("duration_ns", "end_time_ns - start_time_ns")]
+_SKETCHED_SQL = " UNION ALL ".join(f"SELECT agent_id, '{n}' AS number, {e} AS x FROM spans" for n, e in _SKETCHED)
+
+
+@query(f"{WITH}, l AS ({_SKETCHED_SQL}) SELECT agent_id, number, p AS place, count(x) AS n, true AS within FROM l, (SELECT unnest({list(quality.QUANTILES)}::DOUBLE[]) AS p) GROUP BY ALL HAVING count(x) > 0")
+def dq_sketches(spark, sf_dir):
+    """Quantiles of each agent, rolled up from sketches by day and agent, and whether their exact ranks keep the bound of the sketches."""
+    rows = spans(spark, sf_dir)
+    numbers = {n: F.expr(e) for n, e in _SKETCHED}
+    daily = selection.cut(sketches.sketches(rows, {"day": quality.starts_at(), "agent_id": F.col("agent_id")}, numbers))
+    found = sketches.quantiles(sketches.rolled_up(daily, ["agent_id"]), quality.QUANTILES)
+    each = F.transform(F.array(*[F.lit(float(q)) for q in quality.QUANTILES]), lambda p, i: F.struct(p.alias("place"), F.get("quantiles", i).alias("value")))
+    asked = selection.cut(found.select("agent_id", "number", "n", F.inline(each)))  # a row for each agent, number and place
+    long = rows.select("agent_id", F.inline(F.array(*[F.struct(F.lit(n).alias("number"), c.cast("double").alias("x")) for n, c in numbers.items()]))).filter("x is not null")
+    placed = scans.matched(long, asked.groupBy("agent_id", "number", "n").agg(F.collect_list(F.struct("place", "value")).alias("asked")), ["agent_id", "number"], "inner")
+    counts = placed.select("agent_id", "number", "n", "x", F.inline("asked")).groupBy("agent_id", "number", "n", "place").agg(F.sum((F.col("x") < F.col("value")).cast("long")).alias("below"), F.sum((F.col("x") <= F.col("value")).cast("long")).alias("upto"))
+    slack = 2 * sketches.error() * F.col("n") + 1
+    near = (F.col("below") - slack <= F.col("place") * F.col("n")) & (F.col("place") * F.col("n") <= F.col("upto") + slack)
+    return counts.select("agent_id", "number", "place", "n", near.alias("within"))
+
+
 @query(_distribution_sql())
 def dq_distribution(spark, sf_dir):
     return rounded(quality.distribution(spans(spark, sf_dir), {"aef_kind": F.col("aef_kind")}), 3)
@@ -362,7 +387,8 @@ SELECT trace_id, span_id, round({_log('took')}, 6) AS duration, round({_log('dt'
 
 @query(_TIMING)
 def feat_timing(spark, sf_dir):
-    return rounded(features.base_features(clean(spark, sf_dir)).select("trace_id", "span_id", "duration", "delta_time", "exec_gap", "is_repeat"))
+    chosen = [f for f in features.definitions() if f.name in ("duration", "delta_time", "exec_gap", "is_repeat")]
+    return rounded(features.base_features(clean(spark, sf_dir), chosen).select("trace_id", "span_id", *[f.name for f in chosen]))
 
 
 _TRACE = f"""{CLEAN}, t AS (SELECT trace_id, count(DISTINCT agent_id) AS agents, count(*) AS n, count(DISTINCT CASE WHEN aef_kind = 'tool' THEN span_name END) + max((aef_kind <> 'tool')::INT) AS tools FROM spans GROUP BY 1),
@@ -372,7 +398,8 @@ SELECT trace_id, agents::BIGINT AS unique_agents, round(ln(1 + n / agents::DOUBL
 
 @query(_TRACE)
 def feat_trace(spark, sf_dir):
-    out = features.base_features(clean(spark, sf_dir)).select("trace_id", F.col("unique_agents").cast("long").alias("unique_agents"), "actions_per_agent", F.col("unique_tools_global").cast("long").alias("unique_tools_global"), "action_entropy")
+    chosen = [f for f in features.definitions() if f.name in features.OF_TRACE]
+    out = features.base_features(clean(spark, sf_dir), chosen).select("trace_id", F.col("unique_agents").cast("long").alias("unique_agents"), "actions_per_agent", F.col("unique_tools_global").cast("long").alias("unique_tools_global"), "action_entropy")
     return rounded(out).distinct()
 
 
@@ -386,15 +413,15 @@ FROM l WINDOW {', '.join(f'w{w} AS (PARTITION BY trace_id, agent_id ORDER BY sta
 def feat_rolling(spark, sf_dir):
     chosen = [f for f in features.definitions() if f.name == "duration"]
     base = features.base_features(clean(spark, sf_dir), chosen)
-    out = features.rolling_features(base, (3, 10), chosen)
+    out = features.rolling_features(base.select("trace_id", "agent_id", "start_time_ns", "span_id", "duration"), (3, 10), chosen)
     return rounded(out.select("trace_id", "span_id", *[c for c in out.columns if c.startswith("duration__")]))
 
 
 @query(f"{CLEAN}, l AS (SELECT trace_id, agent_id, {_log('(end_time_ns - start_time_ns)')} AS d FROM spans) SELECT trace_id, agent_id, round(max(d), 6) AS mx, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(quantile_cont(d, 0.9), 6) AS q90 FROM l GROUP BY 1, 2")
 def feat_static(spark, sf_dir):
     chosen = [f for f in features.definitions() if f.name == "duration"]
-    out = features.static_features(features.base_features(clean(spark, sf_dir), chosen), chosen)
-    return rounded(out.select("trace_id", "agent_id", F.col("duration__max").alias("mx"), F.col("duration__mean").alias("mean"), F.col("duration__std").alias("std"), F.col("duration__q90").alias("q90"))).distinct()
+    out = features.static_by_object(features.base_features(clean(spark, sf_dir), chosen), chosen)
+    return rounded(out.select("trace_id", "agent_id", F.col("duration__max").alias("mx"), F.col("duration__mean").alias("mean"), F.col("duration__std").alias("std"), F.col("duration__q90").alias("q90")))
 
 
 @query(f"{CLEAN}, {feature_sql.BASE} SELECT trace_id, span_id, {', '.join(map(feature_sql.shown, feature_sql.NAMES))} FROM f")
@@ -406,9 +433,8 @@ def feat_all(spark, sf_dir):
 @query(f"{CLEAN}, {feature_sql.BASE} SELECT trace_id, agent_id, {feature_sql.static_sql()} FROM f GROUP BY trace_id, agent_id")
 def feat_static_all(spark, sf_dir):
     """All whole-object aggregates, a row for each object."""
-    out = features.static_features(features.base_features(clean(spark, sf_dir)))
-    names = [f"{f.name}__{k}" for f in features.definitions() for kind in f.static for k, _ in features._aggregate(kind, F.lit(0))]
-    return rounded(out.groupBy("trace_id", "agent_id").agg(*[F.first(n).cast("double").alias(n) for n in names]), 5)
+    out = features.static_by_object(features.base_features(clean(spark, sf_dir)))
+    return rounded(out.select("trace_id", "agent_id", *[F.col(c).cast("double").alias(c) for c in out.columns if "__" in c]), 5)
 
 
 #: Features of each family of aggregates, at all widths.
@@ -419,11 +445,31 @@ _WIDE_ROLLING = ("duration", "is_tool", "tool_compression")
 def feat_rolling_wide(spark, sf_dir):
     """Rolling aggregates at all widths of production, for a feature of each family."""
     chosen = [f for f in features.definitions() if f.name in _WIDE_ROLLING]
-    out = features.rolling_features(features.base_features(clean(spark, sf_dir)), features.WIDTHS, chosen)
+    base = features.base_features(clean(spark, sf_dir)).select("trace_id", "agent_id", "start_time_ns", "span_id", *_WIDE_ROLLING)
+    out = features.rolling_features(base, features.WIDTHS, chosen)
     names = [c for c in out.columns if any(c.startswith(f"{n}__") for n in _WIDE_ROLLING)]
     return rounded(out.select("trace_id", "span_id", *[F.col(c).cast("double").alias(c) for c in names]), 5)
 
 
+@query(f"{CLEAN}, {feature_sql.BASE} {feature_sql.rolling_long_sql(features.WIDTHS)}")
+def feat_rolling_all(spark, sf_dir):
+    """All rolling aggregates of all features at all widths, as their means over the spans of each agent."""
+    wanted = [f for f in features.definitions() if f.rolling]
+    base = features.base_features(clean(spark, sf_dir)).select("trace_id", "agent_id", "start_time_ns", "span_id", *[f.name for f in wanted])
+    out = features.rolling_features(base, features.WIDTHS, wanted, long=True)
+    names = [c for c in out.columns if c not in ("trace_id", "agent_id", "start_time_ns", "span_id", "feature", "width")]
+    return rounded(out.groupBy("agent_id", "feature", "width").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]), 5)
+
+
+@query("SELECT o_orderkey, 'o_totalprice' AS \"column\" FROM orders WHERE o_orderkey % 977 = 0 AND o_orderkey % 1999 <> 0 UNION ALL SELECT o_orderkey, '__row' FROM orders WHERE o_orderkey % 1999 = 0")
+def ml_run_differences(spark, sf_dir):
+    """Two runs over one table that differ in some numbers, in noise below the tolerance, and in missing rows."""
+    first = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    noise = F.when(F.col("o_orderkey") % 977 == 0, 1.0).when(F.col("o_orderkey") % 2 == 0, 1e-7).otherwise(0.0)
+    second = first.filter("o_orderkey % 1999 <> 0").withColumn("o_totalprice", F.col("o_totalprice") + noise)
+    return scoring.differences(first, second, ["o_orderkey"]).select("o_orderkey", "column")
+
+
 # ---- preparation ----------------------------------------------------------------------
 
 _WIDE = ["llm_total_tokens", "http_status_code", "start_time_ns", "end_time_ns", "meta_langgraph_step"]
@@ -436,7 +482,7 @@ def prep_static_rates(spark, sf_dir):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS corr, 'l_quantity' AS neighbor, 'l_extendedprice' AS feature FROM lineitem UNION ALL SELECT round(corr(l_quantity, l_discount), 6), 'l_quantity', 'l_discount' FROM lineitem UNION ALL SELECT round(corr(l_discount, l_extendedprice), 6), 'l_extendedprice', 'l_discount' FROM lineitem")
 def prep_correlations(spark, sf_dir):
-    return rounded(prep.correlations(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    return rounded(gram.correlations(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
 @query(f"{CLEAN} SELECT trace_id, agent_id, count(*)::INT AS n, list(end_time_ns - start_time_ns ORDER BY start_time_ns, span_id)[1] AS first, list(end_time_ns - start_time_ns ORDER BY start_time_ns, span_id)[-1] AS last, bool_or(status_code = 'STATUS_CODE_ERROR') AS is_anomaly FROM spans GROUP BY 1, 2")

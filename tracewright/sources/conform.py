@@ -101,11 +101,6 @@ def schema_check(frame: DataFrame, spec=SPEC, penalty: float = 0.12) -> DataFram
     return table.select("*", F.lit(critical).alias("critical_ok"), F.lit(ceiling).alias("ceiling"), F.lit(ceiling < 1).alias("degraded"))
 
 
-def write_records(frame: DataFrame, path: str) -> None:
-    """JSON lines, nulls as empty strings."""
-    frame.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in frame.columns]).write.json(path)
-
-
 def conformed_vectors(frame: DataFrame, vectors: list[str], keys: tuple[str, ...] = ("trace_id", "session_id", "agent_id", "aef_kind"), order: str = "start_time_ns") -> DataFrame:
     """Vectors as arrays of floats, keys as texts, the order as a number; what can't be cast is null, absent columns are left out."""
     casts = {v: F.transform(v, lambda x: x.try_cast("float")) for v in vectors if v in frame.columns}
