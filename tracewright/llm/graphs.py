@@ -23,7 +23,6 @@ are fewer than k others, all are returned; products beyond double precision are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
