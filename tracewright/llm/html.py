@@ -34,6 +34,7 @@ differ in a word of their text are contents of their own); an empty table gives
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
 from collections.abc import Iterator
@@ -75,6 +76,8 @@ CLOSES = {
     "option": ["option", "optgroup"],
 }
 HOLDS = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
+#: Elements beyond which a new one closes nothing.
+BOUNDS = ("div", "section", "article", "main", "body")
 UNSEEN = frozenset("head script style noscript template iframe svg math button select textarea object embed audio video canvas title noembed noframes xmp".split())
 DROPPED = UNSEEN | frozenset("nav footer aside form dialog menu".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
@@ -99,7 +102,8 @@ NEVER = ARTICLE | {"html", "body"}
 OUTSIDE, INSIDE, SHAPE = 0, 1, 2
 _KIND = tuple(np.uint64(x) for x in (0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
+#: A tag that is not closed ends where another begins, so no search runs far for nothing.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|(?!<[A-Za-z/!?])[^'">])*+)>|<[!?][^<>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CLOSED_BY = {new: frozenset(old for old, closers in CLOSES.items() if new in closers) for new in {c for cs in CLOSES.values() for c in cs}}
 
@@ -125,12 +129,14 @@ class Page:
         stack, parts = [0], [["#page"]]
         # of each open element: its label and the shapes in it, elements in it, whether its shape is out of question
         outlines: list[list] = [[["#page"], 0, True]]
+        opened: dict[str, list[int]] = {}  # by name, the depths of open elements
         at = 0
 
         def close(upto: int) -> None:
             while len(stack) > upto:
                 element, part, (outline, size, barred) = stack.pop(), parts.pop(), outlines.pop()
                 tag, above = tags[element], outlines[-1]
+                opened[tag].pop()
                 if len(part) > 1:
                     digest = xxhash.xxh3_64_hexdigest("\x1f".join(part))
                     parts[-1].append(digest)
@@ -172,19 +178,16 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tags[stack[depth]] == tag:
-                        close(depth)
-                        break
+                if opened.get(tag):
+                    close(opened[tag][-1])
                 continue
             closed = _CLOSED_BY.get(tag)
             if closed:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_ = tags[stack[depth]]
-                    if open_ in closed:
-                        close(depth)
-                    elif open_ not in INLINE and (open_ in ("div", "section", "article", "main", "body") or open_ in HOLDS.get(tag, ())):
-                        break
+                bounds = (opened[x][-1] for x in (*BOUNDS, *HOLDS.get(tag, ())) if opened.get(x))
+                bound = max(bounds, default=0)
+                ends = [d[bisect.bisect_right(d, bound)] for d in (opened.get(x) for x in closed) if d and d[-1] > bound]
+                if ends:
+                    close(min(ends))
             if tag in VOID:
                 runs.append((stack[-1], " ") if tag in ("br", "img", "wbr") else (stack[-1], None))
                 continue
@@ -197,6 +200,7 @@ class Page:
             if tag not in INLINE:
                 runs.append((stack[-1], None))
             stack.append(len(tags) - 1)
+            opened.setdefault(tag, []).append(len(stack) - 1)
             parts.append([tag])
             outlines.append([[".".join([tag, *words]) if words else tag], 0, not CONTENT_WORDS.isdisjoint(words)])
             if tag in RAW:
@@ -206,14 +210,11 @@ class Page:
                     parts[-1].append(source[at:stop])
                 at = stop
         close(1)
-        self.rules = [r or (rules and t == "header" and not self._in_article(e)) for e, (t, r) in enumerate(zip(tags, self.rules, strict=True))]
-
-    def _in_article(self, element: int) -> bool:
-        while element:
-            element = self.parents[element]
-            if self.tags[element] in ARTICLE:
-                return True
-        return False
+        within = [False] * len(tags)  # an article
+        for e in range(1, len(tags)):
+            above = self.parents[e]
+            within[e] = within[above] or tags[above] in ARTICLE
+            self.rules[e] |= rules and tags[e] == "header" and not within[e]
 
     def counted(self) -> np.ndarray:
         """Two rows, of text and shape: for each element the hash that is counted, by its kind; 0 for none."""

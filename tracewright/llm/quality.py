@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import common
@@ -110,9 +110,12 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most:
     # of an id that repeats one text is learned from, so there are at most ``rows`` of them
     texts = found.groupBy("__h", "doc_id", "__label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
     texts = common.stored(texts.withColumn("__size", F.octet_length("text")), "training")
-    upto = F.sum("__size").over(Window.orderBy("__h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    short = texts.select("__h", "doc_id", "__size").withColumn("__upto", upto).filter(F.col("__upto") <= most).select("__h", "doc_id")  # at most ``rows`` slim rows
-    texts = texts.join(F.broadcast(short), ["__h", "doc_id"])
+    chosen, size = [], 0
+    for row in texts.select("__h", "doc_id", "__size").orderBy("__h", "doc_id").collect():  # at most ``rows`` slim rows
+        if size + row["__size"] <= most:  # a text that doesn't fit is passed over
+            chosen.append(row["__h"])
+            size += row["__size"]
+    texts = texts.join(F.broadcast(documents.sparkSession.createDataFrame([(h,) for h in chosen], "__h long")), "__h", "left_semi")
 
     def in_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         examples = [(t, int(y)) for b in batches for t, y in zip(b["text"], b["__label"], strict=True)]
