@@ -48,24 +48,17 @@ def source_rates(documents: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
 def _level(sources: DataFrame, share: float, most: int) -> float:
     """Words for each unit of weight once no source is above its stop.
 
-    A round finds the sources above their stop and shares the rest among the others;
-    each round is one aggregate that returns three numbers. It ends when no further
-    source is above, as the level only rises.
+    Sources stop in the order of their stop by weight. With those before it held at their stops, each
+    would raise the level to what is left by the weight that is left; the level is the greatest of these.
     """
-    row = sources.agg(F.sum("source_size"), F.sum("weight")).first()
-    size, weight = row[0] or 0, row[1] or 0
-    budget, level, stopped = share * size, 0.0, -1
-    if weight == 0:
-        return level
-    level = budget / weight
-    while True:
-        over = sources.filter(F.col("weight") * F.lit(level) > F.col("source_size") * most)
-        n, held, by = over.agg(F.count("*"), F.sum("source_size"), F.sum("weight")).first()
-        if n == stopped or weight == (by or 0):
-            return level
-        stopped = n
-        if n:
-            level = (budget - most * held) / (weight - by)
+    size, weight = sources.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not weight:
+        return 0.0
+    stop = F.col("source_size") * most
+    order = [(stop / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    placed = common.running(sources, order, {"__held": F.col("source_size"), "__by": F.col("weight")})
+    level = (F.lit(share * size) - F.col("__held") * most) / (F.lit(weight) - F.col("__by"))
+    return placed.agg(F.max(level.cast("double"))).first()[0]
 
 
 def _planned(documents: DataFrame, weights, share: float, most: int, seed: str) -> DataFrame:
