@@ -258,3 +258,20 @@ def test_many_cells_take_the_same_reads(spark):
 def test_normal_scores_are_exact():
     p = np.array([1e-6, 0.01, 0.5, 0.975, 1 - 1e-6])
     assert np.allclose(augment.normal_quantile(p), [-4.753424308822899, -2.3263478740408408, 0, 1.959963984540054, 4.753424308817087]) and np.allclose(augment.normal_cdf(augment.normal_quantile(p)), p, rtol=1e-12)
+
+
+def test_sought_ranks_equal_all_ranks(spark):
+    """Only buckets with a sought place are ranked, whatever the spread, ties, infinite values, NaN and empty groups."""
+    rng = np.random.default_rng(12)
+    inf, nan = float("inf"), float("nan")
+    rows = [("wide", float(v)) for v in 10.0 ** rng.uniform(-5, 18, 300)] + [("tied", float(v)) for v in rng.integers(0, 4, 200)] + [("one", 3.0)] * 50
+    rows += [(None, v) for v in [inf, -inf, nan, 1.0, 2.0, nan, 5.0]] + [("none", None)] * 3 + [("odd", nan)] * 4
+    frame = spark.createDataFrame(rows, "k string, v double")
+    levels = [0, 0.013, 0.25, 0.5, 0.77, 1]
+    key = lambda r: (r.k or "~", r.size)
+    for linear in (True, False):
+        every = sorted(ranks.of_ranks(ranks.ranked(frame, ["k"], "v"), ["k"], "v", levels, linear).collect(), key=key)
+        for buckets in (1, 3, 512):
+            few = ranks.of_ranks(ranks.sought(frame, ["k"], "v", levels, linear, buckets), ["k"], "v", levels, linear)
+            assert str(sorted(few.collect(), key=key)) == str(every)
+    assert ranks.sought(frame.filter("k = 'wide'"), ["k"], "v", [0.5], True).count() < 200

@@ -129,3 +129,57 @@ def test_columns_survive_at_the_whole_width(spark):
     corr = np.abs(np.corrcoef(x[:, [int(c[1:]) for c in kept]], rowvar=False))
     np.fill_diagonal(corr, 0)
     assert (corr <= 0.7 + 1e-9).all()
+
+
+def test_fill_by_group_and_z_scores_equal_numpy(spark):
+    rng = np.random.default_rng(7)
+    rows = [(["a", "b", None, "none"][i % 4], None if i % 3 == 0 or i % 4 == 3 else float(rng.normal()), i) for i in range(400)]
+    frame = spark.createDataFrame(rows, "g string, x double, i int")
+    for how, pick in (("mean", np.mean), ("median", np.median)):
+        got = {r.i: r.x for r in prep.filled(frame, ["x"], how, ["g"]).collect()}
+        for g in ("a", "b", None):
+            middle = pick([x for k, x, _ in rows if k == g and x is not None])
+            assert all(got[i] == pytest.approx(x if x is not None else middle) for k, x, i in rows if k == g)
+        assert all(got[i] is None for k, _, i in rows if k == "none")
+        whole = {r.i: r.x for r in prep.filled(frame, ["x"], how).collect()}
+        assert whole[0] == pytest.approx(pick([x for _, x, _ in rows if x is not None]))
+    x = np.round(rng.normal(size=(300, 2)), 2)
+    stats = {r.dim: r for r in prep.dimension_stats(spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>"), "v", "zscore").collect()}
+    for d in (0, 1):
+        low, high = (np.sort(x[:, d])[round(299 * q)] for q in (0.01, 0.99))
+        cut = np.clip(x[:, d], low, high)
+        assert stats[d].shift == pytest.approx(cut.mean()) and stats[d].scale == pytest.approx(cut.std(ddof=1))
+
+
+def test_small_reports(spark):
+    from tracewright.operators import reports
+
+    sweep = spark.createDataFrame([(0.1, 0.75, 0.5)], "threshold double, specificity double, recall double")
+    assert tuple(reports.roc_points(sweep).first()) == (0.25, 0.5)
+    held = spark.createDataFrame([({"a": 1.0, "b": 2.0},)], "m map<string,double>")
+    assert sorted(map(tuple, reports.mapping(held, "m").collect())) == [("a", 1.0), ("b", 2.0)]
+
+
+def test_the_whole_expansion_is_as_wide_as_specified(spark):
+    """Its survivors are those that numpy chooses from the same table."""
+    from tracewright.operators import selection
+    from tracewright.plans import queries
+
+    wide = selection.cut(features.expand(queries.clean(spark, "/root/testdata/sf0.001")))
+    names = prep.numeric_columns(wide, ("start_time_ns",))
+    assert len(names) >= 2900
+    kept = prep.surviving(prep.filled(wide, names), names)
+    x = np.array([[0.0 if v is None else float(v) for v in r] for r in wide.select(names).collect()])
+    x = dict(zip(names, x.T, strict=True))
+    varied = {c for c in names if np.unique(x[c], return_counts=True)[1].max() <= 0.95 * len(x[c])}
+    assert set(kept) <= varied and all(np.abs(x[c]).max() <= 1e6 for c in kept)
+    corr = np.abs(np.corrcoef(np.array([x[c] for c in kept])))
+    np.fill_diagonal(corr, 0)
+    assert 50 < len(kept) < len(varied) and (corr <= 0.999 + 1e-6).all()
+    # what went repeats another column
+    gone = sorted(varied - set(kept))[:40]
+    left = np.array([x[c] for c in sorted(varied)])
+    for c in gone:
+        with np.errstate(invalid="ignore"):
+            near = np.abs(np.corrcoef(x[c], left)[0, 1:])
+        assert (near > 0.999 - 1e-6).sum() > 1 or np.abs(x[c]).max() > 1e6

@@ -190,7 +190,7 @@ def _branches(frame: DataFrame, epi: str, sem: str, models: tuple[Subspace, Subs
 
 def fit(
     train: DataFrame, val: DataFrame, epi: str = "epi_sequence", sem: str = "sem_sequence", label: str = "is_anomaly", k: tuple[int, int, int] = (4, 4, 4),
-    max_len: int | None = None, loss: str = "mse", delta: float = 1.0, metric: str = "f1", thresholds: int = 100,
+    max_len: int | None = None, loss: str = "mse", delta: float = 1.0, metric: str = "f1", thresholds: int = 10_000,
 ) -> Detector:
     """Fit on the normal traces of ``train``; threshold, temperature and weights come from all of ``val``."""
     normal = normal_only(train, label)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.stats import clip
-from tracewright.operators import gram, ranks
+from tracewright.operators import gram, ranks, scans
 
 
 def fill_rates(frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,18 +50,21 @@ def huge(frame: DataFrame, columns: list[str], most: float = 1e6) -> DataFrame:
 
 
 def filled(frame: DataFrame, columns: list[str], how: str | float = 0.0, group: list[str] | None = None) -> DataFrame:
-    """Nulls by a constant, or by mean or median, of all or of a group; a median of a group holds its values in one task."""
+    """Nulls by a constant, or by mean or median, of all or of a group; null is a group. A group without values keeps its nulls.
+
+    Medians are ranks among counts of values, so a group may hold most rows.
+    """
     if how not in ("mean", "median"):
         return frame.withColumns({c: F.coalesce(F.col(c), F.lit(how)) for c in columns})
-    pick = F.avg if how == "mean" else F.median
-    if group:
-        return frame.withColumns({c: F.coalesce(F.col(c), pick(F.col(c)).over(Window.partitionBy(*group))) for c in columns})
-    if how == "median":
-        long = frame.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])))
-        row = ranks.quantiles(long, ["c"], "x", [0.5]).agg(*[F.max(F.when(F.col("c") == c, F.col("quantiles")[0])).alias(f"__{c}") for c in columns])
+    keys = group or []
+    if how == "mean":
+        found = frame.groupBy(*keys).agg(*[F.avg(F.col(c)).alias(f"__{c}") for c in columns])
     else:
-        row = frame.agg(*[F.avg(F.col(c)).alias(f"__{c}") for c in columns])
-    return frame.crossJoin(F.broadcast(row)).withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*row.columns)  # one row
+        long = frame.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__x")) for c in columns])))
+        middle = ranks.quantiles(long, [*keys, "__c"], "__x", [0.5])
+        found = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == c, F.col("quantiles")[0])).alias(f"__{c}") for c in columns])
+    met = scans.matched(frame, found, keys) if keys else frame.crossJoin(F.broadcast(found))  # without groups one row
+    return met.withColumns({c: F.coalesce(F.col(c), F.col(f"__{c}")) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
 def vector(columns: list[str]) -> Column:
@@ -107,11 +110,11 @@ def stratified_split(frame: DataFrame, key: str, label: str, normal: str = "NonA
 def dimension_stats(frame: DataFrame, column: str, method: str = "robust", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """dim, low, high, shift, scale of the vectors in ``column``, from nearest-rank quantiles after clipping.
 
-    All come from the counts of distinct values of each dimension. Quartiles lie between the
-    edges, so clipping does not move them.
+    All come from counts of the values of each dimension. Quartiles lie between the edges, so clipping does not move them.
     """
-    counts = ranks.ranked(frame.select(F.posexplode(column).alias("dim", "x")), ["dim"], "x")
-    picks = ranks.of_ranks(counts, ["dim"], "x", [low, high, 0.5, 0.25, 0.75], linear=False)
+    long, places = frame.select(F.posexplode(column).alias("dim", "x")), [low, high, 0.5, 0.25, 0.75]
+    counts = None if method == "robust" else ranks.ranked(long, ["dim"], "x")
+    picks = ranks.quantiles(long, ["dim"], "x", places, linear=False) if counts is None else ranks.of_ranks(counts, ["dim"], "x", places, linear=False)
     q = lambda i: F.col("quantiles")[i]
     edges = picks.select("dim", q(0).alias("low"), q(1).alias("high"), q(2).alias("shift"), (q(4) - q(3)).alias("scale"))
     if method == "robust":

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators.selection import _running, cut
@@ -31,9 +31,57 @@ def ranked(frame: DataFrame, groups: list[str], value: str) -> DataFrame:
     return joined.select(*groups, value, "n", (F.col("__upto") - F.col("__start")).alias("below"), "size")
 
 
+#: Buckets of a group's values; only those that hold a sought place are ranked.
+BUCKETS = 512
+
+
 def quantiles(frame: DataFrame, groups: list[str], value: str, levels, linear: bool = True) -> DataFrame:
     """groups, size, quantiles: an array in the order of the levels, interpolated or of the nearest rank."""
-    return of_ranks(ranked(frame, groups, value), groups, value, levels, linear)
+    return of_ranks(sought(frame, groups, value, levels, linear), groups, value, levels, linear)
+
+
+def sought(frame: DataFrame, groups: list[str], value: str, levels, linear: bool = True, buckets: int = BUCKETS) -> DataFrame:
+    """What ``ranked`` gives, of the values near the sought places alone.
+
+    Values are counted by buckets of equal width between the least and the greatest of their group, those in the first of them, where
+    values with a long tail gather, by the logarithm of what they exceed the least by. The values of the
+    few buckets in which a place falls are counted and put in order, the others only counted.
+    """
+    x = F.col(value).cast("double")
+    rows = frame.filter(F.col(value).isNotNull()).select(*groups, value)
+    finite = F.when((F.abs(x) < float("inf")) & ~F.isnan(x), x)
+    edges = rows.groupBy(*groups).agg(F.min(finite).alias("__low"), F.max(finite).alias("__high"), F.count("*").alias("__size"))
+    above, spread = x - F.col("__low"), F.col("__high") - F.col("__low")
+    floor = lambda share: F.coalesce(F.greatest(F.least(F.floor(share * buckets), F.lit(buckets - 1)), F.lit(0)), F.lit(0))
+    even, fine = floor(above / F.nullif(spread, F.lit(0.0))), floor(F.log1p(F.greatest(above, F.lit(0.0))) / F.nullif(F.log1p(spread / buckets), F.lit(0.0)))
+    place = F.when(F.isnan(x), 2 * buckets).when(even > 0, buckets + even).otherwise(fine)
+    edges = cut(edges)
+    met = _met(rows, edges, groups).withColumn("__bucket", place.cast("int"))
+    sums = met.groupBy(*groups, "__bucket", "__size").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    low, high = _places(levels, F.col("__size"), linear)
+    holds = lambda k: (k >= F.col("__before")) & (k < F.col("__before") + F.col("__n"))
+    wanted = cut(sums.filter(F.exists(F.concat(low, high), holds)).select(*groups, "__bucket", "__before"))
+    near = ranked(_met(met, wanted, [*groups, "__bucket"], "inner").select(*groups, "__bucket", value), [*groups, "__bucket"], value)
+    whole = _met(_met(near, wanted, [*groups, "__bucket"]), edges.select(*groups, "__size"), groups)
+    return whole.select(*groups, value, "n", (F.col("below") + F.col("__before")).alias("below"), F.col("__size").alias("size"))
+
+
+def _places(levels, size: Column, linear: bool) -> tuple[Column, Column]:
+    """The ranks that the levels need, below and above."""
+    at = [(size - 1) * float(q) for q in levels]
+    return (F.array(*[F.floor(a) for a in at]), F.array(*[F.ceil(a) for a in at])) if linear else (F.array(*[F.rint(a).cast("bigint") for a in at]),) * 2
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """A join to a table of one row for each of the keys, which may be null."""
+    named = {c: f"__g_{i}" for i, c in enumerate(keys)}
+    other = right.withColumnsRenamed(named)
+    small = right.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(g)) for c, g in named.items()], F.lit(True))
+    other = F.broadcast(other) if small else other
+    return (left.join(other, match, how) if keys else left.crossJoin(other)).drop(*named.values())  # without keys one row
 
 
 def of_ranks(ranks: DataFrame, groups: list[str], value: str, levels, linear: bool = True) -> DataFrame:

@@ -38,6 +38,15 @@ def prep_surviving(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in names], "feature string")
 
 
+@query()
+def prep_surviving_all(spark, sf_dir):
+    """Which of all columns of the whole expansion become elements of the vector."""
+    wide = selection.cut(features.expand(clean(spark, sf_dir)))
+    names = prep.numeric_columns(wide, ("start_time_ns",))
+    kept = prep.surviving(prep.filled(wide, names), names)
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
+
+
 @query("WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, split, count(*) AS n FROM (SELECT lang, CASE WHEN i / n < 0.6::DOUBLE THEN 'train' WHEN i / n < 0.6::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (SELECT lang, n::DOUBLE AS n, unnest(range(n)) AS i FROM n)) GROUP BY ALL")
 def prep_fraction_split(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
@@ -119,14 +128,14 @@ def aug_applied(spark, sf_dir):
 
 # ---- detection ------------------------------------------------------------------------------
 
-_HALVES = "SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS a, list_transform(embedding[11:20], lambda x: x::DOUBLE) AS b FROM embeddings"
+_HALVES = "SELECT vec_id, label, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS a, list_transform(embedding[33:64], lambda x: x::DOUBLE) AS b FROM embeddings"
 _DIFF = "abs(a[i] - b[i])"
 
 
-@query(f"WITH h AS ({_HALVES}) SELECT vec_id, round(list_sum([{_DIFF} ** 2 for i in range(1, 11)]) / 10, 6) AS mse, round(list_sum([CASE WHEN {_DIFF} <= 0.5 THEN 0.5 * {_DIFF} ** 2 ELSE 0.5 * ({_DIFF} - 0.25) END for i in range(1, 11)]) / 10, 6) AS huber, round(list_sum([{_DIFF} ** 2 for i in range(1, 11) if a[i] > 0]) / (list_sum([(a[i] > 0)::INT for i in range(1, 11)]) + 1e-8::DOUBLE), 6) AS masked, round(ln(list_sum([exp(a[i]) for i in range(1, 11)])) - a[label + 1], 6) AS entropy FROM h")
+@query(f"WITH h AS ({_HALVES}) SELECT vec_id, round(list_sum([{_DIFF} ** 2 for i in range(1, 33)]) / 32, 6) AS mse, round(list_sum([CASE WHEN {_DIFF} <= 0.5 THEN 0.5 * {_DIFF} ** 2 ELSE 0.5 * ({_DIFF} - 0.25) END for i in range(1, 33)]) / 32, 6) AS huber, round(list_sum([{_DIFF} ** 2 for i in range(1, 33) if a[i] > 0]) / (list_sum([(a[i] > 0)::INT for i in range(1, 33)]) + 1e-8::DOUBLE), 6) AS masked, round(ln(list_sum([exp(a[i]) for i in range(1, 33)])) - a[label + 1], 6) AS entropy FROM h")
 def ml_losses(spark, sf_dir):
-    part = lambda at: F.transform(F.slice("embedding", at, 10), lambda x: x.cast("double"))
-    h = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", part(1).alias("a"), part(11).alias("b"))
+    part = lambda at: F.transform(F.slice("embedding", at, 32), lambda x: x.cast("double"))
+    h = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", part(1).alias("a"), part(33).alias("b"))
     mask, a, b = F.transform("a", lambda x: (x > 0).cast("double")), F.col("a"), F.col("b")
     masked = F.when(detect.total(mask) > 0, detect.masked_loss(a, b, mask))
     return rounded(h.select("vec_id", detect.mean_loss(a, b).alias("mse"), detect.mean_loss(a, b, "huber", 0.5).alias("huber"), masked.alias("masked"), detect.cross_entropy(a, F.col("label").cast("int")).alias("entropy")))
@@ -235,7 +244,7 @@ def rep_policy(spark, sf_dir):
 
 @query(f"{WITH} SELECT 'spans' AS \"table\", count(*) AS rows FROM spans UNION ALL SELECT 'raw', count(*) FROM raw")
 def rep_counts(spark, sf_dir):
-    return reports.counts_table({"spans": spans(spark, sf_dir), "raw": spans(spark, sf_dir)})
+    return reports.counts_table({"spans": spans(spark, sf_dir), "raw": raw(spark, sf_dir)})
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents ORDER BY lang ASC NULLS LAST, n_chars DESC, doc_id LIMIT 25")

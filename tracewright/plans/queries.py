@@ -485,6 +485,18 @@ def prep_correlations(spark, sf_dir):
     return rounded(gram.correlations(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_extendedprice", "l_discount"]))
 
 
+_HOLED = "SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice::DOUBLE END AS price FROM orders"
+
+
+@query(f"WITH h AS ({_HOLED}) SELECT o_orderkey, round(coalesce(price, avg(price) OVER (PARTITION BY o_orderpriority)), 4) AS mean, round(coalesce(price, median(price) OVER (PARTITION BY o_orderpriority)), 4) AS median FROM h")
+def prep_filled_by_group(spark, sf_dir):
+    """Missing prices by the mean and by the median of their priority."""
+    price = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice").cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderpriority", price.alias("mean"), price.alias("median"))
+    both = prep.filled(prep.filled(rows, ["mean"], "mean", ["o_orderpriority"]), ["median"], "median", ["o_orderpriority"])
+    return rounded(both.select("o_orderkey", "mean", "median"), 4)
+
+
 @query(f"{CLEAN} SELECT trace_id, agent_id, count(*)::INT AS n, list(end_time_ns - start_time_ns ORDER BY start_time_ns, span_id)[1] AS first, list(end_time_ns - start_time_ns ORDER BY start_time_ns, span_id)[-1] AS last, bool_or(status_code = 'STATUS_CODE_ERROR') AS is_anomaly FROM spans GROUP BY 1, 2")
 def prep_sequences(spark, sf_dir):
     rows = clean(spark, sf_dir).withColumns({"v": F.col("end_time_ns") - F.col("start_time_ns"), "is_anomaly": F.col("status_code") == "STATUS_CODE_ERROR", "anomaly_type": F.col("aef_kind")})
@@ -574,6 +586,12 @@ def ml_threshold_sweep(spark, sf_dir):
     return rounded(scoring.threshold_sweep(_scored(spark, sf_dir).withColumn("n_chars", F.col("n_chars").cast("double")), "n_chars", "quality", 50))
 
 
+@query(f"WITH {_S}, g AS (SELECT min(e) AS low, max(e) AS high FROM s), t AS (SELECT i::INT AS i, low + i * ((high - low) / 9999) AS threshold FROM g, range(10000) r(i)), c AS (SELECT i, threshold, count(*) FILTER (WHERE quality = 1 AND e > threshold) AS tp, count(*) FILTER (WHERE quality = 0 AND e > threshold) AS fp, count(*) FILTER (WHERE quality = 1 AND e <= threshold) AS fn, count(*) FILTER (WHERE quality = 0 AND e <= threshold) AS tn FROM t, s GROUP BY ALL) SELECT i, round(threshold, 6) AS threshold, {_METRICS} FROM c")
+def ml_threshold_sweep_all(spark, sf_dir):
+    """As many thresholds as the detector tries."""
+    return rounded(scoring.threshold_sweep(_scored(spark, sf_dir).withColumn("n_chars", F.col("n_chars").cast("double")), "n_chars", "quality", 10_000))
+
+
 @query(f"WITH {_S}, c AS (SELECT count(*) FILTER (WHERE quality = 1 AND p) AS tp, count(*) FILTER (WHERE quality = 0 AND p) AS fp, count(*) FILTER (WHERE quality = 1 AND NOT p) AS fn, count(*) FILTER (WHERE quality = 0 AND NOT p) AS tn FROM (SELECT *, e > 1000 AS p FROM s)) SELECT {_METRICS} FROM c")
 def ml_binary_metrics(spark, sf_dir):
     return rounded(scoring.evaluate(_scored(spark, sf_dir).withColumn("p", (F.col("n_chars") > 1000).cast("int")), "quality", "p"))
@@ -589,10 +607,10 @@ def ml_multiclass(spark, sf_dir):
     return rounded(scoring.multiclass(spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", "toxic"))
 
 
-@query(f"WITH {_S} SELECT quality, round(greatest(p, 1 - p), 6) AS confidence, round(p, 6) AS p_anomaly, e > 2000 AS is_anomaly, n FROM (SELECT quality, e, count(*) AS n, 1 / (1 + exp(-(0.2::DOUBLE * ((e - 1500) / (1.4826 * 900 + 1e-8) - 2) + 0.2 * ((e - 1500) / (1.4826 * 900 + 1e-8) - 2) + 0.6 * (e - 2000) / (500 + 1e-8)))) AS p FROM s GROUP BY quality, e)")
+@query(f"WITH {_S} SELECT quality, round(greatest(p, 1 - p), 6) AS confidence, round(p, 6) AS p_anomaly, e + 250 > 2000 AS is_anomaly, n FROM (SELECT quality, e, count(*) AS n, 1 / (1 + exp(-(0.2::DOUBLE * ((e - 1500) / (1.4826 * 900 + 1e-8) - 2) + 0.2 * ((e / 2 - 700) / (1.4826 * 400 + 1e-8) - 2) + 0.6 * (e + 250 - 2000) / (500 + 1e-8)))) AS p FROM s GROUP BY quality, e)")
 def ml_confidence(spark, sf_dir):
     e = F.col("n_chars").cast("double")
-    c = scoring.confidence(e, e, e, (1500.0, 900.0), (1500.0, 900.0), 2000.0, 500.0)
+    c = scoring.confidence(e, e / 2, e + 250, (1500.0, 900.0), (700.0, 400.0), 2000.0, 500.0)
     rows = _scored(spark, sf_dir).groupBy("quality", "n_chars").agg(F.count("*").alias("n"))
     return rounded(rows.select("quality", c["confidence"].alias("confidence"), c["p_anomaly"].alias("p_anomaly"), c["is_anomaly"].alias("is_anomaly"), "n"))
 
