@@ -166,6 +166,16 @@ def products_of(frame: DataFrame, vectors: list[str], fan: int = 8) -> np.ndarra
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
 
+    rows = _added(known.mapInArrow(summed, "sums binary"), fan)
+    if rows is None:
+        raise ValueError("no vectors")
+    width = math.isqrt(len(rows))
+    return rows.reshape(width, width)
+
+
+def _added(sent: DataFrame, fan: int = 8) -> np.ndarray | None:
+    """The sum of arrays that tasks sent as ``sums``: ``fan`` tasks add them up, and as many come to the driver."""
+
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
@@ -175,12 +185,8 @@ def products_of(frame: DataFrame, vectors: list[str], fan: int = 8) -> np.ndarra
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
 
-    rows = known.mapInArrow(summed, "sums binary").repartition(fan).mapInArrow(added, "sums binary").collect()  # fan rows of width * width numbers
-    if not rows:
-        raise ValueError("no vectors")
-    total = sum(np.frombuffer(r["sums"]) for r in rows)
-    width = math.isqrt(len(total))
-    return total.reshape(width, width)
+    rows = sent.repartition(fan).mapInArrow(added, "sums binary").collect()
+    return sum(np.frombuffer(r["sums"]) for r in rows) if rows else None
 
 
 # ---- most frequent values ----------------------------------------------------------------
@@ -236,15 +242,33 @@ def _ahead(held: dict, value: float | None, lead: int) -> None:
         held[value] = lead - n
 
 
-def static_rates(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """feature, static: share of the most frequent value if it is more than half of all rows, else null; null is a value.
+def rates(frame: DataFrame, columns: list[str]) -> dict[str, tuple[float, float | None]]:
+    """For each column the share of values that are not null, and that of the most frequent one if it is more than half of all rows, else None.
 
-    One read finds a candidate for each column, another counts the candidates.
+    One read finds a candidate for each column, another counts; two numbers a column come to the driver. Empty for an empty table.
     """
     found = {r["feature"]: r["candidate"] for r in majorities(frame, columns).collect()}  # a row for each column
-    if not found:
-        return frame.sparkSession.createDataFrame([(c, None) for c in columns], "feature string, static double")
-    counts = frame.agg(*[F.avg(F.col(c).cast("double").eqNullSafe(F.lit(v).cast("double")).cast("double")).alias(c) for c, v in found.items()])
-    long = counts.unpivot([], list(found), "feature", "static")
-    every = frame.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
-    return every.join(F.broadcast(long), "feature", "left").select("feature", F.when(F.col("static") > 0.5, F.col("static")).alias("static"))  # a row for each column
+    wide = frame.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + 2 * len(columns))
+        for b in batches:
+            total[0] += len(b)
+            for i, (name, c) in enumerate(zip(columns, b.columns, strict=True)):
+                total[1 + 2 * i] += len(c) - c.null_count
+                if name in found:
+                    v, x = found[name], c.drop_null().to_numpy(zero_copy_only=False)
+                    total[2 + 2 * i] += c.null_count if v is None else np.isnan(x).sum() if v != v else (x == v).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["sums"])
+
+    total = _added(wide.mapInArrow(counted, "sums binary"))
+    if total is None or not total[0]:
+        return {}
+    shares = total[1:].reshape(-1, 2) / total[0]
+    return {c: (float(fill), float(static) if static > 0.5 else None) for c, (fill, static) in zip(columns, shares, strict=True)}
+
+
+def static_rates(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """feature, static of ``rates``."""
+    found = rates(frame, columns)
+    return frame.sparkSession.createDataFrame([(c, found[c][1] if c in found else None) for c in columns], "feature string, static double")

@@ -29,8 +29,11 @@ def useful(frame: DataFrame, columns: list[str], least_fill: float = 0.5, most_s
 
     Limits below a half need exact shares of all columns.
     """
-    rates = gram.static_rates(frame, columns) if most_static >= 0.5 else static_rates(frame, columns)
-    both = fill_rates(frame, columns).join(rates, "feature")
+    if most_static >= 0.5:
+        found = gram.rates(frame, columns)
+        both = frame.sparkSession.createDataFrame([(c, *v) for c, v in found.items()], "feature string, fill double, static double")  # a row for each column
+    else:
+        both = fill_rates(frame, columns).join(static_rates(frame, columns), "feature")
     return both.filter((F.col("fill") >= least_fill) & (F.coalesce("static", F.lit(0.0)) <= most_static))
 
 
