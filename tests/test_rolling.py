@@ -168,7 +168,7 @@ def test_the_whole_expansion_is_as_wide_as_specified(spark):
     wide = selection.cut(features.expand(queries.clean(spark, "/root/testdata/sf0.001")))
     names = prep.numeric_columns(wide, ("start_time_ns",))
     assert len(names) >= 2900
-    kept = prep.surviving(prep.filled(wide, names), names)
+    kept = prep.surviving(selection.cut(prep.filled(wide, names).select(*names)), names)
     x = np.array([[0.0 if v is None else float(v) for v in r] for r in wide.select(names).collect()])
     x = dict(zip(names, x.T, strict=True))
     varied = {c for c in names if np.unique(x[c], return_counts=True)[1].max() <= 0.95 * len(x[c])}

@@ -90,6 +90,11 @@ def _about(parts: tuple[np.ndarray, ...], a0: np.ndarray, b0: np.ndarray) -> lis
     return [n, a1 + n * d, a2 + 2 * d * a1 + n * d * d, b1 + n * e, b2 + 2 * e * b1 + n * e * e, ab + e * a1 + d * b1 + n * d * e]
 
 
+def _numbers(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as numbers c0, c1, ...; written as text, as thousands of column objects take seconds to make."""
+    return frame.selectExpr(*[f"cast(`{c}` as double) c{i}" for i, c in enumerate(columns)])
+
+
 def correlations(frame: DataFrame, columns: list[str], above: float | None = None, block: int = BLOCK) -> DataFrame:
     """feature, neighbor, corr for each pair in the order of names, or for those beyond ``above`` in absolute value.
 
@@ -99,7 +104,7 @@ def correlations(frame: DataFrame, columns: list[str], above: float | None = Non
     spark = frame.sparkSession
     if len(names) < 2:
         return spark.createDataFrame([], "feature string, neighbor string, corr double")
-    wide = frame.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    wide = _numbers(frame, names)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -198,7 +203,7 @@ def majorities(frame: DataFrame, columns: list[str]) -> DataFrame:
     The middle of some rows is the only value that can fill more than half of them. Summed over
     all rows, by how much it exceeds the half, a value of the majority beats all others together.
     """
-    wide = frame.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    wide = _numbers(frame, columns)
 
     def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead: list[dict[float | None, int]] = [{} for _ in columns]
@@ -248,7 +253,7 @@ def rates(frame: DataFrame, columns: list[str]) -> dict[str, tuple[float, float
     One read finds a candidate for each column, another counts; two numbers a column come to the driver. Empty for an empty table.
     """
     found = {r["feature"]: r["candidate"] for r in majorities(frame, columns).collect()}  # a row for each column
-    wide = frame.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    wide = _numbers(frame, columns)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 + 2 * len(columns))

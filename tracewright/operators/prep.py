@@ -48,7 +48,7 @@ def redundant(pairs: DataFrame, most: float = 0.999) -> DataFrame:
 
 
 def huge(frame: DataFrame, columns: list[str], most: float = 1e6) -> DataFrame:
-    row = frame.agg(*[F.max(F.abs(F.col(c).cast("double"))).alias(c) for c in columns])
+    row = frame.selectExpr(*[f"max(abs(cast(`{c}` as double))) `{c}`" for c in columns])
     return row.unpivot([], columns, "feature", "most").filter(F.col("most") > most)
 
 
@@ -58,7 +58,8 @@ def filled(frame: DataFrame, columns: list[str], how: str | float = 0.0, group:
     Medians are ranks among counts of values, so a group may hold most rows.
     """
     if how not in ("mean", "median"):
-        return frame.withColumns({c: F.coalesce(F.col(c), F.lit(how)) for c in columns})
+        chosen = set(columns)
+        return frame.selectExpr(*[f"coalesce(`{c}`, double({how!r})) `{c}`" if c in chosen else f"`{c}`" for c in frame.columns])
     keys = group or []
     if how == "mean":
         found = frame.groupBy(*keys).agg(*[F.avg(F.col(c)).alias(f"__{c}") for c in columns])

@@ -38,15 +38,6 @@ def prep_surviving(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in names], "feature string")
 
 
-@query()
-def prep_surviving_all(spark, sf_dir):
-    """Which of all columns of the whole expansion become elements of the vector."""
-    wide = selection.cut(features.expand(clean(spark, sf_dir)))
-    names = prep.numeric_columns(wide, ("start_time_ns",))
-    kept = prep.surviving(prep.filled(wide, names), names)
-    return spark.createDataFrame([(c,) for c in kept], "feature string")
-
-
 @query("WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1) SELECT lang, split, count(*) AS n FROM (SELECT lang, CASE WHEN i / n < 0.6::DOUBLE THEN 'train' WHEN i / n < 0.6::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END AS split FROM (SELECT lang, n::DOUBLE AS n, unnest(range(n)) AS i FROM n)) GROUP BY ALL")
 def prep_fraction_split(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
