@@ -58,8 +58,10 @@ def filled(frame: DataFrame, columns: list[str], how: str | float = 0.0, group:
     Medians are ranks among counts of values, so a group may hold most rows.
     """
     if how not in ("mean", "median"):
-        chosen = set(columns)
-        return frame.selectExpr(*[f"coalesce(`{c}`, double({how!r})) `{c}`" if c in chosen else f"`{c}`" for c in frame.columns])
+        if isinstance(how, str) or not np.isfinite(how):
+            return frame.withColumns({c: F.coalesce(F.col(c), F.lit(how)) for c in columns})
+        chosen, constant = set(columns), f"double({how!r})" if isinstance(how, float) else repr(how)
+        return frame.selectExpr(*[f"coalesce(`{c}`, {constant}) `{c}`" if c in chosen else f"`{c}`" for c in frame.columns])
     keys = group or []
     if how == "mean":
         found = frame.groupBy(*keys).agg(*[F.avg(F.col(c)).alias(f"__{c}") for c in columns])
