@@ -140,13 +140,19 @@ def normalised(frame: DataFrame, column: str, stats: DataFrame) -> DataFrame:
     return frame.crossJoin(F.broadcast(row)).withColumn(column, F.zip_with(column, "__s", lambda x, s: (x.cast("double") - s["shift"]) / s["scale"])).drop("__s")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: what a lambda refers to is else worked out anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hashed_embedding(text: Column, width: int = 64) -> Column:
     """A vector of word counts by hash, of length one: the default text embedding."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(width)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counted = lambda held: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(held, lambda p: p == i)).cast("double"))
+    norm = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda counts: _bound(norm(counts), lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return _bound(_bound(places, counted), scaled)
 
 
 def clipped(c: Column, low: float, high: float) -> Column:
