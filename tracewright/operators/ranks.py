@@ -6,10 +6,14 @@ No task holds a column: values are counted, ranks come from running sums over ra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from tracewright.operators.selection import _running, cut
 
@@ -85,15 +89,36 @@ def _met(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left")
 
 
 def of_ranks(ranks: DataFrame, groups: list[str], value: str, levels, linear: bool = True) -> DataFrame:
-    """The same from a table of ranks."""
-    places = F.array(*[F.lit(float(q)) for q in levels])
-    at = lambda q: (F.col("size") - 1) * q
-    low = lambda q: F.floor(at(q)) if linear else F.rint(at(q))
-    high = lambda q: F.ceil(at(q)) if linear else F.rint(at(q))
-    holds = lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n"))
-    met = F.transform(places, lambda q, i: F.struct(i.alias("i"), holds(low(q)).alias("is_low"), holds(high(q)).alias("is_high"), (at(q) - F.floor(at(q))).alias("part")))
-    hits = ranks.select(*groups, "size", F.col(value).alias("__v"), F.inline(F.filter(met, lambda m: m["is_low"] | m["is_high"])))
-    each = hits.groupBy(*groups, "size", "i", "part").agg(F.max(F.when(F.col("is_low"), F.col("__v"))).alias("low"), F.max(F.when(F.col("is_high"), F.col("__v"))).alias("high"))
+    """The same from a table of ranks: each row looks up which places lie in its stretch, however many levels there are."""
+    q = np.array([float(x) for x in levels])
+    shape = StructType([*ranks.select(*groups, "size", value).schema.fields, StructField("i", IntegerType()), StructField("part", DoubleType()), StructField("is_low", BooleanType())])
+    names = [*shape.names[: len(groups) + 1], "__v", *shape.names[-3:]]
+    shape = StructType([StructField(name, f.dataType) for name, f in zip(names, shape.fields, strict=True)])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            below, upto, size = (b.column(k).to_numpy() for k in ("__below", "__upto", "size"))
+            order = np.argsort(size, kind="stable")
+            starts = np.flatnonzero(np.diff(size[order], prepend=-1))
+            rows, found = [], []
+            for mine in np.split(order, starts[1:]) if len(order) else ():  # rows of one size have the same places
+                at = (size[mine[0]] - 1) * q
+                for low in (True, False):
+                    sought = (np.floor(at) if low else np.ceil(at)) if linear else np.rint(at)
+                    by = np.argsort(sought, kind="stable")
+                    first, last = (np.searchsorted(sought[by], x[mine], "left") for x in (below, upto))
+                    hit = np.flatnonzero(last > first)
+                    many = (last - first)[hit]
+                    i = by[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[hit], many)]
+                    rows.append(np.repeat(mine[hit], many))
+                    found.append((i, (at - np.floor(at))[i], np.full(len(i), low)))
+            if any(map(len, rows)):
+                i, part, low = (np.concatenate(x) for x in zip(*found, strict=True))
+                kept = b.drop_columns(["__below", "__upto"]).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(i, pa.int32()), pa.array(part), pa.array(low)], names)
+
+    hits = ranks.select(*groups, "size", F.col(value).alias("__v"), F.col("below").alias("__below"), (F.col("below") + F.col("n")).alias("__upto")).mapInArrow(held, shape)
+    each = hits.groupBy(*groups, "size", "i", "part").agg(F.max(F.when(F.col("is_low"), F.col("__v"))).alias("low"), F.max(F.when(~F.col("is_low"), F.col("__v"))).alias("high"))
     picked = F.when(F.col("low") == F.col("high"), F.col("low").cast("double")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
     one = picked if linear else F.col("low")
     return each.groupBy(*groups, "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", one.alias("v")))), lambda x: x["v"]).alias("quantiles"))
