@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.stats import distinct_with_null
 from tracewright.operators import ranks, scans
 from tracewright.operators.rolling import rolled
+from tracewright.operators.selection import cut
 from tracewright.sources.spec import INVARIANTS, MANDATORY, SPEC, Attribute
 
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95)
@@ -223,9 +224,10 @@ def dynamics(frame: DataFrame, width: int = 5) -> DataFrame:
     }
     order = ["start_time_ns", "span_id"]
     slim = frame.select("trace_id", "span_id", "start_time_ns", *[c.alias(k) for k, c in signals.items()])
-    last = rolled(slim, ["trace_id"], order, {k: ("mean",) for k in signals}, (width,), ())
     sums = {f"{k}_sum": F.col(k) for k in signals} | {"step": F.col("span_id").isNotNull().cast("long")} | {f"__n_{k}": F.col(k).isNotNull().cast("long") for k in signals}
-    rows = scans.sums_upto(scans.dealt(last, ["trace_id", *order]), ["trace_id"], sums)
+    # ranges are found from a sample, so what they order is worked out twice unless it is kept
+    rows = scans.sums_upto(scans.dealt(cut(slim), ["trace_id", *order]), ["trace_id"], sums).drop("__range", "__place")
+    rows = rolled(rows, ["trace_id"], order, {k: ("mean",) for k in signals}, (width,), ())
     out = ["step"]
     for k in signals:
         known = F.col(f"__n_{k}")

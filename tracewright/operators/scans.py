@@ -24,7 +24,8 @@ def dealt(frame: DataFrame, order: list[str]) -> DataFrame:
     n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc_nulls_first() for c in order]
     rows = frame.repartitionByRange(n, *by).sortWithinPartitions(*by)
-    return cut(rows.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))  # ids grow along a partition
+    kept = cut(rows.withColumns({"__range": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}))  # ids grow along a partition
+    return kept.repartition(n, "__range", order[0])  # once for all that look back within a range by keys of which this is one
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
