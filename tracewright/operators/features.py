@@ -148,7 +148,8 @@ def definitions() -> list[Feature]:
 
 def _aggregate(kind: str, c: Column) -> list[tuple[str, Column]]:
     if kind == "q":
-        return [(f"q{round(q * 100)}", F.percentile(c, q)) for q in QUANTILES]
+        every = F.percentile(c, list(QUANTILES))  # one expression, so that values are counted once for all of them
+        return [(f"q{round(q * 100)}", every[i]) for i, q in enumerate(QUANTILES)]
     return [(kind, {"max": F.max, "min": F.min, "mean": F.avg, "std": F.stddev_samp, "sum": F.sum}[kind](c))]
 
 
