@@ -445,7 +445,7 @@ _WIDE_ROLLING = ("duration", "is_tool", "tool_compression")
 def feat_rolling_wide(spark, sf_dir):
     """Rolling aggregates at all widths of production, for a feature of each family."""
     chosen = [f for f in features.definitions() if f.name in _WIDE_ROLLING]
-    base = features.base_features(clean(spark, sf_dir)).select("trace_id", "agent_id", "start_time_ns", "span_id", *_WIDE_ROLLING)
+    base = features.base_features(clean(spark, sf_dir).select(*features.INPUTS), chosen).select("trace_id", "agent_id", "start_time_ns", "span_id", *_WIDE_ROLLING)
     out = features.rolling_features(base, features.WIDTHS, chosen)
     names = [c for c in out.columns if any(c.startswith(f"{n}__") for n in _WIDE_ROLLING)]
     return rounded(out.select("trace_id", "span_id", *[F.col(c).cast("double").alias(c) for c in names]), 5)
