@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.stats import distinct_with_null, signed_log1p
 from tracewright.operators import scans
-from tracewright.operators.rolling import rolled
+from tracewright.operators.rolling import rolled, rolled_means
 from tracewright.sources.spec import KINDS
 
 OBJECT = ("trace_id", "agent_id")
@@ -199,6 +199,12 @@ def rolling_features(frame: DataFrame, widths=WIDTHS, features: list[Feature] |
     return rolled(frame, list(OBJECT), ["start_time_ns", "span_id"], wanted, widths, QUANTILES, long)
 
 
+def rolling_means(frame: DataFrame, by: list[str], widths=WIDTHS, features: list[Feature] | None = None) -> DataFrame:
+    """by, feature, width, n and the mean of each rolling aggregate over the spans of each group."""
+    wanted = {f.name: f.rolling for f in features or definitions() if f.rolling}
+    return rolled_means(frame, list(OBJECT), ["start_time_ns", "span_id"], wanted, widths, QUANTILES, by)
+
+
 def expand(spans: DataFrame, widths=WIDTHS, features: list[Feature] | None = None, keep: tuple[str, ...] = (*OBJECT, "start_time_ns", "span_id")) -> DataFrame:
     """Columns to keep, every feature, its whole-object aggregates and its rolling ones: 2,943 numbers from the 52 definitions at eight widths."""
     features = features or definitions()

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tracewright.operators.selection import _running
 
@@ -143,6 +143,17 @@ def _interpolated(wavelet: Wavelet, values: np.ndarray, begin: np.ndarray, end:
     return np.where(low == high, low, low + (high - low) * (at - below))
 
 
+def _dealt(frame: DataFrame, keys: list[str], order: list[str], widths, block: int) -> DataFrame:
+    """The rows with __at and __block, in their order, each in its block and in those whose halo holds it."""
+    longest = max(widths)
+    numbered = _running(frame, [F.col(c).asc_nulls_first() for c in (*keys, *order)], F.lit(1), "__at")
+    own = F.floor(F.col("__at") / block)
+    reach = F.floor((F.col("__at") + longest - 1) / block)  # the last block whose halo holds the row
+    sent = numbered.withColumn("__block", F.explode(F.sequence(own, reach)))
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(n, "__block").sortWithinPartitions("__block", "__at")
+
+
 def rolled(
     frame: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, ...]], widths: tuple[int, ...], quantiles: tuple[float, ...], long: bool = False, block: int = BLOCK,
 ) -> DataFrame:
@@ -152,13 +163,7 @@ def rolled(
     tie in it come in any order, as in a window. In the ``long`` form there is a row for each row of ``frame``, wanted column
     (``feature``) and ``width``, with all aggregates, null where the column has none, and the wanted columns themselves are left out.
     """
-    widths, longest = sorted(widths), max(widths)
-    numbered = _running(frame, [F.col(c).asc_nulls_first() for c in (*keys, *order)], F.lit(1), "__at")
-    own = F.floor(F.col("__at") / block)
-    reach = F.floor((F.col("__at") + longest - 1) / block)  # the last block whose halo holds the row
-    sent = numbered.withColumn("__block", F.explode(F.sequence(own, reach)))
-    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sent.repartition(n, "__block").sortWithinPartitions("__block", "__at")
+    widths, dealt = sorted(widths), _dealt(frame, keys, order, widths, block)
     places = [f"q{round(q * 100)}" for q in quantiles]
     of = {c: [k for kind in kinds for k in (places if kind == "q" else [kind])] for c, kinds in wanted.items()}
     names = [(c, k, w) for w in widths for c in wanted for k in of[c]]
@@ -194,6 +199,51 @@ def rolled(
     return dealt.select(*frame.columns, "__at", "__block").mapInArrow(in_task, shape)
 
 
+def rolled_means(
+    frame: DataFrame, keys: list[str], order: list[str], wanted: dict[str, tuple[str, ...]], widths: tuple[int, ...], quantiles: tuple[float, ...], by: list[str], block: int = BLOCK,
+) -> DataFrame:
+    """by, feature, width, n and the mean of each aggregate over the rows of each group: what the long form of ``rolled`` gives, averaged.
+
+    Tasks send a sum and a count of each aggregate for each group of a block, not the rows.
+    """
+    widths = sorted(widths)
+    places = [f"q{round(q * 100)}" for q in quantiles]
+    of = {c: [k for kind in kinds for k in (places if kind == "q" else [kind])] for c, kinds in wanted.items()}
+    every = [*PLAIN, *places]
+    sums = [StructField("feature", StringType()), StructField("width", IntegerType()), StructField("__n", LongType())]
+    sums += [f for k in every for f in (StructField(f"__sum_{k}", DoubleType()), StructField(f"__count_{k}", LongType()))]
+    shape = StructType([*(frame.schema[c] for c in by), *sums])
+
+    def in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks(batches, "__block"):
+            mine = rows.column("__at").to_numpy() // block == rows.column("__block")[0].as_py()
+            if not mine.any():
+                continue
+            first = _begins(rows, keys)
+            own = rows.filter(pa.array(mine)).select(by).append_column("__row", pa.array(np.arange(mine.sum())))
+            groups = own.group_by(by, use_threads=False).aggregate([("__row", "list")])
+            held = groups.column("__row_list").combine_chunks()
+            owner = np.empty(mine.sum(), np.int64)
+            owner[held.flatten().to_numpy()] = np.repeat(np.arange(len(held)), np.diff(held.offsets.to_numpy()))
+            m = len(held)
+            n = np.bincount(owner, minlength=m)
+            kept = [groups.column(c).combine_chunks() for c in by]
+            for c in wanted:
+                got = windowed(pc.cast(rows.column(c), pa.float64()).to_numpy(), first, widths, wanted[c], quantiles)
+                for w in widths:
+                    columns = [pa.array([c] * m), pa.array([w] * m, pa.int32()), pa.array(n, pa.int64())]
+                    for k in every:
+                        x = got[w, k][mine] if k in of[c] else None
+                        known = None if x is None else ~np.isnan(x)
+                        columns += [pa.nulls(m, pa.float64()), pa.array(np.zeros(m, np.int64))] if x is None else [pa.array(np.bincount(owner, np.where(known, x, 0.0), m)), pa.array(np.bincount(owner, known, m).astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays([*kept, *columns], shape.names)
+
+    needed = list(dict.fromkeys([*keys, *by, *wanted, "__at", "__block"]))
+    sent = _dealt(frame, keys, order, widths, block).select(*needed).mapInArrow(in_task, shape)
+    means = [F.try_divide(F.sum(f"__sum_{k}"), F.sum(f"__count_{k}")).alias(k) for k in every]
+    return sent.groupBy(*by, "feature", "width").agg(F.sum("__n").alias("n"), *means)
+
+
 def _begins(rows: pa.Table, keys: list[str]) -> np.ndarray:
     """For each row the place of the first of the rows just before it that share its keys."""
     new = np.zeros(rows.num_rows, bool)

@@ -427,13 +427,13 @@ def feat_static(spark, sf_dir):
 @query(f"{CLEAN}, {feature_sql.BASE} SELECT trace_id, span_id, {', '.join(map(feature_sql.shown, feature_sql.NAMES))} FROM f")
 def feat_all(spark, sf_dir):
     """All 52 features."""
-    return rounded(features.base_features(clean(spark, sf_dir)).select("trace_id", "span_id", *[F.col(n).cast("bigint").alias(n) if n in ("unique_tools_local", "repetitive_actions") else F.col(n) for n in feature_sql.NAMES]))
+    return rounded(features.base_features(clean(spark, sf_dir).select(*features.INPUTS)).select("trace_id", "span_id", *[F.col(n).cast("bigint").alias(n) if n in ("unique_tools_local", "repetitive_actions") else F.col(n) for n in feature_sql.NAMES]))
 
 
 @query(f"{CLEAN}, {feature_sql.BASE} SELECT trace_id, agent_id, {feature_sql.static_sql()} FROM f GROUP BY trace_id, agent_id")
 def feat_static_all(spark, sf_dir):
     """All whole-object aggregates, a row for each object."""
-    out = features.static_by_object(features.base_features(clean(spark, sf_dir)))
+    out = features.static_by_object(features.base_features(clean(spark, sf_dir).select(*features.INPUTS)))
     return rounded(out.select("trace_id", "agent_id", *[F.col(c).cast("double").alias(c) for c in out.columns if "__" in c]), 5)
 
 
@@ -455,10 +455,8 @@ def feat_rolling_wide(spark, sf_dir):
 def feat_rolling_all(spark, sf_dir):
     """All rolling aggregates of all features at all widths, as their means over the spans of each agent."""
     wanted = [f for f in features.definitions() if f.rolling]
-    base = features.base_features(clean(spark, sf_dir)).select("trace_id", "agent_id", "start_time_ns", "span_id", *[f.name for f in wanted])
-    out = features.rolling_features(base, features.WIDTHS, wanted, long=True)
-    names = [c for c in out.columns if c not in ("trace_id", "agent_id", "start_time_ns", "span_id", "feature", "width")]
-    return rounded(out.groupBy("agent_id", "feature", "width").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]), 5)
+    base = features.base_features(clean(spark, sf_dir).select(*features.INPUTS)).select("trace_id", "agent_id", "start_time_ns", "span_id", *[f.name for f in wanted])
+    return rounded(features.rolling_means(base, ["agent_id"], features.WIDTHS, wanted), 5)
 
 
 @query("SELECT o_orderkey, 'o_totalprice' AS \"column\" FROM orders WHERE o_orderkey % 977 = 0 AND o_orderkey % 1999 <> 0 UNION ALL SELECT o_orderkey, '__row' FROM orders WHERE o_orderkey % 1999 = 0")
