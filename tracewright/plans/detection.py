@@ -33,7 +33,7 @@ SELECT feature FROM g WHERE feature NOT IN (SELECT x FROM d) AND most <= 1e6"""
 @query(_surviving_sql())
 def prep_surviving(spark, sf_dir):
     """Which features become elements of the vector: filled and varied, not repeated, not huge."""
-    base = selection.cut(features.base_features(clean(spark, sf_dir)).select(*_CANDIDATES))
+    base = selection.cut(features.base_features(clean(spark, sf_dir).select(*features.INPUTS)).select(*_CANDIDATES))
     names = prep.fit_vectors(base, list(_CANDIDATES))["columns"]
     return spark.createDataFrame([(c,) for c in names], "feature string")
 
@@ -100,7 +100,8 @@ ANCHORS = {
 
 
 def _vectors(spark, sf_dir):
-    base = features.base_features(clean(spark, sf_dir))
+    chosen = [f for f in features.definitions() if f.name in (*_EPI, "sem_text", "agent_prompt")]
+    base = features.base_features(clean(spark, sf_dir).select(*features.INPUTS), chosen)
     return base.select("trace_id", "span_id", "start_time_ns", "aef_kind", "agent_id", "output_text", prep.vector(_EPI).alias("epi_vector"), prep.hashed_embedding(F.col("sem_text"), 16).alias("sem_vector"))
 
 
@@ -134,8 +135,9 @@ def ml_losses(spark, sf_dir):
 
 def _traces(spark, sf_dir):
     """Sequences of two vectors for each trace; a trace with an error is anomalous."""
-    base = features.base_features(spans(spark, sf_dir))
     names = ["duration", "delta_time", "exec_gap", "char_count", "word_count", "prompt_char_count", "is_llm", "is_tool"]
+    chosen = [f for f in features.definitions() if f.name in (*names, "sem_text", "agent_prompt")]
+    base = features.base_features(spans(spark, sf_dir).select(*features.INPUTS), chosen)
     rows = base.select("trace_id", "agent_id", "start_time_ns", "span_id", prep.vector(names).alias("epi"), prep.hashed_embedding(F.col("sem_text"), 16).alias("sem"), (F.col("status_code") == "STATUS_CODE_ERROR").alias("is_anomaly"), F.col("aef_kind").alias("anomaly_type"))
     return prep.sequences(rows, ["epi", "sem"])
 
